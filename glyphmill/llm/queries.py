@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import minhash, packing
+from glyphmill.llm import langid, media, minhash, packing, toxicity
 from glyphmill.llm.common import table
 
 
+def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~toxicity.held_out("id"))
+    return toxicity.score(docs, model, held_out=toxicity.held_out())
+
+
+def op7_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, learn=~langid.held_out())
+    return langid.identify(docs, model, held_out=langid.held_out())
+
+
+def op8_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.to_media(table(spark, sf_dir, "documents")))
+
+
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -19,5 +35,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_sum_of_squares_packing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_counterfactual_toxicity, op7_nearest_centroid_language, op8_avi_motion_jpeg, op9_sum_of_squares_packing, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
