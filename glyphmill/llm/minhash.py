@@ -13,10 +13,12 @@ components(docs) returns one row per document row: doc_id, n_shingles, component
    original is the hub, so a group of m costs m comparisons.
 4. Signatures are verified first (agreement of at least the threshold less SLACK, over six standard deviations), then the full
    sets, re-read for the candidates alone.
-5. Components of these links; then all pairs that share a bucket but not a component are compared in the same way,
-   so a link that no hub showed is found too; components again.
+5. Components of these links; then what shares a bucket but not a component is compared too, so a link that no hub showed
+   is found: pair by pair in buckets of up to SMALL members; larger ones are split into blocks of about BLOCK_ITEMS
+   shingles, and each task compares the full sets of two blocks bit-parallel and emits at most one link per member.
+   Components again.
 
-Only a bucket whose members are alike but unlinked makes step 5 large; nothing is capped.
+Only a bucket whose members are alike but unlinked makes step 5 long; nothing is capped.
 
 Cases. Null or word-less text: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept true. Repeated
 rows: one row out for each, equal values. Rows that share a doc_id are one vertex. Empty table: no rows. Other columns
@@ -40,6 +42,8 @@ HASHES = BANDS * ROWS
 SEED = 20240229
 #: Words held by a worker's memo of hashes; it starts anew when full.
 MEMO = 1_000_000
+#: Buckets beyond SMALL members are compared in blocks of about BLOCK_ITEMS shingles.
+SMALL, BLOCK_ITEMS = 16, 400_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -166,6 +170,68 @@ def confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, p
     return both.where(f"100L * i >= {percent}L * (p + q - i)").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
 
 
+def joined(cls: list[int], block: list[int], component: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join what is apart within one pair of blocks, by full sets; at most one less than its members."""
+    size = np.array([len(s) for s in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    width = int(place.max()) // 8 + 1
+    bits, at = np.zeros((len(sets), width), np.uint8), 0
+    for k, n in enumerate(size):
+        row = np.zeros(width * 8, bool)
+        row[place[at : at + n]] = True
+        bits[k], at = np.packbits(row), at + n
+    label, side, links = np.array(component), np.array(block), []
+    two = side.min() != side.max()  # else all pairs of one block
+    for k in range(len(sets) - 1):
+        rest = np.arange(k + 1, len(sets))
+        rest = rest[(label[rest] != label[k]) & (100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k]))]
+        rest = rest[side[rest] != side[k]] if two else rest
+        for a in range(0, len(rest), 1024):
+            part = rest[a : a + 1024]
+            inter = np.bitwise_count(bits[part] & bits[k]).sum(axis=1, dtype=np.int64)
+            for j in part[100 * inter >= percent * (size[part] + size[k] - inter)]:
+                if label[j] != label[k]:
+                    links.append((cls[k], cls[j]))
+                    label[label == label[j]] = label[k]
+    return links
+
+
+def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) of representatives within large buckets; members: key, cls, component."""
+    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "n")
+    texts = with_ids(docs, wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    sets = sets_of(texts, width).join(wanted.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).select("cls", "items")
+    sized = members.join(wanted, "cls")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "component", "rep").join(sets, "cls")
+    dealt = dealt.select("key", "x", "y", "mine", "rep", "component", "items")
+    n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and len({h[2] for h in held}) > 1:
+                links = joined(*map(list, zip(*held)), percent)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=schema)
+
+        for b in batches:
+            items = b.column(6)
+            for k, (key, x, y, mine, rep, component) in enumerate(zip(*(b.column(c).to_pylist() for c in range(6)))):
+                if (key, x, y) != now:
+                    yield from done()
+                    now, held = (key, x, y), []
+                held.append((rep, mine, component, items[k].values.to_numpy()))
+        yield from done()
+
+    return over_batches(dealt, work, "u long, v long")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of docs: documents whose sets of width-word shingles have at least
     percent/100 of their union in common are linked."""
@@ -186,11 +252,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(connected(links), "found")
     at = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
     placed = members.select("key", "cls").join(at, "cls")
-    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x < y").select("key", "many")
     left = stored(placed.join(apart, "key"), "apart")
-    x, y = (left.select("key", F.col("cls").alias(c), F.col("component").alias(f"in_{c}")) for c in "xy")
+    few = left.where(F.col("many") <= SMALL)
+    x, y = (few.select("key", F.col("cls").alias(c), F.col("component").alias(f"in_{c}")) for c in "xy")
     rest = x.join(y, "key").where("x < y and in_x <> in_y").select(*ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(confirmed(stored(rest, "rest"), signs, docs, width, percent), "links")
+    more = confirmed(stored(rest, "rest"), signs, docs, width, percent)
+    more = stored(more.unionByName(block_links(left.where(F.col("many") > SMALL).select("key", "cls", "component"), classes, docs, width, percent)), "links")
     if not more.isEmpty():
         found = stored(connected(links.unionByName(more)), "found")
     final = classes.select("cls", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "n", F.coalesce("component", "rep").alias("component"))

@@ -73,7 +73,7 @@ class Model:
             if got:
                 found.update(got)
         z = self.bias + sum(weights[f] for f in sorted(found))
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return float(1 / (1 + np.exp(-np.clip(z, -500, 500)))) if z > float("-inf") else 0.0
 
 
 def train(texts: Iterable[tuple[str | None, int]], counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, z: float = Z, least_df: int = LEAST_DF, rounds: int = 400) -> Model:
@@ -87,7 +87,7 @@ def train(texts: Iterable[tuple[str | None, int]], counterfactual: float = COUNT
         df[label].update({f for x in w for f in features_of(x)})
     n1, n0 = sum(y), len(y) - sum(y)
     if not y:
-        return Model({}, -1000.0)
+        return Model({}, float("-inf"))
     keep = []
     for f in sorted(df[0].keys() | df[1].keys()):
         a, b = df[1][f], df[0][f]

@@ -64,3 +64,18 @@ def test_a_link_that_no_hub_shows(spark):
 
 def test_empty(spark):
     assert minhash.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """A wide group whose outer copies link with each other only; blocks of a few sets."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "BLOCK_ITEMS", 700)
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        new = list(base)
+        for at in r.sample(range(60), r.randint(0, 5)):
+            new[at] = f"e{r.randint(0, 3)}"
+        rows.append((k, " ".join(new)))
+    check(spark, rows)
