@@ -6,7 +6,8 @@ end_word, item_words. Words are split at ASCII white space and A-Z lower-cased;
 stretch of the document is within d = floor((1 - similarity) * n) word edits (similarity: at least 0.8).
 
 1. Windows start at every word. By the q-gram lemma a window of n words within d edits keeps n - 1 - 2d of the item's
-   word pairs, so windows with fewer pairs of items of that length hold none; the others are embedded.
+   word pairs (and of its different pairs all but 2d), so windows with fewer pairs of items of that length hold none;
+   the others are embedded.
 2. The CGK walk of repetition t copies the window's word at the walk's pointer to each of 3n places and moves the pointer by a
    random bit of (t, place, word). Windows near in edit distance then agree in most places.
 3. Each repetition samples BITS places; windows and items with equal samples are candidates. REPEATS repetitions reach
@@ -58,14 +59,19 @@ def embedded(x: np.ndarray, starts: np.ndarray, n: int, repeats: int = REPEATS,
     x = np.concatenate([x, np.zeros(n + 1, x.dtype)]).astype(np.uint64)
     at = np.repeat(starts.astype(np.int64)[:, None], repeats, axis=1)
     end = starts.astype(np.int64)[:, None] + n
-    key = np.zeros(at.shape, np.uint64)
-    for place in range(3 * n):
-        for k in sampled[place]:
-            w = np.where(at[:, k] < end[:, 0], x[at[:, k]], np.uint64(0))
-            key[:, k] = mixed(key[:, k] ^ w) + np.uint64(place + 1)
-        coins = mixed(x + np.uint64(place + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
-        at += ((coins.take(at) >> t) & np.uint64(1)).astype(np.int64)
+    seen, filled = np.zeros((*at.shape, bits), np.uint64), [0] * repeats
+    for place, cols in enumerate(sampled):
+        if cols:
+            p = at[:, cols]
+            seen[:, cols, [filled[k] for k in cols]] = np.where(p < end, x[p], np.uint64(0))
+            for k in cols:
+                filled[k] += 1
+        coins = mixed(x + np.uint64((place + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
+        at += ((coins.take(at) >> t) & np.uint64(1)).view(np.int64)
         np.minimum(at, end, out=at)
+    key = np.zeros((len(starts), repeats), np.uint64)
+    for k in range(bits):
+        key = mixed(key ^ seen[:, :, k]) + np.uint64(k + 1)
     return key
 
 
@@ -96,7 +102,7 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, repeats: int = REPEATS, bits: int = BITS):
         self.vocabulary: dict[bytes, int] = {}
         self.repeats, self.bits = repeats, bits
-        self.items, self.ids, self.edits = [], [], {}
+        self.items, self.ids, self.edits, self.least = [], [], {}, {}
         by_length: dict[int, list[int]] = {}
         for item_id, text in items:
             w = words_of(text)
@@ -109,7 +115,9 @@ class Index:
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         for n, ks in by_length.items():
-            self.edits[n] = int((1 - similarity) * n + 1e-9)
+            d = self.edits[n] = int((1 - similarity) * n + 1e-9)
+            # pairs that differ: an item that repeats some has fewer to keep
+            self.least[n] = min(len(set(zip(self.items[k][:-1].tolist(), self.items[k][1:].tolist()))) for k in ks) - 2 * d
             for k in ks:
                 x = self.items[k]
                 for pair in set(((x[:-1] << 32) | x[1:]).tolist()):
@@ -161,8 +169,9 @@ class Index:
             np.add.at(mark, np.maximum(hi, lo) + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark) > 0)
             found: dict[int, list[int]] = {}
-            for b in range(0, len(starts), 512):
-                s = starts[b : b + 512]
+            gaps = np.flatnonzero(np.diff(starts) > n) + 1
+            runs = [s for s in np.split(starts, gaps) if len(np.unique(pairs[a[np.searchsorted(a, s[0]) : np.searchsorted(a, s[-1] + n)]])) >= self.least[n]]
+            for s in (run[b : b + 512] for run in runs for b in range(0, len(run), 512)):
                 keys = embedded(x[s[0] : s[-1] + n], s - s[0], n, self.repeats, self.bits)
                 for t, table in enumerate(self.tables[n]):
                     for start, key in zip(s.tolist(), keys[:, t].tolist()):
