@@ -7,16 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import decontam, langid, media, minhash, packing, toxicity
+from glyphmill.llm import bfd, decontam, langid, lm, media, minhash, packing, toxicity, urlrules, warc
 from glyphmill.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.resolved(warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~toxicity.held_out("id"))
     return toxicity.score(docs, model, held_out=toxicity.held_out())
 
 
+def op4_best_fit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd.write(table(spark, sf_dir, "documents")).select("doc_ids", "doc_starts", "cu_seqlens", "position_resets", "n_tokens", "ids_crc32")
+
+
+#: The fixed rules: verdict, host, path prefix.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op5_association_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlrules.judge(pages, urlrules.mine(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
 def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,5 +61,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_counterfactual_toxicity, op6_cgk_decontamination, op7_nearest_centroid_language, op8_avi_motion_jpeg, op9_sum_of_squares_packing, op10_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_stupid_backoff, op3_counterfactual_toxicity, op4_best_fit_packed_ids, op5_association_url_rules, op6_cgk_decontamination, op7_nearest_centroid_language, op8_avi_motion_jpeg, op9_sum_of_squares_packing, op10_minhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+        g AS (SELECT *, count(*) OVER (PARTITION BY x) AS n, max(page_id) OVER (PARTITION BY x) AS last FROM d),
+        bits AS (SELECT page_id, i, list_sum([CASE WHEN substr(bin, 5 * i + k, 1) = '1' THEN 1 << (5 - k) ELSE 0 END FOR k IN [1, 2, 3, 4, 5]])::INT AS v
+            FROM (SELECT page_id, array_to_string([lpad(bin(('0x' || substr(x, c, 1))::INT), 4, '0') FOR c IN range(1, 41)], '') AS bin FROM d), range(32) t(i)),
+        s AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1), '' ORDER BY i) AS payload_digest FROM bits GROUP BY page_id)
+        SELECT g.page_id, payload_bytes, payload_digest, CASE WHEN n > 1 AND g.page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n > 1 AND g.page_id <> last THEN last END AS refers_to FROM g JOIN s USING (page_id)""",
+}
