@@ -39,7 +39,10 @@ def path_of(url: Column) -> Column:
 def tokens_of(url: Column) -> Column:
     """Distinct marked tokens."""
     rest = F.regexp_extract(url, r"://[^?#]*(.*)", 1)
-    parts = [F.transform(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t, m=m: F.concat(F.lit(m), t)) for m, x in (("h:", host_of(url)), ("p:", path_of(url)), ("q:", rest))]
+    def marked(mark: str, x: Column) -> Column:
+        return F.transform(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.concat(F.lit(mark), t))
+
+    parts = [marked("h:", host_of(url)), marked("p:", path_of(url)), marked("q:", rest)]
     return F.coalesce(F.array_distinct(F.concat(*parts)), F.array().cast("array<string>"))
 
 
