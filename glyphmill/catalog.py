@@ -1,4 +1,7 @@
-"""Registered queries over the text tables, and their SQL."""
+"""Registered queries over the text tables, and their SQL.
+
+The test tables hold few odd characters, so each step's query appends a sample of the step's sources to every second text.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,150 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions import mappings as M
+from glyphmill.operators import analyze, normalize
+
+#: Steps that are a lookup of single characters: name, table, language.
+LOOKUPS: list[tuple[str, Callable[[], dict[str, str]], str]] = [
+    ("del-zero-width", lambda: dict.fromkeys(M.ZERO_WIDTH, ""), ""),
+    ("del-tatweel", lambda: {M.TATWEEL: ""}, ""),
+    ("del-arabic-diacr", lambda: dict.fromkeys(M.ARABIC_MARKS, ""), ""),
+    ("del-hebrew-diacr", lambda: dict.fromkeys(M.HEBREW_POINTS, ""), ""),
+    ("core-compat", lambda: {k: v for k, v in M.core().items() if "Ⅰ" <= k <= "ⅿ"}, ""),
+    ("ligatures", lambda: M.LIGATURES, ""),
+    ("signs-and-symbols", lambda: M.SIGNS, ""),
+    ("width", lambda: {k: v for k, v in M.cjk().items() if "！" <= k <= "～"}, ""),
+    ("font", lambda: {k: v for k, v in M.font().items() if "\U0001d400" <= k <= "\U0001d433"}, ""),
+    ("enclosure", lambda: {k: v for k, v in M.enclosure().items() if "①" <= k <= "⑳"}, ""),
+    ("punct", lambda: M.PUNCT | {"…": "..."}, ""),
+    ("punct-arabic", lambda: M.PUNCT_ARABIC, ""),
+    ("punct-cjk", lambda: M.PUNCT_CJK, ""),
+    ("punct-greek", lambda: M.PUNCT_GREEK, ""),
+    ("punct-misc-f", lambda: M.PUNCT_MISC, ""),
+    ("punct-dash", lambda: M.DASHES, ""),
+    ("space", lambda: M.SPACES, ""),
+    ("digit", lambda: {k: v for k, v in M.digits().items() if ord(k) < 0x1100}, ""),
+    ("farsi-char", lambda: M.FARSI, "fas"),
+    ("pashto-char", lambda: M.PASHTO, "pas"),
+    ("arabic-char", lambda: M.ARABIC, "ara"),
+    ("georgian-char", lambda: M.GEORGIAN_OLD, ""),
+]
+#: Steps by pattern: name, sample, what it becomes.
+SAMPLES = [
+    ("del-ctrl-char", "a\u0001b\u007fc\u0085d", "abcd"),
+    ("hangul", " 한ᄀ힘", " 한ᄀ힘".replace("한", "한").replace("힘", "힘")),
+    ("repair-combining", " डे़", " ड़े"),
+    ("combining-compose", " é ṻ Å", " é ṻ Å"),
+    ("repair-xml", " &amp;amp;quot; &AMP;amp;#39;", " &quot; &#39;"),
+    ("repair-url-escapes", " Jo%25C3%25ABlle %25E2%2582%25AC", None),
+    ("repair-token", " 12ب-", " 12 ب -"),
+    ("repair-encoding-errors", " Ã©tÃ© â\u0082¬ \u0092", " été € ’"),
+]
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _with(df: DataFrame, sample: str) -> DataFrame:
+    return df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(sample))).otherwise(F.col("text")).alias("text"))
+
+
+TRIM = r"regexp_replace({}, ' +(\t|\n|$)', '\1', 'g')"
+
+
+def _step(name: str, sample: str, lang: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _with(_docs(spark, sf_dir), sample).select("doc_id", normalize.normalize(F.col("text"), frozenset({name}), lang).alias("normalized"))
+
+    return query
+
+
+def _preset(steps: frozenset[str], lang: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    sample = " " + " ".join(s for _, s, _ in SAMPLES) + "".join(k for _, t, _ in LOOKUPS for k in sorted(t())[:3])
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _with(_docs(spark, sf_dir), sample).select("doc_id", normalize.normalize(F.col("text"), steps, lang).alias("normalized"))
+
+    return query
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters by script after default normalization."""
+    return analyze.letter_scripts(_docs(spark, sf_dir).select(normalize.normalize(F.col("text")).alias("text")))
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each step alone changes, in one pass."""
+    sample = "".join(k for _, t, _ in LOOKUPS[:11] for k in sorted(t())[:2])
+    df = _with(_docs(spark, sf_dir), sample)
+    names = [n for n, _, _ in LOOKUPS[:11]]
+    one = df.agg(*[analyze.changed(F.col("text"), normalize.normalize(F.col("text"), frozenset({n}))).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.col(f"`{n}`").alias("n_changed")) for n in names])).alias("x")).select("x.*")
+
+
+def _text(f: Callable[[DataFrame], DataFrame], name: str = "documents", col: str = "text") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumnRenamed(col, "text") if col != "text" else spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def _cyrillic(df: DataFrame) -> DataFrame:
+    return df.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.translate("text", "o", "о")).otherwise(F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+for _name, _table, _lang in LOOKUPS:
+    _t = _table()
+    _s = " " + "".join(sorted(_t))
+    _key = "norm_" + _name.replace("-", "_")
+    QUERIES[_key] = _step(_name, _s, _lang)
+    _one = {k: v for k, v in _t.items() if len(v) == 1}
+    _x = f"CASE WHEN doc_id % 2 = 0 THEN text || {_q(_s)} ELSE text END"
+    for _k, _v in _t.items():
+        if len(_v) > 1:
+            _x = f"replace({_x}, {_q(_k)}, {_q(_v)})"
+    _x = f"translate({_x}, {_q(''.join([*_one, *(k for k, v in _t.items() if not v)]))}, {_q(''.join(_one.values()))})"
+    ORACLE_SQL[_key] = f"SELECT doc_id, {TRIM.format(_x)} AS normalized FROM documents"
+for _name, _s, _to in SAMPLES:
+    _key = "norm_" + _name.replace("-", "_")
+    QUERIES[_key] = _step(_name, _s, "")
+    if _to is not None:
+        _x = f"CASE WHEN doc_id % 2 = 0 THEN text || {_q(_to)} ELSE text END"
+        ORACLE_SQL[_key] = f"SELECT doc_id, {TRIM.format(_x)} AS normalized FROM documents"
+for _key, _steps, _lang in (("norm_default", normalize.DEFAULT, ""), ("norm_all", normalize.chosen("all"), ""), ("norm_lang_fas", normalize.chosen("default", add=["farsi-char"]), "fas"), ("norm_lang_pas", normalize.chosen("default", add=["pashto-char"]), "pas"), ("norm_add_skip", normalize.chosen("default", add=["space", "digit"], skip=["del-tatweel"]), ""), ("norm_only", normalize.chosen("none", add=["space"]), "")):
+    QUERIES[_key] = _preset(_steps, _lang)
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+QUERIES |= {
+    "letters_after_default": flagship,
+    "change_log_by_step": change_log,
+    "overview": _text(analyze.overview),
+    "char_count": _text(analyze.char_counts),
+    "char_count_by_lang": _text(lambda d: analyze.char_counts(d, by=["lang"])),
+    "word_tokens": _text(lambda d: analyze.tokens(d, analyze.WORD)),
+    "complex_chars": _text(lambda d: analyze.tokens(d.withColumn("text", F.regexp_replace("text", "é", "é")), analyze.COMPLEX)),
+    "mixed_script_words": _text(lambda d: analyze.mixed_scripts(_cyrillic(d))),
+    "long_tokens": _text(analyze.long_tokens),
+    "word_examples_top5": _text(lambda d: analyze.examples(d, analyze.WORD)),
+    "orphan_marks": _text(lambda d: analyze.orphan_marks(d.withColumn("text", F.concat("text", F.lit(" ́x 1̈"))))),
+    "char_conflict": _text(lambda d: analyze.char_conflicts(d.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 2 == 0, "ك").otherwise("ک"))))),
+}
+for _key, _p in (analyze.XML | {"xml_nested": analyze.NESTED}).items():
+    QUERIES[_key] = _text(lambda d, p=_p: analyze.tokens(d, p), "pages", "html")
+    ORACLE_SQL[_key] = f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, {_q(_p)})) AS token FROM pages) GROUP BY token"
+_words = _q(analyze.WORD)
+ORACLE_SQL |= {
+    "overview": "SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, (sum(length(text)) + count(*))::BIGINT AS n_characters FROM documents WHERE text IS NOT NULL",
+    "char_count": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ch",
+    "char_count_by_lang": "SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY lang, ch",
+    "word_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_words})) AS token FROM documents) GROUP BY token",
+    "complex_chars": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, 'é', 'é'), {_q(analyze.COMPLEX)})) AS token FROM documents) GROUP BY token",
+    "mixed_script_words": rf"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(CASE WHEN doc_id % 4 = 1 THEN replace(text, 'o', 'о') ELSE text END, {_words})) AS token FROM documents) WHERE regexp_matches(token, '\p{{Latin}}') AND regexp_matches(token, '\p{{Cyrillic}}') GROUP BY token",
+    "long_tokens": r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents) WHERE length(token) >= 20 GROUP BY token",
+    "word_examples_top5": f"SELECT token, doc_id, rank FROM (SELECT token, doc_id, row_number() OVER (PARTITION BY token ORDER BY doc_id)::INT AS rank FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_words})) AS token FROM documents)) WHERE rank <= 5",
+    "char_conflict": "SELECT 'kaf' AS key, CASE WHEN doc_id % 2 = 0 THEN 'ك' ELSE 'ک' END AS ch, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL",
+}
