@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import crc_of_id, small_batches
 
-SAMPLE, LEAST_DF, Z, RIDGE, COUNTERFACTUAL, PREFIXES = 12_000, 4, 3.5, 0.3, 20.0, (4, 5, 6, 7)
+SAMPLE, LEAST_DF, Z, RIDGE, COUNTERFACTUAL, PREFIXES = 8_000, 4, 3.5, 0.3, 20.0, (4, 5, 6, 7)
 #: Words held by a worker's memo; it starts anew when full.
 MEMO = 500_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -77,14 +77,12 @@ class Model:
 
 
 def train(texts: Iterable[tuple[str | None, int]], counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, z: float = Z, least_df: int = LEAST_DF, rounds: int = 400) -> Model:
-    """Fits a model on (text, label) pairs."""
-    sets, y = [], []
+    """Fits a model on (text, label) pairs. Texts are read twice, so that no word sets are held."""
+    texts = list(texts)
+    y = [label for _, label in texts]
     df: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in texts:
-        w = words_of(text)
-        sets.append(w)
-        y.append(label)
-        df[label].update({f for x in w for f in features_of(x)})
+        df[label].update({f for x in words_of(text) for f in features_of(x)})
     n1, n0 = sum(y), len(y) - sum(y)
     if not y:
         return Model({}, float("-inf"))
@@ -98,17 +96,23 @@ def train(texts: Iterable[tuple[str | None, int]], counterfactual: float = COUNT
             if abs(a / n1 - b / n0) >= z * (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5 > 0:
                 keep.append(f)
     keep += sorted({f for t in KIND if t in df[0] or t in df[1] for o in KIND[t] for f in features_of(o) if f not in df[0] and f not in df[1]} - set(keep))
+    df = (Counter(), Counter())
     index = {f: k for k, f in enumerate(keep)}
     memo: dict[str, tuple[int, ...]] = {}
 
     def columns(ws: set[str]) -> list[int]:
+        out: set[int] = set()
         for w in ws:
-            if w not in memo:
-                memo[w] = tuple(index[f] for f in features_of(w) if f in index)
-        return sorted({k for w in ws for k in memo[w]})
+            if (got := memo.get(w)) is None:
+                if len(memo) >= MEMO // 4:
+                    memo.clear()
+                got = memo[w] = tuple(index[f] for f in features_of(w) if f in index)
+            out.update(got)
+        return sorted(out)
 
     rows, cols, change = [], [], []
-    for k, ws in enumerate(sets):
+    for k, (text, _) in enumerate(texts):
+        ws = words_of(text)
         got = columns(ws)
         rows += [k] * len(got)
         cols += got
@@ -149,8 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > sample:
         ids = ids.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(sample / n * 1_000_000))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(ids), "id").select("id", "text", "label").collect()
-    rows = sorted({(r.id, r.text or "", r.label) for r in got})
+    rows = sorted({(r.id, r.text or "", r.label) for r in texts.join(F.broadcast(ids), "id").select("id", "text", "label").toLocalIterator()})
     return train((t, l) for _, t, l in rows)
 
 
