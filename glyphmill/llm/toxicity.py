@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > sample:
         ids = ids.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(sample / n * 1_000_000))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = sorted({(r.id, r.text or "", r.label) for r in texts.join(F.broadcast(ids), "id").select("id", "text", "label").toLocalIterator()})
+    rows = sorted({(r.id, r.text or "", r.label) for r in texts.join(F.broadcast(ids), "id").select("id", "text", "label").collect()})
     return train((t, l) for _, t, l in rows)
 
 
