@@ -35,15 +35,15 @@ def looked_up(c: Column, table: dict[str, str]) -> Column:
     more = {k: v for k, v in table.items() if len(v) > 1}
     gone = [k for k, v in table.items() if not v]
     if more:
-        c = pieces(c, class_of(more), more)
+        c = pieces(c, class_of(more), more, f"[^{class_of(more)[1:]}+")
     return F.translate(c, "".join([*one, *gone]), "".join(one.values())) if one or gone else c
 
 
-def pieces(c: Column, pattern: str, table: dict[str, str]) -> Column:
-    """Looks up each match of the pattern; what lies between stays."""
+def pieces(c: Column, pattern: str, table: dict[str, str], rest: str = r"[\s\S]") -> Column:
+    """Looks up each match of the pattern; what lies between, matched by rest, stays."""
     keys = sorted(table)
     found = F.map_from_arrays(F.lit(keys), F.lit([table[k] for k in keys]))
-    parts = F.regexp_extract_all(c, F.lit(f"{pattern}|[\\s\\S]"), F.lit(0))
+    parts = F.regexp_extract_all(c, F.lit(f"{pattern}|{rest}"), F.lit(0))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^(?:{pattern})$"), F.coalesce(F.try_element_at(found, x), x)).otherwise(x)), "")
 
 
