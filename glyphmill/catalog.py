@@ -5,13 +5,16 @@ The test tables hold few odd characters, so each step's query appends a sample o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
-from glyphmill.operators import analyze, normalize
+from glyphmill.operators import analyze, normalize, report
+from glyphmill.plans import analysis
+from glyphmill.streaming import stream
 
 #: Steps that are a lookup of single characters: name, table, language.
 LOOKUPS: list[tuple[str, Callable[[], dict[str, str]], str]] = [
@@ -47,6 +50,7 @@ SAMPLES = [
     ("repair-xml", " &amp;amp;quot; &AMP;amp;#39;", " &quot; &#39;"),
     ("repair-url-escapes", " Jo%25C3%25ABlle %25E2%2582%25AC", None),
     ("repair-token", " 12ب-", " 12 ب -"),
+    ("look-alike", " Austіn жəне CTVтелеарнасына XІ", " Austin және CTV телеарнасына XI"),
     ("repair-encoding-errors", " Ã©tÃ© â\u0082¬ \u0092", " été € ’"),
 ]
 
@@ -104,6 +108,28 @@ def _cyrillic(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.translate("text", "o", "о")).otherwise(F.col("text")))
 
 
+def _decomposed(df: DataFrame) -> DataFrame:
+    return df.withColumn("text", F.replace("text", F.lit("é"), F.lit("e\u0301")))
+
+
+def _odd(df: DataFrame) -> DataFrame:
+    """A fixed oddity in every row, by its id."""
+    return df.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ODD)), (F.col("doc_id") % len(ODD) + 1).cast("int"))))
+
+
+ODD = ["", " wоrd", " &amp;amp;lt; &#39;", " ـ", " \u0001", " \u0085", " \ufffd \ue000", " x@y.z #1 100%25%20 a-b"]
+
+
+def stream_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the documents read as a stream; the table in memory has a row per distinct character."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    counts = stream.char_counts(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet"))
+    name, shared = f"glyphmill_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", "")
+    writer = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    (writer.option("checkpointLocation", f"{shared}/{name}") if shared else writer).start().awaitTermination()
+    return spark.table(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -141,6 +167,16 @@ QUERIES |= {
     "word_examples_top5": _text(lambda d: analyze.examples(d, analyze.WORD)),
     "orphan_marks": _text(lambda d: analyze.orphan_marks(d.withColumn("text", F.concat("text", F.lit(" ́x 1̈"))))),
     "char_conflict": _text(lambda d: analyze.char_conflicts(d.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 2 == 0, "ك").otherwise("ک"))))),
+    "token_patterns": _text(lambda d: report.patterns(_odd(d))),
+    "pattern_groups": _text(lambda d: report.pattern_groups(_odd(d))),
+    "notable_tokens": _text(report.notable, "pages", "html"),
+    "notable_rollup": _text(analysis.rollup, "pages", "html"),
+    "multi_script_headings": _text(lambda d: report.mixed(_cyrillic(d))),
+    "non_canonical": _text(lambda d: report.non_canonical(_decomposed(d)).withColumn("changes", F.array_join("changes", "+"))),
+    "char_examples_top5": _text(lambda d: report.char_examples(d).select("ch", "code_point", "n", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",").alias("ex"))),
+    "document_issues": _text(lambda d: report.issues(_odd(d))),
+    "analysis_json": _text(analysis.as_json),
+    "stream_char_counts": stream_char_counts,
 }
 for _key, _p in (analyze.XML | {"xml_nested": analyze.NESTED}).items():
     QUERIES[_key] = _text(lambda d, p=_p: analyze.tokens(d, p), "pages", "html")
@@ -157,3 +193,31 @@ ORACLE_SQL |= {
     "word_examples_top5": f"SELECT token, doc_id, rank FROM (SELECT token, doc_id, row_number() OVER (PARTITION BY token ORDER BY doc_id)::INT AS rank FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_words})) AS token FROM documents)) WHERE rank <= 5",
     "char_conflict": "SELECT 'kaf' AS key, CASE WHEN doc_id % 2 = 0 THEN 'ك' ELSE 'ک' END AS ch, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL",
 }
+_odd_sql = "text || list_extract([" + ", ".join(map(_q, ODD)) + f"], (doc_id % {len(ODD)} + 1)::INT)"
+_shape = "replace(token, 'ـ', chr(147))"
+for _p, _to in ((r"&(?:[aA][mM][pP];)*(?:#[xX][0-9A-Fa-f]{1,6}|#\d{1,7}|[A-Za-z]{1,6});", "'&' || chr(146) || ';'"), (r"(?:%(?:25)*[0-9A-Fa-f]{2}){2,}", "'%' || chr(146)")):
+    for _ in range(2):
+        _shape = f"regexp_replace({_shape}, {_q(_p)}, {_to})"
+for _p, _to in ((r"(?:\pL\pM*)+", "Word"), (r"\pM{2,}", "Modifiers"), (r"\pM", "Modifier"), (r"\pN+", "Number")):
+    _shape = f"regexp_replace({_shape}, {_q(_p)}, '{_to}', 'g')"
+_shape = f"replace(replace({_shape}, chr(146), 'Xml'), chr(147), 'ـ')"
+_interest = _q("[" + "".join(rf"\x{{{ord(c):X}}}" for c in report.OF_INTEREST) + "]")
+_patterns = rf"SELECT pattern, count(*) AS n FROM (SELECT unnest(list_distinct([p, regexp_replace(p, '(?:Word)+ـ+(?:Word)+', 'Word', 'g')])) AS pattern FROM (SELECT {_shape} AS p FROM (SELECT unnest(regexp_extract_all({_odd_sql}, '[^\t-\r ]+')) AS token FROM documents) WHERE regexp_matches(token, {_interest}) OR regexp_matches(token, '(^|[^\pL\pM])\pM'))) GROUP BY pattern"
+_marks = ", ".join(f"({_q(c)}, {_q(f'TOKENS WITH {c} (U+{ord(c):04X} {report.ud.name(c)})')})" for c in sorted(set(report.OF_INTEREST)))
+_heading = "CASE " + " ".join(f"WHEN regexp_matches(token, {_q(p)}) THEN '{h}'" for h, p in report.XML_GROUPS) + " END"
+_found = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(html, {_q(p)})) AS token FROM pages" for p in (*analyze.XML.values(), analyze.NESTED))
+_notable = f"SELECT {_heading} AS heading, token, count(*) AS n FROM ({_found}) GROUP BY token"
+_word_mixed = rf"len(list_filter(regexp_extract_all(text, {_words}), lambda w: regexp_matches(w, '\p{{Latin}}') AND regexp_matches(w, '\p{{Cyrillic}}'))) > 0"
+_tests = [(r"[\x00-\x08\x0B-\x1F\x7F]", "C0_CONTROL"), (r"[\x{80}-\x{9F}]", "C1_CONTROL"), (r"(?i)&(?:amp;)*(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{1,6});", "XML escape token"), (r"\x{FFFD}", "Replacement character"), (r"\p{Co}", "Private use character"), ("ـ", "Tatweel")]
+_cases = ", ".join(f"CASE WHEN regexp_matches(text, {_q(p)}) THEN '{n}' END" for p, n in _tests)
+ORACLE_SQL |= {
+    "token_patterns": _patterns,
+    "pattern_groups": f"SELECT heading, pattern, n FROM ({_patterns}) JOIN (VALUES {_marks}) AS m(ch, heading) ON contains(pattern, ch) UNION ALL SELECT 'TOKENS WITH ORPHAN MODIFIER', pattern, n FROM ({_patterns}) WHERE contains(pattern, 'Modifier')",
+    "notable_tokens": f"SELECT * FROM ({_notable}) WHERE heading IS NOT NULL",
+    "notable_rollup": f"SELECT 'XML escape tokens' AS kind, count(DISTINCT heading) AS categories, count(*) AS types, sum(n)::BIGINT AS instances FROM ({_notable}) WHERE heading IS NOT NULL HAVING count(*) > 0",
+    "multi_script_headings": f"SELECT 'WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS (CYRILLIC, LATIN)' AS heading, token, n FROM ({ORACLE_SQL['mixed_script_words']})",
+    "non_canonical": "SELECT 'e' || chr(769) AS orig, 'é' AS norm, sum(len(text) - len(replace(text, 'é', '')))::BIGINT AS orig_count, 0::BIGINT AS norm_count, 'compose' AS changes, 'NFD' AS orig_form, 'NFC' AS norm_form FROM documents HAVING sum(len(text) - len(replace(text, 'é', ''))) > 0",
+    "char_examples_top5": "SELECT ch, printf('U+%04X', ord(ch)) AS code_point, sum(n)::BIGINT AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 5) AS ex FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY doc_id) AS r FROM (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ALL)) GROUP BY ch",
+    "document_issues": rf"SELECT doc_id, concat_ws('; ', CASE WHEN len(scripts) > 1 THEN len(scripts) || ' letter scripts: ' || array_to_string(scripts, ', ') END, {_cases}, CASE WHEN {_word_mixed} THEN 'multi-script word' END) AS issues FROM (SELECT doc_id, text, list_filter([CASE WHEN regexp_matches(text, '\p{{Latin}}') THEN 'LATIN' END, CASE WHEN regexp_matches(text, '\p{{Cyrillic}}') THEN 'CYRILLIC' END], lambda s: s IS NOT NULL) AS scripts FROM (SELECT doc_id, {_odd_sql} AS text FROM documents))",
+    "stream_char_counts": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch",
+}

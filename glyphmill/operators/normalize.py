@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
+from glyphmill.operators import lookalike
 
 DEFAULT = frozenset("repair-encoding-errors del-surrogate del-ctrl-char del-tatweel core-compat pres-form hangul repair-combining combining-compose combining-decompose repair-xml repair-url-escapes".split())
 
@@ -207,6 +208,7 @@ STEPS = [
     Step("pashto-char", both(spoken("pas"), has(ARABIC), either(has(M.PASHTO), PRESENTED)), table_step(M.PASHTO)),
     Step("arabic-char", both(spoken("fas", "pas", other=True), has(ARABIC), either(has(M.ARABIC), PRESENTED)), table_step(M.ARABIC)),
     Step("georgian-char", has(GEORGIAN), georgian),
+    Step("look-alike", lambda c, lang: lookalike.gate(c), lookalike.repaired),
     Step("repair-xml", lambda c, lang: c.contains("&") & c.contains(";"), replaced((r"(?i)(?<=&)(?:amp;)+(?=(?:amp|apos|gt|lt|nbsp|quot|#\d{1,6}|#x[0-9A-F]{1,5});)", ""))),
     Step("repair-url-escapes", lambda c, lang: c.contains("%"), replaced((r"%25([CD][0-9A-F]%)25([89AB][0-9A-F])", "%$1$2"), (r"%25(E[0-9A-F]%)25([89AB][0-9A-F]%)25([89AB][0-9A-F])", "%$1$2$3"))),
     Step("repair-token", both(has(ARABIC), either(has("0123456789-_+*|%"), _digit)), replaced((r"([-_+*|%0-9]+)([\x{600}-\x{6FF}])", "$1 $2"), (r"([\x{600}-\x{6FF}])([-_+*|%0-9]+)", "$1 $2"))),
