@@ -24,14 +24,16 @@ Empty tables: no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import over_batches
+from glyphmill.llm.common import over_batches, small_batches
 
 SIMILARITY, LEAST_WORDS, REPEATS, BITS, BLOCK_WORDS, SEED = 0.8, 5, 48, 4, 2_000_000, 17
 TABLE_BITS = 22
@@ -231,10 +233,24 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
-    """The documents that hold no item, all columns; rows with a null id are kept if they hold none."""
-    from glyphmill.llm.common import stored
+def holder(shared: Broadcast, similarity: float) -> Callable[[Column], Column]:
+    """Whether a text holds an item of a broadcast block; the index is made once a task."""
 
-    key = columns.get("id_col", "doc_id")
-    bad = stored(matches(docs, items, **columns).select("doc_id").distinct(), "leaks")
-    return docs.join(bad.select(F.col("doc_id").alias("leaky_id")), F.col(key).cast("long").eqNullSafe(F.col("leaky_id")), "left_anti")
+    @F.pandas_udf("boolean")
+    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(shared.value, similarity)
+        for texts in parts:
+            yield pd.Series([bool(index.find(t)) for t in texts], dtype=bool)
+
+    return holds
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs whose own text holds no item, all columns, by one filter a block of items: nothing is joined or
+    shuffled, and ids, null or repeated, play no part."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    for block in blocks(items, item_col, item_text_col, block_words):
+        holds = holder(spark.sparkContext.broadcast(block), similarity)
+        docs = docs.where(~holds(F.col(text_col).cast("string")))
+    return docs

@@ -21,8 +21,8 @@ components(docs) returns one row per document row: doc_id, n_shingles, component
 Only a bucket whose members are alike but unlinked makes step 5 long; nothing is capped.
 
 Cases. Null or word-less text: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept true. Repeated
-rows: one row out for each, equal values. Rows that share a doc_id are one vertex. Empty table: no rows. Other columns
-are not read.
+rows: one row out for each, equal values. Rows with words that share a doc_id are one vertex, whatever their sets. Empty
+table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -232,6 +232,13 @@ def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, width:
     return over_batches(dealt, work, "u long, v long")
 
 
+def shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) that make one vertex of the rows of a doc_id whose sets differ; mostly none."""
+    known = rows.where("cls is not null and doc_id is not null").select("doc_id", "cls", "n")
+    several = known.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x < y").select("doc_id")
+    return known.join(several, "doc_id", "left_semi").join(classes.select("cls", "n", "rep"), ["cls", "n"]).where("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of docs: documents whose sets of width-word shingles have at least
     percent/100 of their union in common are linked."""
@@ -258,11 +265,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x, y = (few.select("key", F.col("cls").alias(c), F.col("component").alias(f"in_{c}")) for c in "xy")
     rest = x.join(y, "key").where("x < y and in_x <> in_y").select(*ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti")
     more = confirmed(stored(rest, "rest"), signs, docs, width, percent)
+    more = more.unionByName(shared_ids(rows, classes))
     more = stored(more.unionByName(block_links(left.where(F.col("many") > SMALL).select("key", "cls", "component"), classes, docs, width, percent)), "links")
     if not more.isEmpty():
         found = stored(connected(links.unionByName(more)), "found")
     final = classes.select("cls", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "cls").join(final, ["cls", "n"], "left")
-    # a vertex of several rows with different sets takes the least component of them
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

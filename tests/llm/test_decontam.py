@@ -79,7 +79,9 @@ def test_blocks_cases_and_clean(spark):
     assert one == sorted(map(str, decontam.matches(df, it, block_words=100).collect())) and one
     bad = {r.doc_id for r in decontam.matches(df, it).collect()}
     assert {None, 902, 903} <= bad and not {900, 901} & bad
-    left = decontam.clean(df, it)
-    assert left.columns == df.columns
-    assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(d for d, _ in docs if d is not None and d not in bad)
+    for size in (2_000_000, 100):
+        left = decontam.clean(df, it, block_words=size)
+        assert left.columns == df.columns
+        assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(d for d, _ in docs if d is not None and d not in bad)
+        assert [r.text for r in left.where("doc_id is null").collect()] == ["clean text"]  # judged by row, not by the null id
     assert decontam.matches(df.limit(0), it).count() == 0 and decontam.matches(df, it.limit(0)).count() == 0

@@ -79,3 +79,9 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
             new[at] = f"e{r.randint(0, 3)}"
         rows.append((k, " ".join(new)))
     check(spark, rows)
+
+
+def test_rows_that_share_an_id_are_one_vertex(spark):
+    rows = [(5, "a b c d e"), (5, "v w x y z"), (2, "V W X Y Z"), (9, "a b c d e"), (7, "p q r"), (7, None), (3, "p q s")]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3, 2, False), (2, 3, 2, True), (9, 3, 2, False), (7, 1, 7, True), (7, 0, 7, True), (3, 1, 3, True)}
