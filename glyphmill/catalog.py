@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
-from glyphmill.operators import analyze, normalize, report
+from glyphmill.operators import analyze, normalize, report, scripts
 from glyphmill.plans import analysis
 from glyphmill.streaming import stream
 
@@ -175,6 +175,8 @@ QUERIES |= {
     "non_canonical": _text(lambda d: report.non_canonical(_decomposed(d)).withColumn("changes", F.array_join("changes", "+"))),
     "char_examples_top5": _text(lambda d: report.char_examples(d).select("ch", "code_point", "n", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",").alias("ex"))),
     "document_issues": _text(lambda d: report.issues(_odd(d))),
+    "script_counts": _text(lambda d: scripts.script_counts(_odd(d))),
+    "block_table": _text(lambda d: scripts.block_table(d).withColumn("ex", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",")).drop("name")),
     "analysis_json": _text(analysis.as_json),
     "stream_char_counts": stream_char_counts,
 }
@@ -193,6 +195,12 @@ ORACLE_SQL |= {
     "word_examples_top5": f"SELECT token, doc_id, rank FROM (SELECT token, doc_id, row_number() OVER (PARTITION BY token ORDER BY doc_id)::INT AS rank FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_words})) AS token FROM documents)) WHERE rank <= 5",
     "char_conflict": "SELECT 'kaf' AS key, CASE WHEN doc_id % 2 = 0 THEN 'ك' ELSE 'ک' END AS ch, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL",
 }
+_block = r"""CASE WHEN ch IN (' ', chr(160)) THEN 'SPACE' WHEN ord(ch) < 32 OR ord(ch) = 127 THEN 'C0_CONTROL' WHEN ord(ch) BETWEEN 128 AND 159 THEN 'C1_CONTROL' WHEN regexp_matches(ch, '^[0-9]$') THEN 'ASCII_DIGIT'
+    WHEN ch IN ('$', '¢', '£', '¤', '¥') THEN 'CURRENCY_SYMBOLS' WHEN ord(ch) < 128 THEN CASE WHEN regexp_matches(ch, '^[A-Za-z]$') THEN 'BASIC_LATIN' ELSE 'ASCII_PUNCTUATION' END
+    WHEN ord(ch) = 173 THEN 'ZERO_WIDTH' WHEN ch = 'µ' THEN 'LETTERLIKE_SYMBOLS' WHEN ord(ch) < 256 THEN CASE WHEN regexp_matches(ch, '^\pL$') THEN 'LATIN_EXTENDED_LETTER' ELSE 'GENERAL_PUNCTUATION' END
+    WHEN ord(ch) < 384 THEN 'LATIN_EXTENDED_A' WHEN ord(ch) BETWEEN 1024 AND 1279 THEN 'CYRILLIC' WHEN ord(ch) BETWEEN 1536 AND 1791 THEN 'ARABIC' WHEN ord(ch) BETWEEN 8208 AND 8231 THEN 'GENERAL_PUNCTUATION'
+    WHEN ord(ch) BETWEEN 57344 AND 63743 THEN 'PRIVATE_USE_AREA' WHEN ord(ch) = 65533 THEN 'REPLACEMENT' END"""
+_script = "CASE WHEN block IN ('BASIC_LATIN', 'LATIN_EXTENDED_LETTER', 'LATIN_EXTENDED_A') THEN 'LATIN' ELSE block END"
 _odd_sql = "text || list_extract([" + ", ".join(map(_q, ODD)) + f"], (doc_id % {len(ODD)} + 1)::INT)"
 _shape = "replace(token, 'ـ', chr(147))"
 for _p, _to in ((r"&(?:[aA][mM][pP];)*(?:#[xX][0-9A-Fa-f]{1,6}|#\d{1,7}|[A-Za-z]{1,6});", "'&' || chr(146) || ';'"), (r"(?:%(?:25)*[0-9A-Fa-f]{2}){2,}", "'%' || chr(146)")):
@@ -221,3 +229,7 @@ ORACLE_SQL |= {
     "document_issues": rf"SELECT doc_id, concat_ws('; ', CASE WHEN len(scripts) > 1 THEN len(scripts) || ' letter scripts: ' || array_to_string(scripts, ', ') END, {_cases}, CASE WHEN {_word_mixed} THEN 'multi-script word' END) AS issues FROM (SELECT doc_id, text, list_filter([CASE WHEN regexp_matches(text, '\p{{Latin}}') THEN 'LATIN' END, CASE WHEN regexp_matches(text, '\p{{Cyrillic}}') THEN 'CYRILLIC' END], lambda s: s IS NOT NULL) AS scripts FROM (SELECT doc_id, {_odd_sql} AS text FROM documents))",
     "stream_char_counts": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch",
 }
+ORACLE_SQL |= {
+    "block_table": f"SELECT {_block} AS block, * FROM ({ORACLE_SQL['char_examples_top5']})",
+    "script_counts": rf"SELECT kind, script, n, CASE WHEN len(chars) <= CASE kind WHEN 'letter' THEN CASE WHEN r = 1 THEN 0 ELSE 500 END WHEN 'number' THEN CASE WHEN r = 1 THEN 80 ELSE 500 END ELSE 80 END THEN chars END AS ex FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, ord(chars)) AS r FROM (SELECT kind, script, sum(n)::BIGINT AS n, string_agg(ch, '' ORDER BY ord(ch)) AS chars FROM (SELECT ch, n, CASE WHEN regexp_matches(ch, '^\pL$') THEN 'letter' WHEN regexp_matches(ch, '^\pN$') THEN 'number' ELSE 'other' END AS kind, {_script} AS script FROM (SELECT ch, n, {_block} AS block FROM (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split({_odd_sql}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch))) GROUP BY ALL))",
+}

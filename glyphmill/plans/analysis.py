@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphmill.operators import analyze, report
+from glyphmill.operators import analyze, report, scripts
 
 
 def analysis(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> dict[str, DataFrame]:
     """Section to table; nothing runs until one is read."""
+    by_script = scripts.script_counts(df, text_col)
     return {
         "overview": analyze.overview(df, text_col),
-        "letter-script": analyze.letter_scripts(df, text_col),
+        **{f"{kind}-script": by_script.where(F.col("kind") == kind).drop("kind") for kind in ("letter", "number", "other")},
         "non-canonical": report.non_canonical(df, text_col),
         "char-conflict": analyze.char_conflicts(df, text_col),
         "notable-token": report.notable(df, text_col),
         "pattern": report.pattern_groups(df, text_col),
-        "char": report.char_examples(df, k, id_col, text_col),
+        "block": scripts.block_table(df, k, id_col, text_col),
     }
 
 
@@ -41,7 +42,7 @@ def printed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_c
     """A report to read, with at most max_cases rows a group."""
     lines = []
     for name, t in analysis(df, id_col, text_col).items():
-        group = next((c for c in ("heading", "key", "script") if c in t.columns), None)
+        group = next((c for c in ("heading", "key", "block") if c in t.columns), None)
         count = next((c for c in ("n", "orig_count", "n_lines") if c in t.columns), t.columns[0])
         order = [F.desc(count), *[c for c in t.columns if c not in (count, "ex", "changes")]]
         w = Window.partitionBy(group or F.lit(0)).orderBy(*order)

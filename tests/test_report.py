@@ -52,7 +52,7 @@ def test_issues_are_one_row_a_document(docs):
 
 def test_json_and_report(docs):
     rows = {r.section for r in analysis.as_json(docs).collect() if json.loads(r.json)}
-    assert rows == {"overview", "letter-script", "non-canonical", "notable-token", "pattern", "char"}
+    assert rows == {"overview", "letter-script", "other-script", "non-canonical", "notable-token", "pattern", "block"}
     assert "WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS" in analysis.printed(docs)
 
 
@@ -102,3 +102,17 @@ def test_program(spark, tmp_path, capsys, monkeypatch):
     assert "Tatweel; XML escape token; multi-script word" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         program.names("no-such-step")
+
+
+def test_scripts_and_blocks(spark):
+    from glyphmill.operators import scripts
+
+    df = spark.createDataFrame([(1, "aé b. ა٣5½"), (2, "b́ж中 \u0001़"), (3, None), (4, "")], "doc_id long, text string")
+    got = {(r.kind, r.script): (r.n, r.ex) for r in scripts.script_counts(df).collect()}
+    assert got[("letter", "LATIN")] == (4, None) and got[("letter", "CJK")] == (1, "中") and got[("letter", "GEORGIAN")] == (1, "ა") and got[("letter", "CYRILLIC")] == (1, "ж")
+    assert {s: v for (k, s), v in got.items() if k == "number"} == {"ARABIC_INDIC_DIGIT": (1, "٣"), "ASCII_DIGIT": (1, "5"), "VULGAR_FRACTION": (1, "½")}
+    assert got[("other", "ASCII_PUNCTUATION")] == (1, ".") and got[("other", "DEVANAGARI_MODIFIERS")] == (1, "़") and got[("other", "C0_CONTROL")] == (1, "\u0001")
+    assert got[("other", "COMBINING_DIACRITICAL_MARKS")] == (1, "́") and got[("other", "SPACE")][0] == 3
+    rows = {r.ch: (r.block, r.code_point, r.n, r.ex) for r in scripts.block_table(df).collect()}
+    assert rows["b"] == ("BASIC_LATIN", "U+0062", 2, [1, 2]) and rows["é"][0] == "LATIN_EXTENDED_LETTER" and rows["中"][0] == "CJK_UNIFIED_IDEOGRAPHS"
+    assert scripts.script_counts(df.limit(0)).count() == 0
