@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators import normalize, report
+from glyphmill.operators import changelog, normalize, report
 from glyphmill.plans import analysis
 from glyphmill.sources import text
 
@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
         n.add_argument(flag)
     n.add_argument("--all", action="store_true")
     n.add_argument("--lc", default="")
+    n.add_argument("-v", "--verbose", action="store_true")
     a.add_argument("--json", metavar="OUT")
     a.add_argument("--summary", action="store_true")
     a.add_argument("--max-cases", type=int, default=100)
@@ -49,6 +50,8 @@ def main(argv: list[str] | None = None) -> int:
             steps = normalize.chosen("all" if args.all else "default", add=names(args.add), skip=names(args.skip))
         lang = {"fa": "fas"}.get(args.lc, args.lc)
         text.write_lines(lines.withColumn("text", normalize.normalize(F.col("text"), steps, lang)), args.out)
+        if args.verbose:
+            print(changelog.printed(changelog.change_log(lines, steps, lang)))
         return 0
     lines = text.without_range_lines(lines)
     if args.summary:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
-from glyphmill.operators import analyze, normalize, report, scripts
+from glyphmill.operators import analyze, changelog, normalize, report, scripts
 from glyphmill.plans import analysis
 from glyphmill.streaming import stream
 
@@ -53,6 +53,8 @@ SAMPLES = [
     ("look-alike", " Austіn жəне CTVтелеарнасына XІ", " Austin және CTV телеарнасына XI"),
     ("repair-encoding-errors", " Ã©tÃ© â\u0082¬ \u0092", " été € ’"),
 ]
+#: Something for every step to change.
+LOG_SAMPLE = " " + " ".join([*(s for _, s, _ in SAMPLES), *("".join(sorted(t())[:3]) for _, t, _ in LOOKUPS), "\ufdf2 \ufe8f \u33a2 \ufe50 \ufe10 \u0958 \u064a \u06cc \u0643 \u06a9 \u1112\u1161\u11ab e\u0301"])
 
 
 def _q(s: str) -> str:
@@ -91,13 +93,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.letter_scripts(_docs(spark, sf_dir).select(normalize.normalize(F.col("text")).alias("text")))
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that each step alone changes, in one pass."""
-    sample = "".join(k for _, t, _ in LOOKUPS[:11] for k in sorted(t())[:2])
-    df = _with(_docs(spark, sf_dir), sample)
-    names = [n for n, _, _ in LOOKUPS[:11]]
-    one = df.agg(*[analyze.changed(F.col("text"), normalize.normalize(F.col("text"), frozenset({n}))).alias(n) for n in names])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.col(f"`{n}`").alias("n_changed")) for n in names])).alias("x")).select("x.*")
+def _change_log(lang: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The change log of all steps over the lines of documents, the sample of every step on the last line of every second."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return changelog.change_log(analyze.lines(_with(_docs(spark, sf_dir), LOG_SAMPLE)), normalize.chosen("all"), lang, "line")
+
+    return query
 
 
 def _text(f: Callable[[DataFrame], DataFrame], name: str = "documents", col: str = "text") -> Callable[[SparkSession, str], DataFrame]:
@@ -156,7 +158,9 @@ for _key, _steps, _lang in (("norm_default", normalize.DEFAULT, ""), ("norm_all"
 
 QUERIES |= {
     "letters_after_default": flagship,
-    "change_log_by_step": change_log,
+    "change_log_by_step": _change_log(""),
+    "change_log_by_step_fas": _change_log("fas"),
+    "change_log_by_step_pas": _change_log("pas"),
     "overview": _text(analyze.overview),
     "char_count": _text(analyze.char_counts),
     "char_count_by_lang": _text(lambda d: analyze.char_counts(d, by=["lang"])),

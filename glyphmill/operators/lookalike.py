@@ -108,31 +108,53 @@ def split_points() -> str:
     return "|".join(f"[{a}][{a}./_-]+[{a}](?={'|'.join(f'[{b}]{{2}}[^ ]' for k, b in SCRIPTS.items() if b != a)})" for a in SCRIPTS.values())
 
 
-def repaired(c: Column, rows: Iterable[str] | None = None) -> Column:
-    """The text with mixed words repaired; rows of look-alikes may be given."""
-    table = pairs(ROWS.strip().split("\n") if rows is None else rows)
+def mapped(x: Column, table: dict, *keys: tuple[str, str]) -> Column:
+    t = {k: v for key in keys for k, v in table[key].items()}
+    return F.translate(x, "".join(t), "".join(t.values()))
 
-    def mapped(x: Column, *keys: tuple[str, str]) -> Column:
-        t = {k: v for key in keys for k, v in table[key].items()}
-        return F.translate(x, "".join(t), "".join(t.values()))
 
-    def count(x: Column, inside: str) -> Column:
+def target_of(x: Column, table: dict) -> Column:
+    """The script that a mixed word is mapped to; null for none."""
+
+    def count(inside: str) -> Column:
         return F.length(F.regexp_replace(x, F.lit(f"[^{inside}]"), F.lit("")))
 
+    latin, cyrillic = count(SCRIPTS["Latin"]), count(SCRIPTS["Cyrillic"])
+    to_latin, to_cyrillic = count("".join(table["Cyrillic", "Latin"])), count("".join(table["Latin", "Cyrillic"]))
+    as_latin, as_cyrillic = mapped(x, table, ("Cyrillic", "Latin")), mapped(x, table, ("Latin", "Cyrillic"))
+    return (
+        F.when((to_latin == cyrillic) & (to_cyrillic < latin), "Latin")
+        .when((to_cyrillic == latin) & (to_latin < cyrillic), "Cyrillic")
+        .when((cyrillic == 1) & (to_latin == 1) & (latin >= 3), "Latin")
+        .when((latin == 1) & (to_cyrillic == 1) & (cyrillic >= 3), "Cyrillic")
+        .when(as_cyrillic.isin(CYRILLIC_WORDS), "Cyrillic")
+        .when(as_latin.isin(LATIN_WORDS) | as_latin.rlike(ROMAN), "Latin")
+    )
+
+
+def split(x: Column) -> Column:
+    return F.regexp_replace(x, F.lit(split_points()), F.lit("$0 "))
+
+
+def _table(rows: Iterable[str] | None) -> dict:
+    return pairs(ROWS.strip().split("\n") if rows is None else rows)
+
+
+def repaired(c: Column, rows: Iterable[str] | None = None) -> Column:
+    """The text with mixed words repaired; rows of look-alikes may be given."""
+    table = _table(rows)
+
     def word(x: Column) -> Column:
-        latin, cyrillic = count(x, SCRIPTS["Latin"]), count(x, SCRIPTS["Cyrillic"])
-        to_latin, to_cyrillic = count(x, "".join(table["Cyrillic", "Latin"])), count(x, "".join(table["Latin", "Cyrillic"]))
-        as_latin, as_cyrillic = mapped(x, ("Cyrillic", "Latin")), mapped(x, ("Latin", "Cyrillic"))
-        target = (
-            F.when((to_latin == cyrillic) & (to_cyrillic < latin), "Latin")
-            .when((to_cyrillic == latin) & (to_latin < cyrillic), "Cyrillic")
-            .when((cyrillic == 1) & (to_latin == 1) & (latin >= 3), "Latin")
-            .when((latin == 1) & (to_cyrillic == 1) & (cyrillic >= 3), "Cyrillic")
-            .when(as_cyrillic.isin(CYRILLIC_WORDS), "Cyrillic")
-            .when(as_latin.isin(LATIN_WORDS) | as_latin.rlike(ROMAN), "Latin")
-        )
-        whole = {s: mapped(x, *((a, s) for a in SCRIPTS if a != s)) for s in ("Latin", "Cyrillic")}
-        return F.when(target == "Latin", whole["Latin"]).when(target == "Cyrillic", whole["Cyrillic"]).otherwise(F.regexp_replace(x, F.lit(split_points()), F.lit("$0 ")))
+        target = target_of(x, table)
+        whole = {s: mapped(x, table, *((a, s) for a in SCRIPTS if a != s)) for s in ("Latin", "Cyrillic")}
+        return F.when(target == "Latin", whole["Latin"]).when(target == "Cyrillic", whole["Cyrillic"]).otherwise(split(x))
 
     parts = F.regexp_extract_all(c, F.lit(r"\s+|\S+"), F.lit(0))
     return F.array_join(F.transform(parts, lambda x: F.when(gate(x), word(x)).otherwise(x)), "")
+
+
+def outcomes(c: Column, rows: Iterable[str] | None = None) -> Column:
+    """What becomes of each mixed word: to-Latin, to-Cyrillic, split or unchanged. No rule leads to Greek."""
+    table = _table(rows)
+    words = F.filter(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), gate)
+    return F.transform(words, lambda x: F.coalesce(F.concat(F.lit("to-"), target_of(x, table)), F.when(split(x) != x, "split").otherwise("unchanged")))
