@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators import changelog, normalize, report
+from glyphmill.operators import changelog, normalize, summary
 from glyphmill.plans import analysis
 from glyphmill.sources import text
 
@@ -55,8 +55,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     lines = text.without_range_lines(lines)
     if args.summary:
-        kinds = report.issues(lines).select("doc_id", F.explode(F.split("issues", "; ")).alias("issue")).where("issue <> ''")
-        for r in kinds.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("issue")), "; ").alias("issues")).orderBy("doc_id").toLocalIterator():
+        found = summary.by_document(lines).where("issues <> ''")
+        for r in found.select("doc_id", F.array_join(F.array_sort(F.split("issues", "; ")), "; ").alias("issues")).orderBy("doc_id").toLocalIterator():
             print(f"{r.doc_id}: {r.issues}")
     elif args.json:
         text.write_json(analysis.as_json(lines, "line_no"), args.json)

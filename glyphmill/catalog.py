@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
-from glyphmill.operators import analyze, changelog, normalize, report, scripts
+from glyphmill.operators import analyze, changelog, normalize, report, scripts, summary
 from glyphmill.plans import analysis
 from glyphmill.streaming import stream
 
@@ -178,7 +178,7 @@ QUERIES |= {
     "multi_script_headings": _text(lambda d: report.mixed(_cyrillic(d))),
     "non_canonical": _text(lambda d: report.non_canonical(_decomposed(d)).withColumn("changes", F.array_join("changes", "+"))),
     "char_examples_top5": _text(lambda d: report.char_examples(d).select("ch", "code_point", "n", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",").alias("ex"))),
-    "document_issues": _text(lambda d: report.issues(_odd(d))),
+    "document_issues": _text(lambda d: summary.issues(_odd(d))),
     "script_counts": _text(lambda d: scripts.script_counts(_odd(d))),
     "block_table": _text(lambda d: scripts.block_table(d).withColumn("ex", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",")).drop("name")),
     "analysis_json": _text(analysis.as_json),

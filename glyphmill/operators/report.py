@@ -26,6 +26,18 @@ XML_GROUPS = [
     ("XML ESCAPE TOKENS (HEX)", r"(?i)^&#x[0-9a-f]{1,6};$"),
     ("XML ESCAPE TOKENS (NESTED)", r"(?i)^&(?:amp;)+(?:#x[0-9a-f]{1,6}|#\d{1,7}|[a-z]{1,6});$"),
 ]
+#: What a text is flagged for, in the order of the line of issues.
+FLAGS = [
+    (r"[\x{0}-\x{8}\x{B}-\x{1F}\x{7F}]", "C0_CONTROL"),
+    (r"[\x{80}-\x{9F}]", "C1_CONTROL"),
+    (r"(?i)&(?:amp;)*(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{1,6});", "XML escape token"),
+    (r"\x{FFFD}", "Replacement character"),
+    (ORPHAN, "Orphan modifier"),
+    (r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]", "Variation selector"),
+    (r"[\x{250}-\x{2AF}]", "IPA character"),
+    (r"\p{Co}", "Private use character"),
+    ("ـ", "Tatweel"),
+]
 #: The canonical-form steps, each as its change is called.
 CANON = [("arabic-presentation", "pres-form"), ("ligature", "ligatures"), ("hangul", "hangul"), ("moved-nukta", "repair-combining"), ("compose", "combining-compose"), ("decompose", "combining-decompose")]
 
@@ -137,23 +149,12 @@ def char_examples(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
 
 
 def issues(df: DataFrame, by: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """by, issues: one line of what is odd in each document, in one pass without a shuffle. Nothing odd, or null: empty."""
+    """by, issues: the quick line of each document, of 16 letter scripts and FLAGS alone; summary.issues gives all."""
     c = F.col(text_col)
     scripts = F.filter(F.array(*[F.when(c.rlike(rf"\p{{Is{s}}}"), s.upper()) for s in ("Latin", "Greek", "Cyrillic", "Arabic", "Hebrew", "Devanagari", "Bengali", "Thai", "Hangul", "Han", "Hiragana", "Katakana", "Georgian", "Armenian", "Ethiopic", "Tamil")]), lambda x: x.isNotNull())
-    tests = [
-        (r"[\x{0}-\x{8}\x{B}-\x{1F}\x{7F}]", "C0_CONTROL"),
-        (r"[\x{80}-\x{9F}]", "C1_CONTROL"),
-        (r"(?i)&(?:amp;)*(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{1,6});", "XML escape token"),
-        (r"\x{FFFD}", "Replacement character"),
-        (ORPHAN, "Orphan modifier"),
-        (r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]", "Variation selector"),
-        (r"[\x{250}-\x{2AF}]", "IPA character"),
-        (r"\p{Co}", "Private use character"),
-        ("ـ", "Tatweel"),
-    ]
     several = F.when(F.size(scripts) >= 2, F.concat(F.size(scripts).cast("string"), F.lit(" letter scripts: "), F.array_join(scripts, ", ")))
     conflict = F.when((c.contains("ك") & c.contains("ک")) | (c.contains("ي") & c.contains("ی")), "character set conflict")
     words = F.exists(F.regexp_extract_all(c, F.lit(analyze.WORD), F.lit(0)), lambda w: sum((w.rlike(rf"\p{{Is{s}}}").cast("int") for s in ("Latin", "Greek", "Cyrillic")), F.lit(0)) >= 2)
     # Words are looked at only where the text has letters of two of these scripts.
     multi = F.when(F.when(F.size(scripts) >= 2, words).otherwise(False), "multi-script word")
-    return df.select(by, F.concat_ws("; ", several, conflict, *[F.when(c.rlike(p), name) for p, name in tests], multi).alias("issues"))
+    return df.select(by, F.concat_ws("; ", several, conflict, *[F.when(c.rlike(p), name) for p, name in FLAGS], multi).alias("issues"))
