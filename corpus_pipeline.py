@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm import decontam, langid, minhash, packing, toxicity
 from glyphmill.llm.common import small_batches, stored, table
 
+#: Near copies share 80 % of their five-word shingles; op10 has values of its own.
+SHINGLE_WORDS, LEAST_PERCENT = 5, 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,7 +36,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the least doc_id, one row of it."""
-    found = stored(minhash.components(docs), "groups")
+    found = stored(minhash.components(docs, width=SHINGLE_WORDS, percent=LEAST_PERCENT), "groups")
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     again = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated")
