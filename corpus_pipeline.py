@@ -3,8 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. run() writes each stage's rows as Parquet in the shared folder and reads them for the next.
 
-Cases. Null ids stay until the last stage unless another column rejects them; rows that repeat a doc_id stay until near-dedup,
-which keeps one row of each group of copies. Null or letter-less texts go at language ID.
+Cases. Null or repeated ids reject no row: near-dedup keeps one row of each group of copies, whatever their ids. Null or letter-less texts go at language ID.
 """
 
 from __future__ import annotations
@@ -35,13 +34,19 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the least doc_id, one row of it."""
-    found = stored(minhash.components(docs, width=SHINGLE_WORDS, percent=LEAST_PERCENT), "groups")
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated")
-    once = left.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    several = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near copies stays: that of the least doc_id, null ids last. What is compared is rows, by a key of id
+    and text, so that ids that clash or are null join nothing; rows equal in both are one."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text")))
+    found = stored(minhash.components(keyed, id_col="_key", width=SHINGLE_WORDS, percent=LEAST_PERCENT), "groups")
+    groups = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"))
+    rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n")).join(groups, "_key")
+    rows = stored(rows, "rows")
+    best = rows.groupBy("_group").agg(F.count("*").alias("_m"), F.min(F.struct(F.col("_id").isNull().alias("x"), "_id", "_key")).alias("_b")).where("_m > 1").select("_group", F.col("_b._key").alias("_best"))
+    gone = stored(rows.join(best, "_group").where("_key <> _best").select(F.col("_key").alias("_gone")), "gone")
+    again = stored(rows.where("_n > 1").select(F.col("_key").alias("_again")), "repeated")
+    left = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    once = left.join(again, F.col("_key") == F.col("_again"), "left_anti")
+    several = left.join(again, F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"])
     return once.unionByName(several).select(docs.columns)
 
 

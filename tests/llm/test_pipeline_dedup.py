@@ -22,3 +22,9 @@ def test_near_dedup_takes_five_words_and_80_percent(spark):
         other[k] = "x"
     # three of 100 words differ: 3-word J 89 / 107, 5-word J 81 / 111
     assert len(kept(spark, [(4, " ".join(short)), (5, " ".join(other))])) == 2
+
+
+def test_near_dedup_of_clashing_and_null_ids(spark):
+    """A text goes only with a copy of it: ids that clash take no other text along, and copies under null ids go."""
+    a, b, c, d, e = (words(x, 40) for x in "abcde")
+    assert kept(spark, [(1, a), (2, a + " more"), (2, b), (3, c), (3, d), (3, d), (None, e), (None, e), (None, c), (None, words("f", 40)), (4, "")]) == sorted([(1, a), (2, b), (3, c), (3, d), (None, e), (None, words("f", 40)), (4, "")], key=str)
