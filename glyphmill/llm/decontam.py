@@ -1,7 +1,7 @@
 """Benchmark decontamination (6): CGK random-walk embedding and bit-sampling LSH over item-sized windows, then exact
 edit verification.
 
-matches(docs, items) returns one row per place where a document holds an item: doc_id, item_id, distance, similarity,
+matches(docs, items) returns one row per place, adjacent ones included, where a document holds an item: doc_id, item_id, distance, similarity,
 end_word, item_words. Words are split at ASCII white space and A-Z lower-cased; an item of n words is held where some
 stretch of the document is within d = floor((1 - similarity) * n) word edits (similarity: at least 0.8).
 
@@ -24,6 +24,7 @@ Empty tables: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,15 +78,15 @@ def embedded(x: np.ndarray, starts: np.ndarray, n: int, repeats: int = REPEATS,
     return key
 
 
-def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
-    """Least edits between the item and any part of the stretch, and the (first) end of such a part."""
+def edit_scores(item: np.ndarray, stretch: np.ndarray) -> list[int]:
+    """Least edits between the item and any part of the stretch that ends at each place, from place 0 (an empty part)."""
     n = len(item)
     peq: dict[int, int] = {}
     for k, w in enumerate(item.tolist()):
         peq[w] = peq.get(w, 0) | (1 << k)
     full, top = (1 << n) - 1, 1 << (n - 1)
-    pv, mv, score, best, end = full, 0, n, n, 0
-    for j, w in enumerate(stretch.tolist(), 1):
+    pv, mv, score, scores = full, 0, n, [n]
+    for w in stretch.tolist():
         eq = peq.get(w, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -93,9 +94,26 @@ def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
         score += bool(ph & top) - bool(mh & top)
         ph, mh = (ph << 1) & full, (mh << 1) & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best, end = score, j
-    return best, end
+        scores.append(score)
+    return scores
+
+
+def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
+    """Least edits between the item and any part of the stretch, and the (first) end of such a part."""
+    scores = edit_scores(item, stretch)
+    return min(scores), scores.index(min(scores))
+
+
+def places(item: np.ndarray, stretch: np.ndarray, d: int) -> list[tuple[int, int]]:
+    """(edits, end) of each place of the item within d edits, in order. The best ends are taken first; ends nearer to one taken than
+    the shortest place is long (n - d words) belong to it."""
+    taken: list[int] = []
+    scores = edit_scores(item, stretch)
+    for end in sorted((j for j, x in enumerate(scores) if x <= d), key=lambda j: (scores[j], j)):
+        k = bisect.bisect(taken, end)
+        if all(abs(end - taken[j]) >= len(item) - d for j in (k - 1, k) if 0 <= j < len(taken)):
+            taken.insert(k, end)
+    return [(scores[j], j) for j in taken]
 
 
 class Index:
@@ -189,8 +207,7 @@ class Index:
                         groups.append([s, s])
                 for a0, z0 in groups:
                     begin = max(0, a0 - d)
-                    dist, end = edit_distance(self.items[k], x[begin : z0 + n + d])
-                    if dist <= d:
+                    for dist, end in places(self.items[k], x[begin : z0 + n + d], d):
                         out.append((self.ids[k], dist, begin + end, n))
         return out
 
