@@ -1,7 +1,9 @@
-"""What the operators of this subpackage share: stored tables, Arrow batches, counted broadcasts."""
+"""What the operators of this subpackage share: stored tables and their removal, Arrow batches, counted broadcasts, joins on
+keys of which some hold many rows."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,16 +14,21 @@ from pyspark.sql import functions as F
 
 #: Rows that Spark hands to a Python worker at once; whole texts are long.
 BATCH_ROWS = 1000
+#: Bytes of a batch that Spark hands to a Python worker.
+BATCH_BYTES = 16 << 20
 #: A set of ids is broadcast up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: lookup() broadcasts at most this many rows, and counts keys with more than HOT_ROWS as hot.
+BROADCAST_ROWS, HOT_ROWS = 200_000, 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("glyphmill.shared.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session in one process (tests) gets a
+    temporary folder; a cluster gets an error, as its executors would each write to a disk of their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("glyphmill.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
         spark.conf.set("glyphmill.shared.dir", found)
     return found.rstrip("/")
@@ -39,11 +46,51 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Stored tables of one stretch of work, removed at its end: what is still needed must have been stored outside by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(path := new_path(self.spark, label))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths.clear()
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+    """left.join(right, key), where right (stored) has one row a key and in size the key's rows in left. A small right side is
+    broadcast. Of a larger one only hot keys are, those with more than HOT_ROWS rows or more than a BROADCAST_ROWSth of all;
+    so they are BROADCAST_ROWS at most, and no task gets all rows of a hot key."""
+    found = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("rows")).first()
+    if found.n <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key)
+    hot = right.where(F.col(size) > max(HOT_ROWS, found.rows // BROADCAST_ROWS))
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return cold.unionByName(left.join(F.broadcast(hot), key))
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keeps batches of whole texts small in Python workers; a lower setting of the caller's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps batches of whole texts small in Python workers, by rows and by bytes. Both are settings of the session and stay; lower
+    ones of the caller's are left."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size, "256m")) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def over_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -57,6 +104,20 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if bounded else ids, key, "left_semi")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids, as with_ids."""
+    bounded = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if bounded else ids, key, "left_anti")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(col: Column) -> Column:
     """crc32 of an id written as text; null for null."""
     return F.crc32(col.cast("string").cast("binary"))

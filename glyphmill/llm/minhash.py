@@ -18,7 +18,9 @@ components(docs) returns one row per document row: doc_id, n_shingles, component
    shingles, and each task compares the full sets of two blocks bit-parallel and emits at most one link per member.
    Components again.
 
-Only a bucket whose members are alike but unlinked makes step 5 long; nothing is capped.
+Only a bucket whose members are alike but unlinked makes step 5 long; nothing is capped. Rows of a bucket, or of a vertex of many
+links, are never brought into one task: what is known of a hot key is broadcast to them. All tables on the way are removed
+when the result, three numbers a row, has been stored.
 
 Cases. Null or word-less text: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept true. Repeated
 rows: one row out for each, equal values. Rows with words that share a doc_id are one vertex, whatever their sets. Empty
@@ -35,15 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import over_batches, stored, with_ids
+from glyphmill.llm.common import Scratch, lookup, over_batches, stored, with_ids
 
 BANDS, ROWS, SLACK = 32, 5, 0.25
 HASHES = BANDS * ROWS
 SEED = 20240229
 #: Words held by a worker's memo of hashes; it starts anew when full.
 MEMO = 1_000_000
-#: Buckets beyond SMALL members are compared in blocks of about BLOCK_ITEMS shingles.
-SMALL, BLOCK_ITEMS = 16, 400_000
+#: Buckets beyond SMALL members are compared in blocks of about BLOCK_ITEMS shingles and BLOCK_MEMBERS members; a task holds a bit a
+#: member and shingle of two blocks, 100 MB at most.
+SMALL, BLOCK_ITEMS, BLOCK_MEMBERS = 16, 400_000, 1024
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -130,28 +133,36 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return over_batches(docs, work, "doc_id long, cls long, items array<long>")
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, component) of every vertex of links(u, v), component the least vertex; large-star and small-star in turn."""
-    edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+def connected(links: DataFrame, label: str = "found") -> DataFrame:
+    """(node, component) of every vertex of links(u, v), component the least vertex, stored; large-star and small-star in turn. Each
+    round's edges replace those of the round before."""
+    spark, mark, now = links.sparkSession, None, None
+    held = Scratch(spark)
+    edges = held.stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = stored(small, "edges")
+        with Scratch(spark) as s:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = s.stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "low")
+            large = s.stored(lookup(both, low, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+            low = s.stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+            small = lookup(large, low, "u", "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+            after = Scratch(spark)
+            edges = after.stored(small, "edges")
+        held.__exit__()
+        held = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    found = stored(edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), label)
+    held.__exit__()
+    return found
 
 
-def confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
     """Of candidate pairs of classes (a, b), those whose full sets meet the threshold, as (u, v) of their representatives.
 
-    signs: cls, rep, sig; a class's text is that of the row with doc_id rep and its digest."""
+    signs: cls, rep, sig; a class's text is that of the row with doc_id rep and its digest. The links are stored in keep."""
     least = int((percent / 100 - SLACK) * HASHES)
 
     @F.pandas_udf("int")
@@ -160,25 +171,27 @@ def confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, p
 
         return pd.Series([int((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).sum()) for a, b in zip(x, y)], dtype="int32")
 
-    a, b = (signs.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    near = stored(pairs.join(a, "a").join(b, "b").where(agreement("sig_a", "sig_b") >= least).select("a", "b", "rep_a", "rep_b"), "near")
-    wanted = stored(near.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("rep_a").alias("doc_id")), F.struct(F.col("b").alias("cls"), F.col("rep_b").alias("doc_id")))).alias("x")).select("x.*").distinct(), "wanted")
-    sets = sets_of(with_ids(docs, wanted.select("doc_id").distinct(), "doc_id"), width)
-    sets = stored(sets.join(wanted, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).select("cls", "items"), "sets")
-    a, b = (sets.select(F.col("cls").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-    both = near.join(a, "a").join(b, "b").select("rep_a", "rep_b", F.size("items_a").alias("p"), F.size("items_b").alias("q"), F.size(F.array_intersect("items_a", "items_b")).alias("i"))
-    return both.where(f"100L * i >= {percent}L * (p + q - i)").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
+    with Scratch(docs.sparkSession) as s:
+        a, b = (signs.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+        near = s.stored(pairs.join(a, "a").join(b, "b").where(agreement("sig_a", "sig_b") >= least).select("a", "b", "rep_a", "rep_b"), "near")
+        wanted = s.stored(near.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("rep_a").alias("doc_id")), F.struct(F.col("b").alias("cls"), F.col("rep_b").alias("doc_id")))).alias("x")).select("x.*").distinct(), "wanted")
+        sets = sets_of(with_ids(docs, wanted.select("doc_id").distinct(), "doc_id"), width)
+        sets = s.stored(sets.join(wanted, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).select("cls", "items"), "sets")
+        a, b = (sets.select(F.col("cls").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
+        both = near.join(a, "a").join(b, "b").select("rep_a", "rep_b", F.size("items_a").alias("p"), F.size("items_b").alias("q"), F.size(F.array_intersect("items_a", "items_b")).alias("i"))
+        return keep.stored(both.where(f"100L * i >= {percent}L * (p + q - i)").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")), "links")
 
 
 def joined(cls: list[int], block: list[int], component: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join what is apart within one pair of blocks, by full sets; at most one less than its members."""
     size = np.array([len(s) for s in sets])
-    _, place = np.unique(np.concatenate(sets), return_inverse=True)
-    width = int(place.max()) // 8 + 1
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]  # what one member alone has is in no intersection
+    width = int(shared.max(initial=0)) // 8 + 1
     bits, at = np.zeros((len(sets), width), np.uint8), 0
     for k, n in enumerate(size):
-        row = np.zeros(width * 8, bool)
-        row[place[at : at + n]] = True
+        row, here = np.zeros(width * 8, bool), shared[at : at + n]
+        row[here[here >= 0]] = True
         bits[k], at = np.packbits(row), at + n
     label, side, links = np.array(component), np.array(block), []
     two = side.min() != side.max()  # else all pairs of one block
@@ -196,18 +209,21 @@ def joined(cls: list[int], block: list[int], component: list[int], sets: list[np
     return links
 
 
-def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) of representatives within large buckets; members: key, cls, component."""
+def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (u, v) of representatives within large buckets; members (stored): key, cls, component. None without such buckets."""
+    if members.isEmpty():
+        return None
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "n")
     texts = with_ids(docs, wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
     sets = sets_of(texts, width).join(wanted.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).select("cls", "items")
     sized = members.join(wanted, "cls")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_ITEMS, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    tasks = blocks.agg(F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1))).first()[0] // 4  # about two pairs of blocks each
     dealt = sized.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "component", "rep").join(sets, "cls")
     dealt = dealt.select("key", "x", "y", "mine", "rep", "component", "items")
-    n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, tasks))
     dealt = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -243,33 +259,34 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, component_id, kept per row of docs: documents whose sets of width-word shingles have at least
     percent/100 of their union in common are linked."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(signed(docs, width), "signatures")
-    classes = stored(rows.where("cls is not null and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.max(F.struct("sig")).alias("s")).select("cls", "n", "rep", "s.sig"), "classes")
-    signs = classes.select("cls", "rep", "sig")
-    step = 4 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * step + 1, step)) for k in range(BANDS)])
-    dealt = classes.select("cls", F.explode(keys).alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = stored(dealt.join(shared, "key"), "members")
-    rank = members.groupBy("cls").agg(F.sum("members").alias("rank"))
-    hubs = members.join(rank, "cls").groupBy("key").agg(F.max(F.struct("rank", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = stored(members.join(hubs, "key").where("cls <> hub").select(*ordered("cls", "hub")).distinct(), "pairs")
-    links = stored(confirmed(first, signs, docs, width, percent), "links")
-    found = stored(connected(links), "found")
-    at = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    placed = members.select("key", "cls").join(at, "cls")
-    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x < y").select("key", "many")
-    left = stored(placed.join(apart, "key"), "apart")
-    few = left.where(F.col("many") <= SMALL)
-    x, y = (few.select("key", F.col("cls").alias(c), F.col("component").alias(f"in_{c}")) for c in "xy")
-    rest = x.join(y, "key").where("x < y and in_x <> in_y").select(*ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(stored(rest, "rest"), signs, docs, width, percent)
-    more = more.unionByName(shared_ids(rows, classes))
-    more = stored(more.unionByName(block_links(left.where(F.col("many") > SMALL).select("key", "cls", "component"), classes, docs, width, percent)), "links")
-    if not more.isEmpty():
-        found = stored(connected(links.unionByName(more)), "found")
-    final = classes.select("cls", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "cls").join(final, ["cls", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with Scratch(docs.sparkSession) as s:
+        rows = s.stored(signed(docs, width), "signatures")
+        classes = s.stored(rows.where("cls is not null and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.max(F.struct("sig")).alias("s")).select("cls", "n", "rep", "s.sig"), "classes")
+        signs = classes.select("cls", "rep", "sig")
+        step = 4 * ROWS
+        keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * step + 1, step)) for k in range(BANDS)])
+        dealt = classes.select("cls", F.explode(keys).alias("key"))
+        shared = s.stored(dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+        members = s.stored(lookup(dealt, shared, "key", "members"), "members")
+        rank = members.groupBy("cls").agg(F.sum("members").alias("rank"))
+        hubs = s.stored(members.join(rank, "cls").groupBy("key").agg(F.max(F.struct("rank", "cls")).alias("hub"), F.count("*").alias("many")).select("key", F.col("hub.cls").alias("hub"), "many"), "hubs")
+        first = s.stored(lookup(members, hubs, "key", "many").where("cls <> hub").select(*ordered("cls", "hub")).distinct(), "pairs")
+        links = confirmed(first, signs, docs, width, percent, s)
+        found = connected(links)
+        at = classes.select("cls", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
+        placed = s.stored(members.select("key", "cls").join(at, "cls"), "placed")
+        apart = s.stored(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x < y").select("key", "many"), "apart")
+        left = s.stored(lookup(placed, apart, "key", "many"), "apart")
+        few = left.where(F.col("many") <= SMALL)
+        x, y = (few.select("key", F.col("cls").alias(c), F.col("component").alias(f"in_{c}")) for c in "xy")
+        rest = x.join(y, "key").where("x < y and in_x <> in_y").select(*ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti")
+        more = confirmed(s.stored(rest, "rest"), signs, docs, width, percent, s).unionByName(shared_ids(rows, classes))
+        large = block_links(s.stored(left.where(F.col("many") > SMALL).select("key", "cls", "component"), "large"), classes, docs, width, percent)
+        more = s.stored(more if large is None else more.unionByName(large), "links")
+        if not more.isEmpty():
+            found = connected(links.unionByName(more))
+        final = classes.select("cls", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("cls", "n", F.coalesce("component", "rep").alias("component"))
+        out = rows.select("doc_id", "n", "cls").join(final, ["cls", "n"], "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        return stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
