@@ -1,36 +1,40 @@
-"""LM scoring (2): stupid-backoff scores from n-gram count tables partitioned by hash.
+"""LM scoring (2): stupid-backoff scores from n-gram count tables partitioned by hash, by joins and sums.
 
-score(docs) counts the n-grams (n up to order) of all documents and scores every document by them, relationally:
+score(docs) counts the n-grams (n up to order) of all documents and scores every document by them:
 
-1. Documents are dealt to blocks of about BLOCK_CHARS characters by a hash of their whole row.
-2. Each block explodes its documents into n-grams (64-bit hashes that include n) and pre-aggregates them; the sorted hashes and
-   counts go to partitions by the hash's upper bits.
-3. Each hash partition joins the blocks' entries with their sums: the count table. It answers each block with the totals of
-   its entries in the order of their hashes, so that neither hashes nor documents travel back.
-4. Each block joins the totals to its documents' n-grams and sums per document: log S(w | context), where S is
-   count(context w) / count(context) if that n-gram was seen MIN_COUNT times, else BACKOFF times S of the shorter context, down
-   to count(w) / words of the corpus.
+1. Each row's words become 64-bit hashes, stored once; a row's key is a hash of id and text, so that equal rows share it.
+2. Count tables: words are exploded to n-grams (hash, hashes of its first and its last n - 1 words, times), grouped by hash and
+   summed. An n-gram counts as seen from MIN_COUNT occurrences on; single words always are.
+3. Joined to the counts of its context, a seen n-gram gets its score log S = log count(context w) - log count(context), a word
+   log count(w) - log words; joined to the score of its last n - 1 words, what it adds to the score that backing off to
+   these would give (an n-gram that is seen has seen parts).
+4. Documents are exploded to n-grams again, joined to that table by hash and summed per document. What is added is summed
+   over all seen n-grams; a step of backing off costs log BACKOFF. So no place of a text travels, and nothing that is unseen.
 
-Blocks and hash partitions grow in number with the corpus, not in size. Counts cover all documents; order 2 is
-the default (order 3 doubles what is shuffled).
+Steps 2 and 4 take the space of hashes in PASSES parts (by their lowest bits; a power of two) one after the other, so that the scratch space is a part of what all
+exploded n-grams need; shuffle files of a part go when the next one begins. Counts are 64 bits and cover all documents.
 
 Cases. Null or word-less text: n_words 0, log_score 0, mean null. Null ids and repeated rows: a row each; repeats count as
-often as they occur. Empty table: no rows. Other columns are not read.
+often as they occur. Empty table: no rows. Very long texts: exploded in one task, a row an n-gram. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import small_batches
+from glyphmill.llm.common import Scratch, over_batches, stored
 
-ORDER, MIN_COUNT, BACKOFF, BLOCK_CHARS, MEMO = 2, 2, 0.4, 24_000_000, 1_000_000
+ORDER, MIN_COUNT, BACKOFF, PASSES = 3, 2, 0.4, 4
+#: Words held by a worker's memo, and n-grams that it sums or hands on at once.
+MEMO, CHUNK = 200_000, 1_000_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -42,72 +46,147 @@ class Hashes(dict):
         return got
 
 
-def grams(text: str | None, memo: Hashes, order: int) -> list[np.ndarray]:
-    """For n = 1 ... order the hashes of a text's n-grams; words lie between ASCII white space, A-Z lower-cased."""
+def words_of(text: str | None, memo: Hashes) -> np.ndarray:
+    """Hashes of a text's words, which lie between ASCII white space; A-Z lower-cased."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
+def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 1 ... order the hashes of the n-grams of words, by their first word's place."""
     out, now = [], np.zeros(len(h), np.uint64)
     for n in range(1, order + 1):
-        if len(h) < n:
-            out.append(np.empty(0, np.uint64))
-            continue
-        now = (now[: len(h) - n + 1] * M2 + h[n - 1 :] + np.uint64(n)) * M1
+        now = (now[: max(0, len(h) - n + 1)] * M2 + h[n - 1 :] + np.uint64(n)) * M1
         now = now ^ (now >> np.uint64(32))
         out.append(now)
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, log_score (sum of natural logs), mean_log_score per row of docs."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.size(F.expr(r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')")).cast("long")).alias("words")).first()
-    blocks, total = max(1, math.ceil((found.chars or 0) / block_chars)), max(1, found.words or 0)
-    parts = 1 << max(0, math.ceil(math.log2(blocks)))
-    shift = 64 - int(math.log2(parts))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    def own(pdf: pd.DataFrame, keep: bool):
-        """The block's sorted distinct hashes, counts, and (if kept) each document's hashes."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """key, words of docs(key, text); rows without words have no row."""
+    schema = pa.schema([("key", pa.int64()), ("words", pa.list_(pa.int64()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Hashes()
-        each = [grams(t, memo, order) for t in pdf["text"]]
-        flat = [g for gs in each for g in gs if len(g)]
-        h, n = np.unique(np.concatenate(flat), return_counts=True) if flat else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        return h, n, each if keep else None
-
-    def explode(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, n, _ = own(pdf, False)
-        place = (h >> np.uint64(shift)).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
-        at = np.searchsorted(place, np.arange(parts + 1))
-        return pd.DataFrame([(int(pdf["block"].iloc[0]), p, h[a:z].astype("<u8").tobytes(), n[a:z].astype("<u4").tobytes()) for p, (a, z) in enumerate(zip(at, at[1:])) if z > a], columns=["block", "part", "hashes", "counts"])
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        hs = [np.frombuffer(x, "<u8") for x in pdf["hashes"]]
-        every, place = np.unique(np.concatenate(hs), return_inverse=True)
-        sums = np.bincount(place, np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]), minlength=len(every)).astype("<u8")[place]
-        ends = np.cumsum([0, *map(len, hs)])
-        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "totals": [np.minimum(sums[a:z], 0xFFFFFFFF).astype("<u4").tobytes() for a, z in zip(ends, ends[1:])]})
-
-    def join(docs_: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        h, _, each = own(docs_, True)
-        totals = np.frombuffer(b"".join(answers.sort_values("part")["totals"]), "<u4").astype(float)
-        out = []
-        for gs in each:
-            c = [totals[np.searchsorted(h, g)] for g in gs]
-            if not len(c[0]):
-                out.append((0, 0.0))
-                continue
-            s = np.log(c[0] / total)  # of each word alone
-            for n in range(1, order):
-                if len(c[n]):
-                    seen = c[n] >= min_count
-                    longer = np.log(c[n]) - np.log(c[n - 1][: len(c[n])])
-                    s[n:] = np.where(seen, longer, math.log(backoff) + s[n:])
-            out.append((len(s), float(s.sum())))
-        return pd.DataFrame({"doc_id": docs_["doc_id"].astype("Int64"), "n_words": [n for n, _ in out], "log_score": [s for _, s in out]})
-
-    entries = dealt.groupBy("block").applyInPandas(explode, "block int, part int, hashes binary, counts binary")
-    answers = entries.groupBy("part").applyInPandas(add_up, "block int, part int, totals binary")
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join, "doc_id long, n_words long, log_score double")
+        for b in batches:
+            found = [(k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w := words_of(t, memo))]
+            if found:
+                offsets = pa.array(np.cumsum([0, *(len(w) for _, w in found)]), pa.int32())
+                words = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([w for _, w in found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), words], schema=schema)
+
+    return over_batches(docs, work, "key long, words array<long>")
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    for b in batches:
+        ends = b.column(1).offsets.to_numpy()
+        flat = b.column(1).values.to_numpy().view(np.uint64)
+        for key, a, z in zip(b.column(0).to_pylist(), ends, ends[1:]):
+            yield key, flat[a:z]
+
+
+def exploded(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
+    """gram, head, tail, n of the n-grams whose hashes lie in a part of all: hashes of the first and last n - 1 words (null for a
+    word), and how often; summed over what a task has at hand."""
+    names = ("gram", "head", "tail", "n")
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        size = 0
+
+        def summed() -> pa.RecordBatch:
+            g, head, tail, one = (np.concatenate(x) for x in held)
+            g, first, n = np.unique(g, return_index=True, return_counts=True)
+            word = one[first]
+            cols = [pa.array(g.view(np.int64)), pa.array(head[first].view(np.int64), mask=word), pa.array(tail[first].view(np.int64), mask=word), pa.array(n)]
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+        for _, h in each(batches):
+            found = grams(h, order)
+            for n, g in enumerate(found):
+                mine = np.flatnonzero(g & np.uint64(parts - 1) == part)
+                if len(mine):
+                    parent = found[n - 1] if n else g
+                    for x, y in zip(held, (g[mine], parent[mine], parent[mine + 1 if n else mine], np.full(len(mine), n == 0))):
+                        x.append(y)
+                    size += len(mine)
+            if size >= CHUNK:
+                yield summed()
+                held, size = [[], [], [], []], 0
+        if size:
+            yield summed()
+
+    return words.mapInArrow(work, ", ".join(f"{c} long" for c in names))
+
+
+def by_row(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
+    """key, gram, n of the n-grams of each row whose hashes lie in a part of all."""
+    schema = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("n", pa.int32())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flat() -> pa.RecordBatch:
+            keys = np.repeat([k for k, _, _ in held], [len(g) for _, g, _ in held])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([g for _, g, _ in held]).view(np.int64)), pa.array(np.concatenate([n for _, _, n in held]).astype(np.int32))], schema=schema)
+
+        for key, h in each(batches):
+            g = np.concatenate(grams(h, order))
+            g, n = np.unique(g[g & np.uint64(parts - 1) == part], return_counts=True)
+            if len(g):
+                held.append((key, g, n))
+                size += len(g)
+            if size >= CHUNK // 4:
+                yield flat()
+                held, size = [], 0
+        if size:
+            yield flat()
+
+    return words.mapInArrow(work, "key long, gram long, n int")
+
+
+def freed(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def table(words: DataFrame, order: int, min_count: int, backoff: float, passes: int, s: Scratch) -> DataFrame:
+    """gram, adds, word of every n-gram that is seen: what it adds to a text's score, and whether it is a single word."""
+    seen = None
+    with Scratch(words.sparkSession) as t:
+        for part in range(passes):
+            counts = exploded(words, order, part, passes).groupBy("gram").agg(F.sum("n").alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+            counts = t.stored(counts.where(F.col("head").isNull() | (F.col("n") >= min_count)), "counts")
+            seen = counts if seen is None else seen.unionByName(counts)
+            freed(words)
+        total = seen.where("head is null").agg(F.sum("n")).first()[0] or 1
+        of = seen.select(F.col("gram").alias("head"), F.col("n").alias("of"))
+        logs = t.stored(seen.join(of, "head", "left").select("gram", "tail", (F.log("n") - F.log(F.coalesce("of", F.lit(total)))).alias("s")), "logs")
+        shorter = logs.select(F.col("gram").alias("tail"), F.col("s").alias("shorter"))
+        adds = F.when(F.col("tail").isNull(), F.col("s")).otherwise(F.col("s") - F.col("shorter") - math.log(backoff))
+        return s.stored(logs.join(shorter, "tail", "left").select("gram", adds.alias("adds"), F.col("tail").isNull().alias("word")), "adds")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, passes: int = PASSES) -> DataFrame:
+    """doc_id, n_words, log_score (sum of natural logs), mean_log_score per row of docs."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    if passes & (passes - 1):
+        raise ValueError("passes must be a power of two")
+    with Scratch(docs.sparkSession) as s:
+        words = s.stored(hashed(rows.select("key", "text")), "words")
+        adds, sums = table(words, order, min_count, backoff, passes, s), None
+        for part in range(passes):
+            found = by_row(words, order, part, passes).join(adds.where(F.col("gram").bitwiseAND(F.lit(passes - 1)) == part), "gram")
+            found = s.stored(found.groupBy("key").agg(F.sum(F.col("n") * F.col("adds")).alias("s"), F.sum(F.when(F.col("word"), F.col("n")).otherwise(0)).alias("words")), "sums")
+            sums = found if sums is None else sums.unionByName(found)
+            freed(words)
+        copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+        per = stored(copies.join(sums.groupBy("key").agg(F.sum("s").alias("s"), F.sum("words").alias("words")), "key").select("key", (F.col("s") / F.col("copies")).alias("s"), (F.col("words") / F.col("copies")).cast("long").alias("n_words")), "scored")
+    n, m = F.col("n_words"), order
+    steps = F.when(n < m, n * (n - 1) / 2).otherwise(n * (m - 1) - m * (m - 1) / 2)  # of backing off, from the longest context each place has
+    out = rows.select("doc_id", "key").join(per, "key", "left").select("doc_id", F.coalesce(n, F.lit(0)).alias("n_words"), F.coalesce(F.col("s") + steps * math.log(backoff), F.lit(0.0)).alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -43,7 +43,7 @@ BANDS, ROWS, SLACK = 32, 5, 0.25
 HASHES = BANDS * ROWS
 SEED = 20240229
 #: Words held by a worker's memo of hashes; it starts anew when full.
-MEMO = 1_000_000
+MEMO = 200_000
 #: Buckets beyond SMALL members are compared in blocks of about BLOCK_ITEMS shingles and BLOCK_MEMBERS members; a task holds a bit a
 #: member and shingle of two blocks, 100 MB at most.
 SMALL, BLOCK_ITEMS, BLOCK_MEMBERS = 16, 400_000, 1024

@@ -25,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm import tokens
 from glyphmill.llm.common import over_batches
-from glyphmill.llm.tokens import END, Encoder
+from glyphmill.llm.tokens import END
 
 WINDOW = 2048
 #: sequence_id: the partition times this, plus the window's number there.
@@ -130,7 +131,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens, sequence_id, offset."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer, end), TaskContext.get().partitionId()
+        encoder, part = tokens.encoder(tokenizer, end), TaskContext.get().partitionId()
 
         def read() -> Iterator[tuple[int | None, np.ndarray]]:
             for b in batches:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -98,3 +99,9 @@ class Encoder:
             add(got)
         add(self.end)
         return np.frombuffer(b"".join(out), dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str | None = None, end: int | None = END) -> Encoder:
+    """The worker's encoder: vocabularies are read once, not by each task."""
+    return Encoder(path, end)

@@ -36,14 +36,14 @@ def brute(rows, order, least=2, alpha=0.4):
     return sorted(out, key=lambda x: (str(x[0]), x[1]))
 
 
-@pytest.mark.parametrize(("order", "chars"), [(2, 24_000_000), (3, 2000), (1, 3000)])
-def test_scores_equal_a_plain_version(spark, order, chars):
-    df = spark.createDataFrame([(*x, 1, 2) for x in corpus()], "doc_id long, text string, block int, part int")
-    got = sorted(((r.doc_id, r.n_words, r.log_score, r.mean_log_score) for r in lm.score(df, order=order, block_chars=chars).collect()), key=lambda x: (str(x[0]), x[1]))
-    want = brute(corpus(), order)
+@pytest.mark.parametrize(("order", "passes", "least"), [(3, 8, 2), (2, 1, 3), (1, 2, 2), (4, 4, 1)])
+def test_scores_equal_a_plain_version(spark, order, passes, least):
+    df = spark.createDataFrame([(*x, 1, 2) for x in corpus()], "doc_id long, text string, key int, words int")
+    got = sorted(((r.doc_id, r.n_words, r.log_score, r.mean_log_score) for r in lm.score(df, order=order, passes=passes, min_count=least).collect()), key=lambda x: (str(x[0]), x[1]))
+    want = brute(corpus(), order, least)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(g[2] == pytest.approx(w[2], rel=1e-9, abs=1e-9) and (g[3] is None) == (g[1] == 0) for g, w in zip(got, want))
-    assert lm.score(df.limit(0)).count() == 0
+    assert lm.score(df.limit(0), passes=1).count() == 0
 
 
 def test_best_fit_decreasing_equals_a_plain_search():
