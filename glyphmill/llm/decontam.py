@@ -17,14 +17,17 @@ stretch of the document is within d = floor((1 - similarity) * n) word edits (si
 Items are a stated query set: they are taken in blocks of at most BLOCK_WORDS words, each of which scans the corpus once
 and travels to the tasks. Documents are never shuffled. Memory per task is one document's words and one block.
 
-Cases. Null or empty texts hold nothing. Items of fewer than LEAST_WORDS words (five, as for shingles) are skipped, as they
-occur everywhere. Null doc_id: reported with a null doc_id. Repeated rows: a row each. Null item_id: a null item_id.
+Items too short for an edit (fewer than five words at 0.8) have no windows to embed: they are found where their words
+stand, by a table of first words. A worker makes the index of a block once.
+
+Cases. Null or empty texts hold nothing, and items without words are held nowhere. Null doc_id: reported with a null doc_id. Repeated rows: a row each. Null item_id: a null item_id.
 Empty tables: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import over_batches, small_batches
 
-SIMILARITY, LEAST_WORDS, REPEATS, BITS, BLOCK_WORDS, SEED = 0.8, 5, 48, 4, 2_000_000, 17
+SIMILARITY, REPEATS, BITS, BLOCK_WORDS, SEED = 0.8, 48, 4, 2_000_000, 17
 TABLE_BITS = 22
 
 
@@ -124,13 +127,20 @@ class Index:
         self.repeats, self.bits = repeats, bits
         self.items, self.ids, self.edits, self.least = [], [], {}, {}
         by_length: dict[int, list[int]] = {}
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for item_id, text in items:
             w = words_of(text)
-            if len(w) < LEAST_WORDS:
+            if not w:
                 continue
-            by_length.setdefault(len(w), []).append(len(self.items))
+            x = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w]
+            if int((1 - similarity) * len(w) + 1e-9):
+                by_length.setdefault(len(w), []).append(len(self.items))
+            else:
+                self.short.setdefault(x[0], {}).setdefault(tuple(x), []).append(len(self.items))
             self.ids.append(item_id)
-            self.items.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64))
+            self.items.append(np.array(x, np.int64))
+        self.begins = np.zeros(len(self.vocabulary) + 1, bool)  # whether a short item begins with the word
+        self.begins[list(self.short)] = True
         self.pairs: dict[int, list[int]] = {}
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
@@ -156,13 +166,26 @@ class Index:
     def _slot(pairs: np.ndarray) -> np.ndarray:
         return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
+    def _exact(self, x: np.ndarray) -> Iterator[tuple[int | None, int, int, int]]:
+        """The places of short items; of places that overlap the first."""
+        free: dict[int, int] = {}
+        for at in np.flatnonzero(self.begins[x]).tolist():
+            for item, ks in self.short[int(x[at])].items():
+                n = len(item)
+                if tuple(x[at : at + n].tolist()) == item:
+                    for k in ks:
+                        if at >= free.get(k, 0):
+                            free[k] = at + n
+                            yield self.ids[k], 0, at + n, n
+
     def find(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item_id, distance, end word, item words) of each place."""
         words = words_of(text)
-        if len(words) < LEAST_WORDS - 1 or not self.items:
+        if not words or not self.items:
             return []
         get = self.vocabulary.get
         x = np.array([get(w, 0) for w in words], np.int64)
+        out = list(self._exact(x))
         pairs = (x[:-1] << 32) | x[1:]
         where = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
         where = where[self.maybe[self._slot(pairs[where])]]
@@ -171,7 +194,6 @@ class Index:
         for p, pair in zip(where.tolist(), pairs[where].tolist()):
             for n in known(pair, ()):
                 hits.setdefault(n, []).append(p)
-        out = []
         for n, at in hits.items():
             d = self.edits[n]
             least = n - 1 - 2 * d
@@ -226,6 +248,19 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> It
         yield held
 
 
+_index: dict[str, Index] = {}
+
+
+def index_of(shared: Broadcast, similarity: float) -> Index:
+    """The index of a broadcast (name, block): a worker keeps the last one."""
+    name, block = shared.value
+    key = f"{name} {similarity}"
+    if key not in _index:
+        _index.clear()
+        _index[key] = Index(block, similarity)
+    return _index[key]
+
+
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, end_word int, item_words int"
 
 
@@ -236,10 +271,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     out = spark.createDataFrame([], SCHEMA)
     for block in blocks(items, item_col, item_text_col, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, similarity)
+            index = index_of(shared, similarity)
             for b in batches:
                 found = [(doc, i, d, 1 - d / n, e, n) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, d, e, n in index.find(text)]
                 if found:
@@ -255,7 +290,7 @@ def holder(shared: Broadcast, similarity: float) -> Callable[[Column], Column]:
 
     @F.pandas_udf("boolean")
     def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(shared.value, similarity)
+        index = index_of(shared, similarity)
         for texts in parts:
             yield pd.Series([bool(index.find(t)) for t in texts], dtype=bool)
 
@@ -268,6 +303,6 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
     spark = docs.sparkSession
     small_batches(spark)
     for block in blocks(items, item_col, item_text_col, block_words):
-        holds = holder(spark.sparkContext.broadcast(block), similarity)
+        holds = holder(spark.sparkContext.broadcast((uuid.uuid4().hex, block)), similarity)
         docs = docs.where(~holds(F.col(text_col).cast("string")))
     return docs
