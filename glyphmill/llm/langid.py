@@ -4,7 +4,9 @@ A text becomes counts of its letter 1- to 3-grams (other characters act as one b
 weighted by inverse document frequency and normalised. Per language, CENTROIDS spherical k-means centres are fitted on
 at most about PER_LANGUAGE labelled rows, chosen by a hash of the id; vectors, not texts, travel to the driver
 (at most DIMS * 8 bytes a row). A text takes the language of the nearest centroid. It is rejected if it has no letter or if
-it lies farther from every centroid than nearly all training rows: cosine under REJECT times the lowest thousandth.
+it lies farther from every centroid than nearly all training rows: cosine under REJECT times the lowest thousandth of training
+rows with SHORT n-grams or more. A text of fewer n-grams shares less with any centroid; its bound shrinks as the root of
+their number.
 
 Cases. Null text or no letter: `und`, score 0, rejected. Nothing to learn from: `und` for all, rejected. Null doc_id or lang:
 never learned from; held_out false for a null id. Repeated rows: equal values. Ties: the alphabetically first language.
@@ -21,7 +23,7 @@ from pyspark.sql.types import BinaryType
 
 from glyphmill.llm.common import crc_of_id, small_batches
 
-DIMS, CENTROIDS, PER_LANGUAGE, REJECT, GRAMS = 4096, 3, 1200, 0.6, 3
+DIMS, CENTROIDS, PER_LANGUAGE, REJECT, GRAMS, SHORT = 4096, 3, 1200, 0.6, 3, 400
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -90,10 +92,10 @@ class Model:
                 continue
             m = unit(damped(np.array([x for _, x in found])).astype(np.float32) * self.idf)
             cos = m @ self.centroids.T
-            for (k, _), row in zip(found, cos):
+            for (k, x), row in zip(found, cos):
                 j = int(row.argmax())
                 s = float(min(1.0, max(0.0, row[j])))
-                out[k] = (self.languages[j], s, s < self.least)
+                out[k] = (self.languages[j], s, s < self.least * min(1.0, x.sum() / SHORT) ** 0.5)
         return out
 
 
@@ -127,6 +129,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not got:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), 0.0)
     m = np.array([unpacked(x) for _, _, x in got], np.float32)
+    long = m.sum(axis=1) >= SHORT
     idf = np.log((1 + len(m)) / (1 + (m > 0).sum(axis=0))).astype(np.float32) + 1
     m = unit(damped(m) * idf).astype(np.float32)
     names = np.array([l for l, _, _ in got])
@@ -137,7 +140,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         langs += [str(l)] * len(c)
         parts.append(c)
     all_centres = np.concatenate(parts).astype(np.float32)
-    nearest = np.sort((m @ all_centres.T).max(axis=1))
+    nearest = (m @ all_centres.T).max(axis=1)
+    nearest = np.sort(nearest[long] if long.any() else nearest)
     return Model(langs, idf, all_centres, REJECT * float(nearest[len(nearest) // 1000]))
 
 
