@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import new_path, over_batches, stored
-from glyphmill.llm.tokens import END, Encoder
+from glyphmill.llm import tokens
+from glyphmill.llm.tokens import END
 
 WINDOW, BUFFER, PAD = 2048, 4_000_000, 0
 SCHEMA = "file string, row int, width int, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, position_resets array<int>, ids_crc32 long"
@@ -87,7 +88,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     schema = pa.schema(list(zip((x.split()[0] for x in SCHEMA.split(", ")), types)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end)
+        encoder = tokens.encoder(tokenizer, end)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         store, path = fs.FileSystem.from_uri(folder)
         pieces: list[tuple[int | None, int, np.ndarray]] = []
