@@ -124,8 +124,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), 0.0)
     share = F.create_map(*[F.lit(x) for l, n in sorted(sizes.items()) for x in (l, min(1.0, per_language / n))])
     small_batches(docs.sparkSession)
-    chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000).select("i", "l", packed_counts("t").alias("x")).where("x is not null")
-    got = sorted((r.l, r.i, bytes(r.x)) for r in chosen.collect())
+    chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000).select("i", "l", packed_counts("t").alias("x"))
+    # a filter on x in the plan would count each text twice, by a second worker a task
+    got = sorted((r.l, r.i, bytes(r.x)) for r in chosen.collect() if r.x is not None)
     if not got:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), 0.0)
     m = np.array([unpacked(x) for _, _, x in got], np.float32)

@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, lookup, over_batches, stored, with_ids
+from glyphmill.llm.common import BROADCAST_ROWS, Scratch, lookup, over_batches, stored, with_ids
 
 BANDS, ROWS, SLACK = 32, 5, 0.25
 HASHES = BANDS * ROWS
@@ -136,16 +136,22 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 def connected(links: DataFrame, label: str = "found") -> DataFrame:
     """(node, component) of every vertex of links(u, v), component the least vertex, stored; large-star and small-star in turn. Each
     round's edges replace those of the round before."""
-    spark, mark, now = links.sparkSession, None, None
+    spark, mark = links.sparkSession, None
     held = Scratch(spark)
     edges = held.stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    n = edges.count()
+
+    def least(edges: DataFrame, s: Scratch, rule: Column) -> DataFrame:
+        """Edges with m, the least vertex next to u: of few edges the vertices are few, and broadcast; else see lookup."""
+        low = edges.groupBy("u").agg(rule.alias("m"), F.count("*").alias("n"))
+        return edges.join(F.broadcast(low), "u") if 2 * n <= BROADCAST_ROWS else lookup(edges, s.stored(low, "low"), "u", "n")
+
     while True:
         with Scratch(spark) as s:
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = s.stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "low")
-            large = s.stored(lookup(both, low, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-            low = s.stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
-            small = lookup(large, low, "u", "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+            large = least(both, s, F.least("u", F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = large if 2 * n <= BROADCAST_ROWS else s.stored(large, "large")
+            small = least(large, s, F.min("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
             after = Scratch(spark)
             edges = after.stored(small, "edges")
         held.__exit__()
@@ -153,7 +159,7 @@ def connected(links: DataFrame, label: str = "found") -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     found = stored(edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"), label)
     held.__exit__()
     return found

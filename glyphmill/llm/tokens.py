@@ -11,12 +11,11 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
 #: Pieces held by each generation of the memo; longer pieces than PIECE characters are not held.
-MEMO, PIECE = 250_000, 48
+MEMO, PIECE = 120_000, 48
 #: The id written after each document.
 END = 1
 #: Stands for the end of a word; a control character, which never takes the plain way.
@@ -99,9 +98,3 @@ class Encoder:
             add(got)
         add(self.end)
         return np.frombuffer(b"".join(out), dtype="<u4")
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str | None = None, end: int | None = END) -> Encoder:
-    """The worker's encoder: vocabularies are read once, not by each task."""
-    return Encoder(path, end)

@@ -33,7 +33,7 @@ from glyphmill.llm.common import Scratch, crc_of_id, small_batches
 
 SAMPLE, LEAST_DF, Z, RIDGE, COUNTERFACTUAL, PREFIXES = 8_000, 4, 3.5, 0.3, 20.0, (4, 5, 6, 7)
 #: Words held by a worker's memo; it starts anew when full.
-MEMO = 100_000
+MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Names of groups by kind; a name is swapped for others of its kind.
 IDENTITY = (
