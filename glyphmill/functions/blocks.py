@@ -45,6 +45,7 @@ RANGES: list[tuple[str, int, int]] = [
     ("FULLWIDTH_DIGIT", 0xFF10, 0xFF19),
     ("FULLWIDTH_LATIN", 0xFF21, 0xFF3A),
     ("FULLWIDTH_LATIN", 0xFF41, 0xFF5A),
+    ("OTHER", 0x1EE00, 0x1EEFF),
 ]
 SINGLE = {c: name for name, chars in GROUPS.items() for c in chars}
 BEFORE = re.compile(r"^(?:BASIC|SUPPLEMENTAL)_")

@@ -15,9 +15,35 @@ from pyspark.sql.window import Window
 
 WORD, COMPLEX = r"(?:\p{L}\p{M}*){2,}", r"\p{L}\p{M}+"
 XML = {"xml_decimal": r"(?i)&#\d{1,7};", "xml_hex": r"(?i)&#x[0-9a-f]{1,6};", "xml_named": r"(?i)&[a-z]{1,6};"}
+# Names of characters that the Unicode data gives none; after `;` what Windows-1252 has there.
+CONTROLS = {
+    0x00: "NULL", 0x01: "START OF HEADING", 0x02: "START OF TEXT", 0x03: "END OF TEXT", 0x04: "END OF TRANSMISSION", 0x05: "ENQUIRY", 0x06: "ACKNOWLEDGE",
+    0x07: "BELL", 0x08: "BACKSPACE", 0x09: "TAB", 0x0A: "LINE FEED", 0x0B: "LINE TABULATION", 0x0C: "FORM FEED", 0x0D: "CARRIAGE RETURN", 0x0E: "SHIFT OUT",
+    0x0F: "SHIFT IN", 0x10: "DATA LINK ESCAPE", 0x11: "DEVICE CONTROL ONE", 0x12: "DEVICE CONTROL TWO", 0x13: "DEVICE CONTROL THREE", 0x14: "DEVICE CONTROL FOUR",
+    0x15: "NEGATIVE ACKNOWLEDGE", 0x16: "SYNCHRONOUS IDLE", 0x17: "END OF TRANSMISSION BLOCK", 0x18: "CANCEL", 0x19: "END OF MEDIUM", 0x1A: "SUBSTITUTE",
+    0x1B: "ESCAPE", 0x1C: "INFORMATION SEPARATOR FOUR", 0x1D: "INFORMATION SEPARATOR THREE", 0x1E: "INFORMATION SEPARATOR TWO", 0x1F: "INFORMATION SEPARATOR ONE",
+    0x7F: "DELETE", 0x80: "PADDING CHARACTER; Euro Sign", 0x81: "HIGH OCTET PRESET", 0x82: "BREAK PERMITTED HERE; Single Low-9 Quotation Mark",
+    0x83: "NO BREAK HERE; Latin Small Letter F With Hook", 0x84: "INDEX; Double Low-9 Quotation Mark", 0x85: "NEXT LINE; Horizontal Ellipsis",
+    0x86: "START OF SELECTED AREA; Dagger", 0x87: "END OF SELECTED AREA; Double Dagger", 0x88: "CHARACTER TABULATION SET; Modifier Letter Circumflex Accent",
+    0x89: "CHARACTER TABULATION WITH JUSTIFICATION; Per Mille Sign", 0x8A: "LINE TABULATION SET; Latin Capital Letter S With Caron",
+    0x8B: "PARTIAL LINE FORWARD; Single Left-Pointing Angle Quotation Mark", 0x8C: "PARTIAL LINE BACKWARD; Latin Capital Ligature OE", 0x8D: "REVERSE LINE FEED",
+    0x8E: "SINGLE SHIFT TWO; Latin Capital Letter Z With Caron", 0x8F: "SINGLE SHIFT THREE", 0x90: "DEVICE CONTROL STRING",
+    0x91: "PRIVATE USE ONE; Left Single Quotation Mark", 0x92: "PRIVATE USE TWO; Right Single Quotation Mark", 0x93: "SET TRANSMIT STATE; Left Double Quotation Mark",
+    0x94: "CANCEL CHARACTER; Right Double Quotation Mark", 0x95: "MESSAGE WAITING; Bullet", 0x96: "START OF GUARDED AREA; En Dash", 0x97: "END OF GUARDED AREA; Em Dash",
+    0x98: "START OF STRING; Small Tilde", 0x99: "SINGLE GRAPHIC CHARACTER INTRODUCER; Trade Mark Sign", 0x9A: "SINGLE CHARACTER INTRODUCER; Latin Small Letter S With Caron",
+    0x9B: "CONTROL SEQUENCE INTRODUCER; Single Right-Pointing Angle Quotation Mark", 0x9C: "STRING TERMINATOR; Latin Small Ligature OE", 0x9D: "OPERATING SYSTEM COMMAND",
+    0x9E: "PRIVACY MESSAGE; Latin Small Letter Z With Caron", 0x9F: "APPLICATION PROGRAM COMMAND; Latin Capital Letter Y With Diaeresis",
+    0xFEFF: "ZERO WIDTH NO-BREAK SPACE (BYTE ORDER MARK)",
+}
 NESTED = r"(?i)&(?:amp;)+(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{1,6});"
 
 
+def name_of(ch: str) -> str:
+    """The character's name; a control's, with what Windows-1252 has in its place."""
+    name, _, meant = CONTROLS.get(ord(ch), "").partition("; ")
+    return f"{name} (W1252: {meant})" if meant else name or ud.name(ch, "")
+
+
 def lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     """A row per line: the other columns, line_no from 1, line."""
     rest = [c for c in df.columns if c != text_col]
@@ -43,7 +69,7 @@ def char_dim(chars: DataFrame) -> DataFrame:
         for pdf in it:
             pdf["code_point"] = [f"U+{ord(c):04X}" for c in pdf["ch"]]
             pdf["category"] = [ud.category(c) for c in pdf["ch"]]
-            pdf["name"] = [ud.name(c, "") for c in pdf["ch"]]
+            pdf["name"] = [name_of(c) for c in pdf["ch"]]
             pdf["script"] = [n.split(" ")[0] if k[0] == "L" and n else None for n, k in zip(pdf["name"], pdf["category"])]
             yield pdf
 

@@ -40,11 +40,11 @@ def looked_up(c: Column, table: dict[str, str]) -> Column:
     return F.translate(c, "".join([*one, *gone]), "".join(one.values())) if one or gone else c
 
 
-def pieces(c: Column, pattern: str, table: dict[str, str], rest: str = r"[\s\S]") -> Column:
-    """Looks up each match of the pattern; what lies between, matched by rest, stays."""
+def pieces(c: Column, pattern: str, table: dict[str, str], rest: str) -> Column:
+    """Looks up each match of the pattern; rest matches runs in which no match can begin, which stay as one piece."""
     keys = sorted(table)
     found = F.map_from_arrays(F.lit(keys), F.lit([table[k] for k in keys]))
-    parts = F.regexp_extract_all(c, F.lit(f"{pattern}|{rest}"), F.lit(0))
+    parts = F.regexp_extract_all(c, F.lit(f"{pattern}|{rest}|[\\s\\S]"), F.lit(0))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^(?:{pattern})$"), F.coalesce(F.try_element_at(found, x), x)).otherwise(x)), "")
 
 
@@ -124,20 +124,20 @@ def nuktas(c: Column) -> Column:
 def composed(c: Column) -> Column:
     made = M.composing()[0]
     for n in (3, 2, 1):
-        c = pieces(c, rf"[^\n]{ACCENTS}{{{n}}}", {k: v for k, v in made.items() if len(k) == n + 1 and re.fullmatch(r"[̀-ͯٓ-゙゚ٕ]+", k[1:])})
-    c = pieces(c, rf"[^\n]{INDIC}", {k: v for k, v in made.items() if len(k) == 2 and re.fullmatch("[़া-ီᬵ\U00011000-\U000115ff]", k[1])})
+        c = pieces(c, rf"[^\n]{ACCENTS}{{{n}}}", {k: v for k, v in made.items() if len(k) == n + 1 and re.fullmatch(r"[̀-ͯٓ-゙゚ٕ]+", k[1:])}, rf"(?:[\s\S](?!{ACCENTS}))+")
+    c = pieces(c, rf"[^\n]{INDIC}", {k: v for k, v in made.items() if len(k) == 2 and re.fullmatch("[़া-ီᬵ\U00011000-\U000115ff]", k[1])}, rf"(?:[\s\S](?!{INDIC}))+")
     return F.replace(c, F.lit("եւ"), F.lit("և"))
 
 
 def syllables(c: Column) -> Column:
     """Leading, vowel and trailing jamo to one syllable, by code point arithmetic."""
-    parts = F.regexp_extract_all(c, F.lit(r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\s\S]"), F.lit(0))
+    parts = F.regexp_extract_all(c, F.lit(r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[^\x{1100}-\x{1112}]+|[\s\S]"), F.lit(0))
 
     def join(x: Column) -> Column:
         at = lambda k: F.ascii(F.substring(x, k, 1))  # noqa: E731  the code point
         tail = F.when(F.length(x) > 2, at(3) - 0x11A7).otherwise(0)
         cp = 0xAC00 + (at(1) - 0x1100) * 588 + (at(2) - 0x1161) * 28 + tail
-        return F.when(F.length(x) > 1, F.decode(F.unhex(F.hex(cp)), "UTF-16BE")).otherwise(x)
+        return F.when(x.rlike(r"^[\x{1100}-\x{1112}][\x{1161}-\x{1175}]"), F.decode(F.unhex(F.hex(cp)), "UTF-16BE")).otherwise(x)
 
     return F.array_join(F.transform(parts, join), "")
 
@@ -146,9 +146,9 @@ def unbroken(c: Column) -> Column:
     """Mojibake of three, two and one characters."""
     t = M.mojibake()
     by = {n: {k: v for k, v in t.items() if len(k) == n} for n in (1, 2, 3)}
-    c = pieces(c, r"\x{E2}[\x{80}-\x{BF}]{2}", by[3])
-    c = pieces(c, r"[\x{C2}\x{C3}\x{C5}\x{C6}\x{CB}][\x{80}-\x{2FF}\x{2000}-\x{21FF}]", by[2])
-    return pieces(c, r"[\x{80}-\x{9F}]", by[1])
+    c = pieces(c, r"\x{E2}[\x{80}-\x{BF}]{2}", by[3], r"[^\x{E2}]+")
+    c = pieces(c, r"[\x{C2}\x{C3}\x{C5}\x{C6}\x{CB}][\x{80}-\x{2FF}\x{2000}-\x{21FF}]", by[2], r"[^\x{C2}\x{C3}\x{C5}\x{C6}\x{CB}]+")
+    return pieces(c, r"[\x{80}-\x{9F}]", by[1], r"[^\x{80}-\x{9F}]+")
 
 
 def georgian(c: Column) -> Column:
@@ -235,7 +235,7 @@ def normalize(text: Column, steps: frozenset[str] | None = None, lang: str = "")
     for s in STEPS:
         if s.name in steps or s.name in ALWAYS:
             out = _guarded(out, text, s, lang)
-    return F.regexp_replace(out, " +(?=[\t\n]|$(?![\\s\\S]))", "")
+    return F.regexp_replace(out, "(?<! ) ++(?=[\t\n]|$(?![\\s\\S]))", "")
 
 
 def _guarded(now: Column, text: Column, step: Step, lang: str) -> Column:

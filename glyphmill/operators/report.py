@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphmill.functions import blocks
 from glyphmill.operators import analyze, normalize
 
 # Characters whose tokens are reported by pattern.
@@ -84,11 +85,20 @@ def notable(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def mixed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """heading, token, n: words whose letters are of two scripts or more, under the sorted names of these."""
+    """heading, token, n: words whose letters are of two scripts or more, under the sorted names of these; a script is that of the
+    letter's block. Modifier and tone letters are named, but count for none."""
     t = analyze.tokens(df, analyze.WORD, text_col).where(F.col("token").rlike("[^A-Za-z]"))
-    letters = t.select("token", "n", F.explode(F.array_distinct(F.split("token", ""))).alias("ch")).where("ch <> ''")
-    dim = analyze.char_dim(letters.select("ch").distinct()).where("script is not null and script <> 'MODIFIER'").select("ch", "script")
-    found = letters.join(dim, "ch").groupBy("token", "n").agg(F.array_sort(F.collect_set("script")).alias("s")).where(F.size("s") >= 2)
+    letters = t.select("token", "n", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(r"\p{L}"), F.lit(0)))).alias("ch"))
+    raw = F.java_method(F.lit("java.lang.Character$UnicodeBlock"), F.lit("of"), F.ascii("ch"))
+
+    def named(it):
+        for pdf in it:
+            pdf["script"] = [blocks.script_of(blocks.block_of(c, "OTHER" if b == "null" else b)) for c, b in zip(pdf["ch"], pdf["block"])]
+            yield pdf[["ch", "script"]]
+
+    dim = letters.select("ch").distinct().select("ch", raw.alias("block")).mapInPandas(named, "ch string, script string")
+    found = letters.join(dim, "ch").groupBy("token", "n").agg(F.array_sort(F.collect_set("script")).alias("s"))
+    found = found.where(F.size(F.array_except("s", F.array(*map(F.lit, blocks.NO_LETTERS)))) >= 2)
     return found.select(F.concat(F.lit("WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS ("), F.array_join("s", ", "), F.lit(")")).alias("heading"), "token", "n")
 
 
@@ -124,9 +134,8 @@ def non_canonical(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _form(s: str) -> str | None:
-    """The first normal form that leaves s as it is while some other does not."""
-    forms = {f: ud.normalize(f, s) for f in ("NFC", "NFD", "NFKC", "NFKD")}
-    return None if len(set(forms.values())) == 1 else next((f for f, v in forms.items() if v == s), None)
+    """The first normal form that leaves s as it is."""
+    return next((f for f in ("NFC", "NFD", "NFKC", "NFKD") if ud.normalize(f, s) == s), None)
 
 
 def _forms(orig: str, norm: str, changes) -> tuple[str | None, str | None]:

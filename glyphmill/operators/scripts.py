@@ -32,11 +32,16 @@ def described(chars: DataFrame) -> DataFrame:
 
 def script_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """kind (letter, number, other), script, n, ex: the script's characters in code point order, null where there are too many."""
+    return script_rows(df, text_col).drop("first_char")
+
+
+def script_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """script_counts() and first_char, the script's least character."""
     found = described(analyze.char_counts(df, text_col)).groupBy("kind", "script").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("ch")).alias("chars"))
     # equal counts: the script of the least character goes first
     ranked = found.withColumn("first", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.ascii(F.col("chars")[0]))) == 1)
     shown = F.coalesce(*[F.when(F.col("kind") == k, F.when(F.col("first"), a).otherwise(b)) for k, a, b in SHOWN])
-    return ranked.select("kind", "script", "n", F.when(F.size("chars") <= shown, F.array_join("chars", "")).alias("ex"))
+    return ranked.select("kind", "script", "n", F.when(F.size("chars") <= shown, F.array_join("chars", "")).alias("ex"), F.col("chars")[0].alias("first_char"))
 
 
 def block_table(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,18 +9,19 @@ from pyspark.sql.window import Window
 from glyphmill.operators import bytesafe
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None, repair: bool = True) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, repair: bool = True, strip: bool = True) -> DataFrame:
     """doc_id (the file's path), line_no from 1, text of the lines of a file or directory.
 
     Large files stay split: a line's number is its place in its split plus the lines of the file's splits before it. Trailing
-    spaces go; ill-formed bytes are read as Windows-1252 or dropped.
+    spaces go if strip is set; ill-formed bytes are read as Windows-1252 or dropped.
     """
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     raw = reader.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_k"), F.col("value").cast("binary").alias("_raw"))
     splits = raw.groupBy("doc_id", "_at").agg(F.min("_k").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
     numbered = raw.join(splits.withColumn("_before", F.coalesce(before, F.lit(0))), ["doc_id", "_at"])
-    text = F.regexp_replace(bytesafe.text_of(F.col("_raw"), repair), "[ \r]+$", "")
+    text = bytesafe.text_of(F.col("_raw"), repair)
+    text = F.regexp_replace(text, "[ \r]+$", "") if strip else text
     return numbered.select("doc_id", (F.col("_k") - F.col("_first") + F.col("_before") + 1).alias("line_no"), text.alias("text"))
 
 
@@ -35,7 +36,8 @@ def read_ref_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ref_ids(lines: DataFrame, refs: DataFrame) -> DataFrame:
-    return lines.join(refs, "line_no", "left")
+    """Lines with ref_id; ids that name their file go to its lines alone."""
+    return lines.join(refs, ["doc_id", "line_no"] if "doc_id" in refs.columns and "doc_id" in lines.columns else "line_no", "left")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
