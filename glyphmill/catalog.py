@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill import catalog_tokens
 from glyphmill.functions import mappings as M
 from glyphmill.operators import analyze, changelog, normalize, report, scripts, summary
 from glyphmill.plans import analysis
@@ -165,7 +166,7 @@ QUERIES |= {
     "char_count": _text(analyze.char_counts),
     "char_count_by_lang": _text(lambda d: analyze.char_counts(d, by=["lang"])),
     "word_tokens": _text(lambda d: analyze.tokens(d, analyze.WORD)),
-    "complex_chars": _text(lambda d: analyze.tokens(d.withColumn("text", F.regexp_replace("text", "é", "é")), analyze.COMPLEX)),
+    "complex_chars": _text(lambda d: analyze.tokens(d.withColumn("text", F.regexp_replace("text", "\u00e9", "e\u0301")), analyze.COMPLEX)),
     "mixed_script_words": _text(lambda d: analyze.mixed_scripts(_cyrillic(d))),
     "long_tokens": _text(analyze.long_tokens),
     "word_examples_top5": _text(lambda d: analyze.examples(d, analyze.WORD)),
@@ -193,7 +194,7 @@ ORACLE_SQL |= {
     "char_count": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ch",
     "char_count_by_lang": "SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY lang, ch",
     "word_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_words})) AS token FROM documents) GROUP BY token",
-    "complex_chars": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, 'é', 'é'), {_q(analyze.COMPLEX)})) AS token FROM documents) GROUP BY token",
+    "complex_chars": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, chr(233), 'e' || chr(769)), {_q(analyze.COMPLEX)})) AS token FROM documents) GROUP BY token",
     "mixed_script_words": rf"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(CASE WHEN doc_id % 4 = 1 THEN replace(text, 'o', 'о') ELSE text END, {_words})) AS token FROM documents) WHERE regexp_matches(token, '\p{{Latin}}') AND regexp_matches(token, '\p{{Cyrillic}}') GROUP BY token",
     "long_tokens": r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents) WHERE length(token) >= 20 GROUP BY token",
     "word_examples_top5": f"SELECT token, doc_id, rank FROM (SELECT token, doc_id, row_number() OVER (PARTITION BY token ORDER BY doc_id)::INT AS rank FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_words})) AS token FROM documents)) WHERE rank <= 5",
@@ -237,3 +238,5 @@ ORACLE_SQL |= {
     "block_table": f"SELECT {_block} AS block, * FROM ({ORACLE_SQL['char_examples_top5']})",
     "script_counts": rf"SELECT kind, script, n, CASE WHEN len(chars) <= CASE kind WHEN 'letter' THEN CASE WHEN r = 1 THEN 0 ELSE 500 END WHEN 'number' THEN CASE WHEN r = 1 THEN 80 ELSE 500 END ELSE 80 END THEN chars END AS ex FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, ord(chars)) AS r FROM (SELECT kind, script, sum(n)::BIGINT AS n, string_agg(ch, '' ORDER BY ord(ch)) AS chars FROM (SELECT ch, n, CASE WHEN regexp_matches(ch, '^\pL$') THEN 'letter' WHEN regexp_matches(ch, '^\pN$') THEN 'number' ELSE 'other' END AS kind, {_script} AS script FROM (SELECT ch, n, {_block} AS block FROM (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split({_odd_sql}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch))) GROUP BY ALL))",
 }
+QUERIES |= catalog_tokens.QUERIES
+ORACLE_SQL |= catalog_tokens.ORACLE_SQL

@@ -124,8 +124,8 @@ def nuktas(c: Column) -> Column:
 def composed(c: Column) -> Column:
     made = M.composing()[0]
     for n in (3, 2, 1):
-        c = pieces(c, rf"[^\n]{ACCENTS}{{{n}}}", {k: v for k, v in made.items() if len(k) == n + 1 and re.fullmatch(r"[̀-ͯٓ-゙゚ٕ]+", k[1:])}, rf"(?:[\s\S](?!{ACCENTS}))+")
-    c = pieces(c, rf"[^\n]{INDIC}", {k: v for k, v in made.items() if len(k) == 2 and re.fullmatch("[़া-ီᬵ\U00011000-\U000115ff]", k[1])}, rf"(?:[\s\S](?!{INDIC}))+")
+        c = pieces(c, rf"[^\n]{ACCENTS}{{{n}}}", {k: v for k, v in made.items() if len(k) == n + 1 and re.fullmatch(r"[̀-ͯٓ-゙゚ٕ]+", k[1:])}, rf"[^{ACCENTS[1:]}+(?!{ACCENTS})")
+    c = pieces(c, rf"[^\n]{INDIC}", {k: v for k, v in made.items() if len(k) == 2 and re.fullmatch("[़া-ီᬵ\U00011000-\U000115ff]", k[1])}, rf"[^{INDIC[1:]}+(?!{INDIC})")
     return F.replace(c, F.lit("եւ"), F.lit("և"))
 
 

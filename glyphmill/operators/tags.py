@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from glyphmill.functions import tagdata as D
@@ -76,8 +77,8 @@ def collapsed(line: Column) -> Column:
 
 
 def token_tags(t: Column, lang: str = "", long_min: int = LONG) -> Column:
-    """The tags of a token but for those of its characters, as an array of TAG; also says by `chars` in its last entry
-    whether the characters are looked at."""
+    """The tags of a token but for those of its characters, as an array of TAG; an entry with an empty tag says that its characters
+    are to be looked at."""
     size = F.octet_length(t)
 
     def tag(name: str, when: Column, times: int = 1) -> Column:
@@ -195,7 +196,7 @@ ANYWHERE = [("XML_ESC_DEC", r"&#\d{1,7};"), ("XML_ESC_HEX", "&#X[0-9A-F]{1,6};")
 SUSPECT = r'(http|www| @ |& \S+ ;|\\ ")'
 
 
-@F.pandas_udf("array<struct<tag: string, example: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("example", T.StringType())])))
 def broken(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """What is broken in a line: each find of the first rule that has one is blanked, until no rule has any."""
     rules = [(tag, re.compile(rf"(?:^|(?<= ))(?:{p})(?= |$)", re.I | re.A), [re.compile(q, re.A) for q in more]) for tag, p, more in APART]
@@ -222,9 +223,12 @@ def broken(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def line_tags(lines: DataFrame, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
     """tag, example, line_no, pos (below 0, in order) of what is broken or escaped in lines."""
     line = F.col(line_col)
-    escapes = [F.transform(F.regexp_extract_all(line, F.lit(f"(?i){p}"), F.lit(0)), lambda x, t=tag: F.struct(F.lit(t).alias("tag"), x.alias("example"))) for tag, p in ANYWHERE[:3]]
+    def named(found: Column, tag: str) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("example")))
+
+    escapes = [named(F.regexp_extract_all(line, F.lit(f"(?i){p}"), F.lit(0)), tag) for tag, p in ANYWHERE[:3]]
     other = F.filter(F.regexp_extract_all(line, F.lit(f"(?i){ANYWHERE[3][1]}"), F.lit(0)), lambda x: ~x.rlike(f"(?i)^{ANYWHERE[2][1]}$"))
-    escapes.append(F.transform(other, lambda x: F.struct(F.lit(ANYWHERE[3][0]).alias("tag"), x.alias("example"))))
+    escapes.append(named(other, ANYWHERE[3][0]))
     kind = "array<struct<tag: string, example: string>>"
     plain = lines.where(~line.rlike(SUSPECT) & line.contains("&")).select(no_col, F.concat(*escapes).cast(kind).alias("found"))
     odd = lines.where(line.rlike(SUSPECT)).select(no_col, broken(line).cast(kind).alias("found"))

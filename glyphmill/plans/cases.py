@@ -30,7 +30,7 @@ BLOCK_ORDER = """LOW_SURROGATES REPLACEMENT C0_CONTROL C1_CONTROL ZERO_WIDTH DIR
 UNSEEN = ("C0_CONTROL", "C1_CONTROL", "SPACE", "ZERO_WIDTH", "DIRECTIONAL", "VARIATION_SELECTORS", "LOW_SURROGATES")
 #: Goes before what holds letters that run from right to left.
 LEFT_TO_RIGHT = "‎"
-RIGHT_TO_LEFT = re.compile("[֐-޿ࡠ-ࣿיִ-﷿ﹰ-ﻼ]")
+RIGHT_TO_LEFT = re.compile("[\u0590-\u07bf\u0860-\u08ff\ufb1d-\ufdff\ufe70-\ufefc\U0001ee00-\U0001eeff]")
 EXAMPLE = "array<struct<text: string, line_no: bigint>>"
 
 
