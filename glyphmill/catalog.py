@@ -1,6 +1,6 @@
 """Registered queries over the text tables, and their SQL.
 
-The test tables hold few odd characters, so each step's query appends a sample of the step's sources to every second text.
+The test tables hold few odd characters, so many queries append some to each text by its id.
 """
 
 from __future__ import annotations
@@ -11,53 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill import catalog_tokens
-from glyphmill.functions import mappings as M
+from glyphmill import catalog_steps, catalog_tokens
 from glyphmill.operators import analyze, changelog, normalize, report, scripts, summary
 from glyphmill.plans import analysis
 from glyphmill.streaming import stream
 
-#: Steps that are a lookup of single characters: name, table, language.
-LOOKUPS: list[tuple[str, Callable[[], dict[str, str]], str]] = [
-    ("del-zero-width", lambda: dict.fromkeys(M.ZERO_WIDTH, ""), ""),
-    ("del-tatweel", lambda: {M.TATWEEL: ""}, ""),
-    ("del-arabic-diacr", lambda: dict.fromkeys(M.ARABIC_MARKS, ""), ""),
-    ("del-hebrew-diacr", lambda: dict.fromkeys(M.HEBREW_POINTS, ""), ""),
-    ("core-compat", lambda: {k: v for k, v in M.core().items() if "Ⅰ" <= k <= "ⅿ"}, ""),
-    ("ligatures", lambda: M.LIGATURES, ""),
-    ("signs-and-symbols", lambda: M.SIGNS, ""),
-    ("width", lambda: {k: v for k, v in M.cjk().items() if "！" <= k <= "～"}, ""),
-    ("font", lambda: {k: v for k, v in M.font().items() if "\U0001d400" <= k <= "\U0001d433"}, ""),
-    ("enclosure", lambda: {k: v for k, v in M.enclosure().items() if "①" <= k <= "⑳"}, ""),
-    ("punct", lambda: M.PUNCT | {"…": "..."}, ""),
-    ("punct-arabic", lambda: M.PUNCT_ARABIC, ""),
-    ("punct-cjk", lambda: M.PUNCT_CJK, ""),
-    ("punct-greek", lambda: M.PUNCT_GREEK, ""),
-    ("punct-misc-f", lambda: M.PUNCT_MISC, ""),
-    ("punct-dash", lambda: M.DASHES, ""),
-    ("space", lambda: M.SPACES, ""),
-    ("digit", lambda: {k: v for k, v in M.digits().items() if ord(k) < 0x1100}, ""),
-    ("farsi-char", lambda: M.FARSI, "fas"),
-    ("pashto-char", lambda: M.PASHTO, "pas"),
-    ("arabic-char", lambda: M.ARABIC, "ara"),
-    ("georgian-char", lambda: M.GEORGIAN_OLD, ""),
-]
-#: Steps by pattern: name, sample, what it becomes.
-SAMPLES = [
-    ("del-ctrl-char", "a\u0001b\u007fc\u0085d", "abcd"),
-    ("hangul", " 한ᄀ힘", " 한ᄀ힘".replace("한", "한").replace("힘", "힘")),
-    ("repair-combining", " डे़", " ड़े"),
-    ("combining-compose", " é ṻ Å", " é ṻ Å"),
-    ("repair-xml", " &amp;amp;quot; &AMP;amp;#39;", " &quot; &#39;"),
-    ("repair-url-escapes", " Jo%25C3%25ABlle %25E2%2582%25AC", None),
-    ("repair-token", " 12ب-", " 12 ب -"),
-    ("look-alike", " Austіn жəне CTVтелеарнасына XІ", " Austin және CTV телеарнасына XI"),
-    ("repair-encoding-errors", " Ã©tÃ© â\u0082¬ \u0092", " été € ’"),
-]
-#: Something for every step to change.
-LOG_SAMPLE = " " + " ".join([*(s for _, s, _ in SAMPLES), *("".join(sorted(t())[:3]) for _, t, _ in LOOKUPS), "\ufdf2 \ufe8f \u33a2 \ufe50 \ufe10 \u0958 \u064a \u06cc \u0643 \u06a9 \u1112\u1161\u11ab e\u0301"])
-
-
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -66,43 +24,25 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _with(df: DataFrame, sample: str) -> DataFrame:
-    return df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(sample))).otherwise(F.col("text")).alias("text"))
-
-
-TRIM = r"regexp_replace({}, ' +(\t|\n|$)', '\1', 'g')"
-
-
-def _step(name: str, sample: str, lang: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _with(_docs(spark, sf_dir), sample).select("doc_id", normalize.normalize(F.col("text"), frozenset({name}), lang).alias("normalized"))
-
-    return query
-
-
-def _preset(steps: frozenset[str], lang: str = "") -> Callable[[SparkSession, str], DataFrame]:
-    sample = " " + " ".join(s for _, s, _ in SAMPLES) + "".join(k for _, t, _ in LOOKUPS for k in sorted(t())[:3])
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _with(_docs(spark, sf_dir), sample).select("doc_id", normalize.normalize(F.col("text"), steps, lang).alias("normalized"))
-
-    return query
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters by script after default normalization."""
     return analyze.letter_scripts(_docs(spark, sf_dir).select(normalize.normalize(F.col("text")).alias("text")))
 
 
 def _change_log(lang: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The change log of all steps over the lines of documents, the sample of every step on the last line of every second."""
+    """The change log of all steps over the lines of documents, a piece for every step on the last line of each."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return changelog.change_log(analyze.lines(_with(_docs(spark, sf_dir), LOG_SAMPLE)), normalize.chosen("all"), lang, "line")
+        return changelog.change_log(analyze.lines(catalog_steps.pieced(spark, sf_dir, catalog_steps.mixed_pieces())), normalize.chosen("all"), lang, "line")
 
     return query
 
 
+def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the change log, the steps and the lines that they change."""
+    return _change_log("")(spark, sf_dir).where("step not like 'look-alike %'").select("step", "n_changed")
+
+
 def _text(f: Callable[[DataFrame], DataFrame], name: str = "documents", col: str = "text") -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumnRenamed(col, "text") if col != "text" else spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
@@ -120,6 +60,10 @@ def _odd(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ODD)), (F.col("doc_id") % len(ODD) + 1).cast("int"))))
 
 
+def _escaped(df: DataFrame) -> DataFrame:
+    return df.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ESCAPES)), (F.col("page_id") % len(ESCAPES) + 1).cast("int"))))
+
+
 ODD = ["", " wоrd", " &amp;amp;lt; &#39;", " ـ", " \u0001", " \u0085", " \ufffd \ue000", " x@y.z #1 100%25%20 a-b"]
 
 
@@ -133,33 +77,15 @@ def stream_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-for _name, _table, _lang in LOOKUPS:
-    _t = _table()
-    _s = " " + "".join(sorted(_t))
-    _key = "norm_" + _name.replace("-", "_")
-    QUERIES[_key] = _step(_name, _s, _lang)
-    _one = {k: v for k, v in _t.items() if len(v) == 1}
-    _x = f"CASE WHEN doc_id % 2 = 0 THEN text || {_q(_s)} ELSE text END"
-    for _k, _v in _t.items():
-        if len(_v) > 1:
-            _x = f"replace({_x}, {_q(_k)}, {_q(_v)})"
-    _x = f"translate({_x}, {_q(''.join([*_one, *(k for k, v in _t.items() if not v)]))}, {_q(''.join(_one.values()))})"
-    ORACLE_SQL[_key] = f"SELECT doc_id, {TRIM.format(_x)} AS normalized FROM documents"
-for _name, _s, _to in SAMPLES:
-    _key = "norm_" + _name.replace("-", "_")
-    QUERIES[_key] = _step(_name, _s, "")
-    if _to is not None:
-        _x = f"CASE WHEN doc_id % 2 = 0 THEN text || {_q(_to)} ELSE text END"
-        ORACLE_SQL[_key] = f"SELECT doc_id, {TRIM.format(_x)} AS normalized FROM documents"
-for _key, _steps, _lang in (("norm_default", normalize.DEFAULT, ""), ("norm_all", normalize.chosen("all"), ""), ("norm_lang_fas", normalize.chosen("default", add=["farsi-char"]), "fas"), ("norm_lang_pas", normalize.chosen("default", add=["pashto-char"]), "pas"), ("norm_add_skip", normalize.chosen("default", add=["space", "digit"], skip=["del-tatweel"]), ""), ("norm_only", normalize.chosen("none", add=["space"]), "")):
-    QUERIES[_key] = _preset(_steps, _lang)
+#: Appended to pages by id: numeric and nested escapes, which the pages lack.
+ESCAPES = ["", " &#233; &#8364;", " &#xE9;&#x20AC;", " &amp;lt; &amp;amp;gt;", " &nbsp; &amp;#39;"]
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(catalog_steps.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(catalog_steps.ORACLE_SQL)
 QUERIES |= {
     "letters_after_default": flagship,
     "change_log_by_step": _change_log(""),
+    "change_log_changed": changed_lines,
     "change_log_by_step_fas": _change_log("fas"),
     "change_log_by_step_pas": _change_log("pas"),
     "overview": _text(analyze.overview),
@@ -185,11 +111,15 @@ QUERIES |= {
     "analysis_json": _text(analysis.as_json),
     "stream_char_counts": stream_char_counts,
 }
+_escapes = "list_extract([" + ", ".join(map(_q, ESCAPES)) + f"], (page_id % {len(ESCAPES)} + 1)::INT)"
 for _key, _p in (analyze.XML | {"xml_nested": analyze.NESTED}).items():
-    QUERIES[_key] = _text(lambda d, p=_p: analyze.tokens(d, p), "pages", "html")
-    ORACLE_SQL[_key] = f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, {_q(_p)})) AS token FROM pages) GROUP BY token"
+    QUERIES[_key] = _text(lambda d, p=_p: analyze.tokens(_escaped(d), p), "pages", "html")
+    ORACLE_SQL[_key] = f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html || {_escapes}, {_q(_p)})) AS token FROM pages) GROUP BY token"
 _words = _q(analyze.WORD)
 ORACLE_SQL |= {
+    "change_log_changed": catalog_steps.sql_changed(normalize.chosen("all"), ""),
+    "letters_after_default": rf"SELECT script, sum(n)::BIGINT AS n, string_agg(ch, '' ORDER BY ord(ch)) AS letters FROM (SELECT ch, count(*) AS n, CASE WHEN regexp_matches(ch, '\p{{Latin}}') THEN 'LATIN' WHEN regexp_matches(ch, '\p{{Cyrillic}}') THEN 'CYRILLIC' END AS script FROM (SELECT unnest(string_split(normalized, '')) AS ch FROM ({catalog_steps.sql_chain(normalize.DEFAULT, '', [''])})) WHERE regexp_matches(ch, '^\pL$') GROUP BY ch) GROUP BY script",
+    "orphan_marks": r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' ' || chr(769) || 'x 1' || chr(776), '\S+')) AS token FROM documents) WHERE regexp_matches(token, '(^|[^\pL\pM])\pM') GROUP BY token",
     "overview": "SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, (sum(length(text)) + count(*))::BIGINT AS n_characters FROM documents WHERE text IS NOT NULL",
     "char_count": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ch",
     "char_count_by_lang": "SELECT lang, ch, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY lang, ch",
