@@ -89,8 +89,9 @@ def tokens(df: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
 
 def examples(df: DataFrame, pattern: str, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first k rows (by id) in which each token occurs: token, doc_id, rank."""
-    found = df.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)))).alias("token")).distinct()
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("doc_id"))).where(F.col("rank") <= k)
+    found = df.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)))).alias("token"))
+    # A dense rank gives rows of one id one place, and lets Spark prune each task's rows before they are shuffled.
+    return found.withColumn("rank", F.dense_rank().over(Window.partitionBy("token").orderBy("doc_id"))).where(F.col("rank") <= k).distinct()
 
 
 def mixed_scripts(df: DataFrame, text_col: str = "text") -> DataFrame:
