@@ -6,7 +6,7 @@ and after it; the steps before it have been applied. Trailing spaces, which go a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,34 +18,34 @@ OUTCOMES = ("to-Latin", "to-Cyrillic", "to-Greek", "split", "unchanged")
 ALL = "all"
 
 
-def _after(s: normalize.Step, gate: Column) -> Callable[[Column], Column]:
+def _after(s: normalize.Step, gate: Column, rows: Iterable[str] | None) -> Callable[[Column], Column]:
     """The state after a step, of the state before it."""
 
     def after(was: Column) -> Column:
-        kinds = F.when(gate, lookalike.outcomes(was["t"])).otherwise(was["k"]) if s.name == "look-alike" else was["k"]
+        kinds = F.when(gate, lookalike.outcomes(was["t"], rows)).otherwise(was["k"]) if s.name == "look-alike" else was["k"]
         new = F.when(gate, s.apply(was["t"])).otherwise(was["t"])
         return normalize.let(new, lambda y: F.struct(y.alias("t"), F.concat(was["c"], F.array(y != was["t"])).alias("c"), kinds.alias("k")))
 
     return after
 
 
-def _logged(text: Column, steps: list[normalize.Step], gates: Column) -> Column:
+def _logged(text: Column, steps: list[normalize.Step], gates: Column, rows: Iterable[str] | None) -> Column:
     """t: the text after the steps, c: whether each of them changed it, k: what became of mixed words."""
     out = F.struct(text.alias("t"), F.array().cast("array<boolean>").alias("c"), F.array().cast("array<string>").alias("k"))
     for k, s in enumerate(steps):
-        out = normalize.let(out, _after(s, F.get(gates, F.lit(k))))
+        out = normalize.let(out, _after(s, F.get(gates, F.lit(k)), rows))
     return out
 
 
-def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text") -> DataFrame:
+def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text", look_alikes: Iterable[str] | None = None) -> DataFrame:
     """place, step, n_calls, n_changed: first `all` (lines, changed lines), then the enabled steps in order of application, after
     look-alike its words by outcome (n_calls: mixed words seen, n_changed: those with this outcome)."""
     enabled = normalize.DEFAULT if steps is None else steps
-    chosen = [s for s in normalize.STEPS if s.name in enabled or s.name in normalize.ALWAYS]
+    chosen = [s for s in normalize.with_look_alikes(look_alikes) if s.name in enabled or s.name in normalize.ALWAYS]
     text = F.col(text_col)
     # Exploded, so that the plan repeats neither the gates nor the steps.
     opened = df.where(text.isNotNull()).select(text.alias("_text"), F.explode(F.array(F.array(*[s.gate(text, lang) for s in chosen]))).alias("g"))
-    states = opened.select("_text", "g", F.explode(F.array(_logged(F.col("_text"), chosen, F.col("g")))).alias("x"))
+    states = opened.select("_text", "g", F.explode(F.array(_logged(F.col("_text"), chosen, F.col("g"), look_alikes))).alias("x"))
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c.cast("long")), F.lit(0))

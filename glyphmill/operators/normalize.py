@@ -7,7 +7,7 @@ on the original text, is open; steps that are not enabled are not in the plan. N
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -229,12 +229,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def normalize(text: Column, steps: frozenset[str] | None = None, lang: str = "") -> Column:
-    """The normalized text. Gates look at the original, steps at what the steps before have made of it."""
+def with_look_alikes(rows: Iterable[str] | None) -> list[Step]:
+    """The steps, look-alike by the given rows (the built-in ones without)."""
+    if rows is None:
+        return STEPS
+    rows = list(rows)
+    return [Step(s.name, s.gate, lambda c: lookalike.repaired(c, rows)) if s.name == "look-alike" else s for s in STEPS]
+
+
+def normalize(text: Column, steps: frozenset[str] | None = None, lang: str = "", look_alikes: Iterable[str] | None = None, table: dict[str, str] | None = None) -> Column:
+    """The normalized text. Gates look at the original, steps at what the steps before have made of it.
+
+    look_alikes: rows for the step look-alike. table: single characters and their targets, looked up after all steps."""
     steps, out = DEFAULT if steps is None else steps, text
-    for s in STEPS:
+    for s in with_look_alikes(look_alikes):
         if s.name in steps or s.name in ALWAYS:
             out = _guarded(out, text, s, lang)
+    if table:
+        if long := [k for k in table if len(k) != 1]:
+            raise ValueError(f"sources must be single characters: {long[:5]}")
+        out = let(out, lambda x: F.when(x.rlike(class_of(table)), looked_up(x, table)).otherwise(x))
     return F.regexp_replace(out, "(?<! ) ++(?=[\t\n]|$(?![\\s\\S]))", "")
 
 
