@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
-from glyphmill.operators import normalize
+from glyphmill.functions import register
+from glyphmill.operators import bytesafe, normalize
 
 #: Sources in a piece.
 CHUNK = 32
@@ -280,3 +281,33 @@ for _name in STEPS:
 for _key, (_steps, _lang) in PRESETS.items():
     QUERIES[_key] = _query(_steps, _lang, mixed_pieces)
     ORACLE_SQL[_key] = sql_chain(_steps, _lang, mixed_pieces())
+
+
+def by_function(name: str, pieces: Callable[[], list[str]]) -> Callable[[SparkSession, str], DataFrame]:
+    """A step or preset through its SQL function."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        (made,) = register.register(spark, [name])
+        return pieced(spark, sf_dir, pieces()).selectExpr("doc_id", f"{made}(text) AS normalized")
+
+    return query
+
+
+for _name in ("default", "space", "digit", "hangul"):
+    _key = f"sql_function_{_name}"
+    QUERIES[_key] = by_function(_name, mixed_pieces if _name == "default" else lambda n=_name: pieces_of(n))
+    ORACLE_SQL[_key] = ORACLE_SQL[f"norm_{_name}"]
+
+
+def del_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as bytes with ill-formed ones before, amid and after them, read without these."""
+    half = F.expr("length(text) div 2")
+    raw = F.concat(F.unhex(F.lit("80")), F.encode(F.substring("text", F.lit(1), half), "UTF-8"), F.unhex(F.lit("E282")), F.encode(F.substring("text", half + 1, F.length("text")), "UTF-8"), F.unhex(F.lit("C3FF")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", bytesafe.text_of(raw, repair=False).alias("normalized"))
+
+
+# Pairs of hexadecimal digits: well-formed sequences stay, any other byte goes.
+_TAIL = "[89AB][0-9A-F]"
+_WELL = f"[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F]){_TAIL}|E0[AB][0-9A-F]{_TAIL}|(?:E[1-9A-CEF]{_TAIL}|ED[89][0-9A-F]){_TAIL}|(?:F0[9AB][0-9A-F]|F[1-3]{_TAIL}|F48[0-9A-F]){_TAIL}{_TAIL}"
+QUERIES["norm_del_surrogate"] = del_surrogate
+ORACLE_SQL["norm_del_surrogate"] = f"SELECT doc_id, decode(unhex(regexp_replace('80' || hex(encode(substr(text, 1, length(text) // 2))) || 'E282' || hex(encode(substr(text, length(text) // 2 + 1))) || 'C3FF', '({_WELL})|..', '\\1', 'g'))) AS normalized FROM documents"
