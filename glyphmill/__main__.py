@@ -94,7 +94,7 @@ def norm(spark: SparkSession, args: argparse.Namespace) -> int:
     else:
         text.write_lines(done, args.out)
     if args.verbose:
-        print(changelog.printed(n.log(lines)), file=sys.stderr)
+        print(changelog.printed(n.log(lines)), file=sys.stderr if args.out == "-" else sys.stdout)
     return 0
 
 
