@@ -24,10 +24,13 @@ without candidates has no row. Empty table: no rows. Other columns are not read;
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ from glyphmill.llm.common import BROADCAST_ROWS, Scratch, lookup, over_batches,
 MIN_COUNT, LONGEST, SHARE, BEST = 10, 3, 50, 2000
 #: Occurrences of a prefix that one task takes; distinct rows that a task sums before it hands them on.
 POINTERS, CHUNK = 200_000, 300_000
+#: Rows of whole prefixes that a task grows at once.
+RUN = 200_000
 #: A language's phrases are ranked in so many parts first.
 PARTS = 64
 BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
@@ -51,85 +56,119 @@ def words_of(text: str | None) -> list[bytes]:
     return out
 
 
+def _after(longest: int) -> list[str]:
+    """Names of the columns of the words after a prefix."""
+    return [f"next{k}" for k in range(1, longest)]
+
+
 def summed(docs: DataFrame, width: int) -> DataFrame:
-    """lang, prefix, rest, n: occurrences of words with the words after them (width - 1 at most, by spaces), summed over what a task
-    has at hand. Of width 1 all words, else those that a word follows."""
-    schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("rest", pa.string()), ("n", pa.int64())])
+    """lang, prefix, next1 ..., n: occurrences of words with the words after them in their piece (width - 1 at most, else null), summed over
+    what a task has at hand. Of width 1 all words, else those that a word follows."""
+    names = ["lang", "prefix", *_after(width)]
+    schema = pa.schema([*((c, pa.string()) for c in names), ("n", pa.int64())])
+
+    def flushed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            if width == 1:
+                found.pop(b"", None)
+            rows = [*found.items()] if width == 1 else [x for x in found.items() if x[0][0] and x[0][1]]
+            for at in range(0, len(rows), 50_000):
+                keys, n = zip(*rows[at : at + 50_000])
+                words, whole = [keys] if width == 1 else [*zip(*keys)], True
+                for k, c in enumerate(words):
+                    c = pa.array(c, pa.binary()).cast(pa.string())
+                    if k > 1:  # what stands after the end of a piece is of another one
+                        whole = pc.and_(whole, pc.not_equal(c, ""))
+                        c = pc.if_else(whole, c, None)
+                    words[k] = c
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *words, pa.array(n, pa.int64())], schema=schema)
+        held.clear()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, found in held.items():
-                rows = [(k[0], b" ".join(k[1:]).partition(b"  ")[0].rstrip(b" "), n) for k, n in found.items() if all(k[:2])]
-                for at in range(0, len(rows), 50_000):
-                    prefix, rest, n = zip(*rows[at : at + 50_000])
-                    text = [pa.array(c, pa.binary()).cast(pa.string()) for c in (prefix, rest)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *text, pa.array(n, pa.int64())], schema=schema)
-            held.clear()
-
-        for b in batches:
-            for lang, text in zip(b.column(0), b.column(1)):
-                w = words_of(text.as_py())
-                held.setdefault(lang.as_py(), Counter()).update(zip(*(w[k:] + [b""] * k for k in range(width))))
-                if sum(map(len, held.values())) > CHUNK:
-                    yield from flushed()
-        yield from flushed()
-
-    return over_batches(docs, work, "lang string, prefix string, rest string, n long")
-
-
-def grow(prefix: str, rests: list[list[str]], weights: list[int], least: int, longest: int, shared: bool) -> Iterator[tuple[str, int]]:
-    """Phrases that begin with the prefix and their counts, depth first. rests and weights: the words after each pointer, and how many
-    pointers that row stands for. shared: other tasks hold pointers of this prefix too, so only phrases of full length are whole."""
-
-    def extended(phrase: str, pointers: Iterator[int] | list[int], depth: int) -> Iterator[tuple[str, int]]:
-        following: dict[str, list[int]] = {}
-        for p in pointers:
-            if depth < len(rests[p]):
-                following.setdefault(rests[p][depth], []).append(p)
-        need = 1 if shared and depth + 2 < longest else least
-        for word, mine in following.items():
-            n = sum(weights[p] for p in mine)
-            if n >= need:
-                yield f"{phrase} {word}", n
-                if depth + 2 < longest:
-                    yield from extended(f"{phrase} {word}", mine, depth + 1)
-
-    return extended(prefix, range(len(rests)), 0)
+        gc.disable()  # the sums are millions of tuples without cycles
+        try:
+            for b in batches:
+                for lang, text in zip(b.column(0), b.column(1)):
+                    w = words_of(text.as_py())
+                    held.setdefault(lang.as_py(), Counter()).update(w if width == 1 else zip(*(w[k:] + [b""] * k for k in range(width))))
+                    if sum(map(len, held.values())) > CHUNK:
+                        yield from flushed(held)
+            yield from flushed(held)
+        finally:
+            gc.enable()
+
+    return over_batches(docs, work, ", ".join(f"{c} string" for c in names) + ", n long")
+
+
+def grow(after: list[np.ndarray], weights: np.ndarray, pointers: np.ndarray, least: int, shared: bool) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Extensions of one prefix to the right and their counts, depth first. after: by distance, the codes of the words that follow
+    (-1 for none); weights: how often; pointers: the rows of this prefix. shared: other tasks hold pointers of it too, so only phrases
+    of full length are whole."""
+
+    def extended(codes: tuple[int, ...], at: np.ndarray, depth: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        last = depth + 1 == len(after)
+        need = 1 if shared and not last else least
+        if weights[at].sum() < need:
+            return
+        word = after[depth][at]
+        order = np.argsort(word, kind="stable")
+        word, at = word[order], at[order]
+        first = np.flatnonzero(np.diff(word, prepend=-2))
+        sums = np.add.reduceat(weights[at], first)
+        for k in np.flatnonzero((sums >= need) & (word[first] >= 0)).tolist():
+            mine = (*codes, int(word[first[k]]))
+            yield mine, int(sums[k])
+            if not last:
+                yield from extended(mine, at[first[k] : first[k + 1] if k + 1 < len(first) else len(at)], depth + 1)
+
+    return extended((), pointers, 0)
 
 
 def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, n from the pointers of whole prefixes (lang, prefix, salt, parts, rest, n), a prefix at a time."""
+    """lang, phrase, n from the pointers of whole prefixes (lang, prefix, salt, parts, next1 ..., n), a prefix at a time. Rows are dealt and
+    sorted by a hash of (lang, prefix, salt), prefixes that share one are told apart."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+    names = _after(longest)
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Phrases of a table of whole groups."""
+        n = len(t)
+        every = pa.chunked_array([c for x in names for c in t.column(x).chunks], pa.string()).combine_chunks().dictionary_encode()
+        codes = every.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        after = [codes[k * n : (k + 1) * n] for k in range(len(names))]
+        weights, parts = t.column("n").to_numpy(), t.column("parts").to_numpy()
+        starts = pc.struct_field(heads := t.column("head").combine_chunks(), 0), pc.struct_field(heads, 1)
+        key = np.stack([t.column("h").to_numpy(), *(c.dictionary_encode().indices.to_numpy() for c in starts), t.column("salt").to_numpy()])
+        if (np.diff(key[0]) == 0)[(np.diff(key[1:]) != 0).any(axis=0)].any():
+            order = np.lexsort(key[::-1])  # two prefixes share a hash
+        else:
+            order = np.arange(n)
+        ends = np.append(np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1, n)
+        out, at = [], 0
+        for end in ends.tolist():
+            mine, at = order[at:end], end
+            found = [*grow(after, weights, mine, least, parts[mine[0]] > 1)]
+            if found:
+                lang, prefix = (c[int(mine[0])].as_py() for c in starts)
+                out += [(lang, " ".join([prefix, *(every.dictionary[k].as_py() for k in words)]), times) for words, times in found]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rests, weights, out = None, [], [], []
-
-        def done() -> None:
-            if now:
-                lang, prefix, _, parts = now
-                out.extend((lang, phrase, n) for phrase, n in grow(prefix, rests, weights, least, longest, parts > 1))
-
-        def handed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
+        held, size = [], 0
         for b in batches:
-            for *key, rest, n in zip(*(c.to_pylist() for c in b.columns)):
-                if key != now:
-                    done()
-                    now, rests, weights = key, [], []
-                    if len(out) > 20_000:
-                        yield handed()
-                        out = []
-                rests.append(rest.split(" "))
-                weights.append(n)
-        done()
-        if out:
-            yield handed()
-
-    key = ("lang", "prefix", "salt")
-    together = dealt.select(*key, "parts", "rest", "n").repartition(*key).sortWithinPartitions(*key)
+            if size >= RUN and (whole := np.flatnonzero(np.diff(b.column("h").to_numpy(), prepend=held[-1].column("h")[-1].as_py()))).size:
+                cut = int(whole[0])
+                yield from run(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held, size, b = [], 0, b.slice(cut)
+            held.append(b)
+            size += len(b)
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    h = F.xxhash64("head.lang", "head.prefix", "salt").alias("h")
+    together = dealt.select(h, "head", "salt", "parts", *names, "n").repartition("h").sortWithinPartitions("h")
     return together.mapInArrow(work, "lang string, phrase string, n long")
 
 
@@ -139,10 +178,11 @@ def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[Data
     totals = s.stored(words.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
     frequent = s.stored(words.where(F.col("n") >= least), "frequent")
     heads = frequent.select(F.struct("lang", F.col("phrase").alias("prefix")).alias("key"), F.col("n").alias("times"), F.ceil(F.col("n") / POINTERS).cast("long").alias("parts"))
-    pointers = summed(docs, longest).select(F.struct("lang", "prefix").alias("key"), "rest", "n")
+    pointers = summed(docs, longest).select(F.struct("lang", "prefix").alias("key"), *_after(longest), "n")
     if frequent.count() > BROADCAST_ROWS:
         pointers = s.stored(pointers, "pointers")  # read twice by lookup
-    dealt = lookup(pointers, heads, "key", "times").select("key.lang", "key.prefix", F.pmod(F.xxhash64("rest"), "parts").alias("salt"), "parts", "rest", "n")
+    salt = F.pmod(F.xxhash64(*_after(longest)), "parts").alias("salt")
+    dealt = lookup(pointers, heads, "key", "times").select(F.col("key").alias("head"), salt, "parts", *_after(longest), "n")
     found = grown(dealt, least, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return frequent, s.stored(found, "phrases"), totals
 
