@@ -1,40 +1,44 @@
 """LM scoring (2): stupid-backoff scores from n-gram count tables partitioned by hash, by joins and sums.
 
-score(docs) counts the n-grams (n up to order) of all documents and scores every document by them:
+score(docs) counts the n-grams (n up to order) of all documents, or of another corpus, and scores every document by them:
 
-1. Each row's words become 64-bit hashes, stored once; a row's key is a hash of id and text, so that equal rows share it.
-2. Count tables: words are exploded to n-grams (hash, hashes of its first and its last n - 1 words, times), grouped by hash and
-   summed. An n-gram counts as seen from MIN_COUNT occurrences on; single words always are.
-3. Joined to the counts of its context, a seen n-gram gets its score log S = log count(context w) - log count(context), a word
-   log count(w) - log words; joined to the score of its last n - 1 words, what it adds to the score that backing off to
-   these would give (an n-gram that is seen has seen parts).
-4. Documents are exploded to n-grams again, joined to that table by hash and summed per document. What is added is summed
-   over all seen n-grams; a step of backing off costs log BACKOFF. So no place of a text travels, and nothing that is unseen.
+1. Each row's words become 64-bit hashes, stored once, in chunks of about CHUNK words of whole documents.
+2. Chunks are exploded to n-grams, one row (gram, chunk, n) for each that a chunk holds. So no n-gram, however common, has more than
+   one row a chunk: of all rows it has one in as many as a chunk has different n-grams, and no key is hot.
+3. One shuffle by the hash of n-grams serves both sides: summed there they make the count table, and joined to it where they lie
+   each row gets its count. Counts go back to their chunks; those of 1 need not, as what is missing in a chunk then occurs once.
+4. A chunk and its counts meet in one task, which scores the chunk's documents place by place and sums per document: a word
+   after the longest context of which the n-gram is seen gets log count(n-gram) - log count(context), log BACKOFF for each shorter
+   one tried, and a single word log count - log words.
 
-Steps 2 and 4 take the space of hashes in PASSES parts (by their lowest bits; a power of two) one after the other, so that the scratch space is a part of what all
-exploded n-grams need; shuffle files of a part go when the next one begins. Counts are 64 bits and cover all documents.
+An n-gram is seen from min_count occurrences on (MIN_COUNT 1: whatever occurs); single words always are. Counts are 64 bits and
+cover the whole corpus. N-grams are told apart by 64-bit hashes: two of m share one with a chance of m / 2**64 each, which adds
+their counts; rows are never told apart by hashes.
 
 Cases. Null or word-less text: n_words 0, log_score 0, mean null. Null ids and repeated rows: a row each; repeats count as
-often as they occur. Empty table: no rows. Very long texts: exploded in one task, a row an n-gram. Other columns are not read.
+often as they occur. A word that the corpus lacks: BACKOFF / words. Empty table: no rows. Very long texts: a chunk of their own, about 100
+bytes a word in one task. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch, over_batches, stored
 
-ORDER, MIN_COUNT, BACKOFF, PASSES = 3, 2, 0.4, 4
-#: Words held by a worker's memo, and n-grams that it sums or hands on at once.
+ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
+#: Words held by a worker's memo, and words of a chunk.
 MEMO, CHUNK = 200_000, 1_000_000
+#: Rows that a worker hands on at once.
+ROWS = 250_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -62,131 +66,118 @@ def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """key, words of docs(key, text); rows without words have no row."""
-    schema = pa.schema([("key", pa.int64()), ("words", pa.list_(pa.int64()))])
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """chunk, doc_id, words of docs(doc_id, text). A chunk's rows stand together in one task."""
+    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
+        memo, size = Hashes(), 0
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
-            found = [(k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w := words_of(t, memo))]
-            if found:
-                offsets = pa.array(np.cumsum([0, *(len(w) for _, w in found)]), pa.int32())
-                words = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([w for _, w in found]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), words], schema=schema)
+            rows = []
+            for doc, text in zip(b.column(0), b.column(1)):
+                w = words_of(text.as_py(), memo)
+                if size and size + len(w) > CHUNK:
+                    chunk, size = chunk + 1, 0
+                size += len(w)
+                rows.append((chunk, doc.as_py(), w))
+            if rows:
+                chunks, ids, words = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ids, pa.int64()), lists(list(words))], schema=schema)
 
-    return over_batches(docs, work, "key long, words array<long>")
+    return over_batches(docs, work, "chunk long, doc_id long, words array<long>")
 
 
-def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    for b in batches:
-        ends = b.column(1).offsets.to_numpy()
-        flat = b.column(1).values.to_numpy().view(np.uint64)
-        for key, a, z in zip(b.column(0).to_pylist(), ends, ends[1:]):
-            yield key, flat[a:z]
+def distinct_grams(words: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of documents and how often each occurs; in the order of hashes."""
+    found = [np.concatenate(x) for x in zip(*(grams(h, order) for h in words))]
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def exploded(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
-    """gram, head, tail, n of the n-grams whose hashes lie in a part of all: hashes of the first and last n - 1 words (null for a
-    word), and how often; summed over what a task has at hand."""
-    names = ("gram", "head", "tail", "n")
-    schema = pa.schema([(c, pa.int64()) for c in names])
+def exploded(chunks: DataFrame, order: int) -> DataFrame:
+    """gram, chunk, n: the n-grams of each chunk, one row for each. A chunk that two tasks read is two parts, with rows of their own."""
+    schema = pa.schema([("gram", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
-        size = 0
-
-        def summed() -> pa.RecordBatch:
-            g, head, tail, one = (np.concatenate(x) for x in held)
-            g, first, n = np.unique(g, return_index=True, return_counts=True)
-            word = one[first]
-            cols = [pa.array(g.view(np.int64)), pa.array(head[first].view(np.int64), mask=word), pa.array(tail[first].view(np.int64), mask=word), pa.array(n)]
-            return pa.RecordBatch.from_arrays(cols, schema=schema)
-
-        for _, h in each(batches):
-            found = grams(h, order)
-            for n, g in enumerate(found):
-                mine = np.flatnonzero(g & np.uint64(parts - 1) == part)
-                if len(mine):
-                    parent = found[n - 1] if n else g
-                    for x, y in zip(held, (g[mine], parent[mine], parent[mine + 1 if n else mine], np.full(len(mine), n == 0))):
-                        x.append(y)
-                    size += len(mine)
-            if size >= CHUNK:
-                yield summed()
-                held, size = [[], [], [], []], 0
-        if size:
-            yield summed()
-
-    return words.mapInArrow(work, ", ".join(f"{c} long" for c in names))
-
-
-def by_row(words: DataFrame, order: int, part: int, parts: int) -> DataFrame:
-    """key, gram, n of the n-grams of each row whose hashes lie in a part of all."""
-    schema = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("n", pa.int32())])
+        now, held = None, []
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flat() -> pa.RecordBatch:
-            keys = np.repeat([k for k, _, _ in held], [len(g) for _, g, _ in held])
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([g for _, g, _ in held]).view(np.int64)), pa.array(np.concatenate([n for _, _, n in held]).astype(np.int32))], schema=schema)
-
-        for key, h in each(batches):
-            g = np.concatenate(grams(h, order))
-            g, n = np.unique(g[g & np.uint64(parts - 1) == part], return_counts=True)
-            if len(g):
-                held.append((key, g, n))
-                size += len(g)
-            if size >= CHUNK // 4:
-                yield flat()
-                held, size = [], 0
-        if size:
-            yield flat()
-
-    return words.mapInArrow(work, "key long, gram long, n int")
-
-
-def freed(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
-def table(words: DataFrame, order: int, min_count: int, backoff: float, passes: int, s: Scratch) -> DataFrame:
-    """gram, adds, word of every n-gram that is seen: what it adds to a text's score, and whether it is a single word."""
-    seen = None
-    with Scratch(words.sparkSession) as t:
-        for part in range(passes):
-            counts = exploded(words, order, part, passes).groupBy("gram").agg(F.sum("n").alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail"))
-            counts = t.stored(counts.where(F.col("head").isNull() | (F.col("n") >= min_count)), "counts")
-            seen = counts if seen is None else seen.unionByName(counts)
-            freed(words)
-        total = seen.where("head is null").agg(F.sum("n")).first()[0] or 1
-        of = seen.select(F.col("gram").alias("head"), F.col("n").alias("of"))
-        logs = t.stored(seen.join(of, "head", "left").select("gram", "tail", (F.log("n") - F.log(F.coalesce("of", F.lit(total)))).alias("s")), "logs")
-        shorter = logs.select(F.col("gram").alias("tail"), F.col("s").alias("shorter"))
-        adds = F.when(F.col("tail").isNull(), F.col("s")).otherwise(F.col("s") - F.col("shorter") - math.log(backoff))
-        return s.stored(logs.join(shorter, "tail", "left").select("gram", adds.alias("adds"), F.col("tail").isNull().alias("word")), "adds")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, passes: int = PASSES) -> DataFrame:
-    """doc_id, n_words, log_score (sum of natural logs), mean_log_score per row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    if passes & (passes - 1):
-        raise ValueError("passes must be a power of two")
+        def done() -> Iterator[pa.RecordBatch]:
+            g, n = distinct_grams(held, order)
+            for k in range(0, len(g), ROWS):
+                part = g[k : k + ROWS].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), now)), pa.array(n[k : k + ROWS])], schema=schema)
+
+        for b in batches:
+            flat, ends = b.column(1).values.to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
+            for chunk, a, z in zip(b.column(0).to_pylist(), ends, ends[1:]):
+                if chunk != now:
+                    yield from done()
+                    now, held = chunk, []
+                held.append(flat[a:z])
+        yield from done()
+
+    return chunks.select("chunk", "words").mapInArrow(work, "gram long, chunk long, n long")
+
+
+def place_scores(h: np.ndarray, order: int, count, total: int, min_count: int, backoff: float) -> np.ndarray:
+    """Each word's score after its context. count(grams): how often n-grams occur."""
+    before, score = None, np.empty(0)
+    for n, g in enumerate(grams(h, order), 1):
+        c = count(g)
+        if n == 1:
+            score = np.where(c > 0, np.log(np.maximum(c, 1)), math.log(backoff)) - math.log(max(total, 1))
+        elif len(g):
+            seen = c >= max(min_count, 1)
+            longer = np.log(np.maximum(c, 1)) - np.log(np.maximum(before[: len(g)], 1))
+            score[n - 1 :] = np.where(seen, longer, math.log(backoff) + score[n - 1 :])
+        before = c
+    return score
+
+
+def scored(chunks: DataFrame, counts: DataFrame, order: int, total: int, missing: int, min_count: int, backoff: float) -> DataFrame:
+    """doc_id, n_words, log_score of each row of chunks(chunk, doc_id, words) by counts(chunk, gram, n); an n-gram without a row there
+    occurs missing times."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+
+    def work(docs: pa.Table, known: pa.Table) -> pa.Table:
+        g, n = known.column("gram").to_numpy().view(np.uint64), known.column("n").to_numpy()
+        order_of = np.argsort(g)
+        g, n = g[order_of], n[order_of]
+
+        def count(x: np.ndarray) -> np.ndarray:
+            if not len(g):
+                return np.full(len(x), missing)
+            at = np.minimum(np.searchsorted(g, x), len(g) - 1)
+            return np.where(g[at] == x, n[at], missing)
+
+        rows = []
+        for b in docs.select(["doc_id", "words"]).to_batches():
+            flat, ends = b.column(1).values.to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
+            for doc, a, z in zip(b.column(0).to_pylist(), ends, ends[1:]):
+                rows.append((doc, int(z - a), float(place_scores(flat[a:z], order, count, total, min_count, backoff).sum())))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+
+    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(work, "doc_id long, n_words long, log_score double")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, corpus: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_score (sum of natural logs), mean_log_score per row of docs, by the counts of corpus (docs without)."""
+    text = F.col(text_col).cast("string").alias("text")
     with Scratch(docs.sparkSession) as s:
-        words = s.stored(hashed(rows.select("key", "text")), "words")
-        adds, sums = table(words, order, min_count, backoff, passes, s), None
-        for part in range(passes):
-            found = by_row(words, order, part, passes).join(adds.where(F.col("gram").bitwiseAND(F.lit(passes - 1)) == part), "gram")
-            found = s.stored(found.groupBy("key").agg(F.sum(F.col("n") * F.col("adds")).alias("s"), F.sum(F.when(F.col("word"), F.col("n")).otherwise(0)).alias("words")), "sums")
-            sums = found if sums is None else sums.unionByName(found)
-            freed(words)
-        copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-        per = stored(copies.join(sums.groupBy("key").agg(F.sum("s").alias("s"), F.sum("words").alias("words")), "key").select("key", (F.col("s") / F.col("copies")).alias("s"), (F.col("words") / F.col("copies")).cast("long").alias("n_words")), "scored")
-    n, m = F.col("n_words"), order
-    steps = F.when(n < m, n * (n - 1) / 2).otherwise(n * (m - 1) - m * (m - 1) / 2)  # of backing off, from the longest context each place has
-    out = rows.select("doc_id", "key").join(per, "key", "left").select("doc_id", F.coalesce(n, F.lit(0)).alias("n_words"), F.coalesce(F.col("s") + steps * math.log(backoff), F.lit(0.0)).alias("log_score"))
+        chunks = s.stored(chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), text)), "chunks")
+        source = chunks if corpus is None else s.stored(chunked(corpus.select(F.lit(None).cast("long").alias("doc_id"), text)), "corpus")
+        total = source.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+        rows = exploded(chunks, order)
+        if corpus is not None:
+            rows = rows.withColumn("n", F.lit(0).cast("long")).unionByName(exploded(source, order).withColumn("chunk", F.lit(None).cast("long")))
+        least = 2 if corpus is None else 1
+        dealt = rows.repartition("gram")  # one exchange for the count table and for what is joined to it
+        table = dealt.groupBy("gram").agg(F.sum("n").alias("of")).where(F.col("of") >= least)
+        counts = dealt.where("chunk is not null").join(table, "gram").select("chunk", "gram", F.col("of").alias("n"))
+        out = stored(scored(chunks, counts, order, total, least - 1, min_count, backoff), "scored")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -75,15 +75,15 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_stupid_backoff, op3_counterfactual_toxicity, op4_best_fit_packed_ids, op5_association_url_rules, op6_cgk_decontamination, op7_nearest_centroid_language, op8_avi_motion_jpeg, op9_sum_of_squares_packing, op10_minhash_near_dedup, op11_license_containment_join, op12_fill_in_middle, op13_phrase_collocations)}
-#: Trigrams by joins, without the tricks of the operator: each place takes the longest context seen twice.
+#: Trigrams by joins, without chunks: each place takes the longest context that is seen.
 _STUPID_BACKOFF = r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
         p AS (SELECT r, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
         n1 AS (SELECT a, count(*) AS n FROM p GROUP BY a),
         n2 AS (SELECT b, a, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, a),
         n3 AS (SELECT c, b, a, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, b, a),
-        s AS (SELECT r, CASE WHEN n3.n >= 2 THEN ln(n3.n / context.n) ELSE CASE WHEN p.c IS NULL THEN 0 ELSE ln(0.4) END
-                + CASE WHEN n2.n >= 2 THEN ln(n2.n / before.n) ELSE CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END + ln(n1.n / (SELECT count(*) FROM p)) END END AS s
+        s AS (SELECT r, CASE WHEN n3.n >= 1 THEN ln(n3.n / context.n) ELSE CASE WHEN p.c IS NULL THEN 0 ELSE ln(0.4) END
+                + CASE WHEN n2.n >= 1 THEN ln(n2.n / before.n) ELSE CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END + ln(n1.n / (SELECT count(*) FROM p)) END END AS s
             FROM p JOIN n1 USING (a) LEFT JOIN n2 ON n2.a = p.a AND n2.b = p.b LEFT JOIN n3 ON n3.a = p.a AND n3.b = p.b AND n3.c = p.c
                 LEFT JOIN n1 AS before ON before.a = p.b LEFT JOIN n2 AS context ON context.a = p.b AND context.b = p.c)
         SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, round(coalesce(t.s, 0), 4) AS log_score, round(t.s / len(w), 6) AS mean_log_score

@@ -16,17 +16,18 @@ def corpus():
     return rows + [(None, "the THE w1"), (5, "w1 w2\tw3\n"), (5, "w1 w2\tw3\n"), (90, None), (91, ""), (92, " \n "), (93, "word " * 3000)]
 
 
-def brute(rows, order, least=2, alpha=0.4):
+def brute(rows, order, least=1, alpha=0.4, corpus=None):
     counts, out = Counter(), []
     texts = [(i, (t or "").lower().split()) for i, t in rows]
-    for _, w in texts:
+    counted = texts if corpus is None else [(i, (t or "").lower().split()) for i, t in corpus]
+    for _, w in counted:
         for n in range(1, order + 1):
             counts.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
-    total = sum(len(w) for _, w in texts)
+    total = sum(len(w) for _, w in counted)
 
     def s(gram):
         if len(gram) == 1:
-            return math.log(counts[gram] / total)
+            return math.log((counts[gram] or alpha) / total)
         if counts[gram] >= least:
             return math.log(counts[gram] / counts[gram[:-1]])
         return math.log(alpha) + s(gram[1:])
@@ -36,14 +37,36 @@ def brute(rows, order, least=2, alpha=0.4):
     return sorted(out, key=lambda x: (str(x[0]), x[1]))
 
 
-@pytest.mark.parametrize(("order", "passes", "least"), [(3, 8, 2), (2, 1, 3), (1, 2, 2), (4, 4, 1)])
-def test_scores_equal_a_plain_version(spark, order, passes, least):
-    df = spark.createDataFrame([(*x, 1, 2) for x in corpus()], "doc_id long, text string, key int, words int")
-    got = sorted(((r.doc_id, r.n_words, r.log_score, r.mean_log_score) for r in lm.score(df, order=order, passes=passes, min_count=least).collect()), key=lambda x: (str(x[0]), x[1]))
-    want = brute(corpus(), order, least)
+def held(got, want):
+    got = sorted((tuple(r) for r in got), key=lambda x: (str(x[0]), x[1], x[2]))
+    want = sorted(want, key=lambda x: (str(x[0]), x[1], x[2]))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(g[2] == pytest.approx(w[2], rel=1e-9, abs=1e-9) and (g[3] is None) == (g[1] == 0) for g, w in zip(got, want))
-    assert lm.score(df.limit(0), passes=1).count() == 0
+
+
+@pytest.mark.parametrize(("order", "least", "chunk"), [(3, 1, 1_000_000), (3, 2, 50), (2, 3, 400), (1, 2, 7), (4, 1, 100), (5, 2, 1000)])
+def test_scores_equal_a_plain_version(spark, monkeypatch, order, least, chunk):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "ROWS", 11)
+    df = spark.createDataFrame([(*x, 1, 2) for x in corpus()], "doc_id long, text string, chunk int, words int")
+    held(lm.score(df, order=order, min_count=least).collect(), brute(corpus(), order, least))
+    assert lm.score(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_scores_by_another_corpus(spark, least):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    others = [(1, "the w1 w2 the w1"), (2, None), (3, "w3 the w1 w2 unheard"), (4, "w1 w2")]
+    held(lm.score(df, corpus=spark.createDataFrame(others, "doc_id long, text string"), min_count=least).collect(), brute(corpus(), 3, least, corpus=others))
+
+
+def test_no_key_has_more_than_a_row_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 200)
+    rows = [(k, "of the " * 20) for k in range(50)]
+    chunks = lm.chunked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).cache()
+    n = chunks.select("chunk").distinct().count()
+    per = lm.exploded(chunks, 3).groupBy("gram").count().agg({"count": "max"}).first()[0]
+    assert n >= 10 and per <= n
 
 
 def test_best_fit_decreasing_equals_a_plain_search():
