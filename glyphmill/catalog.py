@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill import catalog_steps, catalog_tokens
+from glyphmill.functions import masks
 from glyphmill.operators import analyze, changelog, normalize, report, scripts, summary
 from glyphmill.plans import analysis
 from glyphmill.streaming import stream
@@ -43,6 +44,19 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _change_log("")(spark, sf_dir).where("step not like 'look-alike %'").select("step", "n_changed")
 
 
+def line_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of the characters of each document as bits, a piece for every step at its end."""
+    return catalog_steps.pieced(spark, sf_dir, catalog_steps.mixed_pieces()).select("doc_id", masks.mask(F.col("text")).alias("mask"))
+
+
+def sql_line_masks() -> str:
+    """Characters joined to the ranges of all classes."""
+    ranges = ", ".join(f"({lo}, {hi}, {masks.bits()[name]})" for name, chars in masks.classes().items() for lo, hi in masks.ranges(chars))
+    chars = f"SELECT DISTINCT doc_id, ord(ch) AS cp FROM (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM ({catalog_steps.start(catalog_steps.mixed_pieces())})) WHERE ch <> ''"
+    known = f"SELECT cp, bit_or(bit::BIGINT) AS bits FROM (SELECT DISTINCT cp FROM chars) JOIN (VALUES {ranges}) AS r(lo, hi, bit) ON cp BETWEEN lo AND hi GROUP BY cp"
+    return f"WITH chars AS MATERIALIZED ({chars}), known AS ({known}) SELECT doc_id, coalesce(bit_or(bits), 0)::BIGINT AS mask FROM chars LEFT JOIN known USING (cp) GROUP BY doc_id"
+
+
 def _text(f: Callable[[DataFrame], DataFrame], name: str = "documents", col: str = "text") -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumnRenamed(col, "text") if col != "text" else spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
@@ -88,6 +102,7 @@ QUERIES |= {
     "change_log_changed": changed_lines,
     "change_log_by_step_fas": _change_log("fas"),
     "change_log_by_step_pas": _change_log("pas"),
+    "line_masks": line_masks,
     "overview": _text(analyze.overview),
     "char_count": _text(analyze.char_counts),
     "char_count_by_lang": _text(lambda d: analyze.char_counts(d, by=["lang"])),
@@ -118,6 +133,7 @@ for _key, _p in (analyze.XML | {"xml_nested": analyze.NESTED}).items():
 _words = _q(analyze.WORD)
 ORACLE_SQL |= {
     "change_log_changed": catalog_steps.sql_changed(normalize.chosen("all"), ""),
+    "line_masks": sql_line_masks(),
     "letters_after_default": rf"SELECT script, sum(n)::BIGINT AS n, string_agg(ch, '' ORDER BY ord(ch)) AS letters FROM (SELECT ch, count(*) AS n, CASE WHEN regexp_matches(ch, '\p{{Latin}}') THEN 'LATIN' WHEN regexp_matches(ch, '\p{{Cyrillic}}') THEN 'CYRILLIC' END AS script FROM (SELECT unnest(string_split(normalized, '')) AS ch FROM ({catalog_steps.sql_chain(normalize.DEFAULT, '', [''])})) WHERE regexp_matches(ch, '^\pL$') GROUP BY ch) GROUP BY script",
     "orphan_marks": r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' ' || chr(769) || 'x 1' || chr(776), '\S+')) AS token FROM documents) WHERE regexp_matches(token, '(^|[^\pL\pM])\pM') GROUP BY token",
     "overview": "SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, (sum(length(text)) + count(*))::BIGINT AS n_characters FROM documents WHERE text IS NOT NULL",

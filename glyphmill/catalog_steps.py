@@ -221,7 +221,7 @@ def _query(steps: frozenset[str], lang: str, pieces: Callable[[], list[str]]) ->
     return lambda spark, sf_dir: pieced(spark, sf_dir, pieces()).select("doc_id", normalize.normalize(F.col("text"), steps, lang).alias("normalized"))
 
 
-def _start(pieces: list[str]) -> str:
+def start(pieces: list[str]) -> str:
     return f"SELECT doc_id, text || list_extract([{', '.join(map(q, pieces))}], (doc_id % {len(pieces)} + 1)::INT) AS t FROM documents"
 
 
@@ -233,7 +233,7 @@ def _runs(steps: frozenset[str], lang: str) -> list[str]:
 
 def sql_chain(steps: frozenset[str], lang: str, pieces: list[str]) -> str:
     """SQL of the steps, each on what the one before has made."""
-    with_ = [f"s0 AS ({_start(pieces)})"]
+    with_ = [f"s0 AS ({start(pieces)})"]
     for k, name in enumerate(_runs(steps, lang)):
         with_.append(f"s{k + 1} AS MATERIALIZED (SELECT doc_id, {sql_step(name, 't')} AS t FROM s{k})")
     return f"WITH {', '.join(with_)} SELECT doc_id, regexp_replace(t, ' +(\\t|\\n|$)', '\\1', 'g') AS normalized FROM s{len(with_) - 1}"
@@ -242,7 +242,7 @@ def sql_chain(steps: frozenset[str], lang: str, pieces: list[str]) -> str:
 def sql_changed(steps: frozenset[str], lang: str) -> str:
     """SQL of the lines that each step changes, and of all that change."""
     run = _runs(steps, lang)
-    with_ = [f"s0 AS (SELECT line AS o, line AS t, []::BOOLEAN[] AS c FROM (SELECT unnest(string_split(t, chr(10))) AS line FROM ({_start(mixed_pieces())})))"]
+    with_ = [f"s0 AS (SELECT line AS o, line AS t, []::BOOLEAN[] AS c FROM (SELECT unnest(string_split(t, chr(10))) AS line FROM ({start(mixed_pieces())})))"]
     for k, name in enumerate(run):
         with_.append(f"s{k + 1} AS MATERIALIZED (SELECT o, n AS t, list_append(c, n <> t) AS c FROM (SELECT o, t, c, {sql_step(name, 't')} AS n FROM s{k}))")
     rows = [f"SELECT 'all' AS step, count(*) FILTER (o <> t) AS n_changed FROM s{len(run)}"]

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions import masks
 from glyphmill.operators import lookalike, normalize
 
 #: What becomes of mixed words, in the order of the printed log.
@@ -44,7 +45,7 @@ def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "
     chosen = [s for s in normalize.with_look_alikes(look_alikes) if s.name in enabled or s.name in normalize.ALWAYS]
     text = F.col(text_col)
     # Exploded, so that the plan repeats neither the gates nor the steps.
-    opened = df.where(text.isNotNull()).select(text.alias("_text"), F.explode(F.array(F.array(*[s.gate(text, lang) for s in chosen]))).alias("g"))
+    opened = df.where(text.isNotNull()).select(text.alias("_text"), F.explode(F.array(normalize.let(masks.mask(text), lambda m: F.array(*[s.opens(m, lang) for s in chosen])))).alias("g"))
     states = opened.select("_text", "g", F.explode(F.array(_logged(F.col("_text"), chosen, F.col("g"), look_alikes))).alias("x"))
 
     def total(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """Normalization as Column expressions: named steps, each behind a gate on the original text.
 
-Every step is a JVM expression (translate, regexp_replace, or a lookup over extracted pieces), applied only where its gate, tested
-on the original text, is open; steps that are not enabled are not in the plan. Null stays null.
+Every step is a JVM expression (translate, regexp_replace, or a lookup over extracted pieces), applied only where its gate is open;
+gates read one mask of the original's characters. Runs of ASCII are passed over whole by the steps whose sources lie beyond it.
+Steps that are not enabled are not in the plan. Null stays null.
 """
 
 from __future__ import annotations
@@ -9,41 +10,55 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
+from glyphmill.functions import masks
+from glyphmill.functions.masks import class_of, let
 from glyphmill.operators import lookalike
 
 DEFAULT = frozenset("repair-encoding-errors del-surrogate del-ctrl-char del-tatweel core-compat pres-form hangul repair-combining combining-compose combining-decompose repair-xml repair-url-escapes".split())
 
 
-def class_of(chars) -> str:
-    """A regular expression's class of single characters, as ranges."""
-    cps, out = sorted({ord(c) for c in chars}), []
-    for c in cps:
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "[" + "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{z:X}}}" if z > a else "") for a, z in out) + "]"
+#: Separates the entries of tables in one literal; a code point that is never assigned.
+SEPARATOR = "\uffff"
+
+
+def strings(values: Iterable[str]) -> Column:
+    """An array of strings from one literal, made when the plan is optimized; a literal an entry would make the plan as long as the table."""
+    return F.split(F.lit(SEPARATOR.join(values)), SEPARATOR)
 
 
 def looked_up(c: Column, table: dict[str, str]) -> Column:
-    """Replaces single characters by their targets: one to one by translate, others piece by piece."""
+    """Replaces single characters by their targets: one to one by translate, others piece by piece, where runs of ASCII are a piece."""
     one = {k: v for k, v in table.items() if len(v) == 1}
     more = {k: v for k, v in table.items() if len(v) > 1}
     gone = [k for k, v in table.items() if not v]
-    if more:
-        c = pieces(c, class_of(more), more, f"[^{class_of(more)[1:]}+")
-    return F.translate(c, "".join([*one, *gone]), "".join(one.values())) if one or gone else c
+    rest = lambda x: F.translate(x, "".join([*one, *gone]), "".join(one.values())) if one or gone else x
+    if not more:
+        return rest(c) if one else F.regexp_replace(c, F.lit(f"{class_of(gone)}+"), F.lit("")) if gone else c
+    # a source's place in the table, as a character that translate gives, is where its target is
+    keys, base = sorted(more), 0x4E00
+    places = "".join(chr(base + k) for k in range(len(keys)))
+    targets = strings(more[k] for k in keys)
+    ascii_run, others = ("[\\x00-\\x7F]+|", "\\x00-\\x7F") if min(table) > "\x7f" else ("", "")
+    inside = class_of(more)[1:]
+    parts = F.regexp_extract_all(c, F.lit(f"{ascii_run}[{inside}|[^{others}{inside}+"), F.lit(0))
+
+    def part(x: Column) -> Column:
+        found = F.when(x.rlike(f"^[{inside}"), F.get(targets, F.ascii(F.translate(x, "".join(keys), places)) - base)).otherwise(rest(x))
+        return F.when(x < "\x80", x).otherwise(found) if ascii_run else found
+
+    return F.array_join(F.transform(parts, part), "")
 
 
 def pieces(c: Column, pattern: str, table: dict[str, str], rest: str) -> Column:
     """Looks up each match of the pattern; rest matches runs in which no match can begin, which stay as one piece."""
     keys = sorted(table)
-    found = F.map_from_arrays(F.lit(keys), F.lit([table[k] for k in keys]))
+    found = F.map_from_arrays(strings(keys), strings(table[k] for k in keys))
     parts = F.regexp_extract_all(c, F.lit(f"{pattern}|{rest}|[\\s\\S]"), F.lit(0))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^(?:{pattern})$"), F.coalesce(F.try_element_at(found, x), x)).otherwise(x)), "")
 
@@ -68,32 +83,36 @@ def table_step(table: Callable[[], dict[str, str]] | dict[str, str], *ranges) ->
     return apply
 
 
-def has(chars) -> Callable[[Column, str], Column]:
-    return lambda c, lang: c.rlike(class_of(chars))
+@dataclass(frozen=True)
+class Gate:
+    """A test of the mask of a text's characters (see masks) and of its language; classes: those it asks for."""
+
+    classes: frozenset[str]
+    test: Callable[[Column, str], Column]
+
+    def __call__(self, m: Column, lang: str) -> Column:
+        return self.test(m, lang)
+
 
+def has(*names: str) -> Gate:
+    """Any of the classes occurs."""
+    return Gate(frozenset(names), lambda m, lang: masks.holds(m, *names))
 
-def both(*gates) -> Callable[[Column, str], Column]:
-    def test(c: Column, lang: str) -> Column:
-        out = gates[0](c, lang)
-        for g in gates[1:]:
-            out = out & g(c, lang)
-        return out
 
-    return test
+def both(*gates: Gate) -> Gate:
+    return Gate(frozenset().union(*(g.classes for g in gates)), lambda m, lang: reduce(Column.__and__, (g(m, lang) for g in gates)))
 
 
-def either(*gates) -> Callable[[Column, str], Column]:
-    def test(c: Column, lang: str) -> Column:
-        out = gates[0](c, lang)
-        for g in gates[1:]:
-            out = out | g(c, lang)
-        return out
+def spoken(*langs: str, other: bool = False) -> Gate:
+    return Gate(frozenset(), lambda m, lang: F.lit((lang in langs) != other))
 
-    return test
 
+def _two_scripts(m: Column, lang: str) -> Column:
+    latin, greek, cyrillic = (masks.holds(m, x) for x in ("latin", "greek", "cyrillic"))
+    return (latin & greek) | (latin & cyrillic) | (greek & cyrillic)
 
-def spoken(*langs: str, other: bool = False) -> Callable[[Column, str], Column]:
-    return lambda c, lang: F.lit((lang in langs) != other)
+
+two_scripts = Gate(frozenset({"latin", "greek", "cyrillic"}), _two_scripts)
 
 
 def everything() -> dict[str, str]:
@@ -101,12 +120,6 @@ def everything() -> dict[str, str]:
     return M.literal() | M.core() | M.presentation() | M.cjk() | M.composing()[1] | M.enclosure() | M.font()
 
 
-CONTROL = M.span((0, 8), 0x0B, 0x0C, (0x0E, 0x1F), 0x7F, (0x80, 0x9F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
-WIDTHLESS = M.span((0x200B, 0x200F), 0xFEFF)
-ARABIC = M.span((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE))
-PRESENTED = has(M.span((0xFB50, 0xFDFF), (0xFE70, 0xFEFE)))
-GEORGIAN = M.span((0x10A0, 0x10FE), (0x1C90, 0x1CBE), (0x2D00, 0x2D2E))
-NUKTA = M.span(0x093C, 0x09BC, 0x0A3C, 0x0ABC, 0x0B3C, 0x0CBC, 0x1C37, 0x110BA, 0x11173, 0x111CA, 0x11236, 0x112E9, 0x1133C, 0x11446, 0x114C3, 0x115C0, 0x116B7, 0x1183A, 0x11943, 0x11D42, 0x1E94A)
 #: Vowel signs (first, last) and nukta by script.
 NUKTA_ORDER = [("ा", "्", "़"), ("া", "্", "়"), ("ਾ", "੍", "਼"), ("ા", "્", "઼"), ("ା", "୍", "଼"), ("ಾ", "್", "಼"), ("ᰦ", "ᰬ", "᰷"), ("\U000110b0", "\U000110b8", "\U000110ba"), ("\U000111b3", "\U000111c0", "\U000111ca"), ("\U0001122c", "\U00011235", "\U00011236"), ("\U000112e0", "\U000112e8", "\U000112e9"), ("\U0001133e", "\U0001134d", "\U0001133c"), ("\U00011435", "\U00011442", "\U00011446"), ("\U000114b0", "\U000114c2", "\U000114c3"), ("\U000115af", "\U000115bf", "\U000115c0"), ("\U000116ad", "\U000116b6", "\U000116b7"), ("\U0001182c", "\U00011839", "\U0001183a"), ("\U00011930", "\U0001193e", "\U00011943"), ("\U00011d31", "\U00011d3f", "\U00011d42")]
 ACCENTS, INDIC = r"[\x{300}-\x{36F}\x{653}-\x{655}\x{3099}\x{309A}]", r"[\x{93C}\x{9BE}-\x{102E}\x{1B35}\x{11000}-\x{115FF}]"
@@ -163,55 +176,52 @@ def georgian(c: Column) -> Column:
 @dataclass(frozen=True)
 class Step:
     name: str
-    gate: Callable[[Column, str], Column]
+    opens: Gate
     apply: Callable[[Column], Column]
 
-
-def _gate(table: Callable, where=None) -> Callable[[Column, str], Column]:
-    return lambda c, lang: c.rlike(class_of(k[0] for k in table() if where is None or where(k)))
+    def gate(self, text: Column, lang: str) -> Column:
+        """Whether the step is called on a text."""
+        return let(masks.mask(text, self.opens.classes), lambda m: self.opens(m, lang))
 
 
-_core = _gate(M.core)
-_font = _gate(M.font)
-_digit = _gate(M.digits)
 #: In order of application.
 STEPS = [
-    Step("repair-encoding-errors", has(M.span((0x80, 0x9F), 0xC2, 0xC3, 0xC5, 0xC6, 0xCB, 0xE2)), unbroken),
-    Step("del-ctrl-char", has([*CONTROL, *WIDTHLESS]), replaced((class_of(M.span((0, 8), 0x0B, 0x0C, (0x0E, 0x1F), 0x7F, (0x80, 0x9F))), ""), (r"(?<=[\x{0}-\x{218F}])[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]", ""))),
-    Step("del-zero-width", has([*CONTROL, *WIDTHLESS]), table_step(dict.fromkeys(M.ZERO_WIDTH, ""))),
-    Step("del-tatweel", has(M.TATWEEL), table_step({M.TATWEEL: ""})),
-    Step("del-arabic-diacr", has(M.ARABIC_MARKS), table_step(dict.fromkeys(M.ARABIC_MARKS, ""))),
-    Step("del-hebrew-diacr", has(M.HEBREW_POINTS), table_step(dict.fromkeys(M.HEBREW_POINTS, ""))),
-    Step("core-compat", _core, table_step(everything, (0x2160, 0x217F), (0x3131, 0x318E), 0x0E33, 0x0EB3, 0x0EDC, 0x0EDD)),
-    Step("pres-form", PRESENTED, table_step(everything, (0xFB50, 0xFDFF), (0xFE70, 0xFEFC))),
-    Step("ligatures", has([*M.LIGATURES, *"ำຳໜໝ"]), table_step(M.LIGATURES)),
-    Step("signs-and-symbols", has(M.SIGNS), table_step(M.SIGNS)),
-    Step("cjk", _gate(M.cjk), table_step(everything, (0x2F00, 0x2FDF), (0x3038, 0x303A), 0x3250, (0x32C0, 0x33FF), (0xF900, 0xFAFF), 0x1F190, 0x1F200, (0x2F800, 0x2FA1F))),
-    Step("width", has(M.span((0xFF01, 0xFFEE))), table_step(everything, (0xFF01, 0xFFEE))),
-    Step("font", _font, table_step(everything, (0x2102, 0x2149), (0xFB20, 0xFB29), (0x1D400, 0x1D7FF), (0x1EE00, 0x1EEBB), (0x1FBF0, 0x1FBF9))),
-    Step("small", _font, table_step(everything, (0xFE50, 0xFE6F))),
-    Step("vertical", _font, table_step(everything, 0x309F, 0x30FF, (0xFE10, 0xFE19), (0xFE30, 0xFE48))),
-    Step("enclosure", _gate(M.enclosure), table_step(everything, (0x2460, 0x2488), (0x249C, 0x2500), 0x3036, (0x3200, 0x32C0), (0x32D0, 0x32FF), (0x1F110, 0x1F16A), (0x1F201, 0x1F260))),
-    Step("hangul", has(M.span((0x1161, 0x1175))), syllables),
-    Step("repair-combining", has(NUKTA), nuktas),
-    Step("combining-compose", both(_gate(lambda: M.composing()[0]), lambda c, lang: c.rlike(class_of(k[1] for k in M.composing()[0]))), composed),
-    Step("combining-decompose", _gate(lambda: M.composing()[1]), table_step(everything, 0x0344, (0x0958, 0x095F), (0x09DC, 0x0B5D), (0x0F43, 0x0FB9), 0x2ADC, (0xFB1D, 0xFB4E), (0x1D100, 0x1D1FF))),
-    Step("punct", _core, lambda c: table_step(everything, 0x2011, (0x2024, 0x2026), (0x2033, 0x203C), (0x2047, 0x2057), 0x2329, 0x232A, (0x2A74, 0x2A76), (0x222C, 0x2230), 0x2A0C, (0x2488, 0x249B), (0x1F100, 0x1F10A))(looked_up(c, M.PUNCT))),
-    Step("punct-arabic", has([*M.PUNCT_ARABIC, *M.ARABIC_MARKS]), table_step(M.PUNCT_ARABIC)),
-    Step("punct-cjk", has(M.PUNCT_CJK), table_step(M.PUNCT_CJK)),
-    Step("punct-greek", has(M.PUNCT_GREEK), table_step(M.PUNCT_GREEK)),
-    Step("punct-misc-f", has(M.PUNCT_MISC), table_step(M.PUNCT_MISC)),
-    Step("punct-dash", has([*M.DASHES, *"­︱︲﹘﹣－"]), table_step(M.DASHES)),
-    Step("space", has(M.SPACES), table_step(M.SPACES)),
-    Step("digit", _digit, table_step(M.digits)),
-    Step("farsi-char", both(spoken("fas"), has(ARABIC), either(has(M.FARSI), PRESENTED)), table_step(M.FARSI)),
-    Step("pashto-char", both(spoken("pas"), has(ARABIC), either(has(M.PASHTO), PRESENTED)), table_step(M.PASHTO)),
-    Step("arabic-char", both(spoken("fas", "pas", other=True), has(ARABIC), either(has(M.ARABIC), PRESENTED)), table_step(M.ARABIC)),
-    Step("georgian-char", has(GEORGIAN), georgian),
-    Step("look-alike", lambda c, lang: lookalike.gate(c), lookalike.repaired),
-    Step("repair-xml", lambda c, lang: c.contains("&") & c.contains(";"), replaced((r"(?i)(?<=&)(?:amp;)+(?=(?:amp|apos|gt|lt|nbsp|quot|#\d{1,6}|#x[0-9A-F]{1,5});)", ""))),
-    Step("repair-url-escapes", lambda c, lang: c.contains("%"), replaced((r"%25([CD][0-9A-F]%)25([89AB][0-9A-F])", "%$1$2"), (r"%25(E[0-9A-F]%)25([89AB][0-9A-F]%)25([89AB][0-9A-F])", "%$1$2$3"))),
-    Step("repair-token", both(has(ARABIC), either(has("0123456789-_+*|%"), _digit)), replaced((r"([-_+*|%0-9]+)([\x{600}-\x{6FF}])", "$1 $2"), (r"([\x{600}-\x{6FF}])([-_+*|%0-9]+)", "$1 $2"))),
+    Step("repair-encoding-errors", has("broken"), unbroken),
+    Step("del-ctrl-char", has("control"), replaced((class_of(M.span((0, 8), 0x0B, 0x0C, (0x0E, 0x1F), 0x7F, (0x80, 0x9F))), ""), (r"(?<=[\x{0}-\x{218F}])[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]", ""))),
+    Step("del-zero-width", has("control"), table_step(dict.fromkeys(M.ZERO_WIDTH, ""))),
+    Step("del-tatweel", has("tatweel"), table_step({M.TATWEEL: ""})),
+    Step("del-arabic-diacr", has("arabic mark"), table_step(dict.fromkeys(M.ARABIC_MARKS, ""))),
+    Step("del-hebrew-diacr", has("hebrew point"), table_step(dict.fromkeys(M.HEBREW_POINTS, ""))),
+    Step("core-compat", has("core"), table_step(everything, (0x2160, 0x217F), (0x3131, 0x318E), 0x0E33, 0x0EB3, 0x0EDC, 0x0EDD)),
+    Step("pres-form", has("presented"), table_step(everything, (0xFB50, 0xFDFF), (0xFE70, 0xFEFC))),
+    Step("ligatures", has("ligature"), table_step(M.LIGATURES)),
+    Step("signs-and-symbols", has("sign"), table_step(M.SIGNS)),
+    Step("cjk", has("cjk"), table_step(everything, (0x2F00, 0x2FDF), (0x3038, 0x303A), 0x3250, (0x32C0, 0x33FF), (0xF900, 0xFAFF), 0x1F190, 0x1F200, (0x2F800, 0x2FA1F))),
+    Step("width", has("width"), table_step(everything, (0xFF01, 0xFFEE))),
+    Step("font", has("font"), table_step(everything, (0x2102, 0x2149), (0xFB20, 0xFB29), (0x1D400, 0x1D7FF), (0x1EE00, 0x1EEBB), (0x1FBF0, 0x1FBF9))),
+    Step("small", has("font"), table_step(everything, (0xFE50, 0xFE6F))),
+    Step("vertical", has("font"), table_step(everything, 0x309F, 0x30FF, (0xFE10, 0xFE19), (0xFE30, 0xFE48))),
+    Step("enclosure", has("enclosure"), table_step(everything, (0x2460, 0x2488), (0x249C, 0x2500), 0x3036, (0x3200, 0x32C0), (0x32D0, 0x32FF), (0x1F110, 0x1F16A), (0x1F201, 0x1F260))),
+    Step("hangul", has("jamo vowel"), syllables),
+    Step("repair-combining", has("nukta"), nuktas),
+    Step("combining-compose", both(has("anchor"), has("mark")), composed),
+    Step("combining-decompose", has("apart"), table_step(everything, 0x0344, (0x0958, 0x095F), (0x09DC, 0x0B5D), (0x0F43, 0x0FB9), 0x2ADC, (0xFB1D, 0xFB4E), (0x1D100, 0x1D1FF))),
+    Step("punct", has("core"), lambda c: table_step(everything, 0x2011, (0x2024, 0x2026), (0x2033, 0x203C), (0x2047, 0x2057), 0x2329, 0x232A, (0x2A74, 0x2A76), (0x222C, 0x2230), 0x2A0C, (0x2488, 0x249B), (0x1F100, 0x1F10A))(looked_up(c, M.PUNCT))),
+    Step("punct-arabic", has("arabic punctuation"), table_step(M.PUNCT_ARABIC)),
+    Step("punct-cjk", has("cjk punctuation"), table_step(M.PUNCT_CJK)),
+    Step("punct-greek", has("greek punctuation"), table_step(M.PUNCT_GREEK)),
+    Step("punct-misc-f", has("other punctuation"), table_step(M.PUNCT_MISC)),
+    Step("punct-dash", has("dash"), table_step(M.DASHES)),
+    Step("space", has("space"), table_step(M.SPACES)),
+    Step("digit", has("digit"), table_step(M.digits)),
+    Step("farsi-char", both(spoken("fas"), has("arabic"), has("farsi", "presented")), table_step(M.FARSI)),
+    Step("pashto-char", both(spoken("pas"), has("arabic"), has("pashto", "presented")), table_step(M.PASHTO)),
+    Step("arabic-char", both(spoken("fas", "pas", other=True), has("arabic"), has("arabic letter", "presented")), table_step(M.ARABIC)),
+    Step("georgian-char", has("georgian"), georgian),
+    Step("look-alike", two_scripts, lookalike.repaired),
+    Step("repair-xml", both(has("ampersand"), has("semicolon")), replaced((r"(?i)(?<=&)(?:amp;)+(?=(?:amp|apos|gt|lt|nbsp|quot|#\d{1,6}|#x[0-9A-F]{1,5});)", ""))),
+    Step("repair-url-escapes", has("percent"), replaced((r"%25([CD][0-9A-F]%)25([89AB][0-9A-F])", "%$1$2"), (r"%25(E[0-9A-F]%)25([89AB][0-9A-F]%)25([89AB][0-9A-F])", "%$1$2$3"))),
+    Step("repair-token", both(has("arabic"), has("detached", "digit")), replaced((r"([-_+*|%0-9]+)([\x{600}-\x{6FF}])", "$1 $2"), (r"([\x{600}-\x{6FF}])([-_+*|%0-9]+)", "$1 $2"))),
 ]
 NAMES = [s.name for s in STEPS]
 #: Applied whatever is chosen.
@@ -224,33 +234,35 @@ def chosen(base: str = "default", add=(), skip=()) -> frozenset[str]:
     return (start - frozenset(skip)) | frozenset(add)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once, however often body names it: expressions grow with the steps, not as their power."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def with_look_alikes(rows: Iterable[str] | None) -> list[Step]:
     """The steps, look-alike by the given rows (the built-in ones without)."""
     if rows is None:
         return STEPS
     rows = list(rows)
-    return [Step(s.name, s.gate, lambda c: lookalike.repaired(c, rows)) if s.name == "look-alike" else s for s in STEPS]
+    return [Step(s.name, s.opens, lambda c: lookalike.repaired(c, rows)) if s.name == "look-alike" else s for s in STEPS]
 
 
 def normalize(text: Column, steps: frozenset[str] | None = None, lang: str = "", look_alikes: Iterable[str] | None = None, table: dict[str, str] | None = None) -> Column:
     """The normalized text. Gates look at the original, steps at what the steps before have made of it.
 
     look_alikes: rows for the step look-alike. table: single characters and their targets, looked up after all steps."""
-    steps, out = DEFAULT if steps is None else steps, text
-    for s in with_look_alikes(look_alikes):
-        if s.name in steps or s.name in ALWAYS:
-            out = _guarded(out, text, s, lang)
+    steps = DEFAULT if steps is None else steps
+    mine = [s for s in with_look_alikes(look_alikes) if s.name in steps or s.name in ALWAYS]
+
+    def guarded(s: Step, m: Column) -> Callable[[Column], Column]:
+        return lambda now: F.when(s.opens(m, lang), s.apply(now)).otherwise(now)
+
+    def chain(x: Column, m: Column) -> Column:
+        for s in mine:
+            x = let(x, guarded(s, m))
+        return x
+
+    # a text without a character of any class is left as it is
+    asked = frozenset().union(*(s.opens.classes for s in mine))
+    out = let(text, lambda x: let(masks.mask(x, asked), lambda m: F.when(m == 0, x).otherwise(chain(x, m))))
     if table:
         if long := [k for k in table if len(k) != 1]:
             raise ValueError(f"sources must be single characters: {long[:5]}")
         out = let(out, lambda x: F.when(x.rlike(class_of(table)), looked_up(x, table)).otherwise(x))
     return F.regexp_replace(out, "(?<! ) ++(?=[\t\n]|$(?![\\s\\S]))", "")
 
-
-def _guarded(now: Column, text: Column, step: Step, lang: str) -> Column:
-    return let(now, lambda x: F.when(step.gate(text, lang), step.apply(x)).otherwise(x))
