@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,18 @@ class Scratch:
         self.paths.clear()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark removes a query's shuffle files as soon as the query has ended, so that stored steps don't add theirs up."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
     """left.join(right, key), where right (stored) has one row a key and in size the key's rows in left. A small right side is
     broadcast. Of a larger one only hot keys are, those with more than HOT_ROWS rows or more than a BROADCAST_ROWSth of all;

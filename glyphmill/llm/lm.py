@@ -7,7 +7,8 @@ score(docs) counts the n-grams (n up to order) of all documents, or of another c
    one row a chunk: of all rows it has one in as many as a chunk has different n-grams, and no key is hot.
 3. One shuffle by the hash of n-grams serves both sides: summed there they make the count table, and joined to it where they lie
    each row gets its count. Counts go back to their chunks; those of 1 need not, as what is missing in a chunk then occurs once.
-4. A chunk and its counts meet in one task, which scores the chunk's documents place by place and sums per document: a word
+   This is done for PARTS parts of the hashes in turn, so that the disk holds the n-grams of one part.
+4. A chunk and its counts meet in one task (in TURNS turns by chunk), which scores the chunk's documents place by place and sums per document: a word
    after the longest context of which the n-gram is seen gets log count(n-gram) - log count(context), log BACKOFF for each shorter
    one tried, and a single word log count - log words.
 
@@ -32,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, over_batches, stored
+from glyphmill.llm.common import Scratch, over_batches, shuffles_removed, stored
 
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Words held by a worker's memo, and words of a chunk.
 MEMO, CHUNK = 200_000, 1_000_000
 #: Rows that a worker hands on at once.
 ROWS = 250_000
+#: Parts of the hashes, and of the chunks, that are done in turn.
+PARTS, TURNS = 4, 2
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,24 +96,25 @@ def chunked(docs: DataFrame) -> DataFrame:
     return over_batches(docs, work, "chunk long, doc_id long, words array<long>")
 
 
-def distinct_grams(words: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of documents and how often each occurs; in the order of hashes."""
-    found = [np.concatenate(x) for x in zip(*(grams(h, order) for h in words))]
+def distinct_grams(words: list[np.ndarray], order: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of documents in a part, by hash, and how often each occurs."""
+    found = [g[g % np.uint64(PARTS) == part] for h in words for g in grams(h, order)]
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def exploded(chunks: DataFrame, order: int) -> DataFrame:
-    """gram, chunk, n: the n-grams of each chunk, one row for each. A chunk that two tasks read is two parts, with rows of their own."""
+def exploded(chunks: DataFrame, order: int, part: int) -> DataFrame:
+    """gram, chunk, n: the n-grams of each chunk whose hashes lie in a part of PARTS, one row for each. A chunk that two tasks read has
+    rows of each."""
     schema = pa.schema([("gram", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            g, n = distinct_grams(held, order)
+            g, n = distinct_grams(held, order, part)
             for k in range(0, len(g), ROWS):
-                part = g[k : k + ROWS].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), now)), pa.array(n[k : k + ROWS])], schema=schema)
+                some = g[k : k + ROWS].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), now)), pa.array(n[k : k + ROWS])], schema=schema)
 
         for b in batches:
             flat, ends = b.column(1).values.to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
@@ -168,16 +172,23 @@ def scored(chunks: DataFrame, counts: DataFrame, order: int, total: int, missing
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, corpus: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score per row of docs, by the counts of corpus (docs without)."""
     text = F.col(text_col).cast("string").alias("text")
-    with Scratch(docs.sparkSession) as s:
+    with shuffles_removed(docs.sparkSession), Scratch(docs.sparkSession) as s:
         chunks = s.stored(chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), text)), "chunks")
         source = chunks if corpus is None else s.stored(chunked(corpus.select(F.lit(None).cast("long").alias("doc_id"), text)), "corpus")
         total = source.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
-        rows = exploded(chunks, order)
-        if corpus is not None:
-            rows = rows.withColumn("n", F.lit(0).cast("long")).unionByName(exploded(source, order).withColumn("chunk", F.lit(None).cast("long")))
-        least = 2 if corpus is None else 1
-        dealt = rows.repartition("gram")  # one exchange for the count table and for what is joined to it
-        table = dealt.groupBy("gram").agg(F.sum("n").alias("of")).where(F.col("of") >= least)
-        counts = dealt.where("chunk is not null").join(table, "gram").select("chunk", "gram", F.col("of").alias("n"))
-        out = stored(scored(chunks, counts, order, total, least - 1, min_count, backoff), "scored")
+        least, counts = (2 if corpus is None else 1), None
+        for part in range(PARTS):
+            with Scratch(docs.sparkSession) as t:
+                rows = exploded(chunks, order, part)
+                if corpus is not None:
+                    rows = rows.withColumn("n", F.lit(0).cast("long")).unionByName(exploded(source, order, part).withColumn("chunk", F.lit(None).cast("long")))
+                dealt = t.stored(rows, "grams").repartition("gram")  # one exchange for the count table and for what is joined to it
+                table = dealt.groupBy("gram").agg(F.sum("n").alias("of")).where(F.col("of") >= least)
+                found = s.stored(dealt.where("chunk is not null").join(table, "gram").select("chunk", "gram", F.col("of").alias("n")), "counts")
+            counts = found if counts is None else counts.unionByName(found)
+        out = None
+        for part in range(TURNS):
+            mine = F.pmod("chunk", F.lit(TURNS)) == part
+            rows = stored(scored(chunks.where(mine), counts.where(mine), order, total, least - 1, min_count, backoff), "scored")
+            out = rows if out is None else out.unionByName(rows)
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
