@@ -6,7 +6,7 @@ keeps the minimal rules tokens -> BLOCKED of MIN_CONFIDENCE, MIN_SUPPORT (and MI
 smaller one makes needless is not kept. What can't be in a minimal rule is not mined, so that many tokens in common (a
 trap's parameters) make few sets: tokens in too few blocked URLs, tokens that are a rule alone, and of tokens that always
 occur together all but one, which stands for the set. judge(pages, rules) matches rules by an inverted index: a rule stands under its rarest token, a URL's tokens are joined to the index, and the rule fits if the URL
-has all of its tokens, once for each different URL. Fixed rules for a host and its subdomains and a path prefix go first; the longest wins.
+has all of its tokens, once for each different URL. What is known of URLs with many rows is broadcast to these (see common.lookup). Fixed rules for a host and its subdomains and a path prefix go first; the longest wins.
 
 Only DataFrame and ML functions of the JVM run here. The rules are broadcast if they are RULES_BROADCAST at most, else
 joined by shuffle. Null URLs are in no join.
@@ -24,7 +24,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, stored
+from glyphmill.llm.common import Scratch, lookup, stored
 
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, LIFT, RULES_BROADCAST = 0.002, 8, 0.6, 1.5, 50_000
 BLOCKED = "=blocked"
@@ -93,13 +93,15 @@ def judge(pages: DataFrame, rules: DataFrame, fixed: Sequence[tuple[str, str, st
     """page_id, host, path, rule, verdict, confidence per row. fixed: (verdict, host, path prefix)."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     index = F.broadcast(rules) if rules.limit(RULES_BROADCAST + 1).count() <= RULES_BROADCAST else rules
-    asked = rows.select("url").where("url is not null").distinct().select("url", tokens_of(F.col("url")).alias("has")).select("url", "has", F.explode("has").alias("token"))
+    urls = stored(rows.where("url is not null").groupBy("url").agg(F.count("*").alias("times")), "urls")
+    asked = urls.select("url", tokens_of(F.col("url")).alias("has")).select("url", "has", F.explode("has").alias("token"))
     hits = asked.join(index, "token").where(F.forall("tokens", lambda t: F.array_contains("has", t))).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    known = stored(urls.join(hits, "url", "left"), "judged")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, host, path in sorted(reversed(fixed), key=lambda r: len(r[1] + r[2])):  # the longest, of these the first, is put outermost
         fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
-    judged = rows.where("url is not null").join(hits, "url", "left").unionByName(rows.where("url is null").withColumn("confidence", F.lit(None).cast("double")))
+    judged = lookup(rows.where("url is not null"), known, "url", "times").drop("times").unionByName(rows.where("url is null").withColumn("confidence", F.lit(None).cast("double")))
     out = judged.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "confidence")
     mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "confidence")
