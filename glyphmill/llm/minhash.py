@@ -22,7 +22,8 @@ Only a bucket whose members are alike but unlinked makes step 5 long; nothing is
 links, are never brought into one task: what is known of a hot key is broadcast to them. All tables on the way are removed
 when the result, three numbers a row, has been stored.
 
-Cases. Null or word-less text: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept true. Repeated
+Cases. Null or word-less text: n_shingles 0, linked with nothing. Very long texts: a set is made and compared in one task, about 40 bytes
+a word. Ties: of classes that meet as many others, the hub is the one with the greatest digest; no link hangs on it. Null doc_id: component_id null, kept true. Repeated
 rows: one row out for each, equal values. Rows with words that share a doc_id are one vertex, whatever their sets. Empty
 table: no rows. Other columns are not read.
 """
@@ -34,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BROADCAST_ROWS, Scratch, lookup, over_batches, stored, with_ids
+from glyphmill.llm.common import BROADCAST_ROWS, HOT_ROWS, Scratch, lookup, over_batches, stored, with_ids
 
 BANDS, ROWS, SLACK = 32, 5, 0.25
 HASHES = BANDS * ROWS
@@ -47,6 +48,8 @@ MEMO = 200_000
 #: Buckets beyond SMALL members are compared in blocks of about BLOCK_ITEMS shingles and BLOCK_MEMBERS members; a task holds a bit a
 #: member and shingle of two blocks, 100 MB at most.
 SMALL, BLOCK_ITEMS, BLOCK_MEMBERS = 16, 400_000, 1024
+#: Hot classes of candidate pairs, and bytes of sets and signatures of them that are broadcast.
+HOT_CLASSES, HOT_BYTES = 10_000, 64 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -165,10 +168,36 @@ def connected(links: DataFrame, label: str = "found") -> DataFrame:
     return found
 
 
+def hot_classes(pairs: DataFrame, signs: DataFrame, s: Scratch) -> DataFrame:
+    """Classes with more than HOT_ROWS pairs and more than a HOT_CLASSESth of all, the hottest first as far as their sets take up HOT_BYTES; so
+    what is known of them can be broadcast. signs: cls, n. Stored; mostly empty."""
+    total = pairs.count()
+    each = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("pairs"))
+    hot = each.where(F.col("pairs") > max(HOT_ROWS, total // HOT_CLASSES)).join(signs.select("cls", "n"), "cls")
+    size = F.sum(F.col("n") * 8 + 4 * HASHES).over(Window.orderBy(F.col("pairs").desc(), "cls"))
+    return s.stored(hot.withColumn("bytes", size).where(F.col("bytes") <= HOT_BYTES).select("cls"), "hot")
+
+
+def known_of_both(pairs: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of known (cls, others) of either class, named other_a and other_b. Pairs with a hot class are
+    dealt by their other class, and the hot one's columns are broadcast to them: no task gets all pairs of a hub."""
+    others = [c for c in known.columns if c != "cls"]
+    a, b = (known.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in others)) for x in "ab")
+    if hot.isEmpty():
+        return pairs.join(a, "a").join(b, "b")
+    keys = {x: F.broadcast(hot.select(F.col("cls").alias(x), F.lit(True).alias(f"hot_{x}"))) for x in "ab"}
+    marked = pairs.join(keys["a"], "a", "left").join(keys["b"], "b", "left")
+    few = {x: F.broadcast(side.join(F.broadcast(hot.select(F.col("cls").alias(x))), x, "left_semi")) for x, side in (("a", a), ("b", b))}
+    cold = marked.where("hot_a is null and hot_b is null").join(a, "a").join(b, "b")
+    by_a = marked.where("hot_a").join(few["a"], "a").join(b, "b")
+    by_b = marked.where("hot_a is null and hot_b").join(few["b"], "b").join(a, "a")
+    return cold.unionByName(by_a).unionByName(by_b).drop("hot_a", "hot_b")
+
+
 def confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
     """Of candidate pairs of classes (a, b), those whose full sets meet the threshold, as (u, v) of their representatives.
 
-    signs: cls, rep, sig; a class's text is that of the row with doc_id rep and its digest. The links are stored in keep."""
+    signs: cls, rep, n, sig; a class's text is that of the row with doc_id rep and its digest. The links are stored in keep."""
     least = int((percent / 100 - SLACK) * HASHES)
 
     @F.pandas_udf("int")
@@ -178,13 +207,12 @@ def confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, p
         return pd.Series([int((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).sum()) for a, b in zip(x, y)], dtype="int32")
 
     with Scratch(docs.sparkSession) as s:
-        a, b = (signs.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        near = s.stored(pairs.join(a, "a").join(b, "b").where(agreement("sig_a", "sig_b") >= least).select("a", "b", "rep_a", "rep_b"), "near")
+        hot = hot_classes(pairs, signs, s)
+        near = s.stored(known_of_both(pairs, signs.select("cls", "rep", "sig"), hot).where(agreement("sig_a", "sig_b") >= least).select("a", "b", "rep_a", "rep_b"), "near")
         wanted = s.stored(near.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("rep_a").alias("doc_id")), F.struct(F.col("b").alias("cls"), F.col("rep_b").alias("doc_id")))).alias("x")).select("x.*").distinct(), "wanted")
         sets = sets_of(with_ids(docs, wanted.select("doc_id").distinct(), "doc_id"), width)
         sets = s.stored(sets.join(wanted, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).select("cls", "items"), "sets")
-        a, b = (sets.select(F.col("cls").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
-        both = near.join(a, "a").join(b, "b").select("rep_a", "rep_b", F.size("items_a").alias("p"), F.size("items_b").alias("q"), F.size(F.array_intersect("items_a", "items_b")).alias("i"))
+        both = known_of_both(near, sets, hot).select("rep_a", "rep_b", F.size("items_a").alias("p"), F.size("items_b").alias("q"), F.size(F.array_intersect("items_a", "items_b")).alias("i"))
         return keep.stored(both.where(f"100L * i >= {percent}L * (p + q - i)").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")), "links")
 
 
@@ -269,7 +297,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with Scratch(docs.sparkSession) as s:
         rows = s.stored(signed(docs, width), "signatures")
         classes = s.stored(rows.where("cls is not null and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.max(F.struct("sig")).alias("s")).select("cls", "n", "rep", "s.sig"), "classes")
-        signs = classes.select("cls", "rep", "sig")
+        signs = classes.select("cls", "rep", "n", "sig")
         step = 4 * ROWS
         keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * step + 1, step)) for k in range(BANDS)])
         dealt = classes.select("cls", F.explode(keys).alias("key"))

@@ -85,3 +85,25 @@ def test_rows_that_share_an_id_are_one_vertex(spark):
     rows = [(5, "a b c d e"), (5, "v w x y z"), (2, "V W X Y Z"), (9, "a b c d e"), (7, "p q r"), (7, None), (3, "p q s")]
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(5, 3, 2, False), (2, 3, 2, True), (9, 3, 2, False), (7, 1, 7, True), (7, 0, 7, True), (3, 1, 3, True)}
+
+
+def test_a_hub_with_5000_near_copies(spark, monkeypatch):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base[:60], f"x{k}", *base[60:]])) for k in range(1, 5001)] + [(9000, "quite another text " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    seen = []
+    known = minhash.known_of_both
+    monkeypatch.setattr(minhash, "known_of_both", lambda pairs, right, hot: seen.append(hot.count()) or known(pairs, right, hot))
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.components(df).collect()}
+    assert got == {k: (0, k == 0) for k in range(5001)} | {9000: (9000, True)}
+    assert max(seen) == 1  # the hub's pairs were dealt by their other texts
+
+
+def test_pairs_of_hot_classes_join_as_all_do(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (3, 9)], "a long, b long")
+    known = spark.createDataFrame([(k, f"r{k}") for k in range(10)], "cls long, rep string")
+    want = {(a, b, f"r{a}", f"r{b}") for a, b in [(1, 2), (1, 3), (2, 3), (4, 5), (3, 9)]}
+    for hot in ([], [1], [3], [1, 2, 3], [9], list(range(10))):
+        got = minhash.known_of_both(pairs, known, spark.createDataFrame([(k,) for k in hot], "cls long"))
+        rows = [(r.a, r.b, r.rep_a, r.rep_b) for r in got.collect()]
+        assert set(rows) == want and len(rows) == 5
