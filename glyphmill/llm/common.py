@@ -84,6 +84,19 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def long_batches(spark: SparkSession, rows: int = 100_000) -> Iterator[None]:
+    """Within it Python workers get rows of numbers and words in batches of so many (BATCH_BYTES at most); for stages without whole texts."""
+    small_batches(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
     """left.join(right, key), where right (stored) has one row a key and in size the key's rows in left. A small right side is
     broadcast. Of a larger one only hot keys are, those with more than HOT_ROWS rows or more than a BROADCAST_ROWSth of all;

@@ -5,8 +5,8 @@ score(docs) counts the n-grams (n up to order) of all documents, or of another c
 1. Each row's words become 64-bit hashes, stored once, in chunks of about CHUNK words of whole documents.
 2. Chunks are exploded to n-grams, one row (gram, chunk, n) for each that a chunk holds. So no n-gram, however common, has more than
    one row a chunk: of all rows it has one in as many as a chunk has different n-grams, and no key is hot.
-3. One shuffle by the hash of n-grams serves both sides: summed there they make the count table, and joined to it where they lie
-   each row gets its count. Counts go back to their chunks; those of 1 need not, as what is missing in a chunk then occurs once.
+3. One shuffle by the hash of n-grams serves both sides: in a partition, sorted, they make the count table, and are joined to it where
+   they lie, so that each row gets its count. Counts go back to their chunks; those of 1 need not, as what is missing in a chunk then occurs once.
    This is done for PARTS parts of the hashes in turn, so that the disk holds the n-grams of one part.
 4. A chunk and its counts meet in one task (in TURNS turns by chunk), which scores the chunk's documents place by place and sums per document: a word
    after the longest context of which the n-gram is seen gets log count(n-gram) - log count(context), log BACKOFF for each shorter
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, over_batches, shuffles_removed, stored
+from glyphmill.llm.common import Scratch, long_batches, over_batches, shuffles_removed, stored
 
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Words held by a worker's memo, and words of a chunk.
@@ -128,6 +128,38 @@ def exploded(chunks: DataFrame, order: int, part: int) -> DataFrame:
     return chunks.select("chunk", "words").mapInArrow(work, "gram long, chunk long, n long")
 
 
+def counted(rows: DataFrame, least: int) -> DataFrame:
+    """chunk, gram, n of the rows (gram, chunk, n) whose n-gram occurs least times or more, n now over all chunks. Within a partition of the
+    hashes the sorted rows are the count table and what is joined to it: a run of an n-gram is summed, and each row gets the sum."""
+    schema = pa.schema([("chunk", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            gram, chunk, asks, n = (np.concatenate(x) for x in zip(*held))
+            first = np.flatnonzero(np.diff(gram, prepend=~gram[0]))
+            sums = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(gram)))
+            keep = (sums >= least) & asks
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (chunk, gram, sums)], schema=schema)
+
+        for b in batches:
+            gram, chunk, n = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
+            whole = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # before the run that may go on
+            asks, chunk = chunk.is_valid().to_numpy(zero_copy_only=False), chunk.fill_null(0).to_numpy()
+            parts = [(gram[x], chunk[x], asks[x], n[x]) for x in (slice(0, whole), slice(whole, None))]
+            held.append(parts[0] if whole else parts[1])
+            if whole:
+                yield from summed()
+                held = [parts[1]]
+        yield from summed()
+
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(work, "chunk long, gram long, n long")
+
+
 def place_scores(h: np.ndarray, order: int, count, total: int, min_count: int, backoff: float) -> np.ndarray:
     """Each word's score after its context. count(grams): how often n-grams occur."""
     before, score = None, np.empty(0)
@@ -178,13 +210,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         total = source.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
         least, counts = (2 if corpus is None else 1), None
         for part in range(PARTS):
-            with Scratch(docs.sparkSession) as t:
-                rows = exploded(chunks, order, part)
-                if corpus is not None:
-                    rows = rows.withColumn("n", F.lit(0).cast("long")).unionByName(exploded(source, order, part).withColumn("chunk", F.lit(None).cast("long")))
-                dealt = t.stored(rows, "grams").repartition("gram")  # one exchange for the count table and for what is joined to it
-                table = dealt.groupBy("gram").agg(F.sum("n").alias("of")).where(F.col("of") >= least)
-                found = s.stored(dealt.where("chunk is not null").join(table, "gram").select("chunk", "gram", F.col("of").alias("n")), "counts")
+            rows = exploded(chunks, order, part)
+            if corpus is not None:
+                rows = rows.withColumn("n", F.lit(0).cast("long")).unionByName(exploded(source, order, part).withColumn("chunk", F.lit(None).cast("long")))
+            with long_batches(docs.sparkSession):
+                found = s.stored(counted(rows, least), "counts")
             counts = found if counts is None else counts.unionByName(found)
         out = None
         for part in range(TURNS):
