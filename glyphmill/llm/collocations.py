@@ -5,10 +5,10 @@ mined(docs) returns the best phrases of each language: lang, rank, phrase, a, l,
 1. Words of each language are counted. Words of MIN_COUNT occurrences or more are the frequent prefixes.
 2. Projection: every occurrence of a word in a piece of text becomes a pointer to the words after it there (longest - 1 at most, ending
    where the piece does). Pointers to equal words are one row with a weight within a task, so copies and common phrases shrink
-   before anything is shuffled; the frequent words, joined, drop the pointers of others.
+   before anything is shuffled; the frequent words, broadcast if few enough, drop the pointers of others.
 3. One task per prefix gets the pointers of that prefix and extends it to the right, depth first: it parts the pointers by their next
    word, keeps each phrase that is frequent, and goes on from it with its own pointers alone.
-   A prefix of more than POINTERS occurrences has several tasks, dealt by a hash of the words pointed to: whole phrases of the
+   A prefix of more than POINTERS occurrences (or a HEADSth of all, so that hot ones can be broadcast) has several tasks, dealt by a hash of the words pointed to: whole phrases of the
    greatest length meet in one of them, shorter ones are summed over the tasks before they are held against MIN_COUNT.
 4. Candidates are cut at every place and joined to the counts of both parts; the cut with the lowest score counts. Those that lie in a
    longer candidate with a share of SHARE percent of their occurrences or more go. Each language's best are chosen in two steps, so
@@ -34,11 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BROADCAST_ROWS, Scratch, lookup, over_batches, stored
+from glyphmill.llm.common import Scratch, long_batches, lookup, over_batches, shuffles_removed, stored
 
 MIN_COUNT, LONGEST, SHARE, BEST = 10, 3, 50, 2000
 #: Occurrences of a prefix that one task takes; distinct rows that a task sums before it hands them on.
 POINTERS, CHUNK = 200_000, 300_000
+#: Frequent words that are broadcast, and hot ones at most: those with more than POINTERS and than a HEADSth of all occurrences.
+HEADS = 500_000
 #: Rows of whole prefixes that a task grows at once.
 RUN = 200_000
 #: A language's phrases are ranked in so many parts first.
@@ -177,14 +179,18 @@ def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[Data
     words = s.stored(summed(docs, 1).groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("n")), "words")
     totals = s.stored(words.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
     frequent = s.stored(words.where(F.col("n") >= least), "frequent")
-    heads = frequent.select(F.struct("lang", F.col("phrase").alias("prefix")).alias("key"), F.col("n").alias("times"), F.ceil(F.col("n") / POINTERS).cast("long").alias("parts"))
-    pointers = summed(docs, longest).select(F.struct("lang", "prefix").alias("key"), *_after(longest), "n")
-    if frequent.count() > BROADCAST_ROWS:
-        pointers = s.stored(pointers, "pointers")  # read twice by lookup
-    salt = F.pmod(F.xxhash64(*_after(longest)), "parts").alias("salt")
-    dealt = lookup(pointers, heads, "key", "times").select(F.col("key").alias("head"), salt, "parts", *_after(longest), "n")
+    total = totals.agg(F.sum("words")).first()[0] or 0
+    pointers, key = summed(docs, longest), ["lang", "prefix"]
+    heads = frequent.withColumnRenamed("phrase", "prefix")
+    if frequent.limit(HEADS + 1).count() <= HEADS:  # else the tasks drop what is not frequent
+        pointers = pointers.join(F.broadcast(heads.select(key)), key, "left_semi")
+    most = max(POINTERS, total // HEADS)
+    hot = heads.where(F.col("n") > most).select(*key, F.ceil(F.col("n") / most).cast("long").alias("of"))
+    dealt = pointers.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("of", F.lit(1).cast("long")))
+    dealt = dealt.select(F.struct(*key).alias("head"), F.pmod(F.xxhash64(*_after(longest)), "parts").alias("salt"), "parts", *_after(longest), "n")
     found = grown(dealt, least, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return frequent, s.stored(found, "phrases"), totals
+    with long_batches(docs.sparkSession):
+        return frequent, s.stored(found, "phrases"), totals
 
 
 def scored(found: DataFrame, frequent: DataFrame, s: Scratch) -> DataFrame:
@@ -224,7 +230,7 @@ def mined(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
     """lang, rank, phrase, a, l, r, n, score: each lang's first n phrases of 2 to longest words (all, without rank, if n is None)."""
     lang = F.lit("und") if lang_col is None else F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     docs = docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    with Scratch(docs.sparkSession) as s:
+    with shuffles_removed(docs.sparkSession), Scratch(docs.sparkSession) as s:
         frequent, found, totals = phrases(docs, s, least, longest)
         rows = independent(scored(found, frequent, s), found, share)
         rows = rows if n is None else best(rows, n)

@@ -65,10 +65,10 @@ def test_split_prefixes_give_the_same(docs, monkeypatch):
         assert got == plain(corpus(), longest=longest)
 
 
-def test_many_frequent_words_take_the_joins_without_broadcast(docs, monkeypatch):
+def test_many_frequent_words_are_not_broadcast(docs, monkeypatch):
     from glyphmill.llm import common
 
-    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(collocations, "HEADS", 2)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
     monkeypatch.setattr(common, "HOT_ROWS", 30)
     assert sorted(tuple(r) for r in collocations.mined(docs).collect()) == plain(corpus())
