@@ -11,16 +11,13 @@ counted by ill_formed() over bytes).
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from glyphmill.functions import tagdata as D
+from glyphmill.functions.masks import let
+from glyphmill.operators import intervals
 
 LONG, EXAMPLES, PLACES = 20, 20, 10
 TAG = "struct<tag: string, example: string, times: int>"
@@ -39,6 +36,7 @@ SPECIAL = [
     ("XML", rf"^&({D.ESCAPES});$"),
     ("INFO", r"^(::snt-type|end-of-article)$"),
 ]
+# Punctuation that is not split off, periods and other punctuation that belong to a token, tokens done with by one look.
 UNSPLIT = [r"(?i)[a-z'`]-[a-z'`]", r"(?i)^-[a-z'`]", r"-{2,}\d", r"(?i)[a-z0-9][-:\";,!?()/%]+$", r"(?i)\d,[a-z]"]
 BENIGN_PERIOD = [
     r"^([A-Z]\.|[A-Z](?:\.[A-Z])+)\.?$",
@@ -148,22 +146,28 @@ def token_tags(t: Column, lang: str = "", long_min: int = LONG) -> Column:
     return plain.otherwise(F.concat(of(*looked), of(F.when(t.rlike(r"[^\x00-\x7F]"), F.struct(F.lit("").alias("tag"), t.alias("example"), F.lit(1).alias("times"))))))
 
 
-def class_of(cp: Column) -> Column:
-    """The tag of a character beyond ASCII, of its code point."""
-    found = F.lit("OTHER_CHAR")
-    for a, z, tag in reversed(D.ranges()):
-        found = F.when((cp >= a) & (cp <= z), tag).otherwise(found)
-    return found
+def classes(chars: DataFrame) -> DataFrame:
+    """ch, tag of characters beyond ASCII (ch, all different): the class whose range holds them, by a range join."""
+    known = intervals.table(chars.sparkSession, intervals.disjoint(D.ranges()))
+    found = intervals.joined(chars.select("ch", F.ascii("ch").cast("long").alias("cp")), known, "cp")
+    return found.select("ch", F.coalesce("name", F.lit("OTHER_CHAR")).alias("tag"))
+
+
+def class_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """tag, ch, n: characters beyond ASCII by the class of their range."""
+    counts = df.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"[^\x00-\x7F]"), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    return classes(counts.select("ch")).join(counts, "ch").select("tag", "ch", "n")
 
 
 def char_tags(tokens: DataFrame, lang: str = "") -> DataFrame:
     """token, tag, example, times of the characters of tokens (token, all different). A tag counts once a token, whichever of its
     characters show it; for a character on its own account twice if the token's first character beyond ASCII is the first of them."""
     chars = tokens.select("token", F.posexplode(F.regexp_extract_all("token", F.lit(r"[^\x00-\x7F]"), F.lit(0))).alias("pos", "ch"))
-    kinds = chars.select("ch").distinct().withColumn("tag", class_of(F.ascii("ch")))
+    kinds = classes(chars.select("ch").distinct())
     usual = "".join(chars_ for langs, chars_ in D.USUAL.items() if lang in langs)
     if usual:
         kinds = kinds.withColumn("tag", F.when(F.col("ch").isin(*usual), "LANGUAGE_SPECIFIC").otherwise(F.col("tag")))
+    # Unicode bounds the different characters, so their classes can be broadcast;
     # a byte-order mark that is the first such character has a tag of its own
     known = chars.join(F.broadcast(kinds), "ch").withColumn("tag", F.when((F.col("ch") == "\ufeff") & (F.col("pos") == 0), "INITIAL_BYTE_ORDER_MARK").otherwise(F.col("tag")))
     once = known.groupBy("token", "tag").agg(F.lit(1).alias("times")).select("token", "tag", F.col("token").alias("example"), "times")
@@ -193,31 +197,47 @@ APART = [
     ("SPLIT_XML", rf"& (?:{D.ESCAPES}) ;", ()),
 ]
 ANYWHERE = [("XML_ESC_DEC", r"&#\d{1,7};"), ("XML_ESC_HEX", "&#X[0-9A-F]{1,6};"), ("XML_ESC_STD", "&(?:amp|apos|gt|lt|quot);"), ("XML_ESC_ABC", "&[a-z]{1,6};")]
+# Fixed value: lines that may hold any of it.
 SUSPECT = r'(http|www| @ |& \S+ ;|\\ ")'
+BETWEEN_BLANKS = r"(?:^|(?<= ))(?:{})(?= |$)"
+#: (tag, pattern, what a find must hold) in order.
+RULES = [(tag, f"(?i){BETWEEN_BLANKS.format(p)}", more) for tag, p, more in APART] + [(tag, f"(?i){p}", ()) for tag, p in ANYWHERE] + [("UNUSUAL_PUNCT_COMB", BETWEEN_BLANKS.format(r'\\ "'), ())]
+FIND = "struct<tag: string, example: string, at: int>"
+
+
+def first_find(left: Column) -> Column:
+    """The find (FIND) of the first rule that has one in a text; null for none. Rules after it are not tried."""
+
+    def by(tag: str, pattern: str, more: tuple[str, ...]) -> Column:
+        def held(m: Column) -> Column:
+            good = m != ""
+            for q in more:
+                good = good & m.rlike(q)
+            return F.when(good, F.struct(F.lit(tag).alias("tag"), m.alias("example"), F.regexp_instr(left, F.lit(pattern)).cast("int").alias("at")))
 
+        return let(F.regexp_extract(left, pattern, 0), held)
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("example", T.StringType())])))
-def broken(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """What is broken in a line: each find of the first rule that has one is blanked, until no rule has any."""
-    rules = [(tag, re.compile(rf"(?:^|(?<= ))(?:{p})(?= |$)", re.I | re.A), [re.compile(q, re.A) for q in more]) for tag, p, more in APART]
-    rules += [(tag, re.compile(p, re.I | re.A), []) for tag, p in ANYWHERE]
-    rules.append(("UNUSUAL_PUNCT_COMB", re.compile(r'(?:^|(?<= ))\\ "(?= |$)'), []))
+    return F.coalesce(*[by(*rule) for rule in RULES])
 
-    def finds(line: str | None) -> list[dict]:
-        out, left = [], line or ""
-        while left:
-            for tag, p, more in rules:
-                m = p.search(left)
-                if m and all(q.search(m[0]) for q in more):
-                    break
-            else:
-                break
-            out.append({"tag": tag, "example": m[0]})
-            left = f"{left[: m.start()]}  {left[m.end() :]}"
-        return out
 
-    for part in lines:
-        yield part.map(finds)
+def broken(line: Column) -> Column:
+    """What is broken in a line, as an array of FIND: the find of the first rule that has one is blanked, and so on until no rule has any.
+    A fold over as many steps as a line can have finds, of which those after the last do nothing."""
+    steps = F.sequence(F.lit(0), F.length(line))
+
+    def blanked(state: Column, find: Column) -> Column:
+        rest = F.substr(state["left"], find["at"] + F.length(find["example"]))
+        return F.concat(F.substring(state["left"], F.lit(1), find["at"] - 1), F.lit("  "), rest)
+
+    def step(state: Column, _: Column) -> Column:
+        def after(find: Column) -> Column:
+            found = F.concat(state["found"], F.array(find))
+            return F.when(find.isNull(), F.struct(state["left"].alias("left"), state["found"].alias("found"), F.lit(False).alias("open"))).otherwise(F.struct(blanked(state, find).alias("left"), found.alias("found"), F.lit(True).alias("open")))
+
+        return F.when(state["open"], let(first_find(state["left"]), after)).otherwise(state)
+
+    start = F.struct(line.alias("left"), F.array().cast(f"array<{FIND}>").alias("found"), F.lit(True).alias("open"))
+    return F.aggregate(steps, start, step, lambda state: state["found"])
 
 
 def line_tags(lines: DataFrame, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
@@ -231,7 +251,7 @@ def line_tags(lines: DataFrame, line_col: str = "line", no_col: str = "line_no")
     escapes.append(named(other, ANYWHERE[3][0]))
     kind = "array<struct<tag: string, example: string>>"
     plain = lines.where(~line.rlike(SUSPECT) & line.contains("&")).select(no_col, F.concat(*escapes).cast(kind).alias("found"))
-    odd = lines.where(line.rlike(SUSPECT)).select(no_col, broken(line).cast(kind).alias("found"))
+    odd = lines.where(line.rlike(SUSPECT)).select(no_col, F.transform(broken(line), lambda x: F.struct(x["tag"], x["example"])).cast(kind).alias("found"))
     every = plain.unionByName(odd).select(F.col(no_col).alias("line_no"), F.posexplode("found").alias("k", "x"))
     return every.select("x.tag", "x.example", "line_no", (F.col("k") - 1_000_000).alias("pos"))
 
@@ -239,7 +259,7 @@ def line_tags(lines: DataFrame, line_col: str = "line", no_col: str = "line_no")
 def issues(lines: DataFrame, lang: str = "", long_min: int = LONG, examples: int = EXAMPLES, places: int = PLACES, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
     """tag, n (of the tag), example, n_example, places (of the example, the first ones in order), rank (of the example by its first
     place); examples beyond the limit have no row, so that a tag with more has rank up to it and n_examples above."""
-    rows = lines.select(F.col(no_col).alias(no_col), collapsed(F.col(line_col)).alias(line_col)).where(F.col(line_col) != "")
+    rows = collapsed_lines(lines, line_col, no_col)
     tokens = rows.select(F.col(no_col).alias("line_no"), F.posexplode(F.split(line_col, " ")).alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "pos")).alias("first"))
     whole = counts.select("token", F.explode(token_tags(F.col("token"), lang, long_min)).alias("x")).select("token", "x.*")
@@ -259,15 +279,44 @@ def issues(lines: DataFrame, lang: str = "", long_min: int = LONG, examples: int
     return shown.join(at, ["tag", "example"], "left").join(totals, "tag").select("tag", "n", "n_examples", "rank", "example", "n_example", "places")
 
 
+def collapsed_lines(lines: DataFrame, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
+    """Lines with something in them, collapsed."""
+    return lines.select(F.col(no_col).alias(no_col), collapsed(F.col(line_col)).alias(line_col)).where(F.col(line_col) != "")
+
+
+def _distinct(lines: DataFrame, line_col: str) -> DataFrame:
+    """token, n."""
+    return lines.select(F.explode(F.split(line_col, " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _whole(tokens: DataFrame, lang: str, long_min: int) -> DataFrame:
+    """token, n, tag, times; an empty tag for tokens whose characters are to be looked at."""
+    return tokens.select("token", "n", F.explode(token_tags(F.col("token"), lang, long_min)).alias("x")).select("token", "n", "x.tag", "x.times")
+
+
+def _summed(found: DataFrame) -> DataFrame:
+    return found.groupBy("tag").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+
+
+def whole_counts(lines: DataFrame, lang: str = "", long_min: int = LONG, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
+    """tag, n of tokens as a whole."""
+    return _summed(_whole(_distinct(collapsed_lines(lines, line_col, no_col), line_col), lang, long_min).where("tag <> ''"))
+
+
+def character_counts(lines: DataFrame, lang: str = "", long_min: int = LONG, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
+    """tag, n of the characters beyond ASCII in tokens that are not done with by one look."""
+    tokens = _distinct(collapsed_lines(lines, line_col, no_col), line_col)
+    return _summed(char_tags(_whole(tokens, lang, long_min).where("tag = ''").select("token"), lang).join(tokens, "token"))
+
+
 def counts(lines: DataFrame, lang: str = "", long_min: int = LONG, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
     """tag, n: how often each tag counts."""
-    rows = lines.select(F.col(no_col).alias(no_col), collapsed(F.col(line_col)).alias(line_col)).where(F.col(line_col) != "")
-    tokens = rows.select(F.explode(F.split(line_col, " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    whole = tokens.select("token", "n", F.explode(token_tags(F.col("token"), lang, long_min)).alias("x")).select("token", "n", "x.tag", "x.times")
+    rows = collapsed_lines(lines, line_col, no_col)
+    tokens = _distinct(rows, line_col)
+    whole = _whole(tokens, lang, long_min)
     inside = char_tags(whole.where("tag = ''").select("token"), lang).join(tokens, "token").select("tag", "n", "times")
-    found = whole.where("tag <> ''").select("tag", "n", "times").unionByName(inside).select("tag", (F.col("n") * F.col("times")).alias("n"))
-    found = found.unionByName(line_tags(rows, line_col, no_col).select("tag", F.lit(1).cast("long").alias("n")))
-    return found.groupBy("tag").agg(F.sum("n").alias("n"))
+    found = whole.where("tag <> ''").select("tag", "n", "times").unionByName(inside)
+    return _summed(found.unionByName(line_tags(rows, line_col, no_col).select("tag", F.lit(1).cast("long").alias("n"), F.lit(1).alias("times"))))
 
 
 def ill_formed(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
