@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from glyphmill.api import Normalizer
 from glyphmill.functions import tables
 from glyphmill.operators import changelog, normalize, summary, tags
-from glyphmill.plans import analysis, cases
+from glyphmill.plans import analysis, cases, documents
 from glyphmill.sources import text
 
 
@@ -117,16 +119,17 @@ def ana(spark: SparkSession, args: argparse.Namespace) -> int:
         text.write_json(analysis.as_json(text.without_range_lines(lines), "line_no"), args.json)
         return 0
     refs = text.read_ref_ids(spark, args.ref_ids).persist() if args.ref_ids else None
-    files = [r.doc_id for r in lines.select("doc_id").distinct().orderBy("doc_id").toLocalIterator()]
-    for name in files:  # a document or report a file, as large as a report is
-        of = lines.where(F.col("doc_id") == name).select("line_no", "text")
-        if len(files) > 1 and not args.document:
-            print(f"{name}:")
+    # one plan for all files; the driver gets a document at a time, as large as a report is
+    found = documents.documents(lines.select("doc_id", "line_no", "text"), k=args.max_examples, cases=None if args.document else args.max_cases).orderBy("doc_id").toLocalIterator()
+    first = list(islice(found, 2))
+    for r in chain(first, found):
+        doc = json.loads(r.document)
         if args.document:
-            print(cases.as_document(of, k=args.max_examples))
-        else:
-            doc = cases.nested(of, args.max_examples, args.max_cases)
-            print(cases.written(doc, args.max_cases, ids_of(doc, refs) if refs else None))
+            print(json.dumps(doc))
+            continue
+        if len(first) > 1:
+            print(f"{r.doc_id}:")
+        print(cases.written(doc, args.max_cases, ids_of(doc, refs) if refs else None))
     return 0
 
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill import catalog_steps, catalog_tokens
 from glyphmill.functions import masks
 from glyphmill.operators import analyze, changelog, normalize, report, scripts, summary
-from glyphmill.plans import analysis
+from glyphmill.plans import analysis, documents
 from glyphmill.streaming import stream
 
 def _q(s: str) -> str:
@@ -74,6 +74,23 @@ def _odd(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ODD)), (F.col("doc_id") % len(ODD) + 1).cast("int"))))
 
 
+def file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each source, as if it were a file: parts of its document, read back from the JSON."""
+    lines = analyze.lines(_odd(_docs(spark, sf_dir)).select("source", "doc_id", "text"))
+    lines = lines.select("source", (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("line_no"), F.col("line").alias("text"))
+    entry = "map<string, map<string, struct<count: bigint, ex: array<array<string>>>>>"
+    found = documents.documents(lines, by=["source"]).select("source", F.from_json("document", f"n_lines bigint, n_characters bigint, `letter-script` map<string, struct<count: bigint>>, block {entry}, `notable-token` {entry}").alias("d"))
+
+    def listed(c: str, shown) -> Column:
+        of_group = lambda g: F.transform(F.map_entries(g["value"]), lambda x: shown(g["key"], x["key"], x["value"]))
+        return F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries(c), of_group))), "|")
+
+    scripts_ = F.transform(F.map_entries("d.letter-script"), lambda x: F.concat_ws(":", x["key"], x["value"]["count"]))
+    chars = listed("d.block", lambda group, ch, v: F.concat_ws(":", group, ch, v["count"]))
+    tokens = listed("d.notable-token", lambda group, t, v: F.concat_ws(":", group, t, v["count"], F.array_join(F.transform(v["ex"], lambda x: x[1]), ",")))
+    return found.select("source", "d.n_lines", "d.n_characters", F.array_join(F.array_sort(scripts_), "|").alias("scripts"), chars.alias("chars"), tokens.alias("tokens"))
+
+
 def _escaped(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ESCAPES)), (F.col("page_id") % len(ESCAPES) + 1).cast("int"))))
 
@@ -123,6 +140,7 @@ QUERIES |= {
     "document_issues": _text(lambda d: summary.issues(_odd(d))),
     "script_counts": _text(lambda d: scripts.script_counts(_odd(d))),
     "block_table": _text(lambda d: scripts.block_table(d).withColumn("ex", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",")).drop("name")),
+    "file_documents": file_documents,
     "analysis_json": _text(analysis.as_json),
     "stream_char_counts": stream_char_counts,
 }
@@ -184,5 +202,21 @@ ORACLE_SQL |= {
     "block_table": f"SELECT {_block} AS block, * FROM ({ORACLE_SQL['char_examples_top5']})",
     "script_counts": rf"SELECT kind, script, n, CASE WHEN len(chars) <= CASE kind WHEN 'letter' THEN CASE WHEN r = 1 THEN 0 ELSE 500 END WHEN 'number' THEN CASE WHEN r = 1 THEN 80 ELSE 500 END ELSE 80 END THEN chars END AS ex FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, ord(chars)) AS r FROM (SELECT kind, script, sum(n)::BIGINT AS n, string_agg(ch, '' ORDER BY ord(ch)) AS chars FROM (SELECT ch, n, CASE WHEN regexp_matches(ch, '^\pL$') THEN 'letter' WHEN regexp_matches(ch, '^\pN$') THEN 'number' ELSE 'other' END AS kind, {_script} AS script FROM (SELECT ch, n, {_block} AS block FROM (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split({_odd_sql}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch))) GROUP BY ALL))",
 }
+_white = r"[\t-\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_each = [*analyze.XML.values(), analyze.NESTED]
+_seen = " || ".join(f"regexp_extract_all(t, {_q(p)})" for p in _each)
+ORACLE_SQL["file_documents"] = rf"""
+    WITH raw AS MATERIALIZED (SELECT source, doc_id * 1000000 + i AS line_no, parts[i] AS line FROM (SELECT source, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT source, doc_id, string_split({_odd_sql}, chr(10)) AS parts FROM documents))),
+    l AS MATERIALIZED (SELECT source, line_no, regexp_replace(line, '^{_white}|{_white}$', '', 'g') AS t FROM raw),
+    size AS (SELECT source, count(*) AS n_lines, (sum(length(line)) + count(*))::BIGINT AS n_characters FROM raw GROUP BY source),
+    c AS MATERIALIZED (SELECT source, ch, n, {_block} AS block, row_number() OVER (PARTITION BY source, {_block} ORDER BY ch) AS r FROM (SELECT source, ch, count(*) AS n FROM (SELECT source, unnest(string_split(t, '')) AS ch FROM l) WHERE ch <> '' GROUP BY source, ch)),
+    chars AS (SELECT source, string_agg(x, '|' ORDER BY x) AS chars FROM (SELECT source, block || ':' || ch || ':' || n AS x FROM c WHERE r <= 101) GROUP BY source),
+    scripts AS (SELECT source, string_agg(x, '|' ORDER BY x) AS scripts FROM (SELECT source, {_script} || ':' || sum(n)::BIGINT AS x FROM c WHERE regexp_matches(ch, '^\pL$') GROUP BY source, {_script}) GROUP BY source),
+    found AS MATERIALIZED (SELECT source, line_no, unnest({_seen} || list_filter(regexp_extract_all(t, {_words}), lambda w: regexp_matches(w, '\p{{Latin}}') AND regexp_matches(w, '\p{{Cyrillic}}'))) AS token FROM l),
+    named AS (SELECT source, token, coalesce({_heading}, 'WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS (CYRILLIC, LATIN)') AS heading, count(*) AS n FROM found GROUP BY source, token),
+    top AS (SELECT *, row_number() OVER (PARTITION BY source, heading ORDER BY token) AS r FROM named),
+    ex AS (SELECT source, token, string_agg(line_no, ',' ORDER BY line_no) AS ex FROM (SELECT DISTINCT source, token, line_no, dense_rank() OVER (PARTITION BY source, token ORDER BY line_no) AS k FROM found) WHERE k <= 5 GROUP BY source, token),
+    tokens AS (SELECT source, string_agg(x, '|' ORDER BY x) AS tokens FROM (SELECT top.source, heading || ':' || top.token || ':' || n || ':' || ex AS x FROM top JOIN ex USING (source, token) WHERE r <= 101) GROUP BY source)
+    SELECT source, n_lines, n_characters, coalesce(scripts, '') AS scripts, coalesce(chars, '') AS chars, coalesce(tokens, '') AS tokens FROM size LEFT JOIN chars USING (source) LEFT JOIN scripts USING (source) LEFT JOIN tokens USING (source)"""
 QUERIES |= catalog_tokens.QUERIES
 ORACLE_SQL |= catalog_tokens.ORACLE_SQL

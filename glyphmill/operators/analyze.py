@@ -7,6 +7,7 @@ dimension holds one row per character seen, so that no lookup runs per occurrenc
 from __future__ import annotations
 
 import unicodedata as ud
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +51,15 @@ def lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(*rest, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def overview(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """n_lines and n_characters; each line counts its end."""
-    per = df.where(F.col(text_col).isNotNull()).select(F.size(F.split(text_col, "\n")).alias("n"), F.length(text_col).alias("c"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("c") + F.count("*"), F.lit(0)).alias("n_characters"))
+def overview(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """n_lines and n_characters, of all rows or by columns; each line counts its end."""
+    per = df.where(F.col(text_col).isNotNull()).select(*by, F.size(F.split(text_col, "\n")).alias("n"), F.length(text_col).alias("c"))
+    return per.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("c") + F.count("*"), F.lit(0)).alias("n_characters"))
 
 
-def char_counts(df: DataFrame, text_col: str = "text", by: list[str] | None = None) -> DataFrame:
+def char_counts(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """Occurrences of each character, of all rows or by columns."""
-    return df.select(*(by or []), F.explode(F.split(text_col, "")).alias("ch")).where("ch <> ''").groupBy(*(by or []), "ch").agg(F.count("*").alias("n"))
+    return df.select(*by, F.explode(F.split(text_col, "")).alias("ch")).where("ch <> ''").groupBy(*by, "ch").agg(F.count("*").alias("n"))
 
 
 def char_dim(chars: DataFrame) -> DataFrame:
@@ -82,9 +83,9 @@ def letter_scripts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return counts.join(char_dim(counts), "ch").where("script is not null").groupBy("script").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("ch")), "").alias("letters"))
 
 
-def tokens(df: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """token, n of all matches of a pattern."""
-    return df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def tokens(df: DataFrame, pattern: str, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """token, n of all matches of a pattern, of all rows or by columns."""
+    return df.select(*by, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
 
 
 def examples(df: DataFrame, pattern: str, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,16 +107,12 @@ def orphan_marks(df: DataFrame, text_col: str = "text") -> DataFrame:
     return tokens(df, r"\S+", text_col).where(F.col("token").rlike(r"(^|[^\p{L}\p{M}])\p{M}"))
 
 
-def char_conflicts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Pairs of look-alike letters that both occur: key, ch, n."""
+def char_conflicts(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of look-alike letters that both occur: key, ch, n, of all rows or by columns."""
     key = F.when(F.col("ch").isin("ك", "ک"), "kaf").when(F.col("ch").isin("ي", "ی"), "yeh")
-    c = char_counts(df, text_col).withColumn("key", key).where("key is not null")
-    return c.join(c.groupBy("key").agg(F.count("*").alias("m")).where("m >= 2").select("key"), "key").select("key", "ch", "n")
+    c = char_counts(df, text_col, by).withColumn("key", key).where("key is not null")
+    return c.join(c.groupBy(*by, "key").agg(F.count("*").alias("m")).where("m >= 2").select(*by, "key"), [*by, "key"]).select(*by, "key", "ch", "n")
 
 
 def long_tokens(df: DataFrame, least: int = 20, text_col: str = "text") -> DataFrame:
     return tokens(df, r"\S+", text_col).where(F.length("token") >= least)
-
-
-def changed(before: Column, after: Column) -> Column:
-    return F.sum(F.when(~before.eqNullSafe(after), 1).otherwise(0))

@@ -7,6 +7,7 @@ first few by id and place, kept by a ranking that the engine limits before the s
 from __future__ import annotations
 
 import unicodedata as ud
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,18 +78,18 @@ def pattern_groups(df: DataFrame, text_col: str = "text") -> DataFrame:
     return patterns(df, text_col).select(F.explode(F.concat(held, orphan)).alias("heading"), "pattern", "n")
 
 
-def notable(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """heading, token, n: escapes by kind, and words of several scripts."""
-    t = df.select(F.explode(_all(F.col(text_col), *analyze.XML.values(), analyze.NESTED)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def notable(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """heading, token, n: escapes by kind, and words of several scripts, of all rows or by columns."""
+    t = df.select(*by, F.explode(_all(F.col(text_col), *analyze.XML.values(), analyze.NESTED)).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
     kind = F.coalesce(*[F.when(F.col("token").rlike(p), h) for h, p in XML_GROUPS])
-    return t.select(kind.alias("heading"), "token", "n").where("heading is not null").unionByName(mixed(df, text_col))
+    return t.select(*by, kind.alias("heading"), "token", "n").where("heading is not null").unionByName(mixed(df, text_col, by))
 
 
-def mixed(df: DataFrame, text_col: str = "text") -> DataFrame:
+def mixed(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """heading, token, n: words whose letters are of two scripts or more, under the sorted names of these; a script is that of the
     letter's block. Modifier and tone letters are named, but count for none."""
-    t = analyze.tokens(df, analyze.WORD, text_col).where(F.col("token").rlike("[^A-Za-z]"))
-    letters = t.select("token", "n", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(r"\p{L}"), F.lit(0)))).alias("ch"))
+    t = analyze.tokens(df, analyze.WORD, text_col, by).where(F.col("token").rlike("[^A-Za-z]"))
+    letters = t.select(*by, "token", "n", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(r"\p{L}"), F.lit(0)))).alias("ch"))
     raw = F.java_method(F.lit("java.lang.Character$UnicodeBlock"), F.lit("of"), F.ascii("ch"))
 
     def named(it):
@@ -97,16 +98,16 @@ def mixed(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pdf[["ch", "script"]]
 
     dim = letters.select("ch").distinct().select("ch", raw.alias("block")).mapInPandas(named, "ch string, script string")
-    found = letters.join(dim, "ch").groupBy("token", "n").agg(F.array_sort(F.collect_set("script")).alias("s"))
+    found = letters.join(dim, "ch").groupBy(*by, "token", "n").agg(F.array_sort(F.collect_set("script")).alias("s"))
     found = found.where(F.size(F.array_except("s", F.array(*map(F.lit, blocks.NO_LETTERS)))) >= 2)
-    return found.select(F.concat(F.lit("WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS ("), F.array_join("s", ", "), F.lit(")")).alias("heading"), "token", "n")
+    return found.select(*by, F.concat(F.lit("WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS ("), F.array_join("s", ", "), F.lit(")")).alias("heading"), "token", "n")
 
 
-def non_canonical(df: DataFrame, text_col: str = "text") -> DataFrame:
+def non_canonical(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """orig, norm, orig_count, norm_count, changes, orig_form, norm_form of letters and letters with marks that are not in their
     canonical form. norm_count is that of the canonical form in the same texts."""
-    pieces = df.select(F.explode(F.concat(F.regexp_extract_all(F.col(text_col), F.lit(analyze.COMPLEX), F.lit(0)), F.split(text_col, ""))).alias("orig"))
-    t = pieces.where(F.col("orig").rlike(r"^\p{L}\p{M}*$")).groupBy("orig").agg(F.count("*").alias("orig_count"))
+    pieces = df.select(*by, F.explode(F.concat(F.regexp_extract_all(F.col(text_col), F.lit(analyze.COMPLEX), F.lit(0)), F.split(text_col, ""))).alias("orig"))
+    t = pieces.where(F.col("orig").rlike(r"^\p{L}\p{M}*$")).groupBy(*by, "orig").agg(F.count("*").alias("orig_count"))
     steps = {s.name: s.apply for s in normalize.STEPS}
 
     def forms(x: Column, left: list[str], seen: list[Column]) -> Column:
@@ -116,12 +117,12 @@ def non_canonical(df: DataFrame, text_col: str = "text") -> DataFrame:
         return normalize.let(steps[left[0]](x), lambda y: forms(y, left[1:], [*seen, x]))
 
     names = F.array(*[F.lit(name) for name, _ in CANON])
-    done = t.select("orig", "orig_count", forms(F.col("orig"), [s for _, s in CANON], []).alias("f"))
+    done = t.select(*by, "orig", "orig_count", forms(F.col("orig"), [s for _, s in CANON], []).alias("f"))
     # Written into the plan as an array that is exploded: a filter on it does not repeat the steps.
-    one = done.select("orig", "orig_count", F.explode(F.array("f")).alias("f"))
+    one = done.select(*by, "orig", "orig_count", F.explode(F.array("f")).alias("f"))
     changes = F.filter(names, lambda name, k: F.get("f", k) != F.get("f", k + 1))
-    found = one.where(F.get("f", F.lit(len(CANON))) != F.col("orig")).select("orig", F.get("f", F.lit(len(CANON))).alias("norm"), "orig_count", changes.alias("changes"))
-    found = found.join(t.select(F.col("orig").alias("norm"), F.col("orig_count").alias("norm_count")), "norm", "left")
+    found = one.where(F.get("f", F.lit(len(CANON))) != F.col("orig")).select(*by, "orig", F.get("f", F.lit(len(CANON))).alias("norm"), "orig_count", changes.alias("changes"))
+    found = found.join(t.select(*by, F.col("orig").alias("norm"), F.col("orig_count").alias("norm_count")), [*by, "norm"], "left")
 
     def labelled(it):
         for pdf in it:
@@ -129,8 +130,9 @@ def non_canonical(df: DataFrame, text_col: str = "text") -> DataFrame:
             pdf["orig_form"], pdf["norm_form"] = [f[0] for f in forms], [f[1] for f in forms]
             yield pdf
 
-    cols = found.select("orig", "norm", "orig_count", F.coalesce("norm_count", F.lit(0)).alias("norm_count"), "changes")
-    return cols.mapInPandas(labelled, "orig string, norm string, orig_count long, norm_count long, changes array<string>, orig_form string, norm_form string")
+    cols = found.select(*by, "orig", "norm", "orig_count", F.coalesce("norm_count", F.lit(0)).alias("norm_count"), "changes")
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema if f.name in by)
+    return cols.mapInPandas(labelled, keys + "orig string, norm string, orig_count long, norm_count long, changes array<string>, orig_form string, norm_form string")
 
 
 def _form(s: str) -> str | None:

@@ -5,6 +5,8 @@ Characters are counted first. The JVM gives each distinct character its block; t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,13 +37,15 @@ def script_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return script_rows(df, text_col).drop("first_char")
 
 
-def script_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """script_counts() and first_char, the script's least character."""
-    found = described(analyze.char_counts(df, text_col)).groupBy("kind", "script").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("ch")).alias("chars"))
+def script_rows(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """script_counts() and first_char, the script's least character, of all rows or by columns."""
+    counts = analyze.char_counts(df, text_col, by)
+    kinds = described(counts.groupBy("ch").agg(F.sum("n").alias("n"))).select("ch", "kind", "script") if by else None
+    found = (described(counts) if kinds is None else counts.join(kinds, "ch")).groupBy(*by, "kind", "script").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("ch")).alias("chars"))
     # equal counts: the script of the least character goes first
-    ranked = found.withColumn("first", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.ascii(F.col("chars")[0]))) == 1)
+    ranked = found.withColumn("first", F.row_number().over(Window.partitionBy(*by, "kind").orderBy(F.desc("n"), F.ascii(F.col("chars")[0]))) == 1)
     shown = F.coalesce(*[F.when(F.col("kind") == k, F.when(F.col("first"), a).otherwise(b)) for k, a, b in SHOWN])
-    return ranked.select("kind", "script", "n", F.when(F.size("chars") <= shown, F.array_join("chars", "")).alias("ex"), F.col("chars")[0].alias("first_char"))
+    return ranked.select(*by, "kind", "script", "n", F.when(F.size("chars") <= shown, F.array_join("chars", "")).alias("ex"), F.col("chars")[0].alias("first_char"))
 
 
 def block_table(df: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

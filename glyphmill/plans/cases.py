@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata as ud
 from collections import defaultdict
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,61 +44,63 @@ def first(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return kept.groupBy(*by).agg(ex.alias("ex"))
 
 
-def characters(lines: DataFrame, k: int = 5) -> DataFrame:
+def characters(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """block, ch, code_point, name, n, ex: of a letter or mark the run of letters around it, of a number the run of numbers, else
     the character itself."""
-    per = lines.select("line_no", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("line_no", "ch").agg(F.count("*").alias("n"))
-    counts = per.groupBy("ch").agg(F.sum("n").alias("n"))
+    per = lines.select(*by, "line_no", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy(*by, "line_no", "ch").agg(F.count("*").alias("n"))
+    counts = per.groupBy(*by, "ch").agg(F.sum("n").alias("n"))
+    different = counts.groupBy("ch").agg(F.sum("n").alias("n"))
     # each of a character's first k lines gives at least one example
-    near = per.withColumn("r", F.row_number().over(Window.partitionBy("ch").orderBy("line_no"))).where(F.col("r") <= k).select("ch", "line_no")
+    near = per.withColumn("r", F.row_number().over(Window.partitionBy(*by, "ch").orderBy("line_no"))).where(F.col("r") <= k).select(*by, "ch", "line_no")
     run = r"(?:\p{L}\p{M}*|\x{FFFD})*"
     around = F.concat(F.lit(run + r"\p{M}*"), F.col("ch"), F.lit(r"\p{M}*" + run))
     number = F.concat(F.lit(r"\p{N}*"), F.col("ch"), F.lit(r"\p{N}*"))
     texts = F.when(F.col("ch").rlike(r"[\p{L}\p{M}\x{FFFD}]"), F.regexp_extract_all("text", around, F.lit(0))).when(F.col("ch").rlike(r"\p{N}"), F.regexp_extract_all("text", number, F.lit(0))).otherwise(F.array("ch"))
-    found = near.join(lines.select("line_no", "text"), "line_no").select("ch", "line_no", F.posexplode(texts).alias("pos", "text"))
-    dim = analyze.char_dim(counts).select("ch", "code_point", "name")
-    return scripts.described(counts).select("block", "ch", "n").join(dim, "ch").join(first(found, ["ch"], k), "ch").select("block", "ch", "code_point", "name", "n", "ex")
+    found = near.join(lines.select(*by, "line_no", "text"), [*by, "line_no"]).select(*by, "ch", "line_no", F.posexplode(texts).alias("pos", "text"))
+    dim = analyze.char_dim(different).select("ch", "code_point", "name")
+    blocks = scripts.described(different).select("block", "ch").join(dim, "ch")
+    return counts.join(blocks, "ch").join(first(found, [*by, "ch"], k), [*by, "ch"]).select(*by, "block", "ch", "code_point", "name", "n", "ex")
 
 
-def notable(lines: DataFrame, k: int = 5) -> DataFrame:
+def notable(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """heading, token, n, ex of escapes and of words of several scripts."""
-    kinds = report.notable(lines)
+    kinds = report.notable(lines, by=by)
     patterns = [*analyze.XML.values(), analyze.NESTED, analyze.WORD]
-    tokens = lines.select("line_no", F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in patterns])).alias("token"))
-    found = tokens.join(kinds.select("token"), "token", "left_semi").select("token", F.col("token").alias("text"), "line_no", F.lit(0).alias("pos"))
-    return kinds.join(first(found, ["token"], k), "token").select("heading", "token", "n", "ex")
+    tokens = lines.select(*by, "line_no", F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in patterns])).alias("token"))
+    found = tokens.join(kinds.select(*by, "token"), [*by, "token"], "left_semi").select(*by, "token", F.col("token").alias("text"), "line_no", F.lit(0).alias("pos"))
+    return kinds.join(first(found, [*by, "token"], k), [*by, "token"]).select(*by, "heading", "token", "n", "ex")
 
 
-def patterns(lines: DataFrame, k: int = 5) -> DataFrame:
+def patterns(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """pattern, n, ex, first (place of its first token) of tokens with a character of interest or an orphan mark."""
-    tokens = lines.select("line_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).alias("pos", "text"))
+    tokens = lines.select(*by, "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).alias("pos", "text"))
     kept = tokens.where(F.col("text").rlike(normalize.class_of(report.OF_INTEREST)) | F.col("text").rlike(report.ORPHAN))
-    shape = kept.select("line_no", "pos", "text", report.pattern_of(F.col("text")).alias("p"))
+    shape = kept.select(*by, "line_no", "pos", "text", report.pattern_of(F.col("text")).alias("p"))
     both = F.array_distinct(F.array("p", F.regexp_replace("p", "(?:Word)+ـ+(?:Word)+", "Word")))
-    found = shape.select("line_no", "pos", "text", F.explode(both).alias("pattern"))
-    counts = found.groupBy("pattern").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "pos")).alias("first"))
-    return counts.join(first(found, ["pattern"], k), "pattern")
+    found = shape.select(*by, "line_no", "pos", "text", F.explode(both).alias("pattern"))
+    counts = found.groupBy(*by, "pattern").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "pos")).alias("first"))
+    return counts.join(first(found, [*by, "pattern"], k), [*by, "pattern"])
 
 
-def grouped_patterns(lines: DataFrame, k: int = 5) -> DataFrame:
+def grouped_patterns(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """heading, pattern, n, ex, first."""
     marks = F.array(*[F.struct(F.lit(c).alias("ch"), F.lit(f"TOKENS WITH {c} (U+{ord(c):04X} {analyze.name_of(c)})").alias("heading")) for c in dict.fromkeys(report.OF_INTEREST)])
     held = F.transform(F.filter(marks, lambda m: F.contains(F.col("pattern"), m["ch"])), lambda m: m["heading"])
     orphan = F.when(F.contains(F.col("pattern"), F.lit("Modifier")), F.array(F.lit("TOKENS WITH ORPHAN MODIFIER"))).otherwise(F.array().cast("array<string>"))
-    return patterns(lines, k).select(F.explode(F.concat(held, orphan)).alias("heading"), "pattern", "n", "ex", "first")
+    return patterns(lines, k, by).select(*by, F.explode(F.concat(held, orphan)).alias("heading"), "pattern", "n", "ex", "first")
 
 
-def sections(lines: DataFrame, k: int = 5) -> dict[str, DataFrame]:
-    """Section to table, of lines (line_no, text; as they were read, unstripped); nothing runs until one is read."""
-    inner = lines.select("line_no", F.regexp_replace("text", r"^(?U)[\s\x{1C}-\x{1F}]+|(?U)[\s\x{1C}-\x{1F}]+$", "").alias("text")).where("text <> '<range>'")
+def sections(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Section to table, of lines (line_no, text; as they were read, unstripped), of all or by columns; nothing runs until one is read."""
+    inner = lines.select(*by, "line_no", F.regexp_replace("text", r"^(?U)[\s\x{1C}-\x{1F}]+|(?U)[\s\x{1C}-\x{1F}]+$", "").alias("text")).where("text <> '<range>'")
     return {
-        "overview": analyze.overview(lines),
-        "script": scripts.script_rows(inner),
-        "non-canonical": report.non_canonical(inner),
-        "char-conflict": analyze.char_conflicts(inner),
-        "notable-token": notable(inner, k),
-        "pattern": grouped_patterns(inner, k),
-        "block": characters(inner, k),
+        "overview": analyze.overview(lines, by=by),
+        "script": scripts.script_rows(inner, by=by),
+        "non-canonical": report.non_canonical(inner, by=by),
+        "char-conflict": analyze.char_conflicts(inner, by=by),
+        "notable-token": notable(inner, k, by),
+        "pattern": grouped_patterns(inner, k, by),
+        "block": characters(inner, k, by),
     }
 
 
