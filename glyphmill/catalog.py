@@ -39,6 +39,23 @@ def _change_log(lang: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _logged_lines(spark: SparkSession, sf_dir: str, pieces: list[str]) -> DataFrame:
+    """Lines with a piece for every step on the last of each text, under numbers of their own."""
+    lines = analyze.lines(catalog_steps.pieced(spark, sf_dir, pieces))
+    return lines.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("line_no"), F.col("line").alias("text"))
+
+
+def first_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the change log, the first lines that each step changes."""
+    found = changelog.first_lines(_logged_lines(spark, sf_dir, catalog_steps.mixed_pieces()), normalize.chosen("all"))
+    return found.withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+
+
+def unchanged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the change log, the mixed words that stay."""
+    return changelog.unchanged_words(_logged_lines(spark, sf_dir, catalog_steps.unmapped_pieces()), normalize.chosen("all"))
+
+
 def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the change log, the steps and the lines that they change."""
     return _change_log("")(spark, sf_dir).where("step not like 'look-alike %'").select("step", "n_changed")
@@ -95,6 +112,11 @@ def _escaped(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ESCAPES)), (F.col("page_id") % len(ESCAPES) + 1).cast("int"))))
 
 
+def _two_kinds(df: DataFrame) -> DataFrame:
+    """Pages with more escapes, and every fourth with a Cyrillic letter for a Latin one."""
+    return _escaped(df).withColumn("text", F.when(F.col("page_id") % 4 == 1, F.translate("text", "o", "о")).otherwise(F.col("text")))
+
+
 ODD = ["", " wоrd", " &amp;amp;lt; &#39;", " ـ", " \u0001", " \u0085", " \ufffd \ue000", " x@y.z #1 100%25%20 a-b"]
 
 
@@ -117,6 +139,8 @@ QUERIES |= {
     "letters_after_default": flagship,
     "change_log_by_step": _change_log(""),
     "change_log_changed": changed_lines,
+    "change_log_first_lines": first_changed_lines,
+    "change_log_unchanged_words": unchanged_words,
     "change_log_by_step_fas": _change_log("fas"),
     "change_log_by_step_pas": _change_log("pas"),
     "line_masks": line_masks,
@@ -133,7 +157,7 @@ QUERIES |= {
     "token_patterns": _text(lambda d: report.patterns(_odd(d))),
     "pattern_groups": _text(lambda d: report.pattern_groups(_odd(d))),
     "notable_tokens": _text(report.notable, "pages", "html"),
-    "notable_rollup": _text(analysis.rollup, "pages", "html"),
+    "notable_rollup": _text(lambda d: analysis.rollup(_two_kinds(d)), "pages", "html"),
     "multi_script_headings": _text(lambda d: report.mixed(_cyrillic(d))),
     "non_canonical": _text(lambda d: report.non_canonical(_decomposed(d)).withColumn("changes", F.array_join("changes", "+"))),
     "char_examples_top5": _text(lambda d: report.char_examples(d).select("ch", "code_point", "n", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",").alias("ex"))),
@@ -152,6 +176,8 @@ _words = _q(analyze.WORD)
 ORACLE_SQL |= {
     "change_log_changed": catalog_steps.sql_changed(normalize.chosen("all"), ""),
     "line_masks": sql_line_masks(),
+    "change_log_first_lines": catalog_steps.sql_first_lines(normalize.chosen("all"), ""),
+    "change_log_unchanged_words": catalog_steps.sql_unchanged_words(normalize.chosen("all"), ""),
     "letters_after_default": rf"SELECT script, sum(n)::BIGINT AS n, string_agg(ch, '' ORDER BY ord(ch)) AS letters FROM (SELECT ch, count(*) AS n, CASE WHEN regexp_matches(ch, '\p{{Latin}}') THEN 'LATIN' WHEN regexp_matches(ch, '\p{{Cyrillic}}') THEN 'CYRILLIC' END AS script FROM (SELECT unnest(string_split(normalized, '')) AS ch FROM ({catalog_steps.sql_chain(normalize.DEFAULT, '', [''])})) WHERE regexp_matches(ch, '^\pL$') GROUP BY ch) GROUP BY script",
     "orphan_marks": r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || ' ' || chr(769) || 'x 1' || chr(776), '\S+')) AS token FROM documents) WHERE regexp_matches(token, '(^|[^\pL\pM])\pM') GROUP BY token",
     "overview": "SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, (sum(length(text)) + count(*))::BIGINT AS n_characters FROM documents WHERE text IS NOT NULL",
@@ -191,7 +217,13 @@ ORACLE_SQL |= {
     "token_patterns": _patterns,
     "pattern_groups": f"SELECT heading, pattern, n FROM ({_patterns}) JOIN (VALUES {_marks}) AS m(ch, heading) ON contains(pattern, ch) UNION ALL SELECT 'TOKENS WITH ORPHAN MODIFIER', pattern, n FROM ({_patterns}) WHERE contains(pattern, 'Modifier')",
     "notable_tokens": f"SELECT * FROM ({_notable}) WHERE heading IS NOT NULL",
-    "notable_rollup": f"SELECT 'XML escape tokens' AS kind, count(DISTINCT heading) AS categories, count(*) AS types, sum(n)::BIGINT AS instances FROM ({_notable}) WHERE heading IS NOT NULL HAVING count(*) > 0",
+    "notable_rollup": rf"""
+        WITH p AS (SELECT CASE WHEN page_id % 4 = 1 THEN replace(html || {_escapes}, 'o', 'о') ELSE html || {_escapes} END AS t FROM pages),
+        x AS (SELECT unnest({' || '.join(f"regexp_extract_all(t, {_q(p)})" for p in (*analyze.XML.values(), analyze.NESTED))}) AS token FROM p),
+        w AS (SELECT unnest(list_filter(regexp_extract_all(t, {_words}), lambda w: regexp_matches(w, '\p{{Latin}}') AND regexp_matches(w, '\p{{Cyrillic}}'))) AS token FROM p),
+        n AS (SELECT 'XML escape tokens' AS kind, {_heading} AS heading, token, count(*) AS n FROM x GROUP BY token
+            UNION ALL SELECT 'Words with characters from multiple scripts', 'WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS (CYRILLIC, LATIN)', token, count(*) FROM w GROUP BY token)
+        SELECT kind, heading, grouping_id(kind, heading)::INT AS level, count(DISTINCT heading) AS categories, count(DISTINCT (heading, token)) AS types, sum(n)::BIGINT AS instances FROM n WHERE heading IS NOT NULL GROUP BY ROLLUP (kind, heading)""",
     "multi_script_headings": f"SELECT 'WORDS WITH CHARACTERS FROM MULTIPLE SCRIPTS (CYRILLIC, LATIN)' AS heading, token, n FROM ({ORACLE_SQL['mixed_script_words']})",
     "non_canonical": "SELECT 'e' || chr(769) AS orig, 'é' AS norm, sum(len(text) - len(replace(text, 'é', '')))::BIGINT AS orig_count, 0::BIGINT AS norm_count, 'compose' AS changes, 'NFD' AS orig_form, 'NFC' AS norm_form FROM documents HAVING sum(len(text) - len(replace(text, 'é', ''))) > 0",
     "char_examples_top5": "SELECT ch, printf('U+%04X', ord(ch)) AS code_point, sum(n)::BIGINT AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 5) AS ex FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY doc_id) AS r FROM (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ALL)) GROUP BY ch",

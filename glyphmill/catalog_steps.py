@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
 from glyphmill.functions import register
-from glyphmill.operators import bytesafe, normalize
+from glyphmill.operators import bytesafe, lookalike, normalize
 
 #: Sources in a piece.
 CHUNK = 32
@@ -239,12 +239,44 @@ def sql_chain(steps: frozenset[str], lang: str, pieces: list[str]) -> str:
     return f"WITH {', '.join(with_)} SELECT doc_id, regexp_replace(t, ' +(\\t|\\n|$)', '\\1', 'g') AS normalized FROM s{len(with_) - 1}"
 
 
+def unmapped_pieces() -> list[str]:
+    """The same, each with a mixed word that no rule maps or splits."""
+    words = "aжz qщw Жbщz fдgл aжz".split()
+    return [f"{p} {words[k % len(words)]}" for k, p in enumerate(mixed_pieces())]
+
+
+def _logged_sql(run: list[str], pieces: list[str]) -> list[str]:
+    """Tables s0 ... of the lines after each step: line_no, o (the line), t (now), c (whether each step changed it)."""
+    lines = f"SELECT doc_id * 1000000 + i AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS parts FROM ({start(pieces)})))"
+    with_ = [f"s0 AS (SELECT line_no, line AS o, line AS t, []::BOOLEAN[] AS c FROM ({lines}))"]
+    for k, name in enumerate(run):
+        with_.append(f"s{k + 1} AS MATERIALIZED (SELECT line_no, o, n AS t, list_append(c, n <> t) AS c FROM (SELECT line_no, o, t, c, {sql_step(name, 't')} AS n FROM s{k}))")
+    return with_
+
+
+def sql_first_lines(steps: frozenset[str], lang: str, k: int = 20) -> str:
+    """SQL of the first lines that each step changes."""
+    run = _runs(steps, lang)
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS step, line_no FROM s{len(run)} WHERE c[{n + 1}]" for n, name in enumerate(run))
+    return f"WITH {', '.join(_logged_sql(run, mixed_pieces()))} SELECT step, string_agg(line_no, ',' ORDER BY line_no) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY line_no) AS r FROM ({rows})) WHERE r <= {k} GROUP BY step"
+
+
+def sql_unchanged_words(steps: frozenset[str], lang: str, k: int = 100) -> str:
+    """SQL of the words of Latin and Cyrillic letters that the look-alike step leaves; it takes those of Latin and Greek as Latin."""
+    run = _runs(steps, lang)
+    at = run.index("look-alike")
+
+    def mixed(c: str) -> str:
+        has = {x: f"regexp_matches({c}, '[{v}]')" for x, v in lookalike.SCRIPTS.items()}
+        return " OR ".join(f"({has[x]} AND {has[y]})" for x, y in (("Latin", "Greek"), ("Latin", "Cyrillic"), ("Greek", "Cyrillic")))
+
+    return f"WITH {', '.join(_logged_sql(run[:at], unmapped_pieces()))} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '[^\\t-\\r ]+')) AS word FROM s{at} WHERE {mixed('o')}) WHERE regexp_matches(word, '[{lookalike.SCRIPTS['Latin']}]') AND regexp_matches(word, '[{lookalike.SCRIPTS['Cyrillic']}]') AND {sql_step('look-alike', 'word')} = word GROUP BY word ORDER BY n DESC, word LIMIT {k}"
+
+
 def sql_changed(steps: frozenset[str], lang: str) -> str:
     """SQL of the lines that each step changes, and of all that change."""
     run = _runs(steps, lang)
-    with_ = [f"s0 AS (SELECT line AS o, line AS t, []::BOOLEAN[] AS c FROM (SELECT unnest(string_split(t, chr(10))) AS line FROM ({start(mixed_pieces())})))"]
-    for k, name in enumerate(run):
-        with_.append(f"s{k + 1} AS MATERIALIZED (SELECT o, n AS t, list_append(c, n <> t) AS c FROM (SELECT o, t, c, {sql_step(name, 't')} AS n FROM s{k}))")
+    with_ = _logged_sql(run, mixed_pieces())
     rows = [f"SELECT 'all' AS step, count(*) FILTER (o <> t) AS n_changed FROM s{len(run)}"]
     for name in normalize.NAMES:
         if name in run:

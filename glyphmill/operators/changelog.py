@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphmill.functions import masks
 from glyphmill.operators import lookalike, normalize
@@ -32,21 +33,47 @@ def _after(s: normalize.Step, gate: Column, rows: Iterable[str] | None) -> Calla
 
 def _logged(text: Column, steps: list[normalize.Step], gates: Column, rows: Iterable[str] | None) -> Column:
     """t: the text after the steps, c: whether each of them changed it, k: what became of mixed words."""
-    out = F.struct(text.alias("t"), F.array().cast("array<boolean>").alias("c"), F.array().cast("array<string>").alias("k"))
+    out = F.struct(text.alias("t"), F.array().cast("array<boolean>").alias("c"), F.array().cast("array<struct<word: string, kind: string>>").alias("k"))
     for k, s in enumerate(steps):
         out = normalize.let(out, _after(s, F.get(gates, F.lit(k)), rows))
     return out
 
 
-def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text", look_alikes: Iterable[str] | None = None) -> DataFrame:
-    """place, step, n_calls, n_changed: first `all` (lines, changed lines), then the enabled steps in order of application, after
-    look-alike its words by outcome (n_calls: mixed words seen, n_changed: those with this outcome)."""
+def _of_kind(outcome: str) -> Column:
+    return F.filter("x.k", lambda w: w["kind"] == outcome)
+
+
+def _states(df: DataFrame, steps: frozenset[str] | None, lang: str, text_col: str, look_alikes: Iterable[str] | None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[normalize.Step]]:
+    """keep, _text, g (which gates are open), x (what the steps make of it) of each line, and the enabled steps."""
     enabled = normalize.DEFAULT if steps is None else steps
     chosen = [s for s in normalize.with_look_alikes(look_alikes) if s.name in enabled or s.name in normalize.ALWAYS]
     text = F.col(text_col)
     # Exploded, so that the plan repeats neither the gates nor the steps.
-    opened = df.where(text.isNotNull()).select(text.alias("_text"), F.explode(F.array(normalize.let(masks.mask(text), lambda m: F.array(*[s.opens(m, lang) for s in chosen])))).alias("g"))
-    states = opened.select("_text", "g", F.explode(F.array(_logged(F.col("_text"), chosen, F.col("g"), look_alikes))).alias("x"))
+    opened = df.where(text.isNotNull()).select(*keep, text.alias("_text"), F.explode(F.array(normalize.let(masks.mask(text), lambda m: F.array(*[s.opens(m, lang) for s in chosen])))).alias("g"))
+    return opened.select(*keep, "_text", "g", F.explode(F.array(_logged(F.col("_text"), chosen, F.col("g"), look_alikes))).alias("x")), chosen
+
+
+def first_lines(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text", no_col: str = "line_no", k: int = 20, look_alikes: Iterable[str] | None = None) -> DataFrame:
+    """step, lines: the first k lines (by no_col) that each step changes; steps that change none have no row. Spark keeps a step's first k
+    of each task before they are shuffled."""
+    states, chosen = _states(df, steps, lang, text_col, look_alikes, (no_col,))
+    names = F.array(*[F.lit(s.name) for s in chosen])
+    changed = states.select(F.col(no_col).alias("line_no"), F.explode(F.filter(names, lambda _, i: F.get("x.c", i))).alias("step"))
+    first = changed.withColumn("r", F.row_number().over(Window.partitionBy("step").orderBy("line_no"))).where(F.col("r") <= k)
+    return first.groupBy("step").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
+
+
+def unchanged_words(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text", k: int = 100, look_alikes: Iterable[str] | None = None) -> DataFrame:
+    """word, n: the k most frequent mixed words that look-alike leaves as they are, equal ones by the word."""
+    states, _ = _states(df, steps, lang, text_col, look_alikes)
+    words = states.select(F.explode(_of_kind("unchanged")).alias("w")).groupBy(F.col("w.word").alias("word")).agg(F.count("*").alias("n"))
+    return words.orderBy(F.desc("n"), "word").limit(k)
+
+
+def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text", look_alikes: Iterable[str] | None = None) -> DataFrame:
+    """place, step, n_calls, n_changed: first `all` (lines, changed lines), then the enabled steps in order of application, after
+    look-alike its words by outcome (n_calls: mixed words seen, n_changed: those with this outcome)."""
+    states, chosen = _states(df, steps, lang, text_col, look_alikes)
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c.cast("long")), F.lit(0))
@@ -55,7 +82,7 @@ def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "
     for k, s in enumerate(chosen):
         sums.append((s.name, total(F.get("g", F.lit(k))), total(F.get("x.c", F.lit(k)))))
         if s.name == "look-alike":
-            sums += [(f"look-alike {o}", total(F.size("x.k")), total(F.size("x.k") - F.size(F.array_remove("x.k", o)))) for o in OUTCOMES]
+            sums += [(f"look-alike {o}", total(F.size("x.k")), total(F.size(_of_kind(o)))) for o in OUTCOMES]
     one = states.agg(*[c.alias(f"{k}{p}") for p, (_, calls, changed) in enumerate(sums) for k, c in (("n", calls), ("c", changed))])
     rows = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(name).alias("step"), F.col(f"n{p}").alias("n_calls"), F.col(f"c{p}").alias("n_changed")) for p, (name, _, _) in enumerate(sums)])
     return one.select(F.explode(rows).alias("x")).select("x.*")

@@ -154,7 +154,8 @@ def repaired(c: Column, rows: Iterable[str] | None = None) -> Column:
 
 
 def outcomes(c: Column, rows: Iterable[str] | None = None) -> Column:
-    """What becomes of each mixed word: to-Latin, to-Cyrillic, split or unchanged. No rule leads to Greek."""
+    """word, kind of each mixed word in order: what becomes of it, to-Latin, to-Cyrillic, split or unchanged. No rule leads to Greek."""
     table = _table(rows)
     words = F.filter(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), gate)
-    return F.transform(words, lambda x: F.coalesce(F.concat(F.lit("to-"), target_of(x, table)), F.when(split(x) != x, "split").otherwise("unchanged")))
+    kind = lambda x: F.coalesce(F.concat(F.lit("to-"), target_of(x, table)), F.when(split(x) != x, "split").otherwise("unchanged"))
+    return F.transform(words, lambda x: F.struct(x.alias("word"), kind(x).alias("kind")))

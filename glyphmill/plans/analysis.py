@@ -33,9 +33,11 @@ def as_json(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def rollup(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind, categories, types, instances of notable tokens."""
+    """kind, heading, level, categories, types, instances of notable tokens: of each heading (level 0), each kind (1) and all (3); kind and
+    heading are null where they are summed over."""
     kind = F.when(F.col("heading").startswith("XML"), "XML escape tokens").otherwise("Words with characters from multiple scripts")
-    return report.notable(df, text_col).groupBy(kind.alias("kind")).agg(F.countDistinct("heading").alias("categories"), F.count("*").alias("types"), F.sum("n").alias("instances"))
+    found = report.notable(df, text_col).withColumn("kind", kind).rollup("kind", "heading")
+    return found.agg(F.grouping_id().cast("int").alias("level"), F.countDistinct("heading").alias("categories"), F.countDistinct("heading", "token").alias("types"), F.sum("n").alias("instances"))
 
 
 def printed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cases: int = 100) -> str:
