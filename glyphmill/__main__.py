@@ -101,26 +101,26 @@ def norm(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def ana(spark: SparkSession, args: argparse.Namespace) -> int:
-    lines = lines_of(spark, args, strip=False)
+    lines = lines_of(spark, args, strip=False, keep_raw=True)
     if args.path == "-":
         lines = lines.persist()
     if args.tags or args.all_tags:
         rows = lines.withColumnRenamed("text", "line")
         full = rows.select(tags.collapsed(F.col("line")).alias("line"))
         size = full.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.when(F.col("line") != "", F.size(F.split("line", " ")))), F.lit(0)).alias("tokens")).first()
-        print(tags.printed(tags.issues(rows, args.lc), args.lc, args.all_tags, n_tokens=size.tokens, n_lines=size.lines), end="")
+        print(tags.printed(tags.issues(rows, args.lc, raw_col="raw"), args.lc, args.all_tags, n_tokens=size.tokens, n_lines=size.lines), end="")
         return 0
     if args.summary:
-        found = summary.by_document(text.without_range_lines(lines)).where("issues <> ''")
+        found = summary.by_document(text.without_range_lines(lines.drop("raw"))).where("issues <> ''")
         for r in found.select("doc_id", F.array_join(F.array_sort(F.split("issues", "; ")), "; ").alias("issues")).orderBy("doc_id").toLocalIterator():
             print(f"{r.doc_id}: {r.issues}")
         return 0
     if args.json:
-        text.write_json(analysis.as_json(text.without_range_lines(lines), "line_no"), args.json)
+        text.write_json(analysis.as_json(text.without_range_lines(lines.drop("raw")), "line_no"), args.json)
         return 0
     refs = text.read_ref_ids(spark, args.ref_ids).persist() if args.ref_ids else None
     # one plan for all files; the driver gets a document at a time, as large as a report is
-    found = documents.documents(lines.select("doc_id", "line_no", "text"), k=args.max_examples, cases=None if args.document else args.max_cases).orderBy("doc_id").toLocalIterator()
+    found = documents.documents(lines, k=args.max_examples, cases=None if args.document else args.max_cases).orderBy("doc_id").toLocalIterator()
     first = list(islice(found, 2))
     for r in chain(first, found):
         doc = json.loads(r.document)

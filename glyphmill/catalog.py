@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphmill import catalog_steps, catalog_tokens
 from glyphmill.functions import masks
-from glyphmill.operators import analyze, changelog, normalize, report, scripts, summary
+from glyphmill.operators import analyze, changelog, lonebytes, normalize, report, scripts, summary, tags
 from glyphmill.plans import analysis, documents
 from glyphmill.streaming import stream
 
@@ -108,6 +108,29 @@ def file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "d.n_lines", "d.n_characters", F.array_join(F.array_sort(scripts_), "|").alias("scripts"), chars.alias("chars"), tokens.alias("tokens"))
 
 
+def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as bytes, with ill-formed ones amid and after them."""
+    odd = F.element_at(F.array(*[F.lit(x) for x in BYTES]), (F.col("doc_id") % len(BYTES) + 1).cast("int"))
+    lines = analyze.lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    half = (F.length("line") / 2).cast("int")
+    raw = F.concat(F.encode(F.substring(F.col("line"), F.lit(1), half), "UTF-8"), F.unhex(odd), F.encode(F.substring(F.col("line"), half + 1, F.length("line")), "UTF-8"), F.unhex(odd))
+    return lines.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("line_no"), raw.alias("raw"))
+
+
+def lone_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ill-formed bytes as rows of their block, with the lines of their examples."""
+    found = lonebytes.table(_raw_lines(spark, sf_dir), k=1_000_000)
+    lines = F.array_distinct(F.transform("ex", lambda x: x["line_no"]))
+    return found.select("block", "code_point", "name", "n", F.size(lines).cast("long").alias("n_lines"), F.array_min(lines).alias("first_line"))
+
+
+def tags_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of tokens with ill-formed bytes, with examples and places."""
+    raw = _raw_lines(spark, sf_dir)
+    found = tags.issues(raw.withColumn("line", F.lit("")), raw_col="raw", examples=50)
+    return found.withColumn("places", F.array_join(F.transform("places", lambda x: x.cast("string")), ","))
+
+
 def _escaped(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.element_at(F.array(*map(F.lit, ESCAPES)), (F.col("page_id") % len(ESCAPES) + 1).cast("int"))))
 
@@ -130,6 +153,8 @@ def stream_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Ill-formed bytes, in hexadecimal digits: lone ones, cut and over-long sequences, halves of surrogate pairs.
+BYTES = ["", "80", "E9", "C0AF", "E282", "20E0808020", "F0808080", "EDA080", "FFFE", "C3A9C3", "F09F98"]
 #: Appended to pages by id: numeric and nested escapes, which the pages lack.
 ESCAPES = ["", " &#233; &#8364;", " &#xE9;&#x20AC;", " &amp;lt; &amp;amp;gt;", " &nbsp; &amp;#39;"]
 
@@ -165,6 +190,8 @@ QUERIES |= {
     "script_counts": _text(lambda d: scripts.script_counts(_odd(d))),
     "block_table": _text(lambda d: scripts.block_table(d).withColumn("ex", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",")).drop("name")),
     "file_documents": file_documents,
+    "lone_bytes": lone_bytes,
+    "tags_of_bytes": tags_of_bytes,
     "analysis_json": _text(analysis.as_json),
     "stream_char_counts": stream_char_counts,
 }
@@ -250,5 +277,22 @@ ORACLE_SQL["file_documents"] = rf"""
     ex AS (SELECT source, token, string_agg(line_no, ',' ORDER BY line_no) AS ex FROM (SELECT DISTINCT source, token, line_no, dense_rank() OVER (PARTITION BY source, token ORDER BY line_no) AS k FROM found) WHERE k <= 5 GROUP BY source, token),
     tokens AS (SELECT source, string_agg(x, '|' ORDER BY x) AS tokens FROM (SELECT top.source, heading || ':' || top.token || ':' || n || ':' || ex AS x FROM top JOIN ex USING (source, token) WHERE r <= 101) GROUP BY source)
     SELECT source, n_lines, n_characters, coalesce(scripts, '') AS scripts, coalesce(chars, '') AS chars, coalesce(tokens, '') AS tokens FROM size LEFT JOIN chars USING (source) LEFT JOIN scripts USING (source) LEFT JOIN tokens USING (source)"""
+_bytes = "list_extract([" + ", ".join(map(_q, BYTES)) + f"], (doc_id % {len(BYTES)} + 1)::INT)"
+# Lines as hexadecimal digits; pieces are well-formed sequences or single bytes.
+_hex = f"""h AS MATERIALIZED (SELECT doc_id * 1000000 + i AS line_no, hex(encode(substr(line, 1, length(line) // 2))) || {_bytes} || hex(encode(substr(line, length(line) // 2 + 1))) || {_bytes} AS x
+        FROM (SELECT doc_id, parts[i] AS line, i FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))))"""
+_pieces = f"regexp_extract_all(x, {_q(catalog_steps._WELL + '|..')})"
+_lone = "len(p) = 2 AND p >= '80'"
+ORACLE_SQL["lone_bytes"] = f"""WITH {_hex}, u AS (SELECT line_no, unnest({_pieces}) AS p FROM h)
+    SELECT 'LOW_SURROGATES' AS block, '0x' || p AS code_point, 'UTF-8 ENCODING ERROR (BYTE SURROGATE: U+DC' || p || ')' AS name, count(*) AS n, count(DISTINCT line_no) AS n_lines, min(line_no) AS first_line FROM u WHERE {_lone} GROUP BY p"""
+_split = "array_to_string([CASE WHEN p IN ('20', '09', '0A', '0B', '0C', '0D') THEN ' ' WHEN " + _lone + " THEN '<' || p || '>' ELSE p END FOR p IN " + _pieces + "], '')"
+_readable = r"array_to_string([CASE WHEN p LIKE '<%' THEN p ELSE decode(unhex(p)) END FOR p IN regexp_extract_all(token, '<..>|[0-9A-F]+')], '')"
+ORACLE_SQL["tags_of_bytes"] = f"""WITH {_hex},
+    t AS MATERIALIZED (SELECT line_no, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT line_no, string_split(trim(regexp_replace({_split}, ' +', ' ', 'g'), ' '), ' ') AS w FROM h)),
+    b AS MATERIALIZED (SELECT line_no, pos, {_readable} AS example, CASE WHEN regexp_matches(token, '<C[01]><[89AB].>|<E0><[89].><[89AB].>|<F0><8.><[89AB].><[89AB].>') THEN 'UTF8_NON_SHORTEST' ELSE 'NON_UTF8' END AS tag FROM t WHERE contains(token, '<')),
+    e AS (SELECT tag, example, count(*) AS n_example, min((line_no, pos)) AS first FROM b GROUP BY tag, example),
+    r AS (SELECT tag, example, n_example, row_number() OVER (PARTITION BY tag ORDER BY first, example) AS rank, sum(n_example) OVER (PARTITION BY tag) AS n, count(*) OVER (PARTITION BY tag) AS n_examples FROM e),
+    p AS (SELECT tag, example, string_agg(line_no, ',' ORDER BY line_no, pos) AS places FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY tag, example ORDER BY line_no, pos) <= 10) GROUP BY tag, example)
+    SELECT tag, n::BIGINT AS n, n_examples, rank::INT AS rank, example, n_example, places FROM r JOIN p USING (tag, example) WHERE rank <= 50"""
 QUERIES |= catalog_tokens.QUERIES
 ORACLE_SQL |= catalog_tokens.ORACLE_SQL

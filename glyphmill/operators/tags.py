@@ -5,8 +5,8 @@ Columns and by a table of the tags of its characters; counts and places are join
 escapes are looked at one by one: what a rule finds is blanked before the next rule looks.
 
 A tag can count several times for a token: `times`. Examples are kept in the order of their first place, places in order of line.
-Ill-formed bytes do not exist in strings; see bytesafe for what becomes of them before (NON_UTF8 and UTF8_NON_SHORTEST are
-counted by ill_formed() over bytes).
+Ill-formed bytes do not exist in strings; of lines that come with their bytes, tokens that hold some are tagged NON_UTF8 or
+UTF8_NON_SHORTEST (see lonebytes).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from glyphmill.functions import tagdata as D
 from glyphmill.functions.masks import let
-from glyphmill.operators import intervals
+from glyphmill.operators import intervals, lonebytes
 
 LONG, EXAMPLES, PLACES = 20, 20, 10
 TAG = "struct<tag: string, example: string, times: int>"
@@ -256,14 +256,18 @@ def line_tags(lines: DataFrame, line_col: str = "line", no_col: str = "line_no")
     return every.select("x.tag", "x.example", "line_no", (F.col("k") - 1_000_000).alias("pos"))
 
 
-def issues(lines: DataFrame, lang: str = "", long_min: int = LONG, examples: int = EXAMPLES, places: int = PLACES, line_col: str = "line", no_col: str = "line_no") -> DataFrame:
-    """tag, n (of the tag), example, n_example, places (of the example, the first ones in order), rank (of the example by its first
+def issues(lines: DataFrame, lang: str = "", long_min: int = LONG, examples: int = EXAMPLES, places: int = PLACES, line_col: str = "line", no_col: str = "line_no", raw_col: str | None = None) -> DataFrame:
+    """With raw_col, the lines' bytes, tokens with ill-formed ones are told too. tag, n (of the tag), example, n_example, places (of the example, the first ones in order), rank (of the example by its first
     place); examples beyond the limit have no row, so that a tag with more has rank up to it and n_examples above."""
     rows = collapsed_lines(lines, line_col, no_col)
     tokens = rows.select(F.col(no_col).alias("line_no"), F.posexplode(F.split(line_col, " ")).alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "pos")).alias("first"))
     whole = counts.select("token", F.explode(token_tags(F.col("token"), lang, long_min)).alias("x")).select("token", "x.*")
     tagged = whole.where("tag <> ''").unionByName(char_tags(whole.where("tag = ''").select("token"), lang)).groupBy("token", "tag", "example").agg(F.sum("times").alias("times"))
+    if raw_col is not None:
+        odd = lonebytes.tokens(lines, raw_col, no_col)
+        tagged, tokens = tagged.unionByName(lonebytes.tagged(odd)), tokens.unionByName(odd)
+        counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "pos")).alias("first"))
     found = tagged.join(counts, "token").groupBy("tag", "example").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.min("first").alias("first"))
     in_lines = line_tags(rows, line_col, no_col)
     found = found.unionByName(in_lines.groupBy("tag", "example").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "pos")).alias("first")))
@@ -321,12 +325,8 @@ def counts(lines: DataFrame, lang: str = "", long_min: int = LONG, line_col: str
 
 def ill_formed(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """tag, n of tokens with ill-formed bytes, from lines as bytes: NON_UTF8, and UTF8_NON_SHORTEST for over-long forms."""
-    latin = F.decode(F.col(raw_col), "ISO-8859-1")
-    tokens = raw.where(~F.is_valid_utf8(F.col(raw_col).cast("string"))).select(F.explode(F.split(collapsed(latin), " ")).alias("t"))
-    over = F.col("t").rlike(r"[\xC0\xC1][\x80-\xBF]|\xE0[\x80-\x9F][\x80-\xBF]|\xF0[\x80-\x8F][\x80-\xBF]{2}")
-    bad = ~F.is_valid_utf8(F.encode("t", "ISO-8859-1").cast("string"))
-    found = tokens.where(bad).select(F.when(over, "UTF8_NON_SHORTEST").otherwise("NON_UTF8").alias("tag"))
-    return found.groupBy("tag").agg(F.count("*").alias("n"))
+    odd = lonebytes.tokens(raw.select(F.lit(0).alias("line_no"), raw_col), raw_col)
+    return odd.join(lonebytes.tagged(odd), "token").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def printed(found: DataFrame, lang: str = "", all_tags: bool = False, long_min: int = LONG, examples: int = EXAMPLES, places: int = PLACES, ids: bool = False, n_tokens: int = 0, n_lines: int = 0) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphmill.operators import analyze, normalize, report, scripts
+from glyphmill.operators import analyze, lonebytes, normalize, report, scripts
 
 # Blocks that are shown first, in this order; others follow by their first character.
 BLOCK_ORDER = """LOW_SURROGATES REPLACEMENT C0_CONTROL C1_CONTROL ZERO_WIDTH DIRECTIONAL VARIATION_SELECTORS VARIATION_SELECTORS_SUPPLEMENT
@@ -91,7 +91,9 @@ def grouped_patterns(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> Da
 
 
 def sections(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Section to table, of lines (line_no, text; as they were read, unstripped), of all or by columns; nothing runs until one is read."""
+    """Section to table, of lines (line_no, text; as they were read, unstripped; with raw, their bytes, ill-formed ones are characters
+    of a block too), of all or by columns; nothing runs until one is read."""
+    block = lambda found: found.unionByName(lonebytes.table(lines, k, by)) if "raw" in lines.columns else found
     inner = lines.select(*by, "line_no", F.regexp_replace("text", r"^(?U)[\s\x{1C}-\x{1F}]+|(?U)[\s\x{1C}-\x{1F}]+$", "").alias("text")).where("text <> '<range>'")
     return {
         "overview": analyze.overview(lines, by=by),
@@ -100,7 +102,7 @@ def sections(lines: DataFrame, k: int = 5, by: Sequence[str] = ()) -> dict[str,
         "char-conflict": analyze.char_conflicts(inner, by=by),
         "notable-token": notable(inner, k, by),
         "pattern": grouped_patterns(inner, k, by),
-        "block": characters(inner, k, by),
+        "block": block(characters(inner, k, by)),
     }
 
 

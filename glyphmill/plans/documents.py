@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphmill.operators import analyze
+from glyphmill.operators import analyze, lonebytes
 from glyphmill.plans import cases as C
 
 #: Letters that look alike, in the order of a conflict's name.
@@ -62,7 +62,8 @@ def visible(c: Column) -> Column:
 
 
 def documents(lines: DataFrame, by: Sequence[str] = ("doc_id",), k: int = 5, cases: int | None = 100, final_newline: bool = True) -> DataFrame:
-    """by, document: the analysis of the lines (by, line_no, text; as they were read) of each group as JSON."""
+    """by, document: the analysis of the lines (by, line_no, text, maybe raw; as they were read) of each group as JSON. Ill-formed
+    bytes have their codes as keys in their block."""
     by = list(by)
     s = C.sections(lines, k, by)
     parts: dict[str, DataFrame] = {}
@@ -80,7 +81,7 @@ def documents(lines: DataFrame, by: Sequence[str] = ("doc_id",), k: int = 5, cas
     grouped = {
         "notable-token": ("heading", [F.col("token")], F.col("token"), fields(token=quoted(F.col("token")), count=number("n"), ex=shown())),
         "pattern": ("heading", [F.desc("n"), F.col("first")], F.col("pattern"), fields(pattern=quoted(visible(F.col("pattern"))), count=number("n"), ex=shown())),
-        "block": ("block", [F.col("ch")], F.col("ch"), fields(char=quoted(F.col("ch")), id=quoted(F.col("code_point")), name=quoted(F.col("name")), count=number("n"), ex=shown())),
+        "block": ("block", [F.col("ch"), F.col("code_point")], F.when(F.col("block") == lonebytes.BLOCK, F.col("code_point")).otherwise(F.col("ch")), fields(char=quoted(F.col("ch")), id=quoted(F.col("code_point")), name=quoted(F.col("name")), count=number("n"), ex=shown())),
     }
     for name, (group, order, key, value) in grouped.items():
         rows = capped(s[name], [*by, group], order, cases)

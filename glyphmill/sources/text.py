@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from glyphmill.operators import bytesafe
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None, repair: bool = True, strip: bool = True) -> DataFrame:
-    """doc_id (the file's path), line_no from 1, text of the lines of a file or directory.
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, repair: bool = True, strip: bool = True, keep_raw: bool = False) -> DataFrame:
+    """doc_id (the file's path), line_no from 1, text of the lines of a file or directory; raw, their bytes, if asked for.
 
     Large files stay split: a line's number is its place in its split plus the lines of the file's splits before it. Trailing
     spaces go if strip is set; ill-formed bytes are read as Windows-1252 or dropped.
@@ -27,10 +27,10 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None, repair:
     numbered = raw.join(splits.withColumn("_before", F.coalesce(before, F.lit(0))), ["doc_id", "_at"])
     text = bytesafe.text_of(F.col("_raw"), repair)
     text = F.regexp_replace(text, "[ \r]+$", "") if strip else text
-    return numbered.select("doc_id", (F.col("_k") - F.col("_first") + F.col("_before") + 1).alias("line_no"), text.alias("text"))
+    return numbered.select("doc_id", (F.col("_k") - F.col("_first") + F.col("_before") + 1).alias("line_no"), text.alias("text"), *([F.col("_raw").alias("raw")] if keep_raw else []))
 
 
-def read_stdin(spark: SparkSession, stream: BinaryIO | None = None, repair: bool = True, strip: bool = True) -> DataFrame:
+def read_stdin(spark: SparkSession, stream: BinaryIO | None = None, repair: bool = True, strip: bool = True, keep_raw: bool = False) -> DataFrame:
     """doc_id (`-`), line_no from 1, text of the lines of a pipe (standard input). A pipe has one reader, so its bytes pass through the
     driver's memory; what does not fit there must come as files."""
     raw = (sys.stdin.buffer if stream is None else stream).read()
@@ -39,7 +39,7 @@ def read_stdin(spark: SparkSession, stream: BinaryIO | None = None, repair: bool
         lines.pop()
     rows = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(lines, 1)], "line_no long, _raw binary")
     text = bytesafe.text_of(F.col("_raw"), repair)
-    return rows.select(F.lit("-").alias("doc_id"), "line_no", (F.regexp_replace(text, "[ \r]+$", "") if strip else text).alias("text"))
+    return rows.select(F.lit("-").alias("doc_id"), "line_no", (F.regexp_replace(text, "[ \r]+$", "") if strip else text).alias("text"), *([F.col("_raw").alias("raw")] if keep_raw else []))
 
 
 def without_range_lines(lines: DataFrame, text_col: str = "text") -> DataFrame:
