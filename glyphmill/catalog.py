@@ -5,6 +5,7 @@ The test tables hold few odd characters, so many queries append some to each tex
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill import catalog_steps, catalog_tokens
-from glyphmill.functions import masks
+from glyphmill.functions import masks, tries
 from glyphmill.operators import analyze, changelog, lonebytes, normalize, report, scripts, summary, tags
 from glyphmill.plans import analysis, documents
 from glyphmill.streaming import stream
@@ -143,14 +144,37 @@ def _two_kinds(df: DataFrame) -> DataFrame:
 ODD = ["", " wоrd", " &amp;amp;lt; &#39;", " ـ", " \u0001", " \u0085", " \ufffd \ue000", " x@y.z #1 100%25%20 a-b"]
 
 
-def stream_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of the documents read as a stream; the table in memory has a row per distinct character."""
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The documents as a stream, and a new folder for what it keeps: in the one that all executors share, else (tests) a temporary one."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    counts = stream.char_counts(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet"))
-    name, shared = f"glyphmill_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", "")
-    writer = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    (writer.option("checkpointLocation", f"{shared}/{name}") if shared else writer).start().awaitTermination()
-    return spark.table(name)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet"), f"{shared or tempfile.mkdtemp(prefix='glyphmill-')}/glyphmill-{uuid.uuid4().hex}"
+
+
+def stream_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the documents read as a stream."""
+    rows, path = _stream(spark, sf_dir)
+    stream.kept(stream.char_counts(rows), path).awaitTermination()
+    return spark.read.parquet(f"{path}/table")
+
+
+def stream_character_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of a stream with the first documents that hold them."""
+    rows, path = _stream(spark, sf_dir)
+    query = stream.character_examples(rows, path)
+    query.awaitTermination()
+    return stream.seen_examples(query, spark, path).select("ch", "n", F.array_join(F.transform("ex", lambda x: x.cast("string")), ",").alias("ex"))
+
+
+#: Sources of one to three characters, some within others, and their targets.
+MAPPING = {"e": "E", "en": "<en>", "ent": "", "th": "þ", "the": "ðe", "qu": "kw", ".": " . ", "é": "e\u0301", "eau": "o", "sch": "š", "ch": "č", " a": " A"}
+
+
+def norm_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default normalization and a mapping table after it."""
+    return _docs(spark, sf_dir).select("doc_id", normalize.normalize(F.col("text"), table=MAPPING).alias("normalized"))
 
 
 #: Ill-formed bytes, in hexadecimal digits: lone ones, cut and over-long sequences, halves of surrogate pairs.
@@ -194,6 +218,8 @@ QUERIES |= {
     "tags_of_bytes": tags_of_bytes,
     "analysis_json": _text(analysis.as_json),
     "stream_char_counts": stream_char_counts,
+    "stream_character_examples": stream_character_examples,
+    "norm_mapping": norm_mapping,
 }
 _escapes = "list_extract([" + ", ".join(map(_q, ESCAPES)) + f"], (page_id % {len(ESCAPES)} + 1)::INT)"
 for _key, _p in (analyze.XML | {"xml_nested": analyze.NESTED}).items():
@@ -294,5 +320,8 @@ ORACLE_SQL["tags_of_bytes"] = f"""WITH {_hex},
     r AS (SELECT tag, example, n_example, row_number() OVER (PARTITION BY tag ORDER BY first, example) AS rank, sum(n_example) OVER (PARTITION BY tag) AS n, count(*) OVER (PARTITION BY tag) AS n_examples FROM e),
     p AS (SELECT tag, example, string_agg(line_no, ',' ORDER BY line_no, pos) AS places FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY tag, example ORDER BY line_no, pos) <= 10) GROUP BY tag, example)
     SELECT tag, n::BIGINT AS n, n_examples, rank::INT AS rank, example, n_example, places FROM r JOIN p USING (tag, example) WHERE rank <= 50"""
+_targets = "CASE x " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in MAPPING.items()) + " ELSE x END"
+ORACLE_SQL["stream_character_examples"] = f"SELECT ch, n, ex FROM ({ORACLE_SQL['char_examples_top5']})"
+ORACLE_SQL["norm_mapping"] = f"SELECT doc_id, regexp_replace(array_to_string([{_targets} FOR x IN regexp_extract_all(normalized, {_q('(?s)' + tries.alternatives(MAPPING) + '|.')})], ''), ' +(\\t|\\n|$)', '\\1', 'g') AS normalized FROM ({catalog_steps.sql_chain(normalize.DEFAULT, '', [''])})"
 QUERIES |= catalog_tokens.QUERIES
 ORACLE_SQL |= catalog_tokens.ORACLE_SQL

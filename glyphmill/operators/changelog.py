@@ -43,10 +43,11 @@ def _of_kind(outcome: str) -> Column:
     return F.filter("x.k", lambda w: w["kind"] == outcome)
 
 
-def _states(df: DataFrame, steps: frozenset[str] | None, lang: str, text_col: str, look_alikes: Iterable[str] | None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[normalize.Step]]:
+def _states(df: DataFrame, steps: frozenset[str] | None, lang: str, text_col: str, look_alikes: Iterable[str] | None, keep: tuple[str, ...] = (), table: dict[str, str] | None = None) -> tuple[DataFrame, list[normalize.Step]]:
     """keep, _text, g (which gates are open), x (what the steps make of it) of each line, and the enabled steps."""
     enabled = normalize.DEFAULT if steps is None else steps
     chosen = [s for s in normalize.with_look_alikes(look_alikes) if s.name in enabled or s.name in normalize.ALWAYS]
+    chosen += [normalize.mapping(table)] if table else []
     text = F.col(text_col)
     # Exploded, so that the plan repeats neither the gates nor the steps.
     opened = df.where(text.isNotNull()).select(*keep, text.alias("_text"), F.explode(F.array(normalize.let(masks.mask(text), lambda m: F.array(*[s.opens(m, lang) for s in chosen])))).alias("g"))
@@ -70,10 +71,10 @@ def unchanged_words(df: DataFrame, steps: frozenset[str] | None = None, lang: st
     return words.orderBy(F.desc("n"), "word").limit(k)
 
 
-def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text", look_alikes: Iterable[str] | None = None) -> DataFrame:
-    """place, step, n_calls, n_changed: first `all` (lines, changed lines), then the enabled steps in order of application, after
-    look-alike its words by outcome (n_calls: mixed words seen, n_changed: those with this outcome)."""
-    states, chosen = _states(df, steps, lang, text_col, look_alikes)
+def change_log(df: DataFrame, steps: frozenset[str] | None = None, lang: str = "", text_col: str = "text", look_alikes: Iterable[str] | None = None, table: dict[str, str] | None = None) -> DataFrame:
+    """place, step, n_calls, n_changed: first `all` (lines, changed lines), then the enabled steps in order of application and, with a
+    mapping table, `mapping`; after look-alike its words by outcome (n_calls: mixed words seen, n_changed: those with this outcome)."""
+    states, chosen = _states(df, steps, lang, text_col, look_alikes, table=table)
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c.cast("long")), F.lit(0))
@@ -96,7 +97,7 @@ def printed(log: DataFrame) -> str:
         return "line" if n == 1 else "lines"
 
     out = f"{rows[ALL].n_changed} out of {rows[ALL].n_calls} {lines(rows[ALL].n_changed)} changed"
-    for name in normalize.NAMES:
+    for name in (*normalize.NAMES, "mapping"):
         if name in rows and (n := rows[name].n_changed):
             out += f"; {name} in {n}/{rows[name].n_calls} {lines(n)}"
             if name == "look-alike":

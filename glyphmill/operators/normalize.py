@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import mappings as M
-from glyphmill.functions import masks
+from glyphmill.functions import masks, tries
 from glyphmill.functions.masks import class_of, let
 from glyphmill.operators import lookalike
 
@@ -242,10 +242,16 @@ def with_look_alikes(rows: Iterable[str] | None) -> list[Step]:
     return [Step(s.name, s.opens, lambda c: lookalike.repaired(c, rows)) if s.name == "look-alike" else s for s in STEPS]
 
 
+def mapping(table: dict[str, str]) -> Step:
+    """The step `mapping`, which comes after all others and is called on every text."""
+    return Step("mapping", Gate(frozenset(), lambda m, lang: F.lit(True)), lambda x: F.when(x.rlike(class_of(k[0] for k in table)), tries.replaced(x, table)).otherwise(x))
+
+
 def normalize(text: Column, steps: frozenset[str] | None = None, lang: str = "", look_alikes: Iterable[str] | None = None, table: dict[str, str] | None = None) -> Column:
     """The normalized text. Gates look at the original, steps at what the steps before have made of it.
 
-    look_alikes: rows for the step look-alike. table: single characters and their targets, looked up after all steps."""
+    look_alikes: rows for the step look-alike. table: sources of one or more characters and their targets, looked up after all steps from
+    left to right, the longest source first."""
     steps = DEFAULT if steps is None else steps
     mine = [s for s in with_look_alikes(look_alikes) if s.name in steps or s.name in ALWAYS]
 
@@ -261,8 +267,6 @@ def normalize(text: Column, steps: frozenset[str] | None = None, lang: str = "",
     asked = frozenset().union(*(s.opens.classes for s in mine))
     out = let(text, lambda x: let(masks.mask(x, asked), lambda m: F.when(m == 0, x).otherwise(chain(x, m))))
     if table:
-        if long := [k for k in table if len(k) != 1]:
-            raise ValueError(f"sources must be single characters: {long[:5]}")
-        out = let(out, lambda x: F.when(x.rlike(class_of(table)), looked_up(x, table)).otherwise(x))
+        out = let(out, lambda x: mapping(table).apply(x))
     return F.regexp_replace(out, "(?<! ) ++(?=[\t\n]|$(?![\\s\\S]))", "")
 
