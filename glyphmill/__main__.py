@@ -96,6 +96,9 @@ def norm(spark: SparkSession, args: argparse.Namespace) -> int:
     else:
         text.write_lines(done, args.out)
     if args.verbose:
+        if "look-alike" in steps:
+            for r in n.unchanged_words(lines).collect():  # a hundred at most
+                print(f"   unchanged mixed token: {r.word} ({r.n})", file=sys.stderr if args.out == "-" else sys.stdout)
         print(changelog.printed(n.log(lines)), file=sys.stderr if args.out == "-" else sys.stdout)
     return 0
 

@@ -33,7 +33,15 @@ class Normalizer:
 
     def log(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """The change log of these steps over the column."""
-        return changelog.change_log(df, self.steps, self.lang, text_col, self.look_alikes)
+        return changelog.change_log(df, self.steps, self.lang, text_col, self.look_alikes, self.table)
+
+    def first_lines(self, df: DataFrame, text_col: str = "text", no_col: str = "line_no", k: int = 20) -> DataFrame:
+        """step, lines: the first lines that each step changes."""
+        return changelog.first_lines(df, self.steps, self.lang, text_col, no_col, k, self.look_alikes)
+
+    def unchanged_words(self, df: DataFrame, text_col: str = "text", k: int = 100) -> DataFrame:
+        """word, n: the most frequent mixed words that stay as they are."""
+        return changelog.unchanged_words(df, self.steps, self.lang, text_col, k, self.look_alikes)
 
     def register(self, spark: SparkSession, name: str) -> None:
         """Makes name(text) an SQL function of the session."""

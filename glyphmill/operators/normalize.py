@@ -20,6 +20,7 @@ from glyphmill.functions import masks, tries
 from glyphmill.functions.masks import class_of, let
 from glyphmill.operators import lookalike
 
+# Fixed value: the steps of the preset default.
 DEFAULT = frozenset("repair-encoding-errors del-surrogate del-ctrl-char del-tatweel core-compat pres-form hangul repair-combining combining-compose combining-decompose repair-xml repair-url-escapes".split())
 
 

@@ -21,6 +21,7 @@ OF_INTEREST = "-‐‑−‒–—―+~*_.,:;!¡?/§'‘’ʼˊˋˈˀˆˉ、。@
 ORPHAN = r"(^|[^\p{L}\p{M}])\p{M}"
 #: Stand-ins for an escape and for a tatweel while words are replaced.
 MARK, STRETCH = "\u0092", "\u0093"
+# Headings of escapes and what falls under them.
 XML_GROUPS = [
     ("XML ESCAPE TOKENS (BASIC)", r"(?i)^&(?:amp|apos|gt|lt|nbsp|quot);$"),
     ("XML ESCAPE TOKENS (EXTENDED)", r"(?i)^&[a-z]{1,6};$"),
@@ -28,7 +29,7 @@ XML_GROUPS = [
     ("XML ESCAPE TOKENS (HEX)", r"(?i)^&#x[0-9a-f]{1,6};$"),
     ("XML ESCAPE TOKENS (NESTED)", r"(?i)^&(?:amp;)+(?:#x[0-9a-f]{1,6}|#\d{1,7}|[a-z]{1,6});$"),
 ]
-#: What a text is flagged for, in the order of the line of issues.
+# What a text is flagged for, in the order of the line of issues.
 FLAGS = [
     (r"[\x{0}-\x{8}\x{B}-\x{1F}\x{7F}]", "C0_CONTROL"),
     (r"[\x{80}-\x{9F}]", "C1_CONTROL"),
