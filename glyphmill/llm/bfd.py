@@ -10,7 +10,7 @@ lengths, the documents and starts of its segments, and the places where position
 File names are new for each attempt, so a task that runs again leaves at most an unused file.
 
 Cases. Null text: as empty (the end id alone). Null doc_id: packed with a null. Repeated rows: a document each. Ties in
-length: in order of arrival. Empty table: no rows, no files. Other columns are not read.
+length: in order of arrival. Very long texts: split over rows of the matrix. Empty table: no rows, no files. Other columns are not read.
 """
 
 from __future__ import annotations

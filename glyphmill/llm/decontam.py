@@ -21,7 +21,8 @@ Items too short for an edit (fewer than five words at 0.8) have no windows to em
 stand, by a table of first words. A worker makes the index of a block once.
 
 Cases. Null or empty texts hold nothing, and items without words are held nowhere. Null doc_id: reported with a null doc_id. Repeated rows: a row each. Null item_id: a null item_id.
-Empty tables: no rows. Other columns are not read.
+Empty tables: no rows. Very long texts: scanned whole in one task, window by window. Ties: each place that an item matches is told.
+Other columns are not read.
 """
 
 from __future__ import annotations

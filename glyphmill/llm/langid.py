@@ -10,6 +10,7 @@ their number.
 
 Cases. Null text or no letter: `und`, score 0, rejected. Nothing to learn from: `und` for all, rejected. Null doc_id or lang:
 never learned from; held_out false for a null id. Repeated rows: equal values. Ties: the alphabetically first language.
+Empty table: no rows, and nothing learned. Very long texts: read whole in one task, a count a different n-gram.
 Other columns stay as they are in predicted(); identify() returns its own columns alone.
 """
 

@@ -11,7 +11,8 @@ sample, written and read by whole arrays. Any baseline decoder shows the same sa
 by the general path (baseline, Huffman, any sampling, restart intervals; tables in the frame).
 
 Cases. Null bytes or text: as empty. A file that cannot be parsed: one row with error set, by clips(). Empty table: no
-rows. Equal bytes, equal values. Other columns are not read.
+rows. Equal bytes, equal values, so repeated rows too. Null ids: a null id. Very long texts: a film is held whole in one task and must
+be under Arrow's 2 GB a value (about 1.7 GB of text). Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ Every id lies in exactly one piece. Each task holds open windows only (their pie
 once stays small since the squares are minimised. A task that runs again gives the same rows: its scan order is fixed.
 
 Cases. Null text: as empty, that is the end id alone. Null doc_id: packed, with a null doc_id. Repeated rows: each row is a
-document of its own. Empty table: no rows. Other columns, whatever their names, are not read.
+document of its own. Very long texts: cut into pieces in one task. Empty table: no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ joined by shuffle. Null URLs are in no join.
 
 Cases. Null URL or no `://`: host and path empty, no tokens, allowed. Null ids: never learned from, judged by URL. Labels given
 twice: blocked if any says so. No labels, or no rule: all that no fixed rule fits is allowed. Repeated rows: a row each.
-Equal longest rules: the first given. Other columns are not read.
+Equal longest rules: the first given. Very long URLs: each different token once. Empty tables: no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ anew. Any store that Arrow opens by URI will do.
 
 Cases. Null html: an empty payload. Null url: no target header. Null page_id: a response with a null id, no revisit refers to it.
 Repeated rows: rows with the response's page_id are all responses. Equal payloads shorter than least_bytes: all responses.
-Empty table: an empty index. Other columns are not read.
+Empty table: an empty index. Very long payloads: a record is held whole in one task and must be under Arrow's 2 GB a value.
+Other columns are not read.
 """
 
 from __future__ import annotations
