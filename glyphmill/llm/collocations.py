@@ -6,6 +6,7 @@ mined(docs) returns the best phrases of each language: lang, rank, phrase, a, l,
 2. Projection: every occurrence of a word in a piece of text becomes a pointer to the words after it there (longest - 1 at most, ending
    where the piece does). Pointers to equal words are one row with a weight within a task, so copies and common phrases shrink
    before anything is shuffled; the frequent words, broadcast if few enough, drop the pointers of others.
+   Prefixes are done in TURNS turns by a hash, each with one shuffle, whose files go with it.
 3. One task per prefix gets the pointers of that prefix and extends it to the right, depth first: it parts the pointers by their next
    word, keeps each phrase that is frequent, and goes on from it with its own pointers alone.
    A prefix of more than POINTERS occurrences (or a HEADSth of all, so that hot ones can be broadcast) has several tasks, dealt by a hash of the words pointed to: whole phrases of the
@@ -27,6 +28,7 @@ from __future__ import annotations
 import gc
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ MIN_COUNT, LONGEST, SHARE, BEST = 10, 3, 50, 2000
 POINTERS, CHUNK = 200_000, 300_000
 #: Frequent words that are broadcast, and hot ones at most: those with more than POINTERS and than a HEADSth of all occurrences.
 HEADS = 500_000
+#: Prefixes are done in so many turns, by a hash, so that the disk holds the pointers of one.
+TURNS = 2
 #: Rows of whole prefixes that a task grows at once.
 RUN = 200_000
 #: A language's phrases are ranked in so many parts first.
@@ -63,9 +67,9 @@ def _after(longest: int) -> list[str]:
     return [f"next{k}" for k in range(1, longest)]
 
 
-def summed(docs: DataFrame, width: int) -> DataFrame:
+def summed(docs: DataFrame, width: int, turn: int = 0) -> DataFrame:
     """lang, prefix, next1 ..., n: occurrences of words with the words after them in their piece (width - 1 at most, else null), summed over
-    what a task has at hand. Of width 1 all words, else those that a word follows."""
+    what a task has at hand. Of width 1 all words, else those of a turn that a word follows."""
     names = ["lang", "prefix", *_after(width)]
     schema = pa.schema([*((c, pa.string()) for c in names), ("n", pa.int64())])
 
@@ -93,7 +97,8 @@ def summed(docs: DataFrame, width: int) -> DataFrame:
             for b in batches:
                 for lang, text in zip(b.column(0), b.column(1)):
                     w = words_of(text.as_py())
-                    held.setdefault(lang.as_py(), Counter()).update(w if width == 1 else zip(*(w[k:] + [b""] * k for k in range(width))))
+                    windows = w if width == 1 else [x for x in zip(*(w[k:] + [b""] * k for k in range(width))) if crc32(x[0]) % TURNS == turn]
+                    held.setdefault(lang.as_py(), Counter()).update(windows)
                     if sum(map(len, held.values())) > CHUNK:
                         yield from flushed(held)
             yield from flushed(held)
@@ -128,8 +133,8 @@ def grow(after: list[np.ndarray], weights: np.ndarray, pointers: np.ndarray, lea
 
 
 def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, n from the pointers of whole prefixes (lang, prefix, salt, parts, next1 ..., n), a prefix at a time. Rows are dealt and
-    sorted by a hash of (lang, prefix, salt), prefixes that share one are told apart."""
+    """lang, phrase, n from the pointers of whole prefixes (lang, prefix, salt, next1 ..., n), a prefix at a time; salt: which part of a hot
+    prefix, -1 of others. Rows are sorted by a hash of (lang, prefix, salt), prefixes that share one are told apart."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
     names = _after(longest)
 
@@ -139,9 +144,9 @@ def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
         every = pa.chunked_array([c for x in names for c in t.column(x).chunks], pa.string()).combine_chunks().dictionary_encode()
         codes = every.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         after = [codes[k * n : (k + 1) * n] for k in range(len(names))]
-        weights, parts = t.column("n").to_numpy(), t.column("parts").to_numpy()
-        starts = pc.struct_field(heads := t.column("head").combine_chunks(), 0), pc.struct_field(heads, 1)
-        key = np.stack([t.column("h").to_numpy(), *(c.dictionary_encode().indices.to_numpy() for c in starts), t.column("salt").to_numpy()])
+        weights, salt = t.column("n").to_numpy(), t.column("salt").to_numpy()
+        starts = [t.column(x).combine_chunks() for x in ("lang", "prefix")]
+        key = np.stack([t.column("h").to_numpy(), *(c.dictionary_encode().indices.to_numpy() for c in starts), salt])
         if (np.diff(key[0]) == 0)[(np.diff(key[1:]) != 0).any(axis=0)].any():
             order = np.lexsort(key[::-1])  # two prefixes share a hash
         else:
@@ -150,7 +155,7 @@ def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
         out, at = [], 0
         for end in ends.tolist():
             mine, at = order[at:end], end
-            found = [*grow(after, weights, mine, least, parts[mine[0]] > 1)]
+            found = [*grow(after, weights, mine, least, salt[mine[0]] >= 0)]
             if found:
                 lang, prefix = (c[int(mine[0])].as_py() for c in starts)
                 out += [(lang, " ".join([prefix, *(every.dictionary[k].as_py() for k in words)]), times) for words, times in found]
@@ -169,8 +174,9 @@ def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
         if held:
             yield from run(pa.Table.from_batches(held))
 
-    h = F.xxhash64("head.lang", "head.prefix", "salt").alias("h")
-    together = dealt.select(h, "head", "salt", "parts", *names, "n").repartition("h").sortWithinPartitions("h")
+    key = ("lang", "prefix", "salt")
+    dealt = dealt.select(*key, *names, "n").repartition(*key)
+    together = dealt.select(F.xxhash64(*key).alias("h"), *key, *names, "n").sortWithinPartitions("h")
     return together.mapInArrow(work, "lang string, phrase string, n long")
 
 
@@ -180,17 +186,21 @@ def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[Data
     totals = s.stored(words.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
     frequent = s.stored(words.where(F.col("n") >= least), "frequent")
     total = totals.agg(F.sum("words")).first()[0] or 0
-    pointers, key = summed(docs, longest), ["lang", "prefix"]
+    key = ["lang", "prefix"]
     heads = frequent.withColumnRenamed("phrase", "prefix")
-    if frequent.limit(HEADS + 1).count() <= HEADS:  # else the tasks drop what is not frequent
-        pointers = pointers.join(F.broadcast(heads.select(key)), key, "left_semi")
     most = max(POINTERS, total // HEADS)
     hot = heads.where(F.col("n") > most).select(*key, F.ceil(F.col("n") / most).cast("long").alias("of"))
-    dealt = pointers.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("of", F.lit(1).cast("long")))
-    dealt = dealt.select(F.struct(*key).alias("head"), F.pmod(F.xxhash64(*_after(longest)), "parts").alias("salt"), "parts", *_after(longest), "n")
-    found = grown(dealt, least, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    with long_batches(docs.sparkSession):
-        return frequent, s.stored(found, "phrases"), totals
+    few, found = frequent.limit(HEADS + 1).count() <= HEADS, None
+    salt = F.coalesce(F.pmod(F.xxhash64(*_after(longest)), "of"), F.lit(-1).cast("long")).alias("salt")
+    for turn in range(TURNS):
+        pointers = summed(docs, longest, turn)
+        if few:  # else the tasks drop what is not frequent
+            pointers = pointers.join(F.broadcast(heads.select(key)), key, "left_semi")
+        dealt = pointers.join(F.broadcast(hot), key, "left").select(*key, salt, *_after(longest), "n")
+        with long_batches(docs.sparkSession):
+            mine = s.stored(grown(dealt, least, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+        found = mine if found is None else found.unionByName(mine)
+    return frequent, found, totals
 
 
 def scored(found: DataFrame, frequent: DataFrame, s: Scratch) -> DataFrame:
