@@ -60,7 +60,8 @@ def test_look_alikes_and_mappings_from_files(spark, tmp_path):
     df = spark.createDataFrame([('"buзz" ba', 1), (None, 2)], "text string, k int")
     assert [r.text for r in n.table_of(df).orderBy("k").collect()] == ["buzz bAA", None]
     with pytest.raises(ValueError):
-        glyphmill.Normalizer(table={"ab": "c"}).column("text")
+        glyphmill.Normalizer(table={"": "c"}).column("text")
+    assert [r[0] for r in df.select(glyphmill.Normalizer("none", table={"b": "c", "bu": "d"}).column("text")).collect()] == ['"dзz" ca', None]
     with pytest.raises(ValueError):
         glyphmill.Normalizer(add=["no-such-step"])
 
