@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill import catalog_steps, catalog_tokens
-from glyphmill.functions import masks, tries
+from glyphmill.functions import masks, tables, tries
 from glyphmill.operators import analyze, changelog, lonebytes, normalize, report, scripts, summary, tags
 from glyphmill.plans import analysis, documents
 from glyphmill.streaming import stream
@@ -144,6 +144,21 @@ def _two_kinds(df: DataFrame) -> DataFrame:
 ODD = ["", " wоrd", " &amp;amp;lt; &#39;", " ـ", " \u0001", " \u0085", " \ufffd \ue000", " x@y.z #1 100%25%20 a-b"]
 
 
+#: Characters that form KC takes apart, appended to texts by id; the last of each piece is asserted already.
+KEPT = ["²½", "₂⅓ª", "¨¯´", "⺟⼀¹", "Ⅳﬁ³", "①Ａ¼"]
+
+
+def drafted_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the texts that no assertion covers and that default normalization keeps but form KC does not."""
+    chars = catalog_steps.pieced(spark, sf_dir, KEPT).select(F.explode(F.split("text", "")).alias("ch")).where(F.col("ch") > "\x7f")
+    known = spark.range(1).select(F.explode(F.split(F.lit(_asserted()), "")).alias("orig"))
+    return tables.drafted(chars, known, normalize.DEFAULT).select("orig", "ours", "kc", "category")
+
+
+def _asserted() -> str:
+    return "".join(p[-1] for p in KEPT)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The documents as a stream, and a new folder for what it keeps: in the one that all executors share, else (tests) a temporary one."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
@@ -220,6 +235,7 @@ QUERIES |= {
     "stream_char_counts": stream_char_counts,
     "stream_character_examples": stream_character_examples,
     "norm_mapping": norm_mapping,
+    "drafted_assertions": drafted_assertions,
 }
 _escapes = "list_extract([" + ", ".join(map(_q, ESCAPES)) + f"], (page_id % {len(ESCAPES)} + 1)::INT)"
 for _key, _p in (analyze.XML | {"xml_nested": analyze.NESTED}).items():
@@ -323,5 +339,8 @@ ORACLE_SQL["tags_of_bytes"] = f"""WITH {_hex},
 _targets = "CASE x " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in MAPPING.items()) + " ELSE x END"
 ORACLE_SQL["stream_character_examples"] = f"SELECT ch, n, ex FROM ({ORACLE_SQL['char_examples_top5']})"
 ORACLE_SQL["norm_mapping"] = f"SELECT doc_id, regexp_replace(array_to_string([{_targets} FOR x IN regexp_extract_all(normalized, {_q('(?s)' + tries.alternatives(MAPPING) + '|.')})], ''), ' +(\\t|\\n|$)', '\\1', 'g') AS normalized FROM ({catalog_steps.sql_chain(normalize.DEFAULT, '', [''])})"
+# What form KC and the categories say of the characters is given as values; Ⅳ is the one that default normalization changes.
+_kinds = ", ".join(f"({_q(c)}, {_q(tables.form_kc([c])[0])}, {_q(k) if (k := tables.category_of(c)) else 'NULL'})" for c in sorted({*"".join(KEPT)}))
+ORACLE_SQL["drafted_assertions"] = f"SELECT ch AS orig, CASE ch WHEN 'Ⅳ' THEN 'IV' ELSE ch END AS ours, kc, category FROM (SELECT DISTINCT unnest(string_split(t, '')) AS ch FROM ({catalog_steps.start(KEPT)})) JOIN (VALUES {_kinds}) AS k(ch, kc, category) USING (ch) WHERE kc <> CASE ch WHEN 'Ⅳ' THEN 'IV' ELSE ch END AND NOT contains('{_asserted()}', ch)"
 QUERIES |= catalog_tokens.QUERIES
 ORACLE_SQL |= catalog_tokens.ORACLE_SQL
