@@ -2,7 +2,7 @@
 
 score(docs) counts the n-grams (n up to order) of all documents, or of another corpus, and scores every document by them:
 
-1. Each row's words become 64-bit hashes, stored once, in chunks of about CHUNK words of whole documents.
+1. Each row's words become 64-bit hashes, stored once, in chunks of CHUNK words at most of whole documents.
 2. Chunks are exploded to n-grams, one row (gram, chunk, n) for each that a chunk holds. So no n-gram, however common, has more than
    one row a chunk: of all rows it has one in as many as a chunk has different n-grams, and no key is hot.
 3. One shuffle by the hash of n-grams serves both sides: in a partition, sorted, they make the count table, and are joined to it where
@@ -37,11 +37,11 @@ from glyphmill.llm.common import Scratch, long_batches, over_batches, shuffles_r
 
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Words held by a worker's memo, and words of a chunk.
-MEMO, CHUNK = 200_000, 1_000_000
+MEMO, CHUNK = 200_000, 3_000_000
 #: Rows that a worker hands on at once.
 ROWS = 250_000
 #: Parts of the hashes, and of the chunks, that are done in turn.
-PARTS, TURNS = 4, 2
+PARTS, TURNS = 4, 4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -218,7 +218,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             counts = found if counts is None else counts.unionByName(found)
         out = None
         for part in range(TURNS):
-            mine = F.pmod("chunk", F.lit(TURNS)) == part
+            mine = F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == part
             rows = stored(scored(chunks.where(mine), counts.where(mine), order, total, least - 1, min_count, backoff), "scored")
             out = rows if out is None else out.unionByName(rows)
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
