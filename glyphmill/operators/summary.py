@@ -25,8 +25,19 @@ TATWEEL = "\u0640"
 NO_BASE = ("SPACING_MODIFIER_LETTERS", "MODIFIER_TONE_LETTERS")
 
 
+#: What unicode_blocks() found, by version of Spark and Java: constant, so it is asked for once.
+_BLOCKS: dict[tuple[str, str], tuple[list[int], list[str]]] = {}
+
+
 def unicode_blocks(spark: SparkSession) -> tuple[list[int], list[str]]:
-    """First code points of the runs of a Unicode block, and the block's name (OTHER between blocks), from the JVM."""
+    """First code points of the runs of a Unicode block, and the block's name (OTHER between blocks), from the JVM; a job, once."""
+    version = spark.version, spark.range(1).select(F.java_method(F.lit("java.lang.System"), F.lit("getProperty"), F.lit("java.version"))).first()[0]
+    if version not in _BLOCKS:
+        _BLOCKS[version] = _unicode_blocks(spark)
+    return _BLOCKS[version]
+
+
+def _unicode_blocks(spark: SparkSession) -> tuple[list[int], list[str]]:
     cps = spark.range(0, 0x110000).select(F.col("id").cast("int").alias("cp"))
     name = F.java_method(F.lit("java.lang.Character$UnicodeBlock"), F.lit("of"), F.col("cp"))
     found = cps.select("cp", name.alias("name")).where("name is not null and name <> 'null'").groupBy("name").agg(F.min("cp").alias("a"), F.max("cp").alias("z")).collect()
