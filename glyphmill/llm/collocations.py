@@ -5,7 +5,7 @@ mined(docs) returns the best phrases of each language: lang, rank, phrase, a, l,
 1. Words of each language are counted. Words of MIN_COUNT occurrences or more are the frequent prefixes.
 2. Projection: every occurrence of a word in a piece of text becomes a pointer to the words after it there (longest - 1 at most, ending
    where the piece does). Pointers to equal words are one row with a weight within a task, so copies and common phrases shrink
-   before anything is shuffled; the frequent words, broadcast if few enough, drop the pointers of others.
+   before anything is shuffled. The frequent words, broadcast if few enough, end a piece at any other word: no frequent phrase holds it.
    Prefixes are done in TURNS turns by a hash, each with one shuffle, whose files go with it.
 3. One task per prefix gets the pointers of that prefix and extends it to the right, depth first: it parts the pointers by their next
    word, keeps each phrase that is frequent, and goes on from it with its own pointers alone.
@@ -33,6 +33,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,9 +68,10 @@ def _after(longest: int) -> list[str]:
     return [f"next{k}" for k in range(1, longest)]
 
 
-def summed(docs: DataFrame, width: int, turn: int = 0) -> DataFrame:
+def summed(docs: DataFrame, width: int, turn: int = 0, frequent: Broadcast | None = None) -> DataFrame:
     """lang, prefix, next1 ..., n: occurrences of words with the words after them in their piece (width - 1 at most, else null), summed over
-    what a task has at hand. Of width 1 all words, else those of a turn that a word follows."""
+    what a task has at hand. Of width 1 all words, else those of a turn that a word follows. frequent: words by lang; all others end a piece,
+    as no frequent phrase holds one."""
     names = ["lang", "prefix", *_after(width)]
     schema = pa.schema([*((c, pa.string()) for c in names), ("n", pa.int64())])
 
@@ -77,7 +79,7 @@ def summed(docs: DataFrame, width: int, turn: int = 0) -> DataFrame:
         for lang, found in held.items():
             if width == 1:
                 found.pop(b"", None)
-            rows = [*found.items()] if width == 1 else [x for x in found.items() if x[0][0] and x[0][1]]
+            rows = [*found.items()]
             for at in range(0, len(rows), 50_000):
                 keys, n = zip(*rows[at : at + 50_000])
                 words, whole = [keys] if width == 1 else [*zip(*keys)], True
@@ -96,9 +98,13 @@ def summed(docs: DataFrame, width: int, turn: int = 0) -> DataFrame:
         try:
             for b in batches:
                 for lang, text in zip(b.column(0), b.column(1)):
-                    w = words_of(text.as_py())
-                    windows = w if width == 1 else [x for x in zip(*(w[k:] + [b""] * k for k in range(width))) if crc32(x[0]) % TURNS == turn]
-                    held.setdefault(lang.as_py(), Counter()).update(windows)
+                    w, lang = words_of(text.as_py()), lang.as_py()
+                    if frequent is not None:
+                        known = frequent.value.get(lang, frozenset())
+                        w = [x if x in known else b"" for x in w]
+                    if width > 1:
+                        w = [x for x in zip(*(w[k:] + [b""] * k for k in range(width))) if x[0] and x[1] and crc32(x[0]) % TURNS == turn]
+                    held.setdefault(lang, Counter()).update(w)
                     if sum(map(len, held.values())) > CHUNK:
                         yield from flushed(held)
             yield from flushed(held)
@@ -180,6 +186,18 @@ def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
     return together.mapInArrow(work, "lang string, phrase string, n long")
 
 
+def words_by_lang(frequent: DataFrame) -> Broadcast | None:
+    """The frequent words as sets, by lang, for all tasks; None if they are more than HEADS."""
+    found = frequent.select("lang", F.col("phrase").cast("binary").alias("word")).limit(HEADS + 1).toArrow()
+    if len(found) > HEADS:
+        return None
+    sets: dict[str, set[bytes]] = {}
+    for b in found.to_batches():
+        for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sets.setdefault(lang, set()).add(word)
+    return frequent.sparkSession.sparkContext.broadcast(sets)
+
+
 def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored in s: frequent words (lang, phrase, n), frequent phrases of 2 to longest words (the same), words of each lang (lang, words)."""
     words = s.stored(summed(docs, 1).groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("n")), "words")
@@ -190,12 +208,10 @@ def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[Data
     heads = frequent.withColumnRenamed("phrase", "prefix")
     most = max(POINTERS, total // HEADS)
     hot = heads.where(F.col("n") > most).select(*key, F.ceil(F.col("n") / most).cast("long").alias("of"))
-    few, found = frequent.limit(HEADS + 1).count() <= HEADS, None
+    known, found = words_by_lang(frequent), None  # without, the tasks drop what is not frequent
     salt = F.coalesce(F.pmod(F.xxhash64(*_after(longest)), "of"), F.lit(-1).cast("long")).alias("salt")
     for turn in range(TURNS):
-        pointers = summed(docs, longest, turn)
-        if few:  # else the tasks drop what is not frequent
-            pointers = pointers.join(F.broadcast(heads.select(key)), key, "left_semi")
+        pointers = summed(docs, longest, turn, known)
         dealt = pointers.join(F.broadcast(hot), key, "left").select(*key, salt, *_after(longest), "n")
         with long_batches(docs.sparkSession):
             mine = s.stored(grown(dealt, least, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
