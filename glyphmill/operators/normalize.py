@@ -245,6 +245,8 @@ def with_look_alikes(rows: Iterable[str] | None) -> list[Step]:
 
 def mapping(table: dict[str, str]) -> Step:
     """The step `mapping`, which comes after all others and is called on every text."""
+    if not all(table):
+        raise ValueError("a source must have a character")
     return Step("mapping", Gate(frozenset(), lambda m, lang: F.lit(True)), lambda x: F.when(x.rlike(class_of(k[0] for k in table)), tries.replaced(x, table)).otherwise(x))
 
 
