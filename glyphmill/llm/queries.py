@@ -32,7 +32,7 @@ def op4_best_fit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The fixed rules: verdict, host, path prefix.
-URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def op5_association_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
