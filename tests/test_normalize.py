@@ -61,3 +61,25 @@ def test_analysis(spark):
 
 def test_catalog_is_consistent():
     assert catalog.ORACLE_SQL.keys() <= catalog.QUERIES.keys() and len(catalog.QUERIES) > 50
+
+
+def test_only_words_with_a_source_go_through_the_steps(spark):
+    """Words apart, one after the other, at both ends, after two blanks and after an end of line; what stands between them is kept."""
+    text = "plain  бo x\n️ &   áb ́̂̃c\ttab\nno  odd word here\n12ب %25C3%25A9 end é \u0001"
+    steps = normalize.chosen("all")
+    df = spark.createDataFrame([(text,), ("\n \n",), ("plain é  words\n\n only ",)], "text string")
+    words = [s for s in normalize.STEPS if s.name in steps]
+    got = df.select("text", normalize.collapsed(F.col("text"), words).alias("c"))
+    rows = got.select("c", normalize.restored(F.col("c"), F.col("text"), words).alias("r"), "text").collect()
+    assert all(r.r == r.text for r in rows) and [r.c for r in rows[1:]] == ["\n", "\n"] and rows[0].c.count("\n") == 4
+    stepwise = F.col("text")
+    for s in words:
+        if s.name not in ("farsi-char", "pashto-char", "arabic-char", "punct"):  # gates that are shut here
+            stepwise = s.apply(stepwise)
+    both = df.select(normalize.normalize(F.col("text"), steps).alias("n"), F.regexp_replace(stepwise, "(?m) +(?=\t|$)", "").alias("s")).collect()
+    assert all(r.n == r.s for r in both)
+
+
+def test_a_long_text_of_words_needs_no_stack(spark):
+    df = spark.range(1).select(F.concat(F.repeat(F.lit("word "), 200_000), F.repeat(F.lit(" x "), 200_000), F.repeat(F.lit("y"), 500_000)).alias("text"))
+    assert df.select(F.length(normalize.normalize(F.col("text"), frozenset({"space"})))).first()[0] == 1_000_000 + 600_000 + 500_000
