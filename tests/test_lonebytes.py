@@ -38,3 +38,11 @@ def test_block_rows_tags_and_document(spark):
     doc = json.loads(documents.documents(text).first().document)
     assert doc["block"]["LOW_SURROGATES"]["0xE9"] == {"char": "�", "id": "0xE9", "name": "UTF-8 ENCODING ERROR (BYTE SURROGATE: U+DCE9)", "count": 4, "ex": [["caf�", 1], ["�t�", 1], ["caf�", 7]]}
     assert lonebytes.table(df.limit(0)).count() == 0
+
+
+def test_lines_are_counted_beyond_the_examples(spark):
+    """All lines with a byte count, though only the first examples are kept; a byte that a line holds twice counts once."""
+    df = spark.range(1, 301).select(F.col("id").alias("line_no"), F.concat(F.encode(F.col("id").cast("string"), "UTF-8"), F.unhex(F.lit("E9E9"))).alias("raw"))
+    assert [tuple(r) for r in lonebytes.line_counts(df).collect()] == [("0xE9", 300, 1)]
+    assert [(r.n, len(r.ex)) for r in lonebytes.table(df).collect()] == [(600, 5)]
+    assert lonebytes.line_counts(df.limit(0)).count() == 0
