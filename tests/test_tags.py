@@ -57,3 +57,13 @@ def test_examples_places_and_report(spark):
 def test_ill_formed_bytes(spark):
     df = spark.createDataFrame([(b"ok caf\xe9 \xc0\xaf",), ("fine é".encode(),), (None,)], "raw binary")
     assert {r.tag: r.n for r in tags.ill_formed(df).collect()} == {"NON_UTF8": 1, "UTF8_NON_SHORTEST": 1}
+
+
+def test_counts_of_some_tags_look_at_no_more_than_these_need(spark):
+    lines = spark.createDataFrame([(1, "аb é & lt ; &amp; x,y"), (2, "été $5 &#39; http : / / www . abc . com")], "line_no long, line string")
+    every = {r.tag: r.n for r in tags.counts(lines).collect()}
+    escapes, mixed = frozenset({"XML_ESC_DEC", "XML_ESC_STD"}), frozenset({"MIXED_CYRILLIC_LATIN"})
+    for only in (escapes, mixed, escapes | mixed, frozenset(every)):
+        assert {r.tag: r.n for r in tags.counts(lines, only=only).collect()} == {k: n for k, n in every.items() if k in only}
+    plan = lambda only: tags.counts(lines, only=only)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan(escapes) and "aggregate(sequence" not in plan(mixed) and "Join" not in plan(mixed)
