@@ -67,3 +67,15 @@ def test_counts_of_some_tags_look_at_no_more_than_these_need(spark):
         assert {r.tag: r.n for r in tags.counts(lines, only=only).collect()} == {k: n for k, n in every.items() if k in only}
     plan = lambda only: tags.counts(lines, only=only)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan(escapes) and "aggregate(sequence" not in plan(mixed) and "Join" not in plan(mixed)
+
+
+def test_no_token_is_tagged_twice_and_no_line_searched_twice(spark):
+    lines = spark.createDataFrame([(1, "x é–— http : / / www . abc . com")], "line_no long, line string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    every, inside = plan(tags.counts(lines)), plan(tags.character_counts(lines))
+    assert every.count("aggregate(sequence") == 1 and every.count("LONG_TOKEN_30") == 1
+    # characters meet the ranges of their classes alone: no token is joined to its count again
+    assert inside.count("Join") == 1 and "LONG_TOKEN_30" not in inside
+    found = spark.createDataFrame([("é–—", 7), ("–a–", 2)], "token string, n long")
+    rows = {(r.token, r.n, r.tag, r.example, r.times) for r in tags.char_tags(found).collect()}
+    assert rows == {("é–—", 7, "LATIN_PLUS_ALPHA", "é–—", 1), ("é–—", 7, "NON_ASCII_PUNCT", "é–—", 1), ("é–—", 7, "NON_ASCII_PUNCT_CHAR", "–", 1), ("–a–", 2, "NON_ASCII_PUNCT", "–a–", 1), ("–a–", 2, "NON_ASCII_PUNCT_CHAR", "–", 1)}
