@@ -49,3 +49,16 @@ def test_a_directory_is_read_once(spark, tmp_path, monkeypatch):
     found = {Path(r.doc_id).name: json.loads(r.document) for r in documents.documents(lines).collect()}
     assert found["b.txt"]["n_lines"] == 1 and list(found["a.txt"]["non-canonical"]) == ["é"] and len(reads) == 1
     assert any("MULTIPLE SCRIPTS" in h for h in found["a.txt"]["notable-token"])
+
+
+def test_sections_look_at_different_characters_and_tokens_alone(spark):
+    df = spark.createDataFrame([("a", 1, " Ab, é x-y wоrd &lt; Ab, Ab, "), ("a", 2, "Ab, q.é x-y"), ("b", 1, "Ab,")], "doc_id string, line_no long, text string")
+    found = {(r.doc_id, r.pattern): (r.n, tuple(r.first), [(x.text, x.line_no) for x in r.ex]) for r in cases.patterns(df, 2, ["doc_id"]).collect()}
+    assert found["a", "Word,"] == (4, (1, 0), [("Ab,", 1), ("Ab,", 2)]) and found["b", "Word,"] == (1, (1, 0), [("Ab,", 1)])
+    assert found["a", "Word-Word"] == (2, (1, 2), [("x-y", 1), ("x-y", 2)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    shapes, inside, odd = plan(cases.patterns(df, 2)), plan(cases.characters(df, 2)), plan(cases.report.non_canonical(df))
+    # the tokens of a line are found once for counts and once for examples, not again by an explode's filter
+    assert shapes.count("regexp_extract_all") == 2
+    # a line's characters are not counted by line, and are counted before they are looked at
+    assert "Aggregate [line_no" not in inside and "orig_count" in next(x for x in odd.splitlines() if r"^\p{L}\p{M}*$" in x)
