@@ -58,9 +58,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def stored(self, df: DataFrame, label: str) -> DataFrame:
+    def stored(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
         self.paths.append(path := new_path(self.spark, label))
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:

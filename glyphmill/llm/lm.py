@@ -2,19 +2,21 @@
 
 score(docs) counts the n-grams (n up to order) of all documents, or of another corpus, and scores every document by them:
 
-1. Each row's words become 64-bit hashes, stored once, in chunks of CHUNK words at most of whole documents.
-2. Chunks are exploded to n-grams, one row (gram, chunk, n) for each that a chunk holds. So no n-gram, however common, has more than
-   one row a chunk: of all rows it has one in as many as a chunk has different n-grams, and no key is hot.
-3. One shuffle by the hash of n-grams serves both sides: in a partition, sorted, they make the count table, and are joined to it where
-   they lie, so that each row gets its count. Counts go back to their chunks; those of 1 need not, as what is missing in a chunk then occurs once.
+1. Each row's words become 64-bit hashes, stored once, in chunks of CHUNK words at most of whole documents, a row each.
+2. Chunks are exploded to ranges of n-grams: of each n, the hashes of the n-grams that a chunk holds and how often it does, in order, a
+   row (gram, chunk, grams, n) for each range of hashes. So no n-gram, however common, has more than one entry a chunk, and a range
+   has one row a chunk; ranges grow with the words, so that one holds some ROWS entries at most, and no key is hot.
+3. One shuffle by range serves both sides: in a range, sorted, the n-grams of all chunks make the count table, and are joined to it where
+   they lie, so that each gets its count. What goes back to a chunk are the counts alone, in the order of its n-grams.
    This is done for PARTS parts of the hashes in turn, so that the disk holds the n-grams of one part.
-4. A chunk and its counts meet in one task (in TURNS turns by chunk), which scores the chunk's documents place by place and sums per document: a word
+4. A chunk and its counts meet in one task (in TURNS turns by chunk), which puts its n-grams in order again, so that counts stand
+   beside them, scores place by place and sums per document: a word
    after the longest context of which the n-gram is seen gets log count(n-gram) - log count(context), log BACKOFF for each shorter
    one tried, and a single word log count - log words.
 
 An n-gram is seen from min_count occurrences on (MIN_COUNT 1: whatever occurs); single words always are. Counts are 64 bits and
-cover the whole corpus. N-grams are told apart by 64-bit hashes: two of m share one with a chance of m / 2**64 each, which adds
-their counts; rows are never told apart by hashes.
+cover the whole corpus. N-grams are told apart by n and 64-bit hashes: two of m of one n share one with a chance of m / 2**64 each, which
+adds their counts; rows are never told apart by hashes.
 
 Cases. Null or word-less text: n_words 0, log_score 0, mean null. Null ids and repeated rows: a row each; repeats count as
 often as they occur. A word that the corpus lacks: BACKOFF / words. Empty table: no rows. Very long texts: a chunk of their own, about 100
@@ -28,18 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, long_batches, over_batches, shuffles_removed, stored
+from glyphmill.llm.common import Scratch, over_batches, shuffles_removed, stored
 
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Words held by a worker's memo, and words of a chunk.
-MEMO, CHUNK = 200_000, 3_000_000
-#: Rows that a worker hands on at once.
-ROWS = 250_000
+MEMO, CHUNK = 200_000, 500_000
+#: There is a range of hashes for so many words of the corpus and the documents; ranges at least.
+ROWS, RANGES = 2_000_000, 64
 #: Parts of the hashes, and of the chunks, that are done in turn.
 PARTS, TURNS = 4, 4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -69,156 +72,151 @@ def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).view(np.int64)))
+def held(now: np.ndarray, left: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, the places where an n-gram begins that its document holds whole, and their n-grams. left: words from each place to its document's end."""
+    for n, g in enumerate(grams(now, order), 1):
+        at = np.flatnonzero(left >= n)
+        yield n, at, g[at]
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """chunk, doc_id, words of docs(doc_id, text). A chunk's rows stand together in one task."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int64()))])
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Values of 64 bits as bytes, in rows that end at ends. A million numbers pass through Spark as one value, not as a million."""
+    offsets = np.append([0], np.asarray(ends) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, size = Hashes(), 0
-        chunk = TaskContext.get().partitionId() << 32
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0), b.column(1)):
-                w = words_of(text.as_py(), memo)
-                if size and size + len(w) > CHUNK:
-                    chunk, size = chunk + 1, 0
-                size += len(w)
-                rows.append((chunk, doc.as_py(), w))
-            if rows:
-                chunks, ids, words = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ids, pa.int64()), lists(list(words))], schema=schema)
 
-    return over_batches(docs, work, "chunk long, doc_id long, words array<long>")
+def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The values of all rows of packed()."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    ends = [np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] for c in chunks]
+    return np.concatenate([np.empty(0, np.int64), *(np.frombuffer(c.buffers()[2], np.int64, (z[-1] - z[0]) // 8, z[0]) for c, z in zip(chunks, ends) if z[-1] > z[0])])
 
 
-def distinct_grams(words: list[np.ndarray], order: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of documents in a part, by hash, and how often each occurs."""
-    found = [g[g % np.uint64(PARTS) == part] for h in words for g in grams(h, order)]
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+def to_end(sizes: np.ndarray) -> np.ndarray:
+    """Of words of documents of these sizes, how many there are to the document's end."""
+    return np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
 
 
-def exploded(chunks: DataFrame, order: int, part: int) -> DataFrame:
-    """gram, chunk, n: the n-grams of each chunk whose hashes lie in a part of PARTS, one row for each. A chunk that two tasks read has
-    rows of each."""
-    schema = pa.schema([("gram", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64())])
+def chunked(docs: DataFrame) -> DataFrame:
+    """chunk, doc_ids, sizes (of documents, in words), words (packed) of docs(doc_id, text), a row for each chunk."""
+    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        memo, size, ids, words = Hashes(), 0, [], []
+        chunk = TaskContext.get().partitionId() << 32
 
-        def done() -> Iterator[pa.RecordBatch]:
-            g, n = distinct_grams(held, order, part)
-            for k in range(0, len(g), ROWS):
-                some = g[k : k + ROWS].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), now)), pa.array(n[k : k + ROWS])], schema=schema)
+        def done() -> pa.RecordBatch:
+            all_words = np.concatenate(words)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([chunk], [ids], [[*map(len, words)]]), schema)] + [packed(all_words, [len(all_words)])], schema=schema)
 
         for b in batches:
-            flat, ends = b.column(1).values.to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
-            for chunk, a, z in zip(b.column(0).to_pylist(), ends, ends[1:]):
-                if chunk != now:
-                    yield from done()
-                    now, held = chunk, []
-                held.append(flat[a:z])
-        yield from done()
+            for doc, text in zip(b.column(0), b.column(1)):
+                w = words_of(text.as_py(), memo)
+                if size and size + len(w) > CHUNK:
+                    yield done()
+                    chunk, size, ids, words = chunk + 1, 0, [], []
+                size += max(1, len(w))
+                ids.append(doc.as_py())
+                words.append(w)
+        if ids:
+            yield done()
 
-    return chunks.select("chunk", "words").mapInArrow(work, "gram long, chunk long, n long")
+    return over_batches(docs, work, "chunk long, doc_ids array<long>, sizes array<long>, words binary")
 
 
-def counted(rows: DataFrame, least: int) -> DataFrame:
-    """chunk, gram, n of the rows (gram, chunk, n) whose n-gram occurs least times or more, n now over all chunks. Within a partition of the
-    hashes the sorted rows are the count table and what is joined to it: a run of an n-gram is summed, and each row gets the sum."""
-    schema = pa.schema([("chunk", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+def exploded(chunks: DataFrame, order: int, part: int, ranges: int = RANGES, asks: bool = False) -> DataFrame:
+    """gram, chunk, grams, n (both packed): the n-grams of each chunk whose hashes lie in a part of PARTS, and how often each occurs there (0
+    if the chunk only asks), a row for each range of hashes that has some. gram: the range's number, over all n."""
+    schema = pa.schema([("gram", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())])
+    of, half = np.uint64(ranges), np.uint64(32)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def summed() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            gram, chunk, asks, n = (np.concatenate(x) for x in zip(*held))
-            first = np.flatnonzero(np.diff(gram, prepend=~gram[0]))
-            sums = np.repeat(np.add.reduceat(n, first), np.diff(first, append=len(gram)))
-            keep = (sums >= least) & asks
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (chunk, gram, sums)], schema=schema)
-
         for b in batches:
-            gram, chunk, n = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
-            whole = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # before the run that may go on
-            asks, chunk = chunk.is_valid().to_numpy(zero_copy_only=False), chunk.fill_null(0).to_numpy()
-            parts = [(gram[x], chunk[x], asks[x], n[x]) for x in (slice(0, whole), slice(whole, None))]
-            held.append(parts[0] if whole else parts[1])
-            if whole:
-                yield from summed()
-                held = [parts[1]]
-        yield from summed()
-
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(work, "chunk long, gram long, n long")
-
-
-def place_scores(h: np.ndarray, order: int, count, total: int, min_count: int, backoff: float) -> np.ndarray:
-    """Each word's score after its context. count(grams): how often n-grams occur."""
-    before, score = None, np.empty(0)
-    for n, g in enumerate(grams(h, order), 1):
-        c = count(g)
+            for k in range(len(b)):
+                sizes, words = b.column(1)[k].values.to_numpy(), unpacked(b.column(2)[k : k + 1])
+                for n, _, g in held(words.view(np.uint64), to_end(sizes), order):
+                    g, times = np.unique(g[(g >> half) * np.uint64(PARTS) >> half == part], return_counts=True)
+                    at = ((g >> half) * of >> half).astype(np.int64)
+                    ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(at))
+                    if len(g):
+                        row = pa.array(at[ends - 1] + n * ranges), pa.repeat(b.column(0)[k], len(ends)), packed(g, ends), packed(times * (not asks), ends)
+                        yield pa.RecordBatch.from_arrays([*row], schema=schema)
+
+    return chunks.select("chunk", "sizes", "words").mapInArrow(work, "gram long, chunk long, grams binary, n binary")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """chunk, gram, n of the rows (gram, chunk, grams, n) that have a chunk; n now over all rows. The sorted n-grams of a range are the count
+    table and what is joined to it: a run of an n-gram is summed, and each of its entries gets the sum."""
+
+    def work(t: pa.Table) -> pa.Table:
+        g, n = unpacked(t.column("grams")), unpacked(t.column("n"))
+        order = np.argsort(g)
+        g = g[order]
+        first = np.flatnonzero(np.diff(g, prepend=~g[0]))
+        n[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(first, append=len(g)))
+        sums = packed(n, np.cumsum(pc.binary_length(t.column("n")).to_numpy()) // 8)
+        return pa.table({"chunk": t.column("chunk"), "gram": t.column("gram"), "n": sums}).filter(t.column("chunk").is_valid())
+
+    return rows.groupBy("gram").applyInArrow(work, "chunk long, gram long, n binary")
+
+
+def place_scores(words: np.ndarray, left: np.ndarray, counts: np.ndarray, order: int, total: int, min_count: int, backoff: float) -> np.ndarray:
+    """Each word's score after its context. counts: how often the n-grams that words hold occur, by n and hash."""
+    score, before, used = np.empty(len(words)), np.empty(0, np.int64), 0
+    for n, at, g in held(words, left, order):
+        if not len(g):
+            break
+        by = np.argsort(g)
+        first = np.flatnonzero(np.diff(g[by], prepend=~g[by[0]]))
+        c = np.zeros(len(words), np.int64)
+        c[at[by]] = np.repeat(counts[used : used + len(first)], np.diff(first, append=len(g)))
+        used += len(first)
+        now = c[at]
         if n == 1:
-            score = np.where(c > 0, np.log(np.maximum(c, 1)), math.log(backoff)) - math.log(max(total, 1))
-        elif len(g):
-            seen = c >= max(min_count, 1)
-            longer = np.log(np.maximum(c, 1)) - np.log(np.maximum(before[: len(g)], 1))
-            score[n - 1 :] = np.where(seen, longer, math.log(backoff) + score[n - 1 :])
+            score[at] = np.where(now > 0, np.log(np.maximum(now, 1)), math.log(backoff)) - math.log(max(total, 1))
+        else:
+            longer = np.log(np.maximum(now, 1)) - np.log(np.maximum(before[at], 1))
+            score[at + n - 1] = np.where(now >= max(min_count, 1), longer, math.log(backoff) + score[at + n - 1])
         before = c
+    if used != len(counts):
+        raise ValueError(f"a chunk holds {used} n-grams, and there are counts of {len(counts)}")
     return score
 
 
-def scored(chunks: DataFrame, counts: DataFrame, order: int, total: int, missing: int, min_count: int, backoff: float) -> DataFrame:
-    """doc_id, n_words, log_score of each row of chunks(chunk, doc_id, words) by counts(chunk, gram, n); an n-gram without a row there
-    occurs missing times."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+def scored(chunks: DataFrame, counts: DataFrame, order: int, total: int, min_count: int, backoff: float) -> DataFrame:
+    """doc_id, n_words, log_score of each document of chunks by counts(chunk, gram, n) of the n-grams that the chunk holds."""
 
     def work(docs: pa.Table, known: pa.Table) -> pa.Table:
-        g, n = known.column("gram").to_numpy().view(np.uint64), known.column("n").to_numpy()
-        order_of = np.argsort(g)
-        g, n = g[order_of], n[order_of]
-
-        def count(x: np.ndarray) -> np.ndarray:
-            if not len(g):
-                return np.full(len(x), missing)
-            at = np.minimum(np.searchsorted(g, x), len(g) - 1)
-            return np.where(g[at] == x, n[at], missing)
-
-        rows = []
-        for b in docs.select(["doc_id", "words"]).to_batches():
-            flat, ends = b.column(1).values.to_numpy().view(np.uint64), b.column(1).offsets.to_numpy()
-            for doc, a, z in zip(b.column(0).to_pylist(), ends, ends[1:]):
-                rows.append((doc, int(z - a), float(place_scores(flat[a:z], order, count, total, min_count, backoff).sum())))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+        ids = pa.chunked_array([c.flatten() for c in docs.column("doc_ids").chunks], pa.int64())
+        sizes, words = np.concatenate([c.flatten().to_numpy() for c in docs.column("sizes").chunks]), unpacked(docs.column("words"))
+        counts = unpacked(known.sort_by("gram").column("n"))
+        place = place_scores(words.view(np.uint64), to_end(sizes), counts, order, total, min_count, backoff)
+        sums, some = np.zeros(len(sizes)), sizes > 0
+        if some.any():
+            sums[some] = np.add.reduceat(place, (np.cumsum(sizes) - sizes)[some])
+        return pa.table({"doc_id": ids, "n_words": pa.array(sizes), "log_score": pa.array(sums)})
 
     return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(work, "doc_id long, n_words long, log_score double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, corpus: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score per row of docs, by the counts of corpus (docs without)."""
-    text = F.col(text_col).cast("string").alias("text")
+    text, words = F.col(text_col).cast("string").alias("text"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
     with shuffles_removed(docs.sparkSession), Scratch(docs.sparkSession) as s:
-        chunks = s.stored(chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), text)), "chunks")
-        source = chunks if corpus is None else s.stored(chunked(corpus.select(F.lit(None).cast("long").alias("doc_id"), text)), "corpus")
-        total = source.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
-        least, counts = (2 if corpus is None else 1), None
+        chunks = s.stored(chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), text)), "chunks", "zstd")
+        source = chunks if corpus is None else s.stored(chunked(corpus.select(F.lit(None).cast("long").alias("doc_id"), text)), "corpus", "zstd")
+        total, counts = source.agg(words).first()[0] or 0, None
+        ranges = max(RANGES, math.ceil((total if corpus is None else total + (chunks.agg(words).first()[0] or 0)) / ROWS))
         for part in range(PARTS):
-            rows = exploded(chunks, order, part)
+            rows = exploded(chunks, order, part, ranges, asks=corpus is not None)
             if corpus is not None:
-                rows = rows.withColumn("n", F.lit(0).cast("long")).unionByName(exploded(source, order, part).withColumn("chunk", F.lit(None).cast("long")))
-            with long_batches(docs.sparkSession):
-                found = s.stored(counted(rows, least), "counts")
+                rows = rows.unionByName(exploded(source, order, part, ranges).withColumn("chunk", F.lit(None).cast("long")))
+            found = s.stored(counted(rows), "counts", "zstd")
             counts = found if counts is None else counts.unionByName(found)
         out = None
         for part in range(TURNS):
             mine = F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == part
-            rows = stored(scored(chunks.where(mine), counts.where(mine), order, total, least - 1, min_count, backoff), "scored")
+            rows = stored(scored(chunks.where(mine), counts.where(mine), order, total, min_count, backoff), "scored")
             out = rows if out is None else out.unionByName(rows)
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

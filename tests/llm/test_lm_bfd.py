@@ -69,6 +69,27 @@ def test_no_key_has_more_than_a_row_a_chunk(spark, monkeypatch):
     assert n >= 10 and 0 < max(per) <= n
 
 
+def test_a_range_of_ngrams_is_one_row_a_chunk(spark):
+    """Rows grow with chunks and ranges, not with n-grams; counts go back alone."""
+    rows = [(k, " ".join(f"x{k}y{j}" for j in range(900))) for k in range(20)]
+    chunks = lm.chunked(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).cache()
+    found = [lm.exploded(chunks, 3, k).cache() for k in range(lm.PARTS)]
+    n = sum(f.agg({"n": "count"}).first()[0] for f in found)
+    assert 0 < n <= 3 * lm.RANGES * chunks.count() < 20 * 900
+    assert sum(len(r.grams) for f in found for r in f.collect()) == 8 * 20 * (900 + 899 + 898)
+    sums = [r for f in found for r in lm.counted(f).collect()]
+    assert len(sums) == n and sum(len(r.n) for r in sums) == 8 * 20 * (900 + 899 + 898)
+
+
+@pytest.mark.parametrize(("rows", "chunk"), [(1, 1), (50, 300), (2_000_000, 5)])
+def test_any_number_of_ranges_gives_the_same(spark, monkeypatch, rows, chunk):
+    monkeypatch.setattr(lm, "ROWS", rows)
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "RANGES", 1)
+    some = corpus()[:9] + [(None, None), (5, "a b a b a"), (5, "a b a b a"), (6, " ")]
+    held(lm.score(spark.createDataFrame(some, "doc_id long, text string").coalesce(2)).collect(), brute(some, 3))
+
+
 def test_best_fit_decreasing_equals_a_plain_search():
     r = random.Random(3)
     for size in (7, 64, 100, 2048):
