@@ -5,11 +5,12 @@ mined(docs) returns the best phrases of each language: lang, rank, phrase, a, l,
 1. Words of each language are counted. Words of MIN_COUNT occurrences or more are the frequent prefixes.
 2. Projection: every occurrence of a word in a piece of text becomes a pointer to the words after it there (longest - 1 at most, ending
    where the piece does). Pointers to equal words are one row with a weight within a task, so copies and common phrases shrink
-   before anything is shuffled. The frequent words, broadcast if few enough, end a piece at any other word: no frequent phrase holds it.
-   Prefixes are done in TURNS turns by a hash, each with one shuffle, whose files go with it.
-3. One task per prefix gets the pointers of that prefix and extends it to the right, depth first: it parts the pointers by their next
-   word, keeps each phrase that is frequent, and goes on from it with its own pointers alone.
-   A prefix of more than POINTERS occurrences (or a HEADSth of all, so that hot ones can be broadcast) has several tasks, dealt by a hash of the words pointed to: whole phrases of the
+   before anything is shuffled. The frequent words, broadcast if few enough, end a piece at any other word, as no frequent phrase holds it,
+   and pointers hold their numbers. Of more words the pointers hold the words themselves, and prefixes are done in TURNS turns by a
+   hash. Each turn has one shuffle, whose files go with it.
+3. One task per prefix gets the pointers of that prefix and extends it to the right: its pointers, in order, are parted by their next
+   word, the phrases that are frequent are kept, and it goes on from them with their own pointers alone.
+   A prefix of more than POINTERS occurrences (or a HEADSth of all, so that hot ones are few) has several tasks, dealt by a hash of the words pointed to: whole phrases of the
    greatest length meet in one of them, shorter ones are summed over the tasks before they are held against MIN_COUNT.
 4. Candidates are cut at every place and joined to the counts of both parts; the cut with the lowest score counts. Those that lie in a
    longer candidate with a share of SHARE percent of their occurrences or more go. Each language's best are chosen in two steps, so
@@ -19,15 +20,15 @@ Counts and totals are over all documents, as longs; the score's products are dec
 Phrases are keyed by their text, so no two share a key. Joins on parts take hot parts out (see common.lookup).
 
 Cases. Null or empty text: no words. Null lang: `und`, with rows that say `und`. Null ids and repeated rows: every row counts. Ties: by
-a, then by phrase; of cuts, the first. Very long texts: read in one task, its pointers summed by CHUNK distinct ones. A language
+a, then by phrase; of cuts, the first. Very long texts: read in one task, a whole text's pointers summed at once. A language
 without candidates has no row. Empty table: no rows. Other columns are not read; lang and text may have any other names.
 """
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -40,12 +41,14 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import Scratch, long_batches, lookup, over_batches, shuffles_removed, stored
 
 MIN_COUNT, LONGEST, SHARE, BEST = 10, 3, 50, 2000
-#: Occurrences of a prefix that one task takes; distinct rows that a task sums before it hands them on.
-POINTERS, CHUNK = 200_000, 300_000
+#: Occurrences of a prefix that one task takes; distinct words, and words in texts, that a task sums before it hands them on.
+POINTERS, DISTINCT, CHUNK = 200_000, 300_000, 1_500_000
 #: Frequent words that are broadcast, and hot ones at most: those with more than POINTERS and than a HEADSth of all occurrences.
 HEADS = 500_000
-#: Prefixes are done in so many turns, by a hash, so that the disk holds the pointers of one.
+#: Prefixes of words that are not broadcast are done in so many turns, by a hash, so that the disk holds the pointers of one.
 TURNS = 2
+#: Odd numbers that mix the words of a pointer.
+MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Rows of whole prefixes that a task grows at once.
 RUN = 200_000
 #: A language's phrases are ranked in so many parts first.
@@ -68,105 +71,179 @@ def _after(longest: int) -> list[str]:
     return [f"next{k}" for k in range(1, longest)]
 
 
-def summed(docs: DataFrame, width: int, turn: int = 0, frequent: Broadcast | None = None) -> DataFrame:
-    """lang, prefix, next1 ..., n: occurrences of words with the words after them in their piece (width - 1 at most, else null), summed over
-    what a task has at hand. Of width 1 all words, else those of a turn that a word follows. frequent: words by lang; all others end a piece,
-    as no frequent phrase holds one."""
-    names = ["lang", "prefix", *_after(width)]
-    schema = pa.schema([*((c, pa.string()) for c in names), ("n", pa.int64())])
+class Codes(dict):
+    """Numbers of words; of others -1."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+class Seen(dict):
+    """Numbers of words as they come; of the end of a piece, with which it begins, -1."""
+
+    def __init__(self):
+        self[b""] = -1
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self) - 1
+        return got
+
+
+@dataclass
+class Known:
+    """The frequent words: their numbers by lang; lang and word by number; of hot ones, how many parts there are (else 0)."""
+
+    codes: dict[str, Codes]
+    langs: pa.Array
+    words: pa.Array
+    parts: np.ndarray
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, phrase, n: words and how often they occur, summed over what a task has at hand."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def flushed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, found in held.items():
-            if width == 1:
-                found.pop(b"", None)
+            found.pop(b"", None)
             rows = [*found.items()]
             for at in range(0, len(rows), 50_000):
-                keys, n = zip(*rows[at : at + 50_000])
-                words, whole = [keys] if width == 1 else [*zip(*keys)], True
-                for k, c in enumerate(words):
-                    c = pa.array(c, pa.binary()).cast(pa.string())
-                    if k > 1:  # what stands after the end of a piece is of another one
-                        whole = pc.and_(whole, pc.not_equal(c, ""))
-                        c = pc.if_else(whole, c, None)
-                    words[k] = c
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *words, pa.array(n, pa.int64())], schema=schema)
+                words, n = zip(*rows[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], schema=schema)
         held.clear()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        gc.disable()  # the sums are millions of tuples without cycles
-        try:
-            for b in batches:
-                for lang, text in zip(b.column(0), b.column(1)):
-                    w, lang = words_of(text.as_py()), lang.as_py()
-                    if frequent is not None:
-                        known = frequent.value.get(lang, frozenset())
-                        w = [x if x in known else b"" for x in w]
-                    if width > 1:
-                        w = [x for x in zip(*(w[k:] + [b""] * k for k in range(width))) if x[0] and x[1] and crc32(x[0]) % TURNS == turn]
-                    held.setdefault(lang, Counter()).update(w)
-                    if sum(map(len, held.values())) > CHUNK:
-                        yield from flushed(held)
-            yield from flushed(held)
-        finally:
-            gc.enable()
-
-    return over_batches(docs, work, ", ".join(f"{c} string" for c in names) + ", n long")
-
-
-def grow(after: list[np.ndarray], weights: np.ndarray, pointers: np.ndarray, least: int, shared: bool) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Extensions of one prefix to the right and their counts, depth first. after: by distance, the codes of the words that follow
-    (-1 for none); weights: how often; pointers: the rows of this prefix. shared: other tasks hold pointers of it too, so only phrases
-    of full length are whole."""
-
-    def extended(codes: tuple[int, ...], at: np.ndarray, depth: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        last = depth + 1 == len(after)
-        need = 1 if shared and not last else least
-        if weights[at].sum() < need:
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1)):
+                held.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
+                if sum(map(len, held.values())) > DISTINCT:
+                    yield from flushed(held)
+        yield from flushed(held)
+
+    return over_batches(docs, work, "lang string, phrase string, n long")
+
+
+def in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by columns of numbers from -1 on."""
+    bits = [int(c.max(initial=0) + 1).bit_length() for c in columns]
+    if sum(bits) > 63:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, b in zip(columns, bits):
+        key = key << b | c + 1
+    return np.argsort(key)
+
+
+def starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows in order differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def distinct_pointers(words: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each place that another follows and the words after it (-1 from the end of its piece on), each different row once, and how often."""
+    columns = [words[:-1], words[1:], *(np.append(words[k:], np.full(min(k - 1, len(words) - 1), -1)) for k in range(2, width))]
+    some = (columns[0] >= 0) & (columns[1] >= 0)
+    columns = [c[: len(some)][some] for c in columns]
+    for k in range(2, width):
+        columns[k][columns[k - 1] < 0] = -1
+    by = in_order(columns)
+    columns = [c[by] for c in columns]
+    first = np.flatnonzero(starts(columns))
+    return [c[first] for c in columns], np.diff(first, append=len(by))
+
+
+def pointers(docs: DataFrame, width: int, known: Broadcast | None = None, turn: int = 0) -> DataFrame:
+    """Occurrences n of words (prefix) with the words after them in their piece (next1 ..., width - 1 at most), summed over what a task has at
+    hand; those that a word follows. With known frequent words: numbers (-1 for none), all others end a piece; and salt, which part of a hot
+    prefix a pointer belongs to (else -1). Without: lang, and words (null for none) of a turn."""
+    names = ["prefix", *_after(width)]
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("salt", pa.int64()), ("n", pa.int64())] if known else [*((c, pa.string()) for c in ("lang", *names)), ("n", pa.int64())])
+
+    def flushed(held: dict[str, list[np.ndarray]], seen: dict[str, Seen]) -> Iterator[pa.RecordBatch]:
+        for lang, words in held.items():
+            columns, n = distinct_pointers(np.concatenate(words), width)
+            if known:
+                parts, mixed = known.value.parts[columns[0]], np.zeros(len(n), np.uint64)
+                for c in columns[1:]:
+                    mixed = (mixed ^ c.view(np.uint64)) * MIX
+                    mixed = (mixed ^ mixed >> np.uint64(32)) * MIX2
+                salt = (mixed >> np.uint64(32)).astype(np.int64) % np.maximum(parts, 1)
+                rows = [*columns, np.where(parts > 0, salt, -1), n]
+            else:
+                every = pa.array([w for w, k in seen[lang].items() if w], pa.binary()).cast(pa.string())
+                mine = np.array([crc32(w) % TURNS == turn for w in seen[lang] if w], bool)[columns[0]]
+                rows = [every.take(pa.array(c[mine], mask=c[mine] < 0)) for c in columns] + [n[mine]]
+                rows = [pa.repeat(pa.scalar(lang), len(rows[0])), *rows]
+            for at in range(0, len(rows[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(r[at : at + 50_000]) for r in rows], schema=schema)
+        held.clear()
+        seen.clear()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        seen: dict[str, Seen] = {}
+        size, none = 0, Codes()
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1)):
+                if w := words_of(text.as_py()):
+                    lang = lang.as_py()
+                    codes = known.value.codes.get(lang, none) if known else seen.setdefault(lang, Seen())
+                    held.setdefault(lang, []).append(np.fromiter(map(codes.__getitem__, w), np.int64, len(w)))
+                    size += len(w)
+                    if size > CHUNK:
+                        yield from flushed(held, seen)
+                        size = 0
+        yield from flushed(held, seen)
+
+    return over_batches(docs, work, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema))
+
+
+def grow(prefixes: list[np.ndarray], after: list[np.ndarray], weights: np.ndarray, shared: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Extensions to the right of whole prefixes, by length: a row of each phrase, how many words it has after the prefix, its count.
+    prefixes: numbers that tell prefixes apart, by pointer; after: by distance, the codes of the words that follow (-1 for none); weights: how
+    often. shared: other tasks hold pointers of the prefix too, so only its phrases of full length are whole."""
+    at = in_order([*prefixes, *after])
+    new = starts([c[at] for c in prefixes])
+    for depth, codes in enumerate(after):
+        if not len(at):
             return
-        word = after[depth][at]
-        order = np.argsort(word, kind="stable")
-        word, at = word[order], at[order]
-        first = np.flatnonzero(np.diff(word, prepend=-2))
+        word = codes[at]
+        new[1:] |= word[1:] != word[:-1]
+        first = np.flatnonzero(new)
         sums = np.add.reduceat(weights[at], first)
-        for k in np.flatnonzero((sums >= need) & (word[first] >= 0)).tolist():
-            mine = (*codes, int(word[first[k]]))
-            yield mine, int(sums[k])
-            if not last:
-                yield from extended(mine, at[first[k] : first[k + 1] if k + 1 < len(first) else len(at)], depth + 1)
-
-    return extended((), pointers, 0)
+        need = least if depth + 1 == len(after) else np.where(shared[at[first]], 1, least)
+        keep = (sums >= need) & (word[first] >= 0)
+        yield at[first[keep]], depth + 1, sums[keep]
+        mine = np.repeat(keep, np.diff(first, append=len(at)))
+        at, new = at[mine], new[mine]
 
 
-def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, n from the pointers of whole prefixes (lang, prefix, salt, next1 ..., n), a prefix at a time; salt: which part of a hot
-    prefix, -1 of others. Rows are sorted by a hash of (lang, prefix, salt), prefixes that share one are told apart."""
+def grown(dealt: DataFrame, least: int, longest: int, known: Broadcast | None = None) -> DataFrame:
+    """lang, phrase, n from the pointers of whole prefixes (lang unless known, prefix, salt, next1 ..., n); salt: which part of a hot prefix, -1
+    of others. Rows are sorted by a hash of (lang, prefix, salt), prefixes that share one are told apart."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-    names = _after(longest)
+    names, key = _after(longest), ("prefix", "salt") if known else ("lang", "prefix", "salt")
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """Phrases of a table of whole groups."""
-        n = len(t)
-        every = pa.chunked_array([c for x in names for c in t.column(x).chunks], pa.string()).combine_chunks().dictionary_encode()
-        codes = every.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        after = [codes[k * n : (k + 1) * n] for k in range(len(names))]
-        weights, salt = t.column("n").to_numpy(), t.column("salt").to_numpy()
-        starts = [t.column(x).combine_chunks() for x in ("lang", "prefix")]
-        key = np.stack([t.column("h").to_numpy(), *(c.dictionary_encode().indices.to_numpy() for c in starts), salt])
-        if (np.diff(key[0]) == 0)[(np.diff(key[1:]) != 0).any(axis=0)].any():
-            order = np.lexsort(key[::-1])  # two prefixes share a hash
+        n, salt = len(t), t.column("salt").to_numpy()
+        if known:
+            prefix, *after = (t.column(c).to_numpy() for c in ("prefix", *names))
+            langs, of, every = known.value.langs, prefix, known.value.words
         else:
-            order = np.arange(n)
-        ends = np.append(np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1, n)
-        out, at = [], 0
-        for end in ends.tolist():
-            mine, at = order[at:end], end
-            found = [*grow(after, weights, mine, least, salt[mine[0]] >= 0)]
-            if found:
-                lang, prefix = (c[int(mine[0])].as_py() for c in starts)
-                out += [(lang, " ".join([prefix, *(every.dictionary[k].as_py() for k in words)]), times) for words, times in found]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            words = pa.chunked_array([c for x in ("prefix", *names) for c in t.column(x).chunks], pa.string()).combine_chunks().dictionary_encode()
+            codes = words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            prefix, *after = (codes[k * n : (k + 1) * n] for k in range(longest))
+            lang = t.column("lang").combine_chunks().dictionary_encode()
+            langs, of, every = lang.dictionary, lang.indices.to_numpy().astype(np.int64), words.dictionary
+        groups = [prefix, salt] if known else [of, prefix, salt]
+        for rows, depth, times in grow(groups, after, t.column("n").to_numpy(), salt >= 0, least):
+            if len(rows):
+                phrase = pc.binary_join_element_wise(*(every.take(pa.array(c[rows])) for c in (prefix, *after[:depth])), " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[rows])), phrase, pa.array(times)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -180,41 +257,40 @@ def grown(dealt: DataFrame, least: int, longest: int) -> DataFrame:
         if held:
             yield from run(pa.Table.from_batches(held))
 
-    key = ("lang", "prefix", "salt")
     dealt = dealt.select(*key, *names, "n").repartition(*key)
     together = dealt.select(F.xxhash64(*key).alias("h"), *key, *names, "n").sortWithinPartitions("h")
     return together.mapInArrow(work, "lang string, phrase string, n long")
 
 
-def words_by_lang(frequent: DataFrame) -> Broadcast | None:
-    """The frequent words as sets, by lang, for all tasks; None if they are more than HEADS."""
-    found = frequent.select("lang", F.col("phrase").cast("binary").alias("word")).limit(HEADS + 1).toArrow()
+def words_by_lang(frequent: DataFrame, most: int) -> Broadcast | None:
+    """The frequent words for all tasks, those of more than most occurrences as hot; None if they are more than HEADS."""
+    found = frequent.select("lang", "phrase", "n").limit(HEADS + 1).toArrow().combine_chunks()
     if len(found) > HEADS:
         return None
-    sets: dict[str, set[bytes]] = {}
-    for b in found.to_batches():
-        for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            sets.setdefault(lang, set()).add(word)
-    return frequent.sparkSession.sparkContext.broadcast(sets)
+    langs, words = (pa.concat_arrays(found.column(c).chunks or [pa.array([], pa.string())]).cast(pa.string()) for c in ("lang", "phrase"))
+    codes: dict[str, Codes] = {}
+    for k, (lang, word) in enumerate(zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist())):
+        codes.setdefault(lang, Codes())[word] = k
+    n = found.column("n").to_numpy()
+    return frequent.sparkSession.sparkContext.broadcast(Known(codes, langs, words, np.where(n > most, -(-n // most), 0)))
 
 
 def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored in s: frequent words (lang, phrase, n), frequent phrases of 2 to longest words (the same), words of each lang (lang, words)."""
-    words = s.stored(summed(docs, 1).groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("n")), "words")
+    words = s.stored(word_counts(docs).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
     totals = s.stored(words.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
     frequent = s.stored(words.where(F.col("n") >= least), "frequent")
     total = totals.agg(F.sum("words")).first()[0] or 0
-    key = ["lang", "prefix"]
-    heads = frequent.withColumnRenamed("phrase", "prefix")
     most = max(POINTERS, total // HEADS)
-    hot = heads.where(F.col("n") > most).select(*key, F.ceil(F.col("n") / most).cast("long").alias("of"))
-    known, found = words_by_lang(frequent), None  # without, the tasks drop what is not frequent
-    salt = F.coalesce(F.pmod(F.xxhash64(*_after(longest)), "of"), F.lit(-1).cast("long")).alias("salt")
-    for turn in range(TURNS):
-        pointers = summed(docs, longest, turn, known)
-        dealt = pointers.join(F.broadcast(hot), key, "left").select(*key, salt, *_after(longest), "n")
+    known, found = words_by_lang(frequent, most), None
+    hot = frequent.where(F.col("n") > most).select("lang", F.col("phrase").alias("prefix"), F.ceil(F.col("n") / most).cast("long").alias("of"))
+    for turn in range(1 if known else TURNS):
+        dealt = pointers(docs, longest, known, turn)
+        if not known:
+            salt = F.coalesce(F.pmod(F.xxhash64(*_after(longest)), "of"), F.lit(-1).cast("long"))
+            dealt = dealt.join(F.broadcast(hot), ["lang", "prefix"], "left").withColumn("salt", salt)
         with long_batches(docs.sparkSession):
-            mine = s.stored(grown(dealt, least, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+            mine = s.stored(grown(dealt, least, longest, known).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
         found = mine if found is None else found.unionByName(mine)
     return frequent, found, totals
 

@@ -74,6 +74,22 @@ def test_many_frequent_words_are_not_broadcast(docs, monkeypatch):
     assert sorted(tuple(r) for r in collocations.mined(docs).collect()) == plain(corpus())
 
 
+def test_pointers_hold_numbers_of_frequent_words(spark, docs, monkeypatch):
+    """Equal pointers of a task are one row however far apart, rows hold numbers alone, and hot prefixes have parts."""
+    frequent = spark.createDataFrame([("en", "a", 500), ("en", "b", 30), ("fr", "a", 12)], "lang string, phrase string, n long")
+    known = collocations.words_by_lang(frequent, 100)
+    texts = spark.createDataFrame([("en", "a b rare a"), ("en", "a b. a b a " * 9), ("fr", "a a b"), ("de", "a b")], "lang string, text string").coalesce(1)
+    rows = collocations.pointers(texts, 3, known)
+    assert {t for _, t in rows.dtypes} == {"bigint"}
+    names, got = [(x.langs[k].as_py(), x.words[k].as_py()) for x in [known.value] for k in range(3)], {}
+    for r in rows.collect():
+        got[tuple(names[k][1] if k >= 0 else None for k in (r.prefix, r.next1, r.next2)), names[r.prefix][0]] = r.n
+        assert (0 <= r.salt < 5) if names[r.prefix] == ("en", "a") else r.salt == -1
+    assert got == {(("a", "b", None), "en"): 10, (("a", "b", "a"), "en"): 9, (("b", "a", "a"), "en"): 8, (("a", "a", "b"), "en"): 8, (("b", "a", None), "en"): 1, (("a", "a", None), "fr"): 1}
+    monkeypatch.setattr(collocations, "HEADS", 2)
+    assert collocations.words_by_lang(frequent, 100) is None
+
+
 def test_empty_and_unranked(docs):
     assert collocations.mined(docs.limit(0)).count() == 0
     rows = collocations.mined(docs, n=None)
