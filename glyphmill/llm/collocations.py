@@ -5,8 +5,8 @@ mined(docs) returns the best phrases of each language: lang, rank, phrase, a, l,
 1. Words of each language are counted. Words of MIN_COUNT occurrences or more are the frequent prefixes.
 2. Projection: every occurrence of a word in a piece of text becomes a pointer to the words after it there (longest - 1 at most, ending
    where the piece does). Pointers to equal words are one row with a weight within a task, so copies and common phrases shrink
-   before anything is shuffled. The frequent words, broadcast if few enough, end a piece at any other word, as no frequent phrase holds it,
-   and pointers hold their numbers. Of more words the pointers hold the words themselves, and prefixes are done in TURNS turns by a
+   before anything is shuffled. The frequent words are broadcast if they are HEADS at most; a piece ends at any other word, as no frequent
+   phrase holds it, and pointers hold numbers. Tasks find a word's number by a hash of 64 bits, of a seed by which no two words of the corpus share one. Of more words the pointers hold the words themselves, and prefixes are done in TURNS turns by a
    hash. Each turn has one shuffle, whose files go with it.
 3. One task per prefix gets the pointers of that prefix and extends it to the right: its pointers, in order, are parted by their next
    word, the phrases that are frequent are kept, and it goes on from them with their own pointers alone.
@@ -27,15 +27,16 @@ without candidates has no row. Empty table: no rows. Other columns are not read;
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch, long_batches, lookup, over_batches, shuffles_removed, stored
@@ -43,8 +44,8 @@ from glyphmill.llm.common import Scratch, long_batches, lookup, over_batches, sh
 MIN_COUNT, LONGEST, SHARE, BEST = 10, 3, 50, 2000
 #: Occurrences of a prefix that one task takes; distinct words, and words in texts, that a task sums before it hands them on.
 POINTERS, DISTINCT, CHUNK = 200_000, 300_000, 1_500_000
-#: Frequent words that are broadcast, and hot ones at most: those with more than POINTERS and than a HEADSth of all occurrences.
-HEADS = 500_000
+#: Frequent words that are broadcast (some 30 bytes each), and hot ones at most: those with more than POINTERS and than a HEADSth of all occurrences.
+HEADS = 4_000_000
 #: Prefixes of words that are not broadcast are done in so many turns, by a hash, so that the disk holds the pointers of one.
 TURNS = 2
 #: Odd numbers that mix the words of a pointer.
@@ -71,13 +72,6 @@ def _after(longest: int) -> list[str]:
     return [f"next{k}" for k in range(1, longest)]
 
 
-class Codes(dict):
-    """Numbers of words; of others -1."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Seen(dict):
     """Numbers of words as they come; of the end of a piece, with which it begins, -1."""
 
@@ -89,15 +83,30 @@ class Seen(dict):
         return got
 
 
+def hashed(seed: int) -> Column:
+    """Hash of a phrase of a lang, by a seed."""
+    return F.xxhash64(F.concat(F.lit(f"{seed} "), "lang"), "phrase")
+
+
 @dataclass
 class Known:
-    """The frequent words: their numbers by lang; lang and word by number; of hot ones, how many parts there are (else 0)."""
+    """The frequent words, by number: their hashes in order and the seed of these, lang, word and, of hot ones, how many parts there are (else 0)."""
 
-    codes: dict[str, Codes]
+    hashes: np.ndarray
+    seed: int
     langs: pa.Array
     words: pa.Array
     parts: np.ndarray
 
+    def numbers(self, lang: str, words: Iterable[bytes]) -> np.ndarray:
+        """Numbers of words of a lang, -1 for what is not frequent; hashes as in hashed()."""
+        seed = xxhash.xxh64_intdigest(f"{self.seed} {lang}".encode(), 42)
+        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64).view(np.int64)
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, phrase, n: words and how often they occur, summed over what a task has at hand."""
@@ -164,7 +173,10 @@ def pointers(docs: DataFrame, width: int, known: Broadcast | None = None, turn:
 
     def flushed(held: dict[str, list[np.ndarray]], seen: dict[str, Seen]) -> Iterator[pa.RecordBatch]:
         for lang, words in held.items():
-            columns, n = distinct_pointers(np.concatenate(words), width)
+            vocabulary, words = [*seen[lang]][1:], np.concatenate(words)
+            if known:
+                words = np.append(known.value.numbers(lang, vocabulary), -1)[words]
+            columns, n = distinct_pointers(words, width)
             if known:
                 parts, mixed = known.value.parts[columns[0]], np.zeros(len(n), np.uint64)
                 for c in columns[1:]:
@@ -173,8 +185,8 @@ def pointers(docs: DataFrame, width: int, known: Broadcast | None = None, turn:
                 salt = (mixed >> np.uint64(32)).astype(np.int64) % np.maximum(parts, 1)
                 rows = [*columns, np.where(parts > 0, salt, -1), n]
             else:
-                every = pa.array([w for w, k in seen[lang].items() if w], pa.binary()).cast(pa.string())
-                mine = np.array([crc32(w) % TURNS == turn for w in seen[lang] if w], bool)[columns[0]]
+                every = pa.array(vocabulary, pa.binary()).cast(pa.string())
+                mine = np.array([crc32(w) % TURNS == turn for w in vocabulary], bool)[columns[0]]
                 rows = [every.take(pa.array(c[mine], mask=c[mine] < 0)) for c in columns] + [n[mine]]
                 rows = [pa.repeat(pa.scalar(lang), len(rows[0])), *rows]
             for at in range(0, len(rows[0]), 50_000):
@@ -185,12 +197,12 @@ def pointers(docs: DataFrame, width: int, known: Broadcast | None = None, turn:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         seen: dict[str, Seen] = {}
-        size, none = 0, Codes()
+        size = 0
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
                 if w := words_of(text.as_py()):
                     lang = lang.as_py()
-                    codes = known.value.codes.get(lang, none) if known else seen.setdefault(lang, Seen())
+                    codes = seen.setdefault(lang, Seen())
                     held.setdefault(lang, []).append(np.fromiter(map(codes.__getitem__, w), np.int64, len(w)))
                     size += len(w)
                     if size > CHUNK:
@@ -243,7 +255,7 @@ def grown(dealt: DataFrame, least: int, longest: int, known: Broadcast | None =
         for rows, depth, times in grow(groups, after, t.column("n").to_numpy(), salt >= 0, least):
             if len(rows):
                 phrase = pc.binary_join_element_wise(*(every.take(pa.array(c[rows])) for c in (prefix, *after[:depth])), " ")
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[rows])), phrase, pa.array(times)], schema=schema)
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(of[rows])).cast(pa.string()), phrase, pa.array(times)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -262,17 +274,19 @@ def grown(dealt: DataFrame, least: int, longest: int, known: Broadcast | None =
     return together.mapInArrow(work, "lang string, phrase string, n long")
 
 
-def words_by_lang(frequent: DataFrame, most: int) -> Broadcast | None:
-    """The frequent words for all tasks, those of more than most occurrences as hot; None if they are more than HEADS."""
-    found = frequent.select("lang", "phrase", "n").limit(HEADS + 1).toArrow().combine_chunks()
-    if len(found) > HEADS:
+def numbered(words: DataFrame, least: int, most: int) -> Broadcast | None:
+    """The frequent of all words for all tasks, those of more than most occurrences as hot; None if they are more than HEADS."""
+    frequent = words.where(F.col("n") >= least)
+    if frequent.limit(HEADS + 1).count() > HEADS:
         return None
-    langs, words = (pa.concat_arrays(found.column(c).chunks or [pa.array([], pa.string())]).cast(pa.string()) for c in ("lang", "phrase"))
-    codes: dict[str, Codes] = {}
-    for k, (lang, word) in enumerate(zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist())):
-        codes.setdefault(lang, Codes())[word] = k
-    n = found.column("n").to_numpy()
-    return frequent.sparkSession.sparkContext.broadcast(Known(codes, langs, words, np.where(n > most, -(-n // most), 0)))
+    seed = 0
+    while words.groupBy(hashed(seed).alias("h")).count().where("count > 1").limit(1).count():  # other words must not pass for frequent ones
+        seed += 1
+    found = frequent.select(hashed(seed).alias("h"), "lang", "phrase", "n").toArrow().sort_by("h").combine_chunks()
+    h, langs, names, n = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in found.columns)
+    n = n.to_numpy()
+    known = Known(h.to_numpy(), seed, langs.cast(pa.string()).dictionary_encode(), names.cast(pa.string()), np.where(n > most, -(-n // most), 0))
+    return words.sparkSession.sparkContext.broadcast(known)
 
 
 def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -282,7 +296,7 @@ def phrases(docs: DataFrame, s: Scratch, least: int, longest: int) -> tuple[Data
     frequent = s.stored(words.where(F.col("n") >= least), "frequent")
     total = totals.agg(F.sum("words")).first()[0] or 0
     most = max(POINTERS, total // HEADS)
-    known, found = words_by_lang(frequent, most), None
+    known, found = numbered(words, least, most), None
     hot = frequent.where(F.col("n") > most).select("lang", F.col("phrase").alias("prefix"), F.ceil(F.col("n") / most).cast("long").alias("of"))
     for turn in range(1 if known else TURNS):
         dealt = pointers(docs, longest, known, turn)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import collocations
 
@@ -77,7 +78,7 @@ def test_many_frequent_words_are_not_broadcast(docs, monkeypatch):
 def test_pointers_hold_numbers_of_frequent_words(spark, docs, monkeypatch):
     """Equal pointers of a task are one row however far apart, rows hold numbers alone, and hot prefixes have parts."""
     frequent = spark.createDataFrame([("en", "a", 500), ("en", "b", 30), ("fr", "a", 12)], "lang string, phrase string, n long")
-    known = collocations.words_by_lang(frequent, 100)
+    known = collocations.numbered(frequent, 10, 100)
     texts = spark.createDataFrame([("en", "a b rare a"), ("en", "a b. a b a " * 9), ("fr", "a a b"), ("de", "a b")], "lang string, text string").coalesce(1)
     rows = collocations.pointers(texts, 3, known)
     assert {t for _, t in rows.dtypes} == {"bigint"}
@@ -87,7 +88,19 @@ def test_pointers_hold_numbers_of_frequent_words(spark, docs, monkeypatch):
         assert (0 <= r.salt < 5) if names[r.prefix] == ("en", "a") else r.salt == -1
     assert got == {(("a", "b", None), "en"): 10, (("a", "b", "a"), "en"): 9, (("b", "a", "a"), "en"): 8, (("a", "a", "b"), "en"): 8, (("b", "a", None), "en"): 1, (("a", "a", None), "fr"): 1}
     monkeypatch.setattr(collocations, "HEADS", 2)
-    assert collocations.words_by_lang(frequent, 100) is None
+    assert collocations.numbered(frequent, 10, 100) is None
+
+
+def test_words_that_share_a_hash_get_another_seed(spark, monkeypatch):
+    frequent = spark.createDataFrame([("en", "a", 500), ("en", "É字", 30), ("fr", "a", 12), ("fr", "rare", 1)], "lang string, phrase string, n long")
+    real = collocations.hashed
+    monkeypatch.setattr(collocations, "hashed", lambda seed: F.length("lang") if seed == 0 else F.when(F.col("phrase") == "rare", F.lit(7)).otherwise(F.floor(F.col("n") / 400) + 7) if seed == 1 else real(seed))
+    known = collocations.numbered(frequent, 10, 100).value
+    assert known.seed == 2 and len(known.words) == 3
+    for lang, word in (("en", "a"), ("en", "É字"), ("fr", "a")):
+        k = known.numbers(lang, [word.encode()])[0]
+        assert (known.langs[k].as_py(), known.words[k].as_py()) == (lang, word)
+    assert known.numbers("fr", [b"rare", "É字".encode(), b""]).tolist() == [-1, -1, -1]
 
 
 def test_empty_and_unranked(docs):
