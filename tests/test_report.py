@@ -1,10 +1,12 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill import __main__ as program
-from glyphmill.operators import bytesafe, lookalike, report
+from glyphmill import catalog
+from glyphmill.operators import analyze, bytesafe, lookalike, report
 from glyphmill.plans import analysis
 from glyphmill.sources import text
 from glyphmill.streaming import stream
@@ -118,3 +120,14 @@ def test_scripts_and_blocks(spark):
     rows = {r.ch: (r.block, r.code_point, r.n, r.ex) for r in scripts.block_table(df).collect()}
     assert rows["b"] == ("BASIC_LATIN", "U+0062", 2, [1, 2]) and rows["é"][0] == "LATIN_EXTENDED_LETTER" and rows["中"][0] == "CJK_UNIFIED_IDEOGRAPHS"
     assert scripts.script_counts(df.limit(0)).count() == 0
+
+
+def test_empty_texts_are_counted_as_in_the_sql(spark, tmp_path):
+    rows = [("a\U0001f600 a", "en"), ("", "en"), ("", "de"), ("", None), (None, "de"), ("é", None)]
+    spark.createDataFrame(rows, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("char_count",):
+        got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+        assert got == sorted(db.sql(catalog.ORACLE_SQL[name]).fetchall(), key=str) and any("" in r for r in got)
+    assert {r.ch for r in analyze.char_counts(spark.createDataFrame(rows, "text string, lang string")).collect()} == {"a", "\U0001f600", " ", "é"}
