@@ -127,7 +127,7 @@ def test_empty_texts_are_counted_as_in_the_sql(spark, tmp_path):
     spark.createDataFrame(rows, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("char_count",):
+    for name in ("char_count", "char_count_by_lang"):
         got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
         assert got == sorted(db.sql(catalog.ORACLE_SQL[name]).fetchall(), key=str) and any("" in r for r in got)
     assert {r.ch for r in analyze.char_counts(spark.createDataFrame(rows, "text string, lang string")).collect()} == {"a", "\U0001f600", " ", "é"}
