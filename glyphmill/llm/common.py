@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: Bytes of a batch that Spark hands to a Python worker.
 BATCH_BYTES = 16 << 20
+#: Bytes of a group of rows in stored tables of long rows. Without it Parquet looks at the size of a group from its hundredth row on.
+LONG_ROWS = 16 << 20
 #: A set of ids is broadcast up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: lookup() broadcasts at most this many rows, and counts keys with more than HOT_ROWS as hot.
@@ -58,9 +60,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def stored(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    def stored(self, df: DataFrame, label: str, compression: str | None = None, long_rows: bool = False) -> DataFrame:
+        """long_rows: of rows of up to some MB, LONG_ROWS bytes at most and a row are held by a task that writes or reads them."""
         self.paths.append(path := new_path(self.spark, label))
-        df.write.parquet(path, compression=compression)
+        options = {"parquet.block.size": LONG_ROWS, "parquet.page.size.row.check.min": 1} if long_rows else {}
+        df.write.options(**options).parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:

@@ -204,15 +204,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score per row of docs, by the counts of corpus (docs without)."""
     text, words = F.col(text_col).cast("string").alias("text"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
     with shuffles_removed(docs.sparkSession), Scratch(docs.sparkSession) as s:
-        chunks = s.stored(chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), text)), "chunks", "zstd")
-        source = chunks if corpus is None else s.stored(chunked(corpus.select(F.lit(None).cast("long").alias("doc_id"), text)), "corpus", "zstd")
+        chunks = s.stored(chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), text)), "chunks", "zstd", long_rows=True)
+        source = chunks if corpus is None else s.stored(chunked(corpus.select(F.lit(None).cast("long").alias("doc_id"), text)), "corpus", "zstd", long_rows=True)
         total, counts = source.agg(words).first()[0] or 0, None
         ranges = max(RANGES, math.ceil((total if corpus is None else total + (chunks.agg(words).first()[0] or 0)) / ROWS))
         for part in range(PARTS):
             rows = exploded(chunks, order, part, ranges, asks=corpus is not None)
             if corpus is not None:
                 rows = rows.unionByName(exploded(source, order, part, ranges).withColumn("chunk", F.lit(None).cast("long")))
-            found = s.stored(counted(rows), "counts", "zstd")
+            found = s.stored(counted(rows), "counts", "zstd", long_rows=True)
             counts = found if counts is None else counts.unionByName(found)
         out = None
         for part in range(TURNS):

@@ -1,11 +1,14 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyarrow.parquet import ParquetFile
+from pyspark.sql import functions as F
 
-from glyphmill.llm import bfd, lm
+from glyphmill.llm import bfd, common, lm
 from glyphmill.llm.tokens import Encoder
 
 
@@ -53,6 +56,22 @@ def test_scores_equal_a_plain_version(spark, monkeypatch, order, least, chunk):
     assert lm.score(df.limit(0)).count() == 0
 
 
+def test_stored_chunks_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A chunk is a row of some MB: no group of rows, which a task holds whole, may have a hundred of them."""
+    monkeypatch.setattr(common, "LONG_ROWS", 1 << 20)
+    words = spark.range(0, 40, 1, 1).select("id", F.expr("transform(sequence(1, 16), k -> sha2(string(id * 16 + k), 512))").alias("w"))
+    rows = words.select(F.expr("cast(array_join(transform(sequence(1, 200), k -> concat_ws('', w)), '') as binary)").alias("words"))
+    kept = []
+    monkeypatch.setattr(common, "removed", lambda _, path: kept.append(path.removeprefix("file://")))
+    with common.Scratch(spark) as s:
+        assert s.stored(rows, "chunks", "zstd", long_rows=True).agg(F.sum(F.length("words"))).first()[0] == 40 * 16 * 128 * 200
+        lm.score(spark.createDataFrame([(k, f"w{k} " * 90_000) for k in range(6)], "doc_id long, text string").coalesce(1))
+    files = [ParquetFile(f).metadata for path in kept for f in Path(path).glob("*.parquet") if "-chunks-" in path]
+    groups = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    # a group ends with the row that fills it; without long_rows each file has one group
+    assert len(kept) > 2 and len(groups) >= len(files) + 10 and max(groups) <= 5 << 20
+
+
 @pytest.mark.parametrize("least", [1, 2])
 def test_scores_by_another_corpus(spark, least):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
