@@ -45,3 +45,16 @@ def test_program_prints_the_log(spark, tmp_path, capsys):
     (tmp_path / "t.txt").write_text("a\u0640b &amp;lt;\nplain \n")
     program.main(["norm", str(tmp_path / "t.txt"), str(tmp_path / "out"), "-v"])
     assert "1 out of 2 line changed; del-tatweel in 1/1 line; repair-xml in 1/1 line" in capsys.readouterr().out
+
+
+def test_lines_of_the_same_words_go_through_the_steps_once(spark):
+    """Lines whose odd words and classes of characters are the same, whatever else they hold, are counted and numbered one by one."""
+    rows = [(k, f"line {k} of a\u0640b") for k in range(30)] + [(30, "\u0430b\u0434\u0436 x"), (31, "a\u0640b &amp;lt;"), (5, "a\u0640b"), (40, "plain"), (41, None)] + [(50 + k, "y \u0430b\u0434\u0436") for k in range(3)]
+    df = spark.createDataFrame(rows, "line_no long, text string")
+    states, _ = changelog._states(df, normalize.chosen("all"), "", "text", None)
+    assert sorted((r.n, r._text.strip()) for r in states.select("n", "_text").collect()) == [(1, ""), (1, "a\u0640b"), (1, "a\u0640b &amp;lt;"), (1, "\u0430b\u0434\u0436"), (3, "\u0430b\u0434\u0436"), (30, "a\u0640b")]
+    log = {r.step: (r.n_calls, r.n_changed) for r in changelog.change_log(df, normalize.chosen("all")).collect()}
+    assert (log["all"], log["del-tatweel"], log["repair-xml"], log["look-alike unchanged"]) == ((37, 32), (32, 32), (1, 1), (4, 4))
+    first = {r.step: r.lines for r in changelog.first_lines(df, normalize.chosen("all"), k=7).collect()}
+    assert first["del-tatweel"] == [0, 1, 2, 3, 4, 5, 5] and first["repair-xml"] == [31]
+    assert [(r.word, r.n) for r in changelog.unchanged_words(df, normalize.chosen("all")).collect()] == [("\u0430b\u0434\u0436", 4)]
