@@ -1,9 +1,11 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.functions import tries
+from glyphmill.functions import masks, tries
 from glyphmill.operators import changelog, normalize
 from glyphmill.streaming import stream
 from glyphmill.operators import report
@@ -48,3 +50,16 @@ def test_streamed_examples_equal_those_of_a_table_in_any_order(spark, tmp_path):
     assert query.lastProgress.batchId == 2
     got = sorted(tuple(r) for r in stream.seen_examples(query, spark, f"{tmp_path}/kept").collect())
     assert got == sorted(tuple(r) for r in report.char_examples(whole, 4).select("ch", "n", "ex").collect())
+
+
+def test_classes_of_many_ranges_are_trees(spark):
+    """No part of a class has more than FEW ranges side by side, and it matches the same characters, also within and without a negation."""
+    chars = [chr(c) for c in (*range(0x21, 0x3000, 7), *range(0x1F100, 0x1F200, 3), *range(0x4E00, 0x4E20), 0x10FFFF)]
+    found = masks.class_of(chars)
+    assert max(len(re.findall(r"\\x", p)) for p in re.split(r"&&|[\[\]]+", found)) <= 2 * masks.FEW
+    every = "".join(map(chr, (*range(0x20, 0x5000), *range(0x1F000, 0x1F300), 0x10FFFF)))
+    df = spark.createDataFrame([(every,)], "t string")
+    kept, gone = df.select(F.regexp_replace("t", F.lit(f"[^{found[1:]}+"), F.lit("")), F.regexp_replace("t", F.lit(f"{found}+"), F.lit(""))).first()
+    assert kept == "".join(c for c in every if c in set(chars)) and gone == "".join(c for c in every if c not in set(chars))
+    low, = df.select(F.regexp_replace("t", F.lit(rf"[^\x{{0}}-\x{{24F}}{masks.class_of(c for c in chars if ord(c) > 0x24F)[1:]}+"), F.lit(""))).first()
+    assert low == "".join(c for c in every if ord(c) <= 0x24F or c in set(chars))
